@@ -1,9 +1,9 @@
 """The op queries of this subpackage and the SQL that checks them."""
 
-from . import lines
+from . import chat, lines, token_counts, token_files, urls
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (lines,):
+for _module in (chat, lines, token_counts, token_files, urls):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
