@@ -1,9 +1,9 @@
 """The op queries of this subpackage and the SQL that checks them."""
 
-from . import chat, lines, neighbours, token_counts, token_files, urls
+from . import chat, decontaminate, lines, neighbours, quality, token_counts, token_files, urls
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (chat, lines, neighbours, token_counts, token_files, urls):
+for _module in (chat, decontaminate, lines, neighbours, quality, token_counts, token_files, urls):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
