@@ -31,7 +31,7 @@ class Encoder:
     other kind of tokenizer encodes whole texts directly. Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -82,15 +82,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        units = [self.units(t) for t in texts]
-        need = set().union(*units)
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        need = need.difference(self.young)
+        units = [self.units(t) for t in texts]
+        found = [list(map(self.young.get, u)) for u in units]
+        holes = [[k for k, v in enumerate(f) if v is None] for f in found]
+        need = {u[k] for u, own in zip(units, holes, strict=True) for k in own}
         if need:
             self._learn(need)
-        get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, u)), "<u4") for u in units]
+            for u, f, own in zip(units, found, holes, strict=True):
+                for k in own:
+                    f[k] = self.young[u[k]]
+        return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """ids, and the character where each token starts and the one after its last."""

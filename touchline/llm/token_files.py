@@ -116,45 +116,48 @@ def _bases(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def _decoded(batches):
+def _decoded(batches, checksums: bool, at_once: int = 1 << 20):
     """Streams a shard's chunks in order and gives each document as soon as its last id is there."""
-    at, queue, data = (None, 0, 0), [], np.zeros(0, np.uint32)
+    shard, start, queue, data = None, 0, [], np.zeros(0, np.uint32)
+    out, held = [], 0
+
+    def give():
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64() if checksums else pa.binary()]
+        names = ["shard", "doc_id", "local", "n_tokens", "ids_crc32" if checksums else "ids"]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if row["shard"] != at[0]:
-                at, queue, data = (row["shard"], 0, 0), [], np.zeros(0, np.uint32)
-            shard, start, _ = at
+        for k in range(batch.num_rows):  # a row is a chunk; one is unpacked at a time
+            row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+            if row["shard"] != shard:
+                shard, start, queue, data = row["shard"], 0, [], np.zeros(0, np.uint32)
             queue += zip(row["doc_ids"], row["doc_lengths"], strict=True)
             data = np.concatenate([data, unshuffle_planes(row["payload"], row["plane_bytes"], row["n_ids"], row["planes"])])
             done = used = 0
             while done < len(queue) and used + queue[done][1] <= len(data):
                 doc_id, length = queue[done]
-                out.append((shard, doc_id, start, data[used : used + length].copy()))
-                done, used, start = done + 1, used + length, start + length
-            queue, data, at = queue[done:], data[used:], (shard, start, 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3].astype("<u4").tobytes() for r in out], pa.binary())],
-            names=["shard", "doc_id", "local", "ids"],
-        )
+                raw = data[used : used + length].astype("<u4", copy=False).tobytes()
+                out.append((shard, doc_id, start, length, zlib.crc32(raw) if checksums else raw))
+                done, used, start, held = done + 1, used + length, start + length, held + length
+            queue, data = queue[done:], data[used:]
+            if held >= at_once:
+                yield give()
+                out, held = [], 0
+    if out:
+        yield give()
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit) from the chunk files."""
+def read_token_files(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the chunk files.
+
+    With ``checksums``, ids_crc32 (unsigned crc32 of the ids' bytes) stands for ids.
+    """
     chunks = spark.read.schema(CHUNKS).parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = chunks.repartition(n, "shard").sortWithinPartitions("shard", "chunk")
-    docs = in_order.mapInArrow(_decoded, "shard int, doc_id long, local long, ids binary")
-    return docs.join(F.broadcast(_bases(chunks)), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "ids")
-
-
-def _checksums(batches):
-    for batch in batches:
-        blobs = batch.column("ids").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("start"), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"],
-        )
+    last = "ids_crc32 long" if checksums else "ids binary"
+    docs = in_order.mapInArrow(lambda it: _decoded(it, checksums), f"shard int, doc_id long, local long, n_tokens long, {last}")
+    return docs.join(F.broadcast(_bases(chunks)), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", last.split()[0])
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +165,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, path, checksums=True)
 
 
 QUERIES = {"op9_token_files": op9_token_files}
