@@ -34,7 +34,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back, with true sizes for the optimizer."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no result still to come reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(column: Column) -> Column:
