@@ -16,8 +16,9 @@ def unit(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
-def neutral(term: Column) -> Column:
-    return F.coalesce(unit(F.when(term.isNotNull(), term)), F.lit(0.5)) if term is not None else F.lit(0.5)
+def neutral(term: Column | None) -> Column:
+    """A term in 0..1; one that is missing is neither for nor against (least and greatest would skip the null)."""
+    return F.lit(0.5) if term is None else F.when(term.isNull(), 0.5).otherwise(unit(term))
 
 
 def evidence(frames: Column, clips: Column, named: Column) -> Column:
