@@ -58,10 +58,13 @@ class LineRuns:
                 self.spark.sql(f"DROP TABLE IF EXISTS {table_name}")
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """Runs merged bucket by bucket; keys are unique in a run, so they are unique in the result."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+            other = self.spark.table(name).select("h", F.col("n").alias("n_2"), F.col("keeper").alias("keeper_2"))
+            both = rows.join(other.hint("merge"), "h", "full")
+            rows = both.select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("n_2", F.lit(0))).alias("n"), F.greatest("keeper", "keeper_2").alias("keeper"))
+        return rows
 
     def counts(self) -> DataFrame:
         """Every key with the number of documents that hold it and its keeper."""
