@@ -318,13 +318,15 @@ class JaccardJoin:
         keys = written(self.docs.mapInArrow(lambda it: _set_keys(it, words), "doc_id long, n long, set_key binary"), "set-keys")
         classes = written(keys.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
         lists = self.lists(classes)
-        members = written(lists.select("rep").distinct(), "members")
-        sets = written(self.of_classes(classes.join(members.hint("merge"), "rep", "left_semi")).mapInArrow(lambda it: _set_rows(it, words), "rep long, elements binary"), "sets")
         labels = None
         for pick in (self.star, self.star, self.rest):
             rows = self.labelled(lists, labels)
             pairs = written(pick(rows), "pairs")
+            members = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+            wanted = written(classes.join(members.hint("merge"), "rep", "left_semi"), "members")
+            sets = written(self.of_classes(wanted).mapInArrow(lambda it: _set_rows(it, words), "rep long, elements binary"), "sets")
             found = self.links(pairs, sets)
+            release(wanted, sets)
             if labels is not None:  # links join whole components
                 at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")).hint("merge")
                 found = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
@@ -335,7 +337,7 @@ class JaccardJoin:
                 kept = labels.join(wider.hint("merge"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
                 joined = kept.unionByName(joined.join(labels.select("node").hint("merge"), "node", "left_anti"))
             labels = written(joined, "component-labels")
-        release(lists, members, sets)
+        release(lists)
         own = classes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
         out = keys.join(own.hint("merge"), "set_key", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
