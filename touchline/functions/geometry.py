@@ -147,6 +147,5 @@ def strict_number(text: Column) -> Column:
 
 def landmarks(spark):
     """The named points of the pitch: every upright line crossed with every cross line, kick-off and post bases."""
-    lines = lambda d, name, axis: spark.createDataFrame(list(d.items()), f"{name} string, {axis} double")
-    grid = lines(UPRIGHT_LINES, "u", "x").crossJoin(lines(CROSS_LINES, "c", "y")).select(F.concat_ws(" / ", "u", "c").alias("name"), "x", "y")
-    return grid.unionByName(spark.createDataFrame([(n, *p) for n, p in OTHER_POINTS.items()], "name string, x double, y double"))
+    points = {f"{u} / {c}": (x, y) for u, x in UPRIGHT_LINES.items() for c, y in CROSS_LINES.items()} | OTHER_POINTS
+    return spark.createDataFrame([(n, *p) for n, p in points.items()], "name string, x double, y double")

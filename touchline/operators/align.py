@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def unit_envelope(samples: DataFrame) -> DataFrame:
     """Mean-free envelopes of unit length: clip, i, amp."""
     stats = samples.groupBy("clip").agg(F.avg("amp").alias("m"), F.sqrt(F.var_pop("amp") * F.count("*")).alias("norm"))
-    out = samples.join(F.broadcast(stats.limit(1_000_000)), "clip")
+    out = samples.join(stats, "clip")
     return out.select("clip", "i", F.when(F.col("norm") > 0, (F.col("amp") - F.col("m")) / F.col("norm")).otherwise(0.0).alias("amp"))
 
 

@@ -28,7 +28,7 @@ def carry_pose(frames: DataFrame, hold: int = 8) -> DataFrame:
 
 def remap_keypoints(points: DataFrame, mapping: DataFrame, middle: tuple[int, int, int] | None = None) -> DataFrame:
     """Key points renamed by a mapping (kp, slot); ``middle`` = (slot, a, b) adds the midpoint of two, with the lower score."""
-    out = points.join(F.broadcast(mapping.limit(1000)), "kp").select("clip_id", "frame", F.col("slot").alias("kp"), "x", "y", "vis")
+    out = points.join(mapping, "kp").select("clip_id", "frame", F.col("slot").alias("kp"), "x", "y", "vis")
     if middle:
         slot, a, b = middle
         both = points.where(F.col("kp").isin(a, b)).groupBy("clip_id", "frame").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("vis").alias("vis"))
@@ -40,7 +40,7 @@ def bone_segments(points: DataFrame, bones: DataFrame, visible: float = 0.3) ->
     """Limbs of a frame with both ends visible, with the mean visibility. bones: a, b."""
     good = points.where(F.col("vis") >= visible)
     ends = lambda p: good.select("clip_id", "frame", F.col("kp").alias(p), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"), F.col("vis").alias(f"{p}_vis"))
-    out = ends("a").join(F.broadcast(bones.limit(1000)), "a").join(ends("b"), ["clip_id", "frame", "b"])
+    out = ends("a").join(bones, "a").join(ends("b"), ["clip_id", "frame", "b"])
     return out.select("clip_id", "frame", "a", "b", F.sqrt(F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2)).alias("length"), ((F.col("a_vis") + F.col("b_vis")) / 2).alias("depth"))
 
 

@@ -32,7 +32,7 @@ def classify_tracks(rows: DataFrame, me: DataFrame, width: float, height: float,
     """
     stats = tracklet_evidence(rows, width, height).where(F.col("n_frames") >= min_frames)
     number = decide_number(votes_of(rows), 1.5).select(*TRACK, "number")
-    t = stats.join(dominant_team(rows), list(TRACK), "left").join(number, list(TRACK), "left").join(F.broadcast(me.limit(10_000)), "match_id")
+    t = stats.join(dominant_team(rows), list(TRACK), "left").join(number, list(TRACK), "left").join(me, "match_id")
     dom, num, zx, zy = F.col("dominant"), F.col("number"), F.col("zx_mean"), F.col("zy_mean")
     deep = is_wide_deep(zx, zy)
     other_team = F.col("my_team").isNotNull() & ~F.coalesce(dom, F.lit("")).isin("unsure", "") & (F.lower(dom) != F.lower("my_team"))

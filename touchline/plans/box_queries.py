@@ -49,8 +49,8 @@ def team_prints(spark, sf):
 
 
 def with_teams(spark, sf):
-    matches = team_vectors(spark, sf).select("match_id").distinct()
-    teams = matches.crossJoin(F.broadcast(team_prints(spark, sf)))  # ten teams, a row a label
+    matches = team_vectors(spark, sf).select("match_id").distinct().withColumn("name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("team"), k))))
+    teams = matches.join(team_prints(spark, sf).hint("merge"), "name")  # ten teams take part in every match
     return a.team_distances(team_vectors(spark, sf), teams)
 
 
