@@ -120,6 +120,13 @@ def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(odd(spark, []), 4, 85, 100).count() == 0
 
 
+def test_jaccard_beyond_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_ROWS", 0)
+    made = corpus(2, [(20, 60, 4), (20, 12, 1)])
+    got = jaccard.near_duplicates(odd(spark, made), 4, 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(made, 4, 85, 100)
+
+
 def test_subset_sizes_meet():
     for n in range(1, 21):
         for m in range(n, 21):

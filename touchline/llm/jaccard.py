@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from itertools import combinations
 from math import comb
 
@@ -19,8 +20,9 @@ LIGHT_LIMIT = 20
 #: Tokens counted as frequent are found in more documents than this, or than a larger power of two if there are
 #: more than MAX_FREQUENT of those: the frequent tokens that are sent to every task are so many at most.
 MIN_FREQUENT, MAX_FREQUENT = 16, 1 << 20
-#: A list of ids is broadcast up to so many rows (8 bytes each); beyond, it is joined by merging.
-MAX_BROADCAST_ROWS = 4_000_000
+#: A list of classes (an id and 16 bytes) is broadcast up to so many rows, about 80 MB; beyond that the documents are
+#: stored once in buckets of their id, and lists are merge-joined to them without moving texts again.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def least_overlap(n, m, num: int, den: int):
@@ -207,14 +209,25 @@ class JaccardJoin:
         self.spark, self.words, self.num, self.den = docs.sparkSession, words, num, den
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.stored = None
         self.bits = max(8, min(24, (4 * self.parts - 1).bit_length()))
 
     def of_classes(self, classes: DataFrame) -> DataFrame:
         """rep, set_key and text of the documents that stand for the classes."""
         wanted = classes.select(F.col("rep").alias("doc_id"), "set_key")
-        small = classes.count() <= MAX_BROADCAST_ROWS
-        side = F.broadcast(wanted) if small else wanted.hint("merge")
-        return self.docs.join(side, "doc_id").select(F.col("doc_id").alias("rep"), "set_key", "text")
+        if classes.count() <= MAX_BROADCAST_ROWS:
+            found = self.docs.join(F.broadcast(wanted), "doc_id")
+        else:
+            found = self.in_buckets().join(wanted.hint("merge"), "doc_id")
+        return found.select(F.col("doc_id").alias("rep"), "set_key", "text")
+
+    def in_buckets(self) -> DataFrame:
+        """The documents as a table in buckets of doc_id, written at the first call."""
+        if self.stored is None:
+            self.stored = f"jaccard_docs_{uuid.uuid4().hex}"
+            dealt = self.docs.where("doc_id is not null").repartition(self.parts, "doc_id")
+            dealt.write.bucketBy(self.parts, "doc_id").format("parquet").saveAsTable(self.stored)
+        return self.spark.table(self.stored)
 
     def frequent(self, texts: DataFrame):
         """Codes (the first bits of tokens) of frequent tokens, ascending, and their rank: the logarithm of their count."""
@@ -338,6 +351,8 @@ class JaccardJoin:
                 joined = kept.unionByName(joined.join(labels.select("node").hint("merge"), "node", "left_anti"))
             labels = written(joined, "component-labels")
         release(lists)
+        if self.stored is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.stored}")
         own = classes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
         out = keys.join(own.hint("merge"), "set_key", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
