@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, shingles, word_hashes
-from .shared import release, table, written
+from .shared import release, sliced, table, written
 
 #: Largest set for which enumerating subsets is considered; past it their number explodes.
 LIGHT_LIMIT = 20
@@ -50,7 +50,7 @@ def _key(tokens: np.ndarray) -> bytes:
 
 
 def _set_keys(batches, words: int):
-    for batch in batches:
+    for batch in sliced(batches):
         n, keys = [], []
         for tokens in _sets([t or "" for t in batch.column("text").to_pylist()], words):
             n.append(len(tokens))
@@ -60,7 +60,7 @@ def _set_keys(batches, words: int):
 
 def _with_sets(batches, words: int):
     """(rep, set) of the rows whose text really is the class's."""
-    for batch in batches:
+    for batch in sliced(batches):
         keys = batch.column("set_key").to_pylist()
         for rep, key, tokens in zip(batch.column("rep").to_pylist(), keys, _sets([t or "" for t in batch.column("text").to_pylist()], words), strict=True):
             if _key(tokens) == key:

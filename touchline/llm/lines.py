@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACES, UPPER, ascii_lower, base_columns, table, written
+from .shared import LOWER, SPACES, UPPER, ascii_lower, base_columns, sliced, table, written
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -81,7 +81,7 @@ def line_facts(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _without(batches, min_chars: int):
     """Removes from each text the lines whose key hash is in ``gone``; carries all other columns through."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts, gone = batch.column("text").to_pylist(), batch.column("gone")
         kept, n_lines, n_dropped = [], [], []
         for i, text in enumerate(texts):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import sliced, table, written
 from .subwords import groups
 
 MARK = "▁"  # stands for a space inside pieces
@@ -313,7 +313,7 @@ def _traced(batches, path: str):
 def _whole(batches, path: str):
     """Texts of a single chunk: both edges are forced, so nothing has to be scanned."""
     model = pieces(path)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
         ids: list[bytes] = []
         for part in groups(texts):
@@ -360,7 +360,7 @@ def _longest(model: str) -> int:
 
 def _decoded(batches, path: str):
     model = pieces(path)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = []
         for raw in batch.column("ids").to_pylist():
             joined = b"".join(map(model.raw.__getitem__, np.frombuffer(raw, "<u4").tolist()))

@@ -55,3 +55,10 @@ def ascii_lower(column: Column) -> Column:
 def base_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of a caller's table cannot clash with ours."""
     return df.select(*[df[n] for n in names])
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut into short ones, so that a task turns few texts into Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

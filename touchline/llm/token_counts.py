@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import base_columns, table
+from .shared import base_columns, sliced, table
 from .subwords import encoder, groups
 
 #: Who gets a token that crosses a boundary: the section of its first or last character, or the one
@@ -41,7 +41,7 @@ def line_bounds(text: str) -> np.ndarray:
 
 def _counted(batches, path: str, rule: str, given: bool):
     coder = encoder(path)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         sections = batch.column("sections") if given else None
         for part in groups(texts):

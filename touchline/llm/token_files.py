@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import base_columns, new_path, table
+from .shared import base_columns, new_path, sliced, table
 from .subwords import encoder, groups
 
 CHUNKS = "shard int, chunk int, n_ids int, doc_ids array<long>, doc_lengths array<long>, planes string, plane_bytes array<int>, payload binary"
@@ -65,7 +65,7 @@ def _encoded(batches, path: str, end_id: int, block: int, planes: str):
         chunk, ids, lengths = chunk + 1, [], []
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "chunk", "n_ids", "doc_ids", "doc_lengths", "planes", "plane_bytes", "payload"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         if batch.num_rows:
             shard = batch.column("shard")[0].as_py()
