@@ -26,7 +26,7 @@ WHOLE = "-1,-1,-1"  # the state of an edge that no piece lies across
 class Pieces:
     """A SentencePiece BPE model: its pieces, encoding of short units, and the lattice."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 100_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -100,7 +100,7 @@ class Pieces:
             return True
         had = self.fits.get((a, b))
         if had is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             had = self.model.encode((a + b).replace(MARK, " ")) == [self.ids[a], self.ids[b]]
             self.fits[a, b] = had
