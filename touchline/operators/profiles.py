@@ -12,7 +12,10 @@ from .filters import decide_number, dominant_team, votes_of
 from .joins import attach_nearest_height
 from .trajectory import TRACK
 
+# The statuses in order, and the wording of the reasons.
 STATUSES = ("me-likely", "possible", "ruled-out")
+OPPOSITION, NAMED_OPPOSITION, OTHER_NUMBER, NOT_A_FORWARD = "opposition team", "opposition team (%s)", "reads #%s, you are #%s", "plays wide & deep (back three); you're a forward"
+MY_NUMBER, MY_TEAM, UNSURE, CENTRAL, WIDE, HEIGHT_FITS, HEIGHT_OFF = "reads YOUR #%s", "your team", "team unsure", "central (forward-like)", "wide/deep (back-like)", "matching height", "height off"
 
 
 def tracklet_evidence(rows: DataFrame, width: float, height: float) -> DataFrame:
@@ -37,20 +40,20 @@ def classify_tracks(rows: DataFrame, me: DataFrame, width: float, height: float,
     deep = is_wide_deep(zx, zy)
     other_team = F.col("my_team").isNotNull() & ~F.coalesce(dom, F.lit("")).isin("unsure", "") & (F.lower(dom) != F.lower("my_team"))
     out_reason = (
-        F.when(dom == "opp", F.lit("opposition team"))
-        .when(other_team, F.concat(F.lit("opposition team ("), dom, F.lit(")")))
-        .when(num.isNotNull() & F.col("my_number").isNotNull() & (num != F.col("my_number")), F.concat(F.lit("reads #"), num, F.lit(", you are #"), F.col("my_number")))
-        .when((F.col("my_group") == "forward") & deep, F.lit("plays wide & deep (back three); you're a forward"))
+        F.when(dom == "opp", F.lit(OPPOSITION))
+        .when(other_team, F.format_string(NAMED_OPPOSITION, dom))
+        .when(num.isNotNull() & F.col("my_number").isNotNull() & (num != F.col("my_number")), F.format_string(OTHER_NUMBER, num.cast("string"), F.col("my_number").cast("string")))
+        .when((F.col("my_group") == "forward") & deep, F.lit(NOT_A_FORWARD))
     )
     dev = F.abs(F.col("h_mean") - F.col("my_resid"))
     parts = [
-        (num == F.col("my_number"), 0.45, F.concat(F.lit("reads YOUR #"), F.col("my_number"))),
-        (dom == F.col("my_team"), 0.10, F.lit("your team")),
-        (((dom == "unsure") | dom.isNull()) & ~F.coalesce(dom == F.col("my_team"), F.lit(False)), 0.0, F.lit("team unsure")),
-        ((F.col("my_group") == "forward") & zx.between(0.30, 0.70), 0.08, F.lit("central (forward-like)")),
-        ((F.col("my_group") == "back") & deep, 0.06, F.lit("wide/deep (back-like)")),
-        (dev <= 9.0, 0.10, F.lit("matching height")),
-        (dev > 18.0, -0.20, F.lit("height off")),
+        (num == F.col("my_number"), 0.45, F.format_string(MY_NUMBER, F.col("my_number").cast("string"))),
+        (dom == F.col("my_team"), 0.10, F.lit(MY_TEAM)),
+        (((dom == "unsure") | dom.isNull()) & ~F.coalesce(dom == F.col("my_team"), F.lit(False)), 0.0, F.lit(UNSURE)),
+        ((F.col("my_group") == "forward") & zx.between(0.30, 0.70), 0.08, F.lit(CENTRAL)),
+        ((F.col("my_group") == "back") & deep, 0.06, F.lit(WIDE)),
+        (dev <= 9.0, 0.10, F.lit(HEIGHT_FITS)),
+        (dev > 18.0, -0.20, F.lit(HEIGHT_OFF)),
     ]
     score, reasons = F.lit(0.40), []
     for holds, weight, text in parts:

@@ -25,6 +25,10 @@ VERDICTS = f"""SELECT {TRS}, CASE WHEN out THEN 'ruled-out' WHEN s >= 66e-2 THEN
  SELECT *, coalesce(dominant = 'opp', false) OR coalesce(dominant NOT IN ('unsure', '') AND lower(dominant) <> lower(my_team), false) OR coalesce(number <> my_number, false) OR (my_group = 'forward' AND (zx < 26e-2 OR zx > 74e-2) AND zy < 42e-2) AS out,
  greatest(0, least(1, 4e-1 + CASE WHEN number = my_number THEN 45e-2 ELSE 0 END + CASE WHEN dominant = my_team THEN 1e-1 ELSE 0 END + CASE WHEN my_group = 'forward' AND zx BETWEEN 3e-1 AND 7e-1 THEN 8e-2 ELSE 0 END + CASE WHEN abs(h - my_resid) <= 9 THEN 1e-1 WHEN abs(h - my_resid) > 18 THEN -2e-1 ELSE 0 END)) AS s
  FROM stats LEFT JOIN dom USING ({TRS}) LEFT JOIN (SELECT {TRS}, number FROM decided WHERE weight >= 1.5e0) USING ({TRS}) JOIN me USING (match_id) WHERE n_frames >= 8)"""
+REASONS = f"""SELECT {TRS}, CASE WHEN dominant = 'opp' THEN 'opposition team' WHEN lower(dominant) <> lower(my_team) AND dominant NOT IN ('unsure', '') THEN 'opposition team (' || dominant || ')' WHEN number <> my_number THEN 'reads #' || number || ', you are #' || my_number
+ WHEN my_group = 'forward' AND (zx < 26e-2 OR zx > 74e-2) AND zy < 42e-2 THEN 'plays wide & deep (back three); you''re a forward' ELSE concat_ws('; ', CASE WHEN number = my_number THEN 'reads YOUR #' || my_number END, CASE WHEN dominant = my_team THEN 'your team' WHEN coalesce(dominant, 'unsure') = 'unsure' THEN 'team unsure' END,
+ CASE WHEN my_group = 'forward' AND zx BETWEEN 3e-1 AND 7e-1 THEN 'central (forward-like)' END, CASE WHEN abs(h - my_resid) <= 9 THEN 'matching height' WHEN abs(h - my_resid) > 18 THEN 'height off' END) END AS reasons
+ FROM stats LEFT JOIN dom USING ({TRS}) LEFT JOIN (SELECT {TRS}, number FROM decided WHERE weight >= 1.5e0) USING ({TRS}) JOIN me USING (match_id) WHERE n_frames >= 8"""
 VIEWS = {"votes": VOTES, "decided": DECIDED, "dom": DOMINANT, "stats": STATS, "me": ME, "verdicts": VERDICTS}
 
 
@@ -74,7 +78,7 @@ BONES = [(k, k + 1) for k in range(1, 7)]
 
 QUERIES = {
     "c2_link_tracklets": tracklets,
-    "c3_classify_tracks": lambda s, d: verdicts(s, d).select(*TR, "status", "score"),
+    "c3_classify_tracks": lambda s, d: verdicts(s, d).select(*TR, "status", "score", F.array_join("reasons", "; ").alias("reasons")),
     "g22_shortlist_summary": lambda s, d: profiles.shortlist_summary(verdicts(s, d)),
     "t1_rank_shortlist": lambda s, d: profiles.rank_shortlist(verdicts(s, d)).select(*TR, "status", "score"),
     "g15_tracklet_evidence": lambda s, d: profiles.tracklet_evidence(residuals(s, d), FRAME_W, FRAME_H).select(*TR, "n_frames", F.round("h_mean", 6).alias("h_mean"), F.round("h_m2", 3).alias("h_m2"), F.round("zx_mean", 6).alias("zx_mean")),
@@ -96,7 +100,7 @@ KNOWN = f"SELECT s.*, d.number AS own FROM stats s LEFT JOIN (SELECT * FROM deci
 POSEG = "SELECT clip_id, frame, count(*) FILTER (vis >= 3e-1) >= 2 AS good FROM pose_v GROUP BY ALL"
 
 SQL = {
-    "c3_classify_tracks": sql("SELECT * FROM verdicts", **VIEWS),
+    "c3_classify_tracks": sql(f"SELECT * FROM verdicts JOIN reasons USING ({TRS})", **VIEWS, reasons=REASONS),
     "g22_shortlist_summary": sql("SELECT match_id, count(*) FILTER (status = 'me-likely') AS me_likely, count(*) FILTER (status = 'possible') AS possible, count(*) FILTER (status = 'ruled-out') AS ruled_out, count(*) AS total FROM verdicts GROUP BY ALL", **VIEWS),
     "t1_rank_shortlist": sql("SELECT * FROM verdicts ORDER BY CASE status WHEN 'me-likely' THEN 0 WHEN 'possible' THEN 1 ELSE 2 END, score DESC", **VIEWS),
     "g15_tracklet_evidence": sql(f"SELECT {TRS}, count(*) AS n_frames, round(avg(r), 6) AS h_mean, round(var_pop(r) * count(*), 3) AS h_m2, round(avg((x1 + x2) / 2 / 1920e0), 6) AS zx_mean FROM (SELECT *, {RES} AS r FROM objects_v) GROUP BY ALL"),

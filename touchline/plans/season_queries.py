@@ -131,7 +131,24 @@ def rollup(spark, sf):
     return rows
 
 
+def attached(spark, sf):
+    rows = observations(spark, sf).withColumnRenamed("match_id", "clip_id").withColumn("match_id", F.col("key") % 5).withColumnRenamed("key", "obj_id")
+    clusters = rows.where("number is not null").groupBy("match_id", "number").agg(F.round(F.avg("resid"), 9).alias("resid"))
+    return joins.attach_nearest_height(rows.where("number is null").select(*TR, "resid"), clusters, F.lit(1.0))
+
+
+def team_profiles(spark, sf):
+    """Height model and number of samples of each team of a match; teams with under twelve are marked."""
+    b = Box()
+    rows = objects(spark, sf).select("match_id", "team", b.height.alias("height"), b.cy.alias("cy"))
+    n = rows.groupBy("match_id", "team").agg(F.count("*").alias("n_samples"))
+    model = a.learn_height_model(rows, ["match_id", "team"]).select("match_id", "team", F.round("slope", 6).alias("slope"))
+    return n.join(model, ["match_id", "team"], "left").withColumn("few", F.col("n_samples") < 12)
+
+
 QUERIES = {
+    "c16_team_profiles": team_profiles,
+    "j6_attach_nearest_height": attached,
     "c1_score_detections": scored_detections,
     "c5_edit_log": edited,
     "c6_registry_candidates": lambda s, d: registry_store.link_candidates(incoming(s, d), as_players(s, d)),
@@ -155,6 +172,8 @@ QUERIES = {
 
 BEST = "SELECT *, row_number() OVER (PARTITION BY match_id, clip_id, frame ORDER BY CASE WHEN team = 'home' THEN 1 ELSE 0 END DESC, score DESC, obj_id) AS k FROM scored WHERE team IN ('home', 'unsure', '')"
 SQL = {
+    "c16_team_profiles": sql("SELECT match_id, team, count(*) AS n_samples, round(regr_slope(bh, cy), 6) AS slope, count(*) < 12 AS few FROM c GROUP BY ALL", c=CENTRE),
+    "j6_attach_nearest_height": sql("SELECT match_id, clip_id, obj_id, arg_min(number, (d, number)) AS number FROM (SELECT o.m AS match_id, o.match_id AS clip_id, o.key AS obj_id, k.number, abs(o.resid - k.resid) AS d FROM ob o JOIN (SELECT m, number, round(avg(resid), 9) AS resid FROM ob WHERE number IS NOT NULL GROUP BY ALL) k ON o.m = k.m WHERE o.number IS NULL) WHERE d <= 8 GROUP BY ALL", **_obs, ob="SELECT *, key % 5 AS m FROM obs"),
     "c1_score_detections": sql("SELECT vec_id, round(o - k, 6) AS team_score, o - k >= -4e-1 AND abs(40e0 + vec_id % 60 - (60e0 + vec_id % 7)) <= greatest(12e0, 35e-2 * (60e0 + vec_id % 7)) AS kept FROM (SELECT vec_id, min(d) FILTER (team = 0) AS k, min(d) FILTER (team <> 0) AS o FROM dists GROUP BY ALL)", vec=VEC, prints=PRINTS, dists=DISTS),
     "c6_registry_candidates": sql("""SELECT team, match_id, key, coalesce(same, near) AS player_id, CASE WHEN same IS NOT NULL THEN 'number' WHEN near IS NOT NULL THEN 'height' ELSE 'new' END AS how FROM
  (SELECT i.team, i.match_id, i.key, min(p.player_id) AS same FROM inc i LEFT JOIN pl p ON p.team = i.team AND p.number = i.number GROUP BY ALL) LEFT JOIN

@@ -32,15 +32,15 @@ def stream_segments(rows: DataFrame, gap: str) -> DataFrame:
 def _alerts(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     run, start, told, last = state.get if state.exists else (0, -1, False, -1)
     out = []
-    for pdf in frames:
-        for frame, low in sorted(zip(pdf.frame, pdf.low, strict=True)):
-            if frame <= last:
-                continue
-            last = int(frame)
-            run, start, told = (run + 1, start if run else last, told) if low else (0, -1, False)
-            if run >= 5 and not told:
-                told = True
-                out.append((*key, start, last))
+    pdf = pd.concat(list(frames))  # a trigger's rows of one track come in pieces, in no order
+    for frame, low in sorted(zip(pdf.frame, pdf.low, strict=True)):
+        if frame <= last:
+            continue
+        last = int(frame)
+        run, start, told = (run + 1, start if run else last, told) if low else (0, -1, False)
+        if run >= 5 and not told:
+            told = True
+            out.append((*key, start, last))
     state.update((run, start, told, last))
     yield pd.DataFrame(out, columns=[*TRACK, "start", "alert"])
 
@@ -56,13 +56,12 @@ def stream_low_conf_alerts(rows: DataFrame, below: float = 0.4) -> DataFrame:
 def _steps(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get if state.exists else None
     out = []
-    for pdf in frames:
-        for r in pdf.sort_values("frame").itertuples():
-            if last is not None and r.frame > last[0]:
-                step = ((r.px - last[1]) ** 2 + (r.py - last[2]) ** 2) ** 0.5
-                out.append((*key, int(r.frame), r.frame_ts, step, step / ((r.frame - last[0]) / 30.0)))
-            if last is None or r.frame > last[0]:
-                last = (int(r.frame), float(r.px), float(r.py))
+    for r in pd.concat(list(frames)).sort_values("frame").itertuples():
+        if last is not None and r.frame > last[0]:
+            step = ((r.px - last[1]) ** 2 + (r.py - last[2]) ** 2) ** 0.5
+            out.append((*key, int(r.frame), r.frame_ts, step, step / ((r.frame - last[0]) / 30.0)))
+        if last is None or r.frame > last[0]:
+            last = (int(r.frame), float(r.px), float(r.py))
     if last is not None:
         state.update(last)
     yield pd.DataFrame(out, columns=[*TRACK, "frame", "frame_ts", "step", "speed"])
