@@ -154,7 +154,7 @@ def read_token_files(spark: SparkSession, path: str, checksums: bool = False) ->
     """
     chunks = spark.read.schema(CHUNKS).parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = chunks.repartition(n, "shard").sortWithinPartitions("shard", "chunk")
+    in_order = chunks.repartitionById(n, F.pmod("shard", F.lit(n))).sortWithinPartitions("shard", "chunk")
     last = "ids_crc32 long" if checksums else "ids binary"
     docs = in_order.mapInArrow(lambda it: _decoded(it, checksums), f"shard int, doc_id long, local long, n_tokens long, {last}")
     return docs.join(F.broadcast(_bases(chunks)), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", last.split()[0])
