@@ -29,10 +29,12 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    had = _POWERS.get(base)
-    if had is None or len(had) < n:
-        had = _POWERS[base] = powers(base, max(n, 1 << 16))
-    return had[:n]
+    """Kept up to a million, as workers live on; a longer list is made for its call alone."""
+    if n > 1 << 20:
+        return powers(base, n)
+    if base not in _POWERS:
+        _POWERS[base] = powers(base, 1 << 20)
+    return _POWERS[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

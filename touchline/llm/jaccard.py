@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix, shingles, word_hashes
 from .shared import release, sliced, table, written
+from .subwords import groups
 
 #: Largest set for which enumerating subsets is considered; past it their number explodes.
 LIGHT_LIMIT = 20
@@ -37,8 +38,8 @@ def prefix_length(n, num: int, den: int):
 
 def _sets(texts: list[str], words: int):
     """The shingle set of each text as ascending hashes."""
-    for at in range(0, len(texts), 64):
-        own = [t.encode() for t in texts[at : at + 64]]
+    for part in groups(texts):  # hashing takes some fifty times a part's bytes for a moment
+        own = [t.encode() for t in texts[part]]
         hashes, counts = word_hashes(own)
         first = np.concatenate([[0], np.cumsum(counts)])
         for a, b in zip(first[:-1], first[1:], strict=True):
