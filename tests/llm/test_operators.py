@@ -351,6 +351,22 @@ def test_quality_edges(spark):
     assert quality.score_quality(df.limit(0)).count() == 0
 
 
+def test_quality_sees_whole_texts():
+    names = [name for name, *_ in quality.LABELLERS]
+    vote = lambda text: dict(zip(names, quality.votes(quality.statistics([b"before it", text.encode(), b"", b"after it"]))[1], strict=True))
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 700, n))
+    head, block = prose(400), prose(900)
+    assert vote(head)["sameness"] == vote(prose(8000))["sameness"] == 2 and vote(head)["copied"] == vote(prose(8000))["copied"] == 2
+    assert vote(head + " the same few words come here again and again." * 600)["sameness"] == 0  # repetition from word 401 on
+    assert vote(head + " the same few words come here again and again." * 40)["copied"] == 0
+    assert vote(head + f" {block}" * 3)["copied"] == 0  # what repeats is longer than a block of words
+    assert vote("a b")["copied"] == 1  # no run to tell by
+    stats = quality.statistics([(head + " x" * k).encode() for k in (0, 1, 400, 4000)])[:, names.index("sameness")]
+    assert abs(stats[1] - stats[0]) < 0.01 and stats[2] > stats[0] + 0.2 and stats[3] > 0.9
+    assert quality.statistics([]).shape == (0, len(names)) and np.isnan(quality.statistics([b"", b" "])).all()
+
+
 # 8 SentencePiece
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import word_hashes
+from .hashing import mix, word_hashes
 from .shared import sliced, table
 from .subwords import groups
 
@@ -21,13 +21,18 @@ LABELLERS = (
     ("shouts", 0.15, 0.03),  # exclamation marks, a word
     ("bars", 0.15, 0.01),  # words without letters or digits, a word
     ("repeats", 0.15, 0.03),  # words equal to the one before
-    ("sameness", 0.80, 0.55),  # 1 - distinct words, a word; up to 200 words are typical for plain prose
+    ("sameness", 0.80, 0.55),  # 1 - distinct words, a word, inside blocks of BLOCK words: the mean of all blocks
     ("functional", -0.02, -0.06),  # minus the share of function words
     ("stops", -0.004, -0.02),  # minus the sentence marks, a word
+    ("copied", 0.30, 0.03),  # runs of RUN words that the document had before, a run, however far back
 )
 #: Votes (bad, abstains, good) that each labeller is taken to have given bad and good documents before any is seen:
 #: a bad vote says much, a good one little. They only matter in small tables.
 PSEUDO = np.array([[25.0, 5.0, 20.0], [0.5, 4.5, 45.0]])
+#: Words of a block: the share of distinct words falls with length, so it is only compared between equal lengths.
+BLOCK = 400
+#: Words of a run: plain prose hardly ever repeats so many, however long it is.
+RUN = 8
 BINS = 8
 SLOTS = 1 << 12
 
@@ -39,6 +44,23 @@ _LOWER, _CAPITAL, _STOP, _SHOUT = (np.array([chr(c) in s for c in range(256)]) f
 _ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
+def _distinct(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each text, the distinct words of every block of BLOCK consecutive words, summed over all its blocks."""
+    return np.array([sum(len(np.unique(words[k : min(k + BLOCK, b)])) for k in range(a, b, BLOCK)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], float)
+
+
+def _copied(words: np.ndarray, owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each text, the share of its runs of RUN words that it had before; a short text has too few to tell."""
+    runs = np.maximum(count - RUN + 1, 0)
+    last = max(0, len(words) - RUN + 1)
+    h = mix(owner[:last].astype(np.uint64))
+    for k in range(RUN):
+        h = mix(h + words[k : last + k] * np.uint64(2 * k + 3))
+    inside = np.flatnonzero(owner[:last] == owner[len(words) - last :])
+    new = inside[np.unique(h[inside], return_index=True)[1]]
+    return (runs - np.bincount(owner[new], minlength=len(count)) + 0.5) / (runs + 5)
+
+
 def statistics(texts: list[bytes]) -> np.ndarray:
     """One row a text, one column a labeller; NaN where a text has no words."""
     n = len(texts)
@@ -53,7 +75,6 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     if len(words) > 1:
         same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
     usual = np.isin(words, _USUAL)
-    distinct = np.array([len(np.unique(words[a:b][:400])) for a, b in zip(first[:-1], first[1:], strict=True)]) if n else np.zeros(0)
     space = raw <= 32
     plain = _ALNUM[raw]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
@@ -62,7 +83,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     k = count + 5  # a few words more than there are, so that very short texts look neither odd nor good
     letters = total(_LOWER[raw] | _CAPITAL[raw]) + 20
     chars = total(~space) + 20
-    out = np.stack([total(_SYMBOL[raw]) / chars, total(_CAPITAL[raw]) / letters, total(_SHOUT[raw]) / k, bare / k, per(same) / k, (np.minimum(count, 400) - distinct) / np.minimum(k, 400), -per(usual) / k, -total(_STOP[raw]) / k], axis=1)
+    out = np.stack([total(_SYMBOL[raw]) / chars, total(_CAPITAL[raw]) / letters, total(_SHOUT[raw]) / k, bare / k, per(same) / k, (count - _distinct(words, first)) / np.maximum(count, np.minimum(k, BLOCK)), -per(usual) / k, -total(_STOP[raw]) / k, _copied(words, owner, count)], axis=1)
     out[count == 0] = np.nan
     return out
 
@@ -167,7 +188,7 @@ def _featured(batches):
 def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000) -> DataFrame:
     """All columns of ``docs`` with quality_score (probability of good) and keep.
 
-    Three steps: every document's votes are counted by pattern (at most 3**8 of them, so EM runs on sums over the
+    All statistics are of the whole text, however long it is. Three steps: every document's votes are counted by pattern (at most 3**9 of them, so EM runs on sums over the
     whole table, whatever its size); the labellers' accuracies give each pattern a posterior; a linear scorer on
     hashed features learns the posteriors of about max_train documents, a bounded sample by hash of the text
     (``max_train`` is the bound), and judges every document. The model is the same for the same table, in any order.
