@@ -351,6 +351,25 @@ def test_quality_edges(spark):
     assert quality.score_quality(df.limit(0)).count() == 0
 
 
+def test_quality_sample(spark, docs):
+    said = [r.text for r in docs.select("text").distinct().collect()]
+    rows = said + [said[0]] * 150 + [None] * 40 + [""] * 30
+    size = 50
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    drawn = quality.priority_sample(quality.keyed(df), size)
+    mass = {(h, g): w for h, g, w in drawn}
+    assert len(drawn) == len(mass) == size
+    (copied,) = quality.keyed(df.where(F.col("text") == said[0])).distinct().collect()
+    (empty,) = quality.keyed(df.where("coalesce(text, '') = ''")).select("h", "g").distinct().collect()
+    assert mass[copied.h, copied.g] == 151 and mass[empty.h, empty.g] == rows.count(None) + rows.count("")
+    assert 0.6 * len(rows) < sum(mass.values()) < 1.5 * len(rows)
+    assert [w for *_, w in quality.priority_sample(quality.keyed(df.where("text <> ''").distinct()), 10_000)] == [1.0] * len({t for t in rows if t})
+    scores = []
+    for df in (df.repartition(3, "text"), spark.createDataFrame([(t,) for t in rows[::-1]], "text string").coalesce(1)):
+        scores.append({r.text: r.quality_score for r in quality.score_quality(df, max_train=size).collect()})
+    assert scores[0] == scores[1]
+
+
 def test_quality_sees_whole_texts():
     names = [name for name, *_ in quality.LABELLERS]
     vote = lambda text: dict(zip(names, quality.votes(quality.statistics([b"before it", text.encode(), b"", b"after it"]))[1], strict=True))

@@ -127,7 +127,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
 def features(texts: list[bytes], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot, value): hashed trigrams of character classes and hashed bins of the statistics."""
     n = len(texts)
-    raw = np.frombuffer(b"  ".join(texts) + b"   ", np.uint8)
+    raw = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)  # two spaces before and after, so that no trigram reaches into a neighbour
     sizes = np.array([len(t) + 2 for t in texts])
     code = _CLASS[raw]
     h = (code[:-2] * np.uint64(131) + code[1:-1]) * np.uint64(131) + code[2:]
@@ -142,12 +142,12 @@ def features(texts: list[bytes], stats: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows, np.concatenate([key % SLOTS, spots.astype(np.int64).ravel()]), np.concatenate([np.sqrt(grams), np.full(spots.size, 0.5)])
 
 
-def fit_scorer(rows, slots, values, target: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Weights and bias of a logistic regression on soft targets, by full-batch adaptive gradient steps."""
-    w, speed, n = np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-8), max(1, len(target))
+def fit_scorer(rows, slots, values, target: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+    """Weights and bias of a logistic regression on soft targets, by full-batch adaptive gradient steps; a text counts by its weight."""
+    w, speed, part = np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-8), weight / weight.sum()
     for _ in range(rounds):
         z = np.bincount(rows, w[slots] * values, minlength=len(target)) + w[-1]
-        slip = (1 / (1 + np.exp(-z)) - target) / n
+        slip = (1 / (1 + np.exp(-z)) - target) * part
         step = np.append(np.bincount(slots, slip[rows] * values, minlength=SLOTS), slip.sum())
         step[:-1] += decay * w[:-1]
         speed += step * step
@@ -167,21 +167,56 @@ def _patterns(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())], names=["pattern"])
 
 
+def priority_sample(texts: DataFrame, size: int) -> list[tuple[int, int, float]]:
+    """(h, g, weight) of at most ``size`` distinct texts, by the hashes of ``keyed``, in the order of h and g.
+
+    Priority sampling: with u a uniform number from the hash, the texts of the largest copies / u are drawn, and each
+    stands for max(copies, the largest copies / u not drawn) rows. Sums of these weights estimate sums over all rows
+    without bias; a text with very many copies is drawn for certain and stands for just these. A table of up to
+    ``size`` distinct texts is drawn whole. Nothing depends on the order or the partitions of the rows.
+    """
+    uniform = (F.shiftrightunsigned("g", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    counted = texts.groupBy("h", "g").count().withColumn("priority", F.col("count") / uniform)
+    drawn = counted.orderBy(F.desc("priority"), "h", "g").limit(size + 1).collect()
+    bar = drawn[size]["priority"] if len(drawn) > size else 0.0
+    return sorted((r["h"], r["g"], max(float(r["count"]), bar)) for r in drawn[:size])
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """text with two hashes of it, h and g; null counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return texts.select("text", F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
+def _once(batches):
+    """The first row of each text that a task sees."""
+    seen = set()
+    for batch in batches:
+        new = []
+        for key in zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), strict=True):
+            new.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
 def _featured(batches):
     for batch in sliced(batches):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for s in _slices(texts):
+            own = batch.slice(s.start, s.stop - s.start)
             stats = statistics(texts[s])
             rows, slots, values = features(texts[s], stats)
             order = np.argsort(rows, kind="stable")
             at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts[s])))])
             yield pa.RecordBatch.from_arrays(
                 [
+                    own.column("h"),
+                    own.column("g"),
                     pa.array(pattern_of(votes(stats)), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slots[order], pa.int32())),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[order].astype(np.float32))),
                 ],
-                names=["pattern", "slots", "values"],
+                names=["h", "g", "pattern", "slots", "values"],
             )
 
 
@@ -190,8 +225,9 @@ def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000
 
     All statistics are of the whole text, however long it is. Three steps: every document's votes are counted by pattern (at most 3**9 of them, so EM runs on sums over the
     whole table, whatever its size); the labellers' accuracies give each pattern a posterior; a linear scorer on
-    hashed features learns the posteriors of about max_train documents, a bounded sample by hash of the text
-    (``max_train`` is the bound), and judges every document. The model is the same for the same table, in any order.
+    hashed features learns the posteriors of at most max_train distinct texts, drawn by copies and hash and weighted
+    by the rows that they stand for (``priority_sample``), and judges every document. The model is the same for the
+    same rows, in any order and any partitions.
 
     A null or empty text has no words: every labeller abstains, its score comes from its own bin, and it is kept
     only if that reaches the threshold (0.2: a document goes only when it is clearly bad). Rows are never dropped here. Repeated rows get equal scores. An empty table
@@ -205,13 +241,15 @@ def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000
     weights = np.zeros(SLOTS + 1)
     if len(seen):
         good = dict(zip(patterns.tolist(), fit_labellers(patterns, counts)[0].tolist(), strict=True))
-        share = min(1.0, max_train / counts.sum())
-        sample = texts.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * max_train)
-        rows = sorted(sample.mapInArrow(_featured, "pattern long, slots array<int>, values array<float>").toLocalIterator(), key=lambda r: (r["pattern"], r["slots"]))
+        keys = keyed(texts)
+        drawn = priority_sample(keys, max_train)
+        picked = docs.sparkSession.createDataFrame([d[:2] for d in drawn], "h long, g long")
+        sample = keys.join(F.broadcast(picked), ["h", "g"], "left_semi").select("text", "h", "g")
+        sample = sample.mapInArrow(_once, "text string, h long, g long").dropDuplicates(["h", "g"])
+        rows = sorted(sample.mapInArrow(_featured, "h long, g long, pattern long, slots array<int>, values array<float>").toLocalIterator(), key=lambda r: (r["h"], r["g"]))
         n = np.repeat(np.arange(len(rows)), [len(r["slots"]) for r in rows])
         flat = lambda name: np.array([x for r in rows for x in r[name]])
-        if len(rows):
-            weights = fit_scorer(n, flat("slots").astype(np.int64), flat("values"), np.array([good[r["pattern"]] for r in rows]))
+        weights = fit_scorer(n, flat("slots").astype(np.int64), flat("values"), np.array([good[r["pattern"]] for r in rows]), np.array([d[2] for d in drawn]))
 
     def judge(batches):
         for batch in sliced(batches):
