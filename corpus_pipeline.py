@@ -41,8 +41,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = written(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    """Documents that hold a benchmark item go; an item of a few letters, such as "yes", is no reason by itself."""
+    leaks = written(find_leaks(docs, table(spark, sf_dir, "benchmark")).where("not short").select("doc_id").distinct(), "leaks")
     return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -184,6 +184,16 @@ def test_leaks_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_leaks_short_items(spark):
+    items = [(1, "Paris?"), (2, "北京是首都"), (3, "été"), (4, "!?"), (5, "a longer question, to be found with edits"), (6, "4"), (7, None)]
+    rows = [(1, "In comparison, parisian; then (PARIS) 44 or x4"), (2, "我们说北京是首都。"), (3, "étés, l'été"), (4, "a longer question to be found withedits; 4"), (5, None), (6, "")]
+    got = {(r.doc_id, r.item_id, r.distance, r.start, r.stop, r.short) for r in decontaminate.find_leaks(odd(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    plain = {d: decontaminate.normalise(t).decode() for d, t in rows}
+    at = lambda d, said: (plain[d].rindex(said), plain[d].rindex(said) + len(said))
+    assert {g for g in got if g[5]} == {(1, 1, 0, *at(1, "paris"), True), (2, 2, 0, *at(2, "北京是首都"), True), (3, 3, 0, *at(3, "été"), True), (4, 6, 0, *at(4, "4"), True)}
+    assert {g[:3] for g in got if not g[5]} == {(4, 5, 1)}
+
+
 def test_leaks_empty(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs, none).count() == 0
