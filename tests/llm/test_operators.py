@@ -255,7 +255,7 @@ def test_neighbours_brute_force(spark):
     base[100:160] = base[100]  # ties
     rows = [(k, v.tolist()) for k, v in enumerate(base)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0]), (1020, [float("inf")] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "2 as cell")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20, block=150, query_block=10).collect()}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20, stripe=150, query_block=10).collect()}
     b, hits = base.astype(float), 0
     for q in range(0, 700, 20):
         s = np.zeros(700)
@@ -266,6 +266,46 @@ def test_neighbours_brute_force(spark):
     assert len(got) == 35 * 20 and hits >= 0.99 * len(got)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).count() == 2
+    assert neighbours.nearest(df.where("vec_id > 999"), F.col("vec_id") % 20 == 0).count() == 0  # none takes part
+
+
+def test_neighbours_repeated_rows(spark):
+    """Equal rows are candidates each and asked once; a vec_id with two vectors is ranked for each; copies tie by id."""
+    rows = [(20, [1.0, 0.0])] * 3 + [(20, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 2.0]), (2, [0.5, 2.0])] + [(k, [0.25, 0.25]) for k in range(5, 60, 5) if k % 20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=6).collect())
+    one = [(1, 1.0), (2, 0.5), (2, 0.5), (5, 0.25), (10, 0.25), (15, 0.25)]
+    two = [(2, 2.0), (2, 2.0), (1, 0.5), (5, 0.25), (10, 0.25), (15, 0.25)]
+    assert got == sorted((20, k + 1, *x) for some in (one, two) for k, x in enumerate(some))
+
+
+def test_neighbours_bounds():
+    """Codes leave few vectors to score exactly and lose no neighbour."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(16384, 64))
+    turn = neighbours.rotation(64, neighbours.code_bits(64))
+    asked = np.arange(0, 16384, 400)
+    search = neighbours.Search(asked, x[asked], turn, 21, 4.0)
+    search.add(x, neighbours.Codes(*neighbours.encode_bits(x, turn)), [[k] for k in range(16384)], [[1]] * 16384)
+    assert search.met == len(asked) * 16384 and search.scored < 0.05 * search.met
+    got, want = {}, {}
+    for j, vec_id, _ in search.found(20):
+        got.setdefault(j, []).append(vec_id)
+    for j, q in enumerate(asked):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want[j] = np.argsort(-s)[:20].tolist()
+    assert np.mean([v in got[j] for j in want for v in want[j]]) >= 0.999
+
+
+def test_neighbours_estimate_is_unbiased():
+    rng = np.random.default_rng(12)
+    x, q = rng.normal(size=(20_000, 40)), rng.normal(size=40)
+    turn = neighbours.rotation(40, 512)
+    codes = neighbours.Codes(*neighbours.encode_bits(x, turn))
+    guess, most = neighbours.estimates(codes, neighbours.Asked(q, turn), 1.0)
+    off = (guess - x @ q) / (most - guess)
+    assert abs(off.mean()) < 0.05 and 0.9 < off.std() < 1.1 and np.mean(np.abs(off) > 4) < 0.001
 
 
 # 6 and 9 tokens

@@ -9,153 +9,259 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import release, table, written
 
-RESULT = "query_id long, vec_id long, score double"
+#: Codes have so many bits at least: vectors of fewer dimensions are padded with zeros before the rotation, as the
+#: error of an estimate falls with the root of the bits. Queries are rounded to LEVELS bits a dimension.
+BITS, LEVELS = 512, 4
+RESULT = "query_id long, ask long, vec_id long, score double"
+_INDEX = "vec array<double>, ids array<long>, times array<long>, code binary, length double, fit double"
 
 
-def rotation(dims: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
+def code_bits(dims: int) -> int:
+    return max(BITS, -(-dims // 64) * 64)
+
+
+def rotation(dims: int, bits: int, seed: int = 7) -> np.ndarray:
+    """The columns of a random orthogonal matrix that a vector padded to ``bits`` dimensions meets; the same in every task."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, dims)))
     return q * np.sign(np.diag(r))
 
 
 def encode_bits(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs of the rotated vectors, their lengths, and the correction scalar <code, unit vector> of each."""
-    dims = vectors.shape[1]
     rotated = vectors @ turn.T
     length = np.linalg.norm(rotated, axis=1)
-    fit = np.abs(rotated).sum(axis=1) / (math.sqrt(dims) * length)
-    return np.packbits(rotated > 0, axis=1), length, fit
+    return np.packbits(rotated > 0, axis=1), length, np.abs(rotated).sum(axis=1) / (math.sqrt(len(turn)) * length)
+
+
+class Codes:
+    """The codes of some vectors, word by word, with what the estimates need of each."""
+
+    def __init__(self, codes: np.ndarray, length: np.ndarray, fit: np.ndarray):
+        self.words = np.ascontiguousarray(np.ascontiguousarray(codes).view(np.uint64).T)
+        self.bits, self.n = 64 * len(self.words), len(length)
+        self.scale = (length / (fit * math.sqrt(self.bits))).astype(np.float32)
+        self.miss = ((1 - fit**2).clip(0) * self.bits / (self.bits - 1)).astype(np.float32)
+        self.counts = np.empty(self.words.shape, np.uint8)
+        self.common = np.empty_like(self.words)
+        np.bitwise_count(self.words, out=self.counts)
+        self.balance = (2 * np.add.reduce(self.counts, axis=0, dtype=np.int32) - self.bits).astype(np.float32)
+
+
+class Asked:
+    """A rotated query, rounded to LEVELS bits a dimension and packed plane by plane."""
+
+    def __init__(self, query: np.ndarray, turn: np.ndarray):
+        turned = turn @ query
+        self.low = float(turned.min())
+        self.step = max(float(turned.max()) - self.low, 1e-300) / (2**LEVELS - 1)
+        rounded = np.rint((turned - self.low) / self.step).astype(np.uint8)
+        self.total = int(rounded.sum(dtype=np.int64))
+        self.planes = [np.packbits(rounded >> b & 1).view(np.uint64)[:, None] for b in range(LEVELS)]
+        self.power, self.slip = float(turned @ turned), float(((turned - self.low - self.step * rounded) ** 2).sum())
 
 
-def estimates(codes: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, turn: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x vectors) and how far off they are within ``sure`` standard errors.
+def estimates(codes: Codes, asked: Asked, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of a query with all coded vectors, and what they are at most within ``sure`` standard errors.
 
-    With x the unit code and o the unit vector, <x, q> / <x, o> estimates <o, q> without bias; its error is
-    below sure * sqrt((1 - <x,o>^2) / <x,o>^2 / (D - 1)) times both lengths but for a vanishing share of cases.
+    With x the unit code and o the unit vector, <x, q> / <x, o> estimates <o, q> without bias; its squared standard
+    error is |q|^2 (1 - <x,o>^2) / (D - 1) and that of the query's rounding |q - rounded q|^2 / D, both over <x,o>^2.
+    <x, rounded q> is counted from packed bits: it is a sum over the planes of the bits common to code and plane.
     """
-    dims = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1
-    turned = (queries @ turn.T).astype(np.float32)
-    guess = (turned @ signs.T) * (length / (math.sqrt(dims) * fit)).astype(np.float32)
-    spread = length * np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / math.sqrt(max(1, dims - 1))
-    return guess, sure * spread[None, :] * np.linalg.norm(queries, axis=1)[:, None] + 1e-6 * length[None, :]
+    dot = np.zeros(codes.n, np.uint16)
+    for b, plane in enumerate(asked.planes):
+        np.bitwise_and(codes.words, plane, out=codes.common)
+        np.bitwise_count(codes.common, out=codes.counts)
+        dot += np.add.reduce(codes.counts, axis=0, dtype=np.uint16) << b
+    guess = dot.astype(np.float32)
+    guess *= np.float32(2 * asked.step)
+    guess += np.float32(asked.low) * codes.balance - np.float32(asked.step * asked.total)
+    guess *= codes.scale
+    slack = np.sqrt(codes.miss * np.float32(asked.power) + np.float32(asked.slip))
+    slack *= np.float32(sure)
+    slack += np.float32(1e-5 * math.sqrt(asked.power * codes.bits))  # rounding of the numbers above
+    slack *= codes.scale
+    slack += guess
+    return guess, slack
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in the order of the dimensions."""
-    total = np.zeros(len(vectors))
-    for d in range(vectors.shape[1]):
-        total += vectors[:, d] * query[d]
-    return total
-
-
-def _nearest_in_block(ids, vectors, codes, length, fit, query_ids, queries, turn, k, sure):
-    """Each query's k nearest of one block: rerank exactly what the bounds can't rule out."""
-    out_q, out_v, out_s = [], [], []
-    for at in range(0, len(query_ids), 64):
-        own = slice(at, at + 64)
-        guess, slack = estimates(codes, length, fit, queries[own], turn, sure)
-        low = guess - slack
-        bar = np.partition(low, -k - 1, axis=1)[:, -k - 1] if len(ids) > k + 1 else np.full(len(guess), -np.inf)  # one more, for the query's own row
-        for j, query_id in enumerate(query_ids[own]):
-            pick = np.flatnonzero((guess[j] + slack[j] >= bar[j]) & (ids != query_id))
-            scores = exact_scores(vectors[pick], queries[at + j])
-            best = np.lexsort((ids[pick], -scores))[:k]
-            out_q.append(np.full(len(best), query_id))
-            out_v.append(ids[pick][best])
-            out_s.append(scores[best])
-    return out_q, out_v, out_s
-
-
-def _searched(groups, turn, k, sure):
-    """One (block of vectors, block of queries) pair at a time; the rows of a pair arrive together."""
-    key, vecs, asks = None, [], []
+    return np.cumsum(vectors * query, axis=1)[:, -1]
+
+
+class Search:
+    """The nearest vectors of some queries so far, over vectors that come block by block.
+
+    A query's bar is the score of its worst vector kept: a vector whose estimate, ``sure`` standard errors up, stays
+    below the bar isn't scored. The bar goes from block to block, so later blocks rerank ever fewer vectors.
+    """
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, keep: int, sure: float):
+        self.query_ids, self.queries, self.keep, self.sure = query_ids, queries, keep, sure
+        self.asked = [Asked(q, turn) for q in queries]
+        self.best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)  # scores, first ids, places
+        self.ids, self.times, self.seen = [], [], 0
+        self.scored = self.met = 0
+
+    def add(self, vectors: np.ndarray, codes: Codes, ids: list[list[int]], times: list[list[int]]) -> None:
+        first = np.array([own[0] for own in ids], np.int64)
+        for j, asked in enumerate(self.asked):
+            guess, most = estimates(codes, asked, self.sure)
+            scores, firsts, places = self.best[j]
+            done = np.zeros(0, np.int64)
+            if len(scores) < self.keep:  # no bar yet: the likeliest ones give one
+                done = np.argpartition(-guess, 4 * self.keep)[: 4 * self.keep] if codes.n > 4 * self.keep else np.arange(codes.n)
+                scores, firsts, places = self._kept(j, vectors, first, done)
+            likely = most >= scores[-1] if len(scores) == self.keep else np.ones(codes.n, bool)
+            likely[done] = False
+            pick = np.flatnonzero(likely)
+            if len(pick):
+                self._kept(j, vectors, first, pick)
+            self.scored, self.met = self.scored + len(done) + len(pick), self.met + codes.n
+        self.ids += ids
+        self.times += times
+        self.seen += codes.n
+
+    def _kept(self, j: int, vectors: np.ndarray, first: np.ndarray, pick: np.ndarray):
+        old, rows, query = self.best[j], vectors[pick], self.queries[j]
+        near = rows @ query  # in any order of summation; what comes near the best is summed in the defined one
+        bar = old[0][-1] if len(old[0]) == self.keep else -np.inf
+        if len(near) > self.keep:
+            bar = max(bar, np.partition(near, -self.keep)[-self.keep])
+        close = near >= bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else np.ones(len(near), bool)
+        scores, pick = exact_scores(rows[close], query), pick[close]
+        scores, firsts, places = (np.concatenate(x) for x in zip(old, (scores, first[pick], self.seen + pick), strict=True))
+        order = np.lexsort((firsts, -scores))[: self.keep]
+        self.best[j] = scores[order], firsts[order], places[order]
+        return self.best[j]
+
+    def found(self, k: int):
+        """(query's place, vec_id, score) of each query's k nearest rows but its own."""
+        for j, (scores, _, places) in enumerate(self.best):
+            rows = []
+            for score, place in zip(scores.tolist(), places.tolist(), strict=True):
+                for vec_id, n in zip(self.ids[place], self.times[place], strict=True):
+                    if vec_id != self.query_ids[j]:
+                        rows += [(-score, vec_id)] * min(n, k)
+            for score, vec_id in sorted(rows)[:k]:
+                yield j, vec_id, -score
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1)
+
+
+def _searched(batches, turn: np.ndarray, k: int, sure: float):
+    """One cell, a block of queries and a stripe of vectors, at a time; its rows arrive together, queries first."""
+    cell, search, asks, held = None, None, [], []
+    at_once = max(256, (1 << 20) // turn.shape[1])  # vectors of a block: about 8 MB
+
+    def look():
+        if held and asks:
+            nonlocal search
+            if search is None:
+                search = Search(np.concatenate([x[0] for x in asks]), np.concatenate([x[2] for x in asks]), turn, k + 1, sure)
+                search.keys = np.concatenate([x[1] for x in asks])
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            search.add(_flat(part.column("vec")), Codes(codes, *(part.column(c).to_numpy() for c in ("length", "fit"))), part.column("ids").to_pylist(), part.column("times").to_pylist())
+        held.clear()
 
     def give():
-        if not vecs or not asks:
-            return None
-        ids = np.concatenate([v[0] for v in vecs])
-        vectors = np.concatenate([v[1] for v in vecs])
-        codes, length, fit = (np.concatenate([v[i] for v in vecs]) for i in (2, 3, 4))
-        found = _nearest_in_block(ids, vectors, codes, length, fit, np.concatenate([a[0] for a in asks]), np.concatenate([a[1] for a in asks]), turn, k, sure)
-        q, v, s = (np.concatenate(x) if x else np.zeros(0) for x in found)
-        return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(float))], names=["query_id", "vec_id", "score"])
-
-    for batch in groups:
-        cell, is_query = batch.column("cell").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        look()
+        if search is None:
+            return
+        rows = list(search.found(k))
+        at = np.array([r[0] for r in rows], np.int64)
+        columns = [search.query_ids[at], search.keys[at], [r[1] for r in rows], [r[2] for r in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "ask", "vec_id", "score"])
+
+    for batch in batches:
+        own, is_query = batch.column("cell").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(is_query.astype(np.int8)) != 0), [True]])) if len(own) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if cell[a] != key:
-                if (done := give()) is not None:
-                    yield done
-                key, vecs, asks = cell[a], [], []
+            if own[a] != cell:
+                yield from give()
+                cell, search, asks = own[a], None, []
             part = batch.slice(a, b - a)
-            ids = part.column("vec_id").to_numpy()
-            flat = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
-            asked = is_query[a:b]
-            if asked.any():
-                asks.append((ids[asked], flat[asked]))
-            if not asked.all():
-                mine = ~asked
-                codes = np.frombuffer(b"".join(c for c in part.column("code").to_pylist() if c is not None), np.uint8).reshape(int(mine.sum()), -1)
-                vecs.append((ids[mine], flat[mine], codes, part.column("length").to_numpy(zero_copy_only=False)[mine], part.column("fit").to_numpy(zero_copy_only=False)[mine]))
-    if (done := give()) is not None:
-        yield done
-
-
-def _indexed(batches, turn, dims):
+            if is_query[a]:
+                asks.append((part.column("vec_id").to_numpy(), part.column("ask").to_numpy(), _flat(part.column("vec"))))
+                continue
+            held.append(part)
+            if sum(x.num_rows for x in held) >= at_once:
+                look()
+    yield from give()
+
+
+def _indexed(batches, turn: np.ndarray):
     for batch in batches:
-        lists = batch.column("embedding")
-        flat = np.array(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dims)
-        good = np.isfinite(flat).all(axis=1) & (flat != 0).any(axis=1)
-        flat, ids = flat[good], batch.column("vec_id").to_numpy()[good]
-        codes, length, fit = encode_bits(flat, turn)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)],
-            names=["vec_id", "vec", "code", "length", "fit"],
-        )
-
-
-def index_vectors(vectors: DataFrame, dims: int, seed: int = 7) -> DataFrame:
-    """vec_id, vec (doubles as bytes), code (packed sign bits), length and fit of every vector that takes part."""
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"])
-    usable = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") == dims) & ~F.exists("embedding", lambda x: x.isNull()))
-    turn = rotation(dims, seed)
-    return usable.mapInArrow(lambda it: _indexed(it, turn, dims), "vec_id long, vec binary, code binary, length double, fit double")
-
-
-def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = 16384, query_block: int = 4096, sure: float = 4.0, seed: int = 7) -> DataFrame:
+        codes, length, fit = encode_bits(_flat(batch.column("vec")), turn) if batch.num_rows else (np.zeros((0, 1)), np.zeros(0), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)], names=[*batch.schema.names, "code", "length", "fit"])
+
+
+def usable_vectors(vectors: DataFrame, dims: int) -> DataFrame:
+    """vec_id, vec (doubles) and times, the number of equal rows, of the vectors that take part."""
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("vec"))
+    odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("vec") == dims) & ~odd & F.exists("vec", lambda x: x != 0))
+    return rows.groupBy("vec", "vec_id").agg(F.count("*").alias("times"))
+
+
+def index_vectors(rows: DataFrame, dims: int, k: int, seed: int = 7) -> DataFrame:
+    """Each distinct vector with its code (packed sign bits), length, fit and the k + 1 smallest ids that have it.
+
+    No further copy can be among anyone's k nearest, so copies never meet the search; the ranking is cut
+    before the shuffle as well, so a vector that a third of all rows share makes no large group.
+    """
+    order = Window.partitionBy("vec").orderBy("vec_id")
+    few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    pairs = F.array_sort(F.collect_list(F.struct("vec_id", "times")))
+    once = few.groupBy("vec").agg(pairs.alias("p")).select("vec", F.col("p.vec_id").alias("ids"), F.col("p.times").alias("times"))
+    turn = rotation(dims, code_bits(dims), seed)
+    return once.mapInArrow(lambda it: _indexed(it, turn), _INDEX)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, stripe: int = 65536, query_block: int = 1024, sure: float = 4.0, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest by inner product of every vector for which is_query holds.
 
-    ``is_query`` is a condition on vec_id. All vectors are candidates but a query's own row(s). Vectors are dealt
-    into blocks of about ``block`` rows and queries into blocks of about ``query_block``; each pair of blocks is one
+    ``is_query`` is a condition on vec_id. Every row is a candidate but a query's own. Distinct vectors are dealt
+    into stripes of up to ``stripe`` and queries into blocks of about ``query_block``; each pair of the two is one
     cell of work, cells share nothing, and each gives at most k rows a query, so a lost executor repeats only its
-    cells. A candidate is reranked exactly unless its estimate, ``sure`` standard errors up, stays below the k-th
-    best lower bound. Ties go to the smaller vec_id. Vectors that are null, zero, of another length than the
-    most common one, or that hold null or non-finite components take no part; rows that share a vec_id are one
-    candidate each. Fewer than k candidates give fewer rows; an empty table gives none. Extra columns are ignored.
+    cells. In a cell vectors come in blocks; one is scored exactly unless its estimate, ``sure`` standard errors up,
+    stays below the worst of the query's nearest so far. Ties go to the smaller vec_id.
+
+    Vectors that are null, zero, of another length than the most common one, or that hold null or non-finite
+    components take no part; nor do rows with a null vec_id. Rows equal in vec_id and vector are candidates each, but
+    are asked once; a vec_id with several vectors is asked with each of them, ranked apart. Fewer than k
+    candidates give fewer rows; an empty table gives none. Extra columns are ignored.
     """
     spark = vectors.sparkSession
     widths = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dims = widths[0]["n"] if widths else 1
-    index = written(index_vectors(vectors, dims, seed), "vector-index")
-    sizes = index.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    cells, query_cells = max(1, math.ceil(sizes["n"] / block)), max(1, math.ceil(sizes["q"] / query_block))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(cells))
-    rows = index.select("vec_id", "vec", "code", "length", "fit", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))).alias("q"), own.alias("c"))
-    asks = index.where(is_query).select(
-        "vec_id", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("fit"), F.lit(True).alias("is_query"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_cells)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("c"),
+    rows = written(usable_vectors(vectors, dims), "vectors")
+    index = written(index_vectors(rows, dims, k, seed), "vector-index")
+    n, asked = index.count(), rows.where(is_query).count()
+    query_cells = max(1, math.ceil(asked / query_block))
+    spare = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / query_cells)  # small tables: a cell a core
+    cells = max(1, math.ceil(n / stripe), min(spare, n // 4096))
+    candidates = index.select(
+        F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("ask"), "vec", "ids", "times", "code", "length", "fit",
+        F.pmod(F.xxhash64("vec"), F.lit(cells)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_cells - 1).cast("long"))).alias("q"),
+    )
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("ids", "array<long>"), ("times", "array<long>"), ("code", "binary"), ("length", "double"), ("fit", "double"))]
+    asks = rows.where(is_query).select(
+        F.lit(True).alias("is_query"), "vec_id", F.xxhash64("vec").alias("ask"), "vec", *none,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("vec_id", "vec"), F.lit(query_cells)).alias("q"),
     )
-    cell = (F.col("c") * query_cells + F.col("q")).cast("long").alias("cell")
-    turn = rotation(dims, seed)
-    dealt = rows.unionByName(asks).select(cell, "is_query", "vec_id", "vec", "code", "length", "fit").repartition(cells * query_cells, "cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(lambda it: _searched(it, turn, k, sure), RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    dealt = candidates.unionByName(asks).withColumn("cell", F.col("c") * query_cells + F.col("q")).drop("c", "q")
+    dealt = dealt.repartitionById(cells * query_cells, F.col("cell").cast("int")).sortWithinPartitions("cell", F.desc("is_query"))
+    turn = rotation(dims, code_bits(dims), seed)
+    found = written(dealt.mapInArrow(lambda it: _searched(it, turn, k, sure), RESULT), "neighbours")
+    release(rows, index)
+    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
