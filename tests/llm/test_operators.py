@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,14 +340,33 @@ def test_token_counts(spark, docs):
             for k, c in enumerate(cuts):
                 want[doc, k, (cuts + [len(text)])[k + 1] - c, tokens[k], crossing[k]] += 1
         assert got == want
-    given = spark.createDataFrame([(1, "hello world again", [6, None, 99, 6])], "doc_id long, text string, at array<long>")
+    given = spark.createDataFrame([(1, "hello world again", [6, None, 99, 6, -3])], "doc_id long, text string, at array<long>")
     assert [(r.section, r.n_chars, r.n_tokens, r.n_crossing) for r in token_counts.count_tokens(given, BPE, sections="at").orderBy("section").collect()] == [(0, 6, 2, 1), (1, 11, 1, 0)]
     assert token_counts.count_tokens(odd(spark, []), BPE).count() == 0
 
 
+def test_units_equal_library():
+    """Ids and offsets of random Unicode, of white space, apostrophes and special tokens in any mixture, and of very long units."""
+    from touchline.llm.subwords import Encoder
+
+    rng = random.Random(1)
+    pool = list("ab cd  ''''strevmldl\n\t\r\xa0\u3000\u0085\u2003\u200b é ßñ中文日本ก١٢²½Ⅷ\U0001f600\u200d!?.,-_\u0301\0\x1f<|>123 4") + ["'s", "'re", "'ll", " '", "'ve", "'d", "\n\n", "  ", "<|endoftext|>", "''s", "'st"]
+    any_ = lambda: chr(rng.randrange(0x20, 0xD7FF) if rng.random() < 0.7 else rng.randrange(0xE000, 0x110000))
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(6000)] + ["".join(any_() for _ in range(30)) for _ in range(1500)] + ["x" * 30_000, " " * 30_000, "", "a" + "\n" * 999 + "b"]
+    rng.shuffle(texts)
+    coder = Encoder(BPE, keep=500)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, starts, ends, counts, base = coder.spans(pa.array(part))
+        want = library_ids(part)
+        assert ids.tolist() == [k for e in want for k in e.ids] and counts.tolist() == [len(e.ids) for e in want]
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [(a + b, a + c) for e, a in zip(want, base.tolist(), strict=False) for b, c in e.offsets]
+    assert all(len(unit) <= 64 for unit in coder.young) and len(coder.young) < 50_000
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_token_files_round_trip(spark, docs, planes):
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()] + [(-5, None), (10**6, ""), (7, "again"), (8, "word " * 3000)]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()] + [(-5, None), (10**6, ""), (7, "again"), (8, "word " * 3000), (9, "word " * 3000), (None, "no id " * 1500), (None, None)]
     path = shared.new_path(spark, "files")
     token_files.write_token_files(odd(spark, rows), path, BPE, block=1000, planes=planes)
     want = collections.defaultdict(set)
@@ -358,7 +378,7 @@ def test_token_files_round_trip(spark, docs, planes):
         ids = tuple(np.frombuffer(r.ids, "<u4").tolist())
         assert r.start == start and r.n_tokens == len(ids) and ids in want[r.doc_id]
         start += len(ids)
-    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
     sums = {(r.doc_id, r.start): r.ids_crc32 for r in token_files.read_token_files(spark, path, checksums=True).collect()}
     assert sums == {(r.doc_id, r.start): zlib.crc32(bytes(r.ids)) for r in got}
     index = token_files.chunk_index(spark, path).orderBy("start").collect()

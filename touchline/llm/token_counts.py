@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import base_columns, sliced, table
-from .subwords import encoder, groups
+from .shared import base_columns, table
+from .subwords import bytes_of, encoder, parts
 
 #: Who gets a token that crosses a boundary: the section of its first or last character, or the one
 #: that holds most of its characters (the earlier of two that hold as many).
@@ -30,40 +30,38 @@ def allot(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -
     return owner, crosses
 
 
-def line_bounds(text: str) -> np.ndarray:
-    """Sections are lines; a line's newline belongs to it."""
-    if not text.isascii():
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    else:
-        codes = np.frombuffer(text.encode(), np.uint8)
-    return np.concatenate([[0], np.flatnonzero(codes[:-1] == 10) + 1]) if len(codes) else np.zeros(1, np.int64)
+def line_bounds(raw: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The code points at which lines start, in texts one after another that start at ``base``; a line's newline belongs to it."""
+    chars = np.cumsum((raw & 0xC0) != 0x80)
+    return np.sort(np.concatenate([base[:-1], np.setdiff1d(chars[raw == 10], base)]))
+
+
+def given_bounds(sections: list, base: np.ndarray) -> np.ndarray:
+    """The same for sections that each text lists, position by position."""
+    own = [np.unique([0, *(s for s in listed or () if s is not None and 0 < s < b - a)]) + a for listed, a, b in zip(sections, base[:-1].tolist(), base[1:].tolist(), strict=True)]
+    return np.concatenate([*own, np.zeros(0)]).astype(np.int64)
 
 
 def _counted(batches, path: str, rule: str, given: bool):
     coder = encoder(path)
-    for batch in sliced(batches):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        sections = batch.column("sections") if given else None
-        for part in groups(texts):
-            rows, section, chars, tokens, crossing = [], [], [], [], []
-            for k, (_, starts, ends) in zip(range(part.start, part.stop), coder.spans(texts[part]), strict=True):
-                own = np.unique(np.array([s for s in (sections[k].as_py() or []) if s is not None and s < max(1, len(texts[k]))] + [0], np.int64)) if given else line_bounds(texts[k])
-                owner, crosses = allot(starts, ends, own, rule)
-                rows.append(np.full(len(own), k))
-                section.append(np.arange(len(own)))
-                chars.append(np.diff(np.append(own, len(texts[k]))))
-                tokens.append(np.bincount(owner, minlength=len(own)))
-                crossing.append(np.bincount(owner[crosses], minlength=len(own)))
-            taken = batch.select([n for n in batch.schema.names if n not in ("text", "sections")]).take(pa.array(np.concatenate(rows)))
-            counts = [pa.array(np.concatenate(x).astype(np.int64)) for x in (section, chars, tokens, crossing)]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *counts], names=[*taken.schema.names, "section", "n_chars", "n_tokens", "n_crossing"])
+    for batch in batches:
+        for part in parts(batch):
+            _, starts, ends, _, base = coder.spans(part.column("text"))
+            bounds = given_bounds(part.column("sections").to_pylist(), base) if given else line_bounds(bytes_of(part.column("text"))[0], base)
+            owner, crosses = allot(starts, ends, bounds, rule)  # no token lies across texts
+            # an empty text has one section, at the place where the next text starts
+            first = np.searchsorted(bounds, base[:-1]) + np.arange(len(base) - 1) - np.searchsorted(base[:-1], base[:-1])
+            rows = np.repeat(np.arange(len(base) - 1), np.diff(np.append(first, len(bounds))))
+            counts = [np.arange(len(bounds)) - first[rows], np.diff(np.append(bounds, base[-1])), np.bincount(owner, minlength=len(bounds)), np.bincount(owner[crosses], minlength=len(bounds))]
+            taken = part.select([n for n in part.schema.names if n not in ("text", "sections")]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x.astype(np.int64)) for x in counts)], names=[*taken.schema.names, "section", "n_chars", "n_tokens", "n_crossing"])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", carry: tuple[str, ...] = ("doc_id",), sections: str | None = None) -> DataFrame:
     """One row per document section: the carried columns, section (from 0), n_chars, n_tokens, n_crossing.
 
     ``sections`` names an array column with the character positions at which sections start (0 always is one;
-    nulls, repeats and positions past the end are left out); without it, sections are lines. Tokens whose span
+    nulls, repeats, negative positions and those past the end are left out); without it, sections are lines. Tokens whose span
     crosses a section boundary are counted once, in the section that ``rule`` names, and in its n_crossing.
     The n_tokens of a document's sections sum to the length of its encoding. A null or empty text is one
     section without characters or tokens. Repeated rows are counted each. An empty table gives no rows.
