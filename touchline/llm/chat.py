@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .subwords import bytes_of, parts
 
 #: The template: a turn is HEAD + role + MIDDLE + text + TAIL. Inside roles and texts every character of
 #: SPECIAL gets a backslash before it (and a colon does inside roles), so no marker can appear unescaped.
@@ -26,15 +27,6 @@ def _table(chars: bytes) -> np.ndarray:
     return flags
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column (null: empty) and the offsets of its rows."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def escape(raw: np.ndarray, offsets: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Puts a backslash before every special byte; returns the bytes and the rows' new offsets."""
     hits = special[raw]
@@ -50,8 +42,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     Lengths of the five segments of every turn give cumulative offsets; each segment's bytes are scattered
     to their places in a single preallocated buffer.
     """
-    role, role_at = escape(*_bytes_of(roles), _table(SPECIAL_ROLE))
-    text, text_at = escape(*_bytes_of(texts), _table(SPECIAL))
+    role, role_at = escape(*bytes_of(roles), _table(SPECIAL_ROLE))
+    text, text_at = escape(*bytes_of(texts), _table(SPECIAL))
     n, role_n, text_n = len(role_at) - 1, np.diff(role_at), np.diff(text_at)
     starts = np.concatenate([[0], np.cumsum(len(HEAD) + role_n + len(MIDDLE) + text_n + len(TAIL))])
     buffer = np.empty(int(starts[-1]), np.uint8)
@@ -89,9 +81,7 @@ def _formatted(batches, assistant: str):
         )
 
     last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in parts(whole)):
         groups = batch.column("grp").to_numpy(zero_copy_only=False)
         ends = np.flatnonzero(np.diff(groups))
         if last is not None and groups[0] != last and waiting:
@@ -113,7 +103,7 @@ def format_chats(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
 
     Turns are ordered by turn, then role, then text (nulls first), so repeated or tied rows give one defined
     string. A null text or role is empty; turns with a null conv_id are one conversation. A conversation's
-    string is a row, so one conversation has to fit in a task. Extra columns are ignored; no rows give no rows.
+    string is a row, so one conversation has to fit in a task; beyond that a task holds some megabytes at a time. Extra columns are ignored; no rows give no rows.
     """
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"], turns["role"], turns["text"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -149,7 +149,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_ch
     block of about block_bytes of items, so what is sent to the tasks is bounded; nothing is shuffled.
     Items shorter than min_chars after normalisation have no budget and must stand in whole words, as far as their
     script parts words; their rows are marked ``short``, as such a passage may be there by chance. Items without
-    letters or digits (null and empty ones too) can't be searched for; null and empty texts hold none. Repeated rows, of documents or of items, give a row each. Empty tables give no rows.
+    letters or digits (null and empty ones too) can't be searched for; null and empty texts hold none. Null ids, of documents
+    or of items, stay null. Repeated rows, of documents or of items, give a row each. Empty tables give no rows. Extra columns are ignored.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"])
@@ -158,10 +159,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_ch
     out = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        plain = sorted((r["item_id"] if r["item_id"] is not None else -1, normalise(r["text"]).decode()) for r in own)
+        plain = sorted(((r["item_id"], normalise(r["text"]).decode()) for r in own), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         plain = [x for x in plain if x[1]]
         key = uuid.uuid4().hex
         found = docs.mapInArrow(lambda it, key=key, plain=plain: _matched(it, key, plain, rate, min_chars), "doc_id long, item_id long, distance long, start long, stop long, short boolean")
+        if blocks > 1:  # one block after another, so that the driver holds one at a time
+            found = written(found, "leaks-of-a-block")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from itertools import combinations
 from math import comb
 
@@ -13,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, shingles, word_hashes
-from .shared import release, sliced, table, written
+from .shared import Bucketed, release, sliced, table, written
 from .subwords import groups
 
 #: Largest set for which enumerating subsets is considered; past it their number explodes.
 LIGHT_LIMIT = 20
-#: Tokens counted as frequent are found in more documents than this, or than a larger power of two if there are
-#: more than MAX_FREQUENT of those: the frequent tokens that are sent to every task are so many at most.
-MIN_FREQUENT, MAX_FREQUENT = 16, 1 << 20
+#: Tokens found in more sets than this are told from rare ones. Every task gets one byte for each of 2**RANK_BITS
+#: groups of tokens by hash, the logarithm of the count of the group's most frequent token: a rank for all tokens, of fixed size.
+MIN_FREQUENT, RANK_BITS = 16, 22
+#: Reading and comparing two whole sets is taken to cost as much as so many rows of a list.
+CHECK_COST = 8
+#: A token's list is met with itself in parts of so many rows, each in a task of its own.
+LIST_PART = 2000
 #: A list of classes (an id and 16 bytes) is broadcast up to so many rows, about 80 MB; beyond that the documents are
 #: stored once in buckets of their id, and lists are merge-joined to them without moving texts again.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -56,7 +59,7 @@ def _set_keys(batches, words: int):
         for tokens in _sets([t or "" for t in batch.column("text").to_pylist()], words):
             n.append(len(tokens))
             keys.append(_key(tokens) if len(tokens) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "set_key"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "text_id", "n", "set_key"])
 
 
 def _with_sets(batches, words: int):
@@ -112,20 +115,16 @@ def _counted(batches, least: int):
         yield give()
 
 
-def _postings(batches, words: int, num: int, den: int, bits: int, frequent):
+def _postings(batches, words: int, num: int, den: int, frequent):
     """rep, n and the first tokens of each set, rare ones first; all tokens of sets up to LIGHT_LIMIT."""
-    codes, rank = frequent.value
+    ranks = frequent.value
     reps, sizes, lists = [], [], []
 
     def give():
         return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
 
     for rep, tokens in _with_sets(batches, words):
-        order = tokens
-        if len(codes):
-            own = (tokens >> np.uint64(40 - bits)).astype(np.int64)
-            spot = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            order = tokens[np.argsort(np.where(codes[spot] == own, rank[spot], 0), kind="stable")]
+        order = tokens[np.argsort(ranks[(tokens >> np.uint64(64 - RANK_BITS)).astype(np.int64)], kind="stable")]
         take = len(order) if len(order) <= LIGHT_LIMIT else prefix_length(len(order), num, den)
         reps.append(rep)
         sizes.append(len(order))
@@ -208,61 +207,54 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, words: int, num: int, den: int):
         self.spark, self.words, self.num, self.den = docs.sparkSession, words, num, den
-        self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+        self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_id(docs["text"]).alias("text_id"))
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.stored = None
         self.bits = max(8, min(24, (4 * self.parts - 1).bit_length()))
 
     def of_classes(self, classes: DataFrame) -> DataFrame:
         """rep, set_key and text of the documents that stand for the classes."""
-        wanted = classes.select(F.col("rep").alias("doc_id"), "set_key")
+        wanted = classes.select("doc_id", "rep", "set_key")
         if classes.count() <= MAX_BROADCAST_ROWS:
             found = self.docs.join(F.broadcast(wanted), "doc_id")
         else:
             found = self.in_buckets().join(wanted.hint("merge"), "doc_id")
-        return found.select(F.col("doc_id").alias("rep"), "set_key", "text")
+        return found.select("rep", "set_key", "text")
 
     def in_buckets(self) -> DataFrame:
         """The documents as a table in buckets of doc_id, written at the first call."""
         if self.stored is None:
-            self.stored = f"jaccard_docs_{uuid.uuid4().hex}"
-            dealt = self.docs.where("doc_id is not null").repartition(self.parts, "doc_id")
-            dealt.write.bucketBy(self.parts, "doc_id").format("parquet").saveAsTable(self.stored)
-        return self.spark.table(self.stored)
+            self.stored = Bucketed(self.docs.where("doc_id is not null").select("doc_id", "text"), "jaccard-docs", self.parts, "doc_id")
+        return self.stored.table()
 
     def frequent(self, texts: DataFrame):
-        """Codes (the first bits of tokens) of frequent tokens, ascending, and their rank: the logarithm of their count."""
+        """The ranks of tokens by their first RANK_BITS bits: eight times the logarithm of how many sets hold a frequent one, else 0."""
         words, bits = self.words, self.bits
         packed = texts.mapInArrow(lambda it: _packed(it, words, bits), "bucket long, low binary")
         dealt = packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket")
         counts = written(dealt.mapInArrow(lambda it: _counted(it, MIN_FREQUENT), "code long, sets long"), "frequent-tokens")
-        steps = counts.groupBy(F.floor(F.log2("sets")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
-        total, least = 0, None
-        for row in steps:  # whole powers of two, from the most frequent down
-            total += row["count"]
-            if total > MAX_FREQUENT:
-                break
-            least = row["step"]
-        kept = counts.where(F.floor(F.log2("sets")) >= least).toPandas().sort_values("code") if least is not None else None
-        codes = kept["code"].to_numpy() if kept is not None else np.zeros(0, np.int64)
-        rank = np.log2(kept["sets"].to_numpy()) if kept is not None else np.zeros(0)
-        return self.spark.sparkContext.broadcast((codes, rank))
+        group = F.shiftright("code", bits + 24 - RANK_BITS).cast("int").alias("g")
+        found = counts.groupBy(group).agg(F.least(F.floor(F.log2(F.max("sets")) * 8), F.lit(255)).cast("short").alias("rank")).toArrow()
+        ranks = np.zeros(1 << RANK_BITS, np.uint8)
+        ranks[found.column("g").to_numpy()] = found.column("rank").to_numpy()
+        release(counts)
+        return self.spark.sparkContext.broadcast(ranks)
 
     def lists(self, classes: DataFrame) -> DataFrame:
         """token, rep, n, i, r: inverted lists of two classes or more, for prefixes of heavy sets and subsets of light ones.
 
         i is the token's place in its set's order, r its place among the tokens that are in such a list.
         """
-        words, num, den, bits = self.words, self.num, self.den, self.bits
+        words, num, den = self.words, self.num, self.den
         texts = self.of_classes(classes)
         frequent = self.frequent(texts)
-        post = texts.mapInArrow(lambda it: _postings(it, words, num, den, bits, frequent), "rep long, n int, tokens array<long>")
+        post = texts.mapInArrow(lambda it: _postings(it, words, num, den, frequent), "rep long, n int, tokens array<long>")
         post = written(post, "postings")
         cut = F.expr(f"slice(tokens, 1, cast(n - ceil({num} * n / {den}D) + 1 as int))")
         rows = post.select("rep", "n", F.posexplode(cut).alias("i", "token"))
         size = F.count("*").over(Window.partitionBy("token"))
         shared = written(rows.withColumn("size", size).where("size > 1"), "shared-tokens")
-        most = self._boundary(post, shared)
+        most = self.boundary = self._boundary(post, shared)
         heavy = shared.where(F.col("n") >= -((-num * (most + 1)) // den))
         place = F.row_number().over(Window.partitionBy("rep", "n").orderBy("i")) - 1
         heavy = heavy.select("token", "rep", "n", "i", place.alias("r"))
@@ -274,13 +266,17 @@ class JaccardJoin:
         return out
 
     def _boundary(self, post: DataFrame, shared: DataFrame) -> int:
-        """The size up to which showing all subsets costs fewer rows than scanning the inverted lists would."""
+        """The size up to which showing all subsets costs less than scanning the inverted lists would.
+
+        A subset is a row, and sets that share one are linked but for their sizes. A list is read entry by entry, and
+        an entry may be a pair to check on whole sets. Sizes are taken together from the smallest up.
+        """
         sets = {r["n"]: r["count"] for r in post.where(F.col("n") <= LIGHT_LIMIT).groupBy("n").count().collect()}
         scans = {r["n"]: r["rows"] for r in shared.where(F.col("n") <= LIGHT_LIMIT).groupBy("n").agg(F.sum("size").alias("rows")).collect()}
         best = spent = saved = 0
         for n in range(1, LIGHT_LIMIT + 1):
             spent += sets.get(n, 0) * sum(comb(n, c) for c in subset_sizes(n, self.num, self.den, LIGHT_LIMIT))
-            saved += scans.get(n, 0) + sets.get(n, 0) * prefix_length(n, self.num, self.den)
+            saved += scans.get(n, 0) * CHECK_COST + sets.get(n, 0) * prefix_length(n, self.num, self.den)
             if spent <= saved:
                 best = n
         return best
@@ -301,8 +297,8 @@ class JaccardJoin:
 
     def open_lists(self, lists: DataFrame) -> DataFrame:
         """The lists that still hold more than one component, with their pivot: the set with the token nearest its front."""
-        heads = lists.groupBy("token").agg(F.min_by(F.struct("rep", "n", "i", "r", "component"), F.struct("i", "rep")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return heads.where("lo <> hi").select("token", "p")
+        heads = lists.groupBy("token").agg(F.min_by(F.struct("rep", "n", "i", "r", "component"), F.struct("i", "rep")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+        return heads.where("lo <> hi").select("token", "p", "size")
 
     def star(self, lists: DataFrame) -> DataFrame:
         """One pair for each set at most: with the pivot that it shares most lists with."""
@@ -313,11 +309,12 @@ class JaccardJoin:
         return counts.groupBy("b").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a")).select("a", "b")
 
     def rest(self, lists: DataFrame) -> DataFrame:
-        """Every possible pair of sets of different components that share a list."""
-        open_ = self.open_lists(lists).select("token")
+        """Every possible pair of sets of different components that share a list; a long list is met part by part."""
+        open_ = self.open_lists(lists).select("token", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts"))
         rows = written(lists.join(open_.hint("merge"), "token"), "open-lists")
-        x, y = rows.alias("x"), rows.alias("y")
-        pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.possible("x", "y"))
+        x = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).alias("x")
+        y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+        pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.possible("x", "y"))
         return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -329,13 +326,15 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         words = self.words
-        keys = written(self.docs.mapInArrow(lambda it: _set_keys(it, words), "doc_id long, n long, set_key binary"), "set-keys")
-        classes = written(keys.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+        keys = written(self.docs.mapInArrow(lambda it: _set_keys(it, words), "doc_id long, text_id binary, n long, set_key binary"), "set-keys")
+        classes = keys.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+        # numbers in the order of doc_id, as a doc_id may stand on rows of different texts
+        in_order = classes.repartitionByRange(self.parts, "doc_id", "set_key").sortWithinPartitions("doc_id", "set_key")
+        classes = written(in_order.withColumn("rep", F.monotonically_increasing_id()), "classes")
         lists = self.lists(classes)
         labels = None
         for pick in (self.star, self.star, self.rest):
-            rows = self.labelled(lists, labels)
-            pairs = written(pick(rows), "pairs")
+            pairs = written(pick(self.labelled(lists, labels)), "pairs")
             members = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
             wanted = written(classes.join(members.hint("merge"), "rep", "left_semi"), "members")
             sets = written(self.of_classes(wanted).mapInArrow(lambda it: _set_rows(it, words), "rep long, elements binary"), "sets")
@@ -353,14 +352,22 @@ class JaccardJoin:
             labels = written(joined, "component-labels")
         release(lists)
         if self.stored is not None:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.stored}")
-        own = classes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+            self.stored.drop()
+        heads = classes.select(F.col("rep").alias("component"), F.col("doc_id").alias("smallest"))
+        moved = labels.where("node <> component").join(heads.hint("merge"), "component").select(F.col("node").alias("rep"), "smallest")
+        own = classes.join(moved.hint("merge"), "rep", "left").select("set_key", F.coalesce("smallest", "doc_id").alias("component"))
         out = keys.join(own.hint("merge"), "set_key", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_id")
+
+
+def text_id(text):
+    """What tells a row's text from the other texts of its doc_id: its md5 (null counts as empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: connected components of documents with Jaccard similarity >= num/den.
+    """doc_id, n_shingles, component_id, text_id: connected components of documents with Jaccard similarity >= num/den.
 
     Sets are distinct ``words``-word shingles (ASCII white space, A-Z lower-cased; a shorter text is one shingle).
     Equal sets become one class first. A class is light up to a size chosen by cost: light sets show all subsets of
@@ -369,15 +376,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     component that is known already are skipped, so a group of copies costs about a pair each, not all pairs.
 
     Null or empty texts have no set and stay alone; so do rows with a null doc_id (component null). Repeated rows
-    give a row each; rows that share a doc_id are judged by their own text. An empty table gives no rows. Extra
+    give a row each; rows that share a doc_id are judged by their own text, so that a doc_id with several texts may be
+    in several components. Texts equal but for white space and A-Z are one set. An empty table gives no rows. Extra
     columns are ignored.
     """
     return JaccardJoin(docs, words, num, den).run()
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("text_id")
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}
-SQL: dict = {}
+SQL = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)"""
+}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACES, UPPER, ascii_lower, base_columns, sliced, table, written
+from .shared import LOWER, SPACES, UPPER, Bucketed, ascii_lower, base_columns, release, sliced, table, written
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -26,16 +26,19 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.levels: list[list[str]] = []
+        self.levels: list[list[Bucketed]] = []
 
-    def _write(self, rows: DataFrame, level: int) -> str:
-        name = f"line_run_{level}_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "h")
-        dealt.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
-        return name
+    def _write(self, rows: DataFrame, level: int) -> Bucketed:
+        return Bucketed(rows, f"line-run-{level}", self.buckets, "h")
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [run.table() for level in self.levels for run in level]
+
+    def drop(self) -> None:
+        for level in self.levels:
+            for run in level:
+                run.drop()
+        self.levels = []
 
     def add(self, batch: DataFrame) -> None:
         """Merge-anti-joins a batch (h, n, keeper) with every run; keys that no run has keep their keeper."""
@@ -47,28 +50,28 @@ class LineRuns:
         rows = fresh.select("h", "n", F.when(~seen, F.col("keeper")).alias("keeper"))
         self._push(self._write(rows, 0), 0)
 
-    def _push(self, name: str, level: int) -> None:
+    def _push(self, run: Bucketed, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._push(self._write(self._merged(old), level + 1), level + 1)
-            for table_name in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+            self._push(self._write(self._merged([x.table() for x in old]), level + 1), level + 1)
+            for one in old:
+                one.drop()
 
-    def _merged(self, names: list[str]) -> DataFrame:
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
         """Runs merged bucket by bucket; keys are unique in a run, so they are unique in the result."""
-        rows = self.spark.table(names[0])
-        for name in names[1:]:
-            other = self.spark.table(name).select("h", F.col("n").alias("n_2"), F.col("keeper").alias("keeper_2"))
+        rows = runs[0]
+        for run in runs[1:]:
+            other = run.select("h", F.col("n").alias("n_2"), F.col("keeper").alias("keeper_2"))
             both = rows.join(other.hint("merge"), "h", "full")
             rows = both.select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("n_2", F.lit(0))).alias("n"), F.greatest("keeper", "keeper_2").alias("keeper"))
         return rows
 
     def counts(self) -> DataFrame:
         """Every key with the number of documents that hold it and its keeper."""
-        return self._merged([name for level in self.levels for name in level])
+        return self._merged(self.runs())
 
 
 def line_facts(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -106,12 +109,12 @@ def _without(batches, min_chars: int):
         )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, carry: tuple[str, ...] = (), batch_docs: int = 50_000_000) -> DataFrame:
     """Drops repeated lines: a key found in at least min_docs documents stays only in its largest doc_id.
 
     Returns doc_id, the columns named in ``carry``, text (kept lines joined by newlines), n_lines, n_dropped.
-    Batches of documents go through the runs from the largest doc_ids down, so the first batch that has a
-    key also has its keeper and every later batch only adds to the count.
+    Batches of documents (``batches``, or as many as make about ``batch_docs`` each) go through the runs from the
+    largest doc_ids down, so the first batch that has a key also has its keeper and every later batch only adds to the count.
 
     A null or empty text is one empty line; a null text without drops stays null. Rows with a null doc_id
     are not counted and keep all lines. Rows that share a doc_id are one document. Lines shorter than
@@ -120,17 +123,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     spark = docs.sparkSession
     carry = tuple(c for c in carry if c not in ("doc_id", "text"))
     docs = base_columns(docs, "doc_id", *carry, "text")
-    cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0]
+    known = docs.where("doc_id is not null")
+    batches = max(batches, math.ceil(known.count() / batch_docs))
+    cuts = known.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
     number = F.lit(0)
     for cut in cuts or []:
         number = number + (F.col("doc_id") <= F.lit(cut)).cast("int")  # batch 0 holds the largest ids
-    facts = written(line_facts(docs.where("doc_id is not null"), min_chars).withColumn("batch", number), "line-facts")
+    facts = written(line_facts(known, min_chars).withColumn("batch", number), "line-facts", by="batch")
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     for k in range(batches):
         mine = facts.where(F.col("batch") == k).groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
         runs.add(mine.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")))
     repeated = written(runs.counts().where(F.col("n") >= min_docs).select("h", "keeper"), "line-repeats")
-    gone = facts.join(repeated, "h").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    gone = written(facts.join(repeated, "h").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "line-gone")
+    runs.drop()
+    release(facts, repeated)
     wide = docs.join(gone.hint("merge"), "doc_id", "left")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in ("doc_id", *carry)) + ", text string, n_lines long, n_dropped long"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ BLOCK = 400
 #: Words of a run: plain prose hardly ever repeats so many, however long it is.
 RUN = 8
 BINS = 8
-SLOTS = 1 << 12
+#: Slots of the scorer: for character classes and statistics, then for hashed words and pairs of words.
+CLASSES, WORDS = 1 << 12, 1 << 16
+SLOTS = CLASSES + WORDS
 
 _CLASS = np.full(256, 1, np.uint64)  # other bytes of letters
 for _c in range(128):
@@ -61,13 +64,13 @@ def _copied(words: np.ndarray, owner: np.ndarray, count: np.ndarray) -> np.ndarr
     return (runs - np.bincount(owner[new], minlength=len(count)) + 0.5) / (runs + 5)
 
 
-def statistics(texts: list[bytes]) -> np.ndarray:
-    """One row a text, one column a labeller; NaN where a text has no words."""
+def statistics(texts: list[bytes], hashed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """One row a text, one column a labeller; NaN where a text has no words. hashed: their ``word_hashes``."""
     n = len(texts)
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     total = lambda flags: np.add.reduceat(flags.astype(np.int64), at[:-1]) if n else np.zeros(0)
-    words, count = word_hashes(texts)
+    words, count = hashed or word_hashes(texts)
     first = np.concatenate([[0], np.cumsum(count)])
     owner = np.repeat(np.arange(n), count)
     per = lambda flags: np.bincount(owner, flags, minlength=n)
@@ -124,8 +127,19 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
     return good, rates, prior
 
 
-def features(texts: list[bytes], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, value): hashed trigrams of character classes and hashed bins of the statistics."""
+def _words(words: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value): hashed words and pairs of neighbouring words of each text, scaled to unit length."""
+    owner = np.repeat(np.arange(len(count)), count)
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs = mix(words[inside] + words[inside + 1] * np.uint64(3))
+    slot = (np.concatenate([words, pairs]) >> np.uint64(48)).astype(np.int64)
+    key, times = np.unique(np.concatenate([owner, owner[inside]]) * WORDS + slot, return_counts=True)
+    row = key // WORDS
+    return row, CLASSES + key % WORDS, np.sqrt(times / np.maximum(1, 2 * count - 1)[row])
+
+
+def features(texts: list[bytes], stats: np.ndarray, hashed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value): hashed words and pairs of words, trigrams of character classes and bins of the statistics."""
     n = len(texts)
     raw = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)  # two spaces before and after, so that no trigram reaches into a neighbour
     sizes = np.array([len(t) + 2 for t in texts])
@@ -133,13 +147,14 @@ def features(texts: list[bytes], stats: np.ndarray) -> tuple[np.ndarray, np.ndar
     h = (code[:-2] * np.uint64(131) + code[1:-1]) * np.uint64(131) + code[2:]
     h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)  # 12 bits
     row = np.repeat(np.arange(n), sizes)[: len(h)]
-    key, value = np.unique(row * SLOTS + h[: len(row)].astype(np.int64), return_counts=True)
-    grams = value / sizes[key // SLOTS]
+    key, value = np.unique(row * CLASSES + h[: len(row)].astype(np.int64), return_counts=True)
+    grams = value / sizes[key // CLASSES]
     edges = np.array([np.linspace(min(a, b) - abs(a - b), max(a, b) + abs(a - b), BINS) for _, a, b in LABELLERS])
     bins = np.stack([np.where(np.isnan(stats[:, k]), BINS + 1, np.searchsorted(edges[k], stats[:, k])) for k in range(len(LABELLERS))], axis=1) if n else np.zeros((0, len(LABELLERS)), np.int64)
     spots = ((np.arange(len(LABELLERS)) * 64 + bins + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(52)
-    rows = np.concatenate([key // SLOTS, np.repeat(np.arange(n), len(LABELLERS))])
-    return rows, np.concatenate([key % SLOTS, spots.astype(np.int64).ravel()]), np.concatenate([np.sqrt(grams), np.full(spots.size, 0.5)])
+    said = _words(*hashed)
+    rows = np.concatenate([key // CLASSES, np.repeat(np.arange(n), len(LABELLERS)), said[0]])
+    return rows, np.concatenate([key % CLASSES, spots.astype(np.int64).ravel(), said[1]]), np.concatenate([np.sqrt(grams), np.full(spots.size, 0.5), said[2]])
 
 
 def fit_scorer(rows, slots, values, target: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
@@ -204,8 +219,9 @@ def _featured(batches):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for s in _slices(texts):
             own = batch.slice(s.start, s.stop - s.start)
-            stats = statistics(texts[s])
-            rows, slots, values = features(texts[s], stats)
+            hashed = word_hashes(texts[s])
+            stats = statistics(texts[s], hashed)
+            rows, slots, values = features(texts[s], stats, hashed)
             order = np.argsort(rows, kind="stable")
             at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts[s])))])
             yield pa.RecordBatch.from_arrays(
@@ -223,15 +239,16 @@ def _featured(batches):
 def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000) -> DataFrame:
     """All columns of ``docs`` with quality_score (probability of good) and keep.
 
-    All statistics are of the whole text, however long it is. Three steps: every document's votes are counted by pattern (at most 3**9 of them, so EM runs on sums over the
-    whole table, whatever its size); the labellers' accuracies give each pattern a posterior; a linear scorer on
+    All statistics are of the whole text, however long it is. Three steps: every document's votes are counted by pattern
+    (at most 3**9 of them, so EM runs on sums over the whole table, whatever its size); the labellers' accuracies give each pattern a posterior; a linear scorer on
     hashed features learns the posteriors of at most max_train distinct texts, drawn by copies and hash and weighted
     by the rows that they stand for (``priority_sample``), and judges every document. The model is the same for the
     same rows, in any order and any partitions.
 
     A null or empty text has no words: every labeller abstains, its score comes from its own bin, and it is kept
-    only if that reaches the threshold (0.2: a document goes only when it is clearly bad). Rows are never dropped here. Repeated rows get equal scores. An empty table
-    gives an empty result. Columns quality_score and keep of the input are replaced.
+    only if that reaches the threshold (0.2: a document goes only when it is clearly bad). Rows are never dropped here.
+    Repeated rows get equal scores. An empty table gives an empty result. Columns quality_score and keep of the input are
+    replaced.
     """
     docs = docs.drop("quality_score", "keep")
     texts = docs.select(docs["text"])
@@ -246,17 +263,19 @@ def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000
         picked = docs.sparkSession.createDataFrame([d[:2] for d in drawn], "h long, g long")
         sample = keys.join(F.broadcast(picked), ["h", "g"], "left_semi").select("text", "h", "g")
         sample = sample.mapInArrow(_once, "text string, h long, g long").dropDuplicates(["h", "g"])
-        rows = sorted(sample.mapInArrow(_featured, "h long, g long, pattern long, slots array<int>, values array<float>").toLocalIterator(), key=lambda r: (r["h"], r["g"]))
-        n = np.repeat(np.arange(len(rows)), [len(r["slots"]) for r in rows])
-        flat = lambda name: np.array([x for r in rows for x in r[name]])
-        weights = fit_scorer(n, flat("slots").astype(np.int64), flat("values"), np.array([good[r["pattern"]] for r in rows]), np.array([d[2] for d in drawn]))
+        rows = sample.mapInArrow(_featured, "h long, g long, pattern long, slots array<int>, values array<float>").toArrow().sort_by([("h", "ascending"), ("g", "ascending")])
+        column = lambda name: rows.column(name).combine_chunks()
+        n = np.repeat(np.arange(rows.num_rows), pa.compute.list_value_length(column("slots")).to_numpy())
+        slots, values = (column(name).flatten().to_numpy() for name in ("slots", "values"))
+        weights = fit_scorer(n, slots.astype(np.int64), values.astype(float), np.array([good[p] for p in column("pattern").to_pylist()]), np.array([d[2] for d in drawn]))
 
     def judge(batches):
         for batch in sliced(batches):
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             scores = []
             for s in _slices(raw):
-                row, slot, value = features(raw[s], statistics(raw[s]))
+                hashed = word_hashes(raw[s])
+                row, slot, value = features(raw[s], statistics(raw[s], hashed), hashed)
                 scores.append(np.bincount(row, weights[slot] * value, minlength=len(raw[s])) + weights[-1])
             p = 1 / (1 + np.exp(-np.concatenate(scores))) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= threshold)], names=[*batch.schema.names, "quality_score", "keep"])

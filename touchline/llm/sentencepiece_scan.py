@@ -8,16 +8,14 @@ matrix from the pieces that may lie across its left edge to those that may lie a
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sliced, table, written
-from .subwords import groups
+from .shared import release, table, written
+from .subwords import Units, bytes_of, parts
 
 MARK = "▁"  # stands for a space inside pieces
 WHOLE = "-1,-1,-1"  # the state of an edge that no piece lies across
@@ -51,35 +49,32 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with a space after a letter aren't supported")
-        self.find = re.compile(f" *[^ \\n]+|\\n| +|{MARK}").findall
-        self.keep, self.young, self.old, self.fits = keep, {}, {}, {}
-
-    def units(self, text: str, begin: bool) -> list[str]:
-        """Stretches that no piece lies across: a run of spaces with what follows, up to a space or newline."""
-        text = text.replace(MARK, " ")
-        return self.find(" " + text if begin else text) if text or begin else []
-
-    def encode(self, texts: list[str], begin: list[bool]) -> list[np.ndarray]:
-        """ids of texts that start at an edge that no piece crosses; begin: whether a text starts its document."""
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-        units = [self.units(t, b) if t else [] for t, b in zip(texts, begin, strict=True)]
-        found = [list(map(self.young.get, u)) for u in units]
-        holes = [[k for k, v in enumerate(f) if v is None] for f in found]
-        need = {u[k] for u, own in zip(units, holes, strict=True) for k in own}
-        fresh = []
-        for unit in need:
-            had = self.old.get(unit)
-            if had is None:
-                fresh.append(unit)
-            else:
-                self.young[unit] = had
-        for unit, ids in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True):
-            self.young[unit] = np.array(ids, "<u4").tobytes()
-        for u, f, own in zip(units, found, holes, strict=True):
-            for k in own:
-                f[k] = self.young[u[k]]
-        return [np.frombuffer(b"".join(f), "<u4") for f in found]
+        self.spelled = pa.array(self.raw, pa.binary())
+        self.known, self.fits = Units(keep, self._encoded), {}
+
+    def _encoded(self, units: list[bytes]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self.model.encode([u.decode() for u in units], num_threads=1)]
+
+    def encode_column(self, column: pa.Array, begin: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that start at edges that no piece crosses, one after another, and how many each text has.
+
+        begin: whether the texts start their documents; these have a space before them. Texts are cut into units that
+        no piece lies across: a run of spaces with what follows, up to a space or newline.
+        """
+        column = pa.compute.replace_substring(pa.compute.fill_null(column, ""), MARK, " ")
+        if begin:
+            column = pa.compute.if_else(pa.compute.equal(column, ""), column, pa.compute.binary_join_element_wise(pa.scalar("", column.type), column, " "))
+        raw, offsets = bytes_of(column)
+        start = np.zeros(len(raw) + 1, bool)
+        space, line = raw == 32, raw == 10
+        start[:-1] = space | line
+        start[1:-1] &= ~(space[1:] & space[:-1])
+        start[1:] |= line
+        start[offsets] = True
+        return self.known.ids(raw, offsets, np.flatnonzero(start[:-1]))
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_column(pa.array([text]), False)[0]
 
     # The lattice. Text here is marked text (spaces as MARK); a node is (start, stop, piece).
 
@@ -215,7 +210,7 @@ class Chunk:
         if start[1] < self.p:
             seen, back = self.model.reach(self.s, {start: 1}, self.p)
             parts.append(np.array(self._ids(self._walk(next(n for n in seen if n[1] == self.p), back, {start})), "<u4"))
-        parts += self.model.encode([self.s[self.p : self.q].replace(MARK, " ")], [False])
+        parts.append(self.model.encode(self.s[self.p : self.q]))
         if stop[2] is not None:
             source = (self.q, self.q, None)
             _, back = self.model.reach(self.s, {source: 1}, self.b)
@@ -244,6 +239,11 @@ def _cut(batches, chunk: int, margin: int):
 
 
 _CHUNK = pa.schema([("row_id", pa.string()), ("chunk", pa.int32()), ("block", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("final", pa.bool_()), ("piece", pa.string())])
+_SCHEMAS = {
+    ("block", "ins", "outs"): pa.schema([("row_id", pa.string()), ("block", pa.int32()), ("ins", pa.list_(pa.string())), ("outs", pa.list_(pa.string()))]),
+    ("block", "enter", "leave"): pa.schema([("row_id", pa.string()), ("block", pa.int32()), ("enter", pa.string()), ("leave", pa.string())]),
+    ("chunk", "enter", "leave"): pa.schema([("row_id", pa.string()), ("chunk", pa.int32()), ("enter", pa.string()), ("leave", pa.string())]),
+}
 _CHUNK_DDL = "row_id string, chunk int, block int, a int, b int, final boolean, piece string"
 
 
@@ -279,28 +279,44 @@ def resolve(steps: list[list[tuple[str, str]]], start: str, stop: str) -> list[t
     return out[::-1]
 
 
-def _pairs(row) -> list[tuple[str, str]]:
-    return list(zip(row.ins, row.outs, strict=True))
+def _in_groups(batches, keys: tuple[str, ...], finish, names: list[str]):
+    """Rows sorted by ``keys``, group by group, through ``finish``: a group's rows to rows of ``names``."""
+    last, rows, out = None, [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != last and rows:
+                out += finish(rows)
+                rows = []
+            last = key
+            rows.append(row)
+        if len(out) >= 1000:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_SCHEMAS[tuple(names[1:])])
+            out = []
+    if rows:
+        out += finish(rows)
+    if out:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_SCHEMAS[tuple(names[1:])])
+
 
+def _pairs(row: dict) -> list[tuple[str, str]]:
+    return list(zip(row["ins"], row["outs"], strict=True))
 
-def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk")
-    total = None
-    for row in pdf.itertuples():
-        total = _pairs(row) if total is None else product(total, _pairs(row))
-    return pd.DataFrame({"row_id": [pdf.row_id.iloc[0]], "block": [pdf.block.iloc[0]], "ins": [[i for i, _ in total]], "outs": [[o for _, o in total]]})
 
+def _block_product(rows: list[dict]) -> list[tuple]:
+    total = _pairs(rows[0])
+    for row in rows[1:]:
+        total = product(total, _pairs(row))
+    return [(rows[0]["row_id"], rows[0]["block"], [i for i, _ in total], [o for _, o in total])]
 
-def _across_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("block")
-    states = resolve([_pairs(r) for r in pdf.itertuples()], WHOLE, WHOLE)
-    return pd.DataFrame({"row_id": pdf.row_id.values, "block": pdf.block.values, "enter": [s[0] for s in states], "leave": [s[1] for s in states]})
 
+def _across_blocks(rows: list[dict]) -> list[tuple]:
+    return [(r["row_id"], r["block"], *s) for r, s in zip(rows, resolve([_pairs(r) for r in rows], WHOLE, WHOLE), strict=True)]
 
-def _within_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk")
-    states = resolve([_pairs(r) for r in pdf.itertuples()], pdf.enter.iloc[0], pdf.leave.iloc[0])
-    return pd.DataFrame({"row_id": pdf.row_id.values, "chunk": pdf.chunk.values, "enter": [s[0] for s in states], "leave": [s[1] for s in states]})
+
+def _within_block(rows: list[dict]) -> list[tuple]:
+    states = resolve([_pairs(r) for r in rows], rows[0]["enter"], rows[0]["leave"])
+    return [(r["row_id"], r["chunk"], *s) for r, s in zip(rows, states, strict=True)]
 
 
 def _traced(batches, path: str):
@@ -313,13 +329,17 @@ def _traced(batches, path: str):
 def _whole(batches, path: str):
     """Texts of a single chunk: both edges are forced, so nothing has to be scanned."""
     model = pieces(path)
-    for batch in sliced(batches):
-        texts = batch.column("text").to_pylist()
-        ids: list[bytes] = []
-        for part in groups(texts):
-            ids += [x.tobytes() for x in model.encode(texts[part], [True] * (part.stop - part.start))]
-        rest = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(ids, pa.binary())], names=[*rest, "ids"])
+    for batch in batches:
+        for part in parts(batch, size=1_000_000):
+            ids, counts = model.encode_column(part.column("text"), True)
+            rest = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), _blobs(ids, counts)], names=[*rest, "ids"])
+
+
+def _blobs(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each text's ids as bytes."""
+    at = np.append(0, np.cumsum(counts * 4)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def encode_pieces(docs: DataFrame, model: str, chunk: int = 16384, key: str = "doc_id") -> DataFrame:
@@ -345,10 +365,15 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = 16384, key: str = "d
     cut = written(once.mapInArrow(lambda it: _cut(it, chunk, margin), _CHUNK_DDL).repartition(n, "row_id", "chunk"), "giant-chunks")
     spread = cut.repartition(n, "row_id", "chunk")
     edges = written(spread.mapInArrow(lambda it: _matrices(it, model), "row_id string, chunk int, block int, ins array<string>, outs array<string>"), "chunk-matrices")
-    blocks = edges.groupBy("row_id", "block").applyInPandas(_block_product, "row_id string, block int, ins array<string>, outs array<string>")
-    found = blocks.groupBy("row_id").applyInPandas(_across_blocks, "row_id string, block int, enter string, leave string")
-    states = edges.join(found.hint("merge"), ["row_id", "block"]).groupBy("row_id", "block").applyInPandas(_within_block, "row_id string, chunk int, enter string, leave string")
-    traced = cut.join(written(states, "chunk-states").hint("merge"), ["row_id", "chunk"]).mapInArrow(lambda it: _traced(it, model), "row_id string, chunk int, ids binary")
+    dealt = edges.repartition(n, "row_id", "block").sortWithinPartitions("row_id", "block", "chunk")
+    blocks = dealt.mapInArrow(lambda it: _in_groups(it, ("row_id", "block"), _block_product, ["row_id", "block", "ins", "outs"]), "row_id string, block int, ins array<string>, outs array<string>")
+    in_order = blocks.repartition(n, "row_id").sortWithinPartitions("row_id", "block")
+    found = in_order.mapInArrow(lambda it: _in_groups(it, ("row_id",), _across_blocks, ["row_id", "block", "enter", "leave"]), "row_id string, block int, enter string, leave string")
+    met = edges.join(found.hint("merge"), ["row_id", "block"]).repartition(n, "row_id", "block").sortWithinPartitions("row_id", "block", "chunk")
+    states = met.mapInArrow(lambda it: _in_groups(it, ("row_id", "block"), _within_block, ["row_id", "chunk", "enter", "leave"]), "row_id string, chunk int, enter string, leave string")
+    states = written(states, "chunk-states")
+    release(edges)
+    traced = cut.join(states.hint("merge"), ["row_id", "chunk"]).mapInArrow(lambda it: _traced(it, model), "row_id string, chunk int, ids binary")
     whole = traced.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     large = names.select("key", "row_id").join(whole.hint("merge"), "row_id").select("key", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"))
     return small.unionByName(large).withColumnRenamed("key", key)
@@ -360,19 +385,28 @@ def _longest(model: str) -> int:
 
 def _decoded(batches, path: str):
     model = pieces(path)
-    for batch in sliced(batches):
-        texts = []
-        for raw in batch.column("ids").to_pylist():
-            joined = b"".join(map(model.raw.__getitem__, np.frombuffer(raw, "<u4").tolist()))
-            texts.append(joined[1:].decode("utf-8", "replace"))  # the first space stands for the start
-        rest = [n for n in batch.schema.names if n != "ids"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array([len(r) // 4 for r in batch.column("ids").to_pylist()], pa.int64()), pa.array(texts, pa.string())], names=[*rest, "n_tokens", "text"])
+    for batch in batches:
+        for part in parts(batch, "ids"):
+            raw, offsets = bytes_of(part.column("ids"))
+            counts = np.diff(offsets) // 4
+            said, stops = bytes_of(model.spelled.take(pa.array(np.frombuffer(raw.tobytes(), "<u4"))))
+            ends = stops[np.append(0, np.cumsum(counts))].tolist()
+            whole = said.tobytes()
+            texts = [whole[a + 1 : b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]  # the first space stands for the start
+            rest = [n for n in part.schema.names if n != "ids"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=[*rest, "n_tokens", "text"])
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """All columns but ids, with n_tokens and the text that the ids stand for. Ids of control pieces stand for nothing."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "ids")
-    return encoded.mapInArrow(lambda it: _decoded(it, model), f"{kinds}, n_tokens long, text string")
+    """All columns but ids, with n_tokens and the text that the ids stand for.
+
+    Ids of control pieces stand for nothing. Null ids, like an empty list of them, are no tokens and an empty text. Bytes
+    that are no UTF-8 become U+FFFD. Repeated rows give a row each. An empty table gives no rows. Columns n_tokens
+    and text of the input are replaced.
+    """
+    encoded = encoded.drop("n_tokens", "text")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema.fields if f.name != "ids")
+    return encoded.mapInArrow(lambda it: _decoded(it, model), f"{kinds}n_tokens long, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

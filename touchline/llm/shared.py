@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -30,21 +32,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, with true sizes for the optimizer."""
+def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder, in folders by a column if asked, and reads it back, with true sizes for the optimizer."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that no result still to come reads."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Bucketed:
+    """A table in sorted buckets of a column, in the shared folder; the session's catalog only knows how it is laid out."""
+
+    def __init__(self, rows: DataFrame, name: str, buckets: int, column: str):
+        self.spark, self.name = rows.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.path = new_path(self.spark, name)
+        rows.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).format("parquet").option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(self.spark, self.path)
 
 
 def ascii_lower(column: Column) -> Column:

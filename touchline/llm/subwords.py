@@ -58,13 +58,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Units:
+    """Ids of units, in two dictionaries of at most ``keep`` units that hold what was encoded lately.
+
+    Memory is bounded; a unit that fell out is encoded again. Long units are encoded whenever they come.
+    """
+
+    def __init__(self, keep: int, encode):
+        self.keep, self.encode, self.young, self.old = keep, encode, {}, {}
+
+    def __call__(self, units: list[bytes]) -> list[bytes]:
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, units))
+        if None in found:
+            holes = [k for k, v in enumerate(found) if v is None]
+            for k, had in zip(holes, map(self.old.get, [units[k] for k in holes]), strict=True):
+                found[k] = had
+            fresh = [k for k in holes if found[k] is None]
+            if fresh:
+                for k, ids in zip(fresh, self.encode([units[k] for k in fresh]), strict=True):
+                    found[k] = ids
+            self.young.update((units[k], found[k]) for k in holes if len(units[k]) <= LONGEST_KEPT)
+        return found
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, cut into units at ``starts``, and how many ids each text has."""
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        bounds = np.append(starts, len(raw)).astype(np.int32)
+        units = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        spelled, stops = bytes_of(units.dictionary)
+        own = self(_pieces(spelled.tobytes(), stops[1:]))
+        flat = np.frombuffer(b"".join(own), "<u4")
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        at = np.cumsum(size) - size
+        which = units.indices.to_numpy()
+        each = size[which]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(at[which] - ends + each, each) + np.arange(ends[-1])]
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(starts, offsets)])
+
+
 class Encoder:
     """Whole texts to ids. For byte-level vocabularies each distinct pre-token is encoded once by the library.
 
     A byte-level BPE merges nothing across pre-tokens, so the ids of a text are those of its pre-tokens in order.
     Texts are cut into these in numpy, by the kinds of characters that the library's own pre-tokenizer tells
-    (``_kind``); Arrow finds the distinct ones of a slice. Two dictionaries of at most ``keep`` units hold what was
-    encoded lately (memory is bounded; a unit that fell out is encoded again). Any other kind of tokenizer encodes
+    (``_kind``); Arrow finds the distinct ones of a slice. Any other kind of tokenizer encodes
     whole texts directly. Strings of special tokens inside a text are ordinary text.
     """
 
@@ -80,7 +121,7 @@ class Encoder:
             spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not spec["model"].get("dropout") and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(t["special"] for t in spec["added_tokens"])
         )
-        self.keep, self.young, self.old = keep, {}, {}
+        self.known = Units(keep, self._encoded)
         if self.by_unit:
             self.letters = _byte_letters()
             self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -177,43 +218,13 @@ class Encoder:
         stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
         return _pieces(ids.tobytes(), stops * 4)
 
-    def _looked_up(self, units: list[bytes]) -> list[bytes]:
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, units))
-        if None in found:
-            holes = [k for k, v in enumerate(found) if v is None]
-            for k, had in zip(holes, map(self.old.get, [units[k] for k in holes]), strict=True):
-                found[k] = had
-            fresh = [k for k in holes if found[k] is None]
-            if fresh:
-                for k, ids in zip(fresh, self._encoded([units[k] for k in fresh]), strict=True):
-                    found[k] = ids
-            self.young.update((units[k], found[k]) for k in holes if len(units[k]) <= LONGEST_KEPT)
-        return found
-
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string column (null: empty), one after another, and how many each text has."""
         if not self.by_unit:
             found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return np.array([k for ids in found for k in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
         raw, offsets = bytes_of(column)
-        starts = self.cuts(raw, offsets)
-        if not len(starts):
-            return np.zeros(0, "<u4"), np.zeros(len(column), np.int64)
-        bounds = np.append(starts, len(raw)).astype(np.int32)
-        units = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-        spelled, stops = bytes_of(units.dictionary)
-        own = self._looked_up(_pieces(spelled.tobytes(), stops[1:]))
-        flat = np.frombuffer(b"".join(own), "<u4")
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        at = np.cumsum(size) - size
-        which = units.indices.to_numpy()
-        each = size[which]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(at[which] - ends + each, each) + np.arange(ends[-1])]
-        total = np.append(0, ends)[np.searchsorted(starts, offsets)]
-        return ids, np.diff(total)
+        return self.known.ids(raw, offsets, self.cuts(raw, offsets))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, counts = self.encode_column(pa.array(texts, pa.string()))

@@ -18,7 +18,8 @@ DIMS, GRAMS = 1 << 14, (3, 4)
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host and path. Without "://", or for null, both are empty."""
-    rest = F.when(url.contains("://"), F.expr("substr(u, instr(u, '://') + 3)")).otherwise(F.lit(""))
+    whole = F.coalesce(url, F.lit(""))
+    rest = F.when(whole.contains("://"), F.substr(whole, F.instr(whole, "://") + 3)).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     after = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return ascii_lower(host), after
@@ -26,8 +27,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def with_parts(urls: DataFrame, column: str = "url") -> DataFrame:
     """Adds host and path to a table of urls."""
-    host, path = url_parts(F.col("u"))
-    return urls.withColumn("u", F.coalesce(F.col(column), F.lit(""))).withColumn("host", host).withColumn("path", path).drop("u")
+    host, path = url_parts(urls[column])
+    return urls.withColumns({"host": host, "path": path})
 
 
 def rule_columns(rules=RULES) -> tuple[Column, Column]:
@@ -88,14 +89,20 @@ def score_urls(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.nd
 def labelled_urls(judged: DataFrame, max_labelled: int) -> DataFrame:
     """The small labelled table: at most max_labelled distinct (host, path), the rules' verdicts as labels."""
     known = judged.where(F.col("verdict").isNotNull()).select("host", "path", (F.col("verdict") == "block").alias("blocked")).distinct()
-    return known.orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_labelled)
+    return bounded(known, max_labelled)
+
+
+def bounded(labelled: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows by hash: the same ones however the table is dealt."""
+    return labelled.orderBy(F.xxhash64("host", "path"), "host", "path", "blocked").limit(most)
 
 
 def filter_urls(urls: DataFrame, column: str = "url", rules=RULES, labelled: DataFrame | None = None, max_labelled: int = 4000, threshold: float = 0.5) -> DataFrame:
     """All columns of ``urls`` with host, path, rule, verdict and score (probability of block; null where a rule decides).
 
-    ``labelled`` (host, path, blocked) trains the model; by default the urls that a rule decides do, at most
-    max_labelled of them by hash order (a bounded sample; every url is judged). A model without labels, or with
+    ``labelled`` (host, path, blocked; rows with nulls are left out) trains the model, at most max_labelled rows of it by
+    hash order (a bounded sample; every url is judged). By default the urls that a rule decides are the labelled table:
+    weak labels, so the model then carries the rules' judgement over to hosts and paths that no rule covers. A model without labels, or with
     one class, allows unless its bias says otherwise. A null or malformed url has empty host and path and is
     judged by the model. Repeated urls get the same verdict. An empty table gives an empty table. Columns named
     host, path, rule, verdict or score in the input are replaced.
@@ -103,8 +110,8 @@ def filter_urls(urls: DataFrame, column: str = "url", rules=RULES, labelled: Dat
     urls = urls.drop("host", "path", "rule", "verdict", "score")
     named, verdict = rule_columns(rules)
     judged = with_parts(urls, column).withColumn("rule", named).withColumn("verdict", verdict)
-    sample = (labelled if labelled is not None else labelled_urls(judged, max_labelled)).limit(max_labelled).collect()
-    sample.sort(key=lambda r: (r["host"], r["path"]))
+    given = labelled_urls(judged, max_labelled) if labelled is None else bounded(labelled.select("host", "path", "blocked").dropna(), max_labelled)
+    sample = sorted(given.collect(), key=lambda r: (r["host"], r["path"], r["blocked"]))
     weights = fit_urls([r["host"] for r in sample], [r["path"] for r in sample], [bool(r["blocked"]) for r in sample])
 
     def judge(batches):
