@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.decontaminate import find_leaks
-from touchline.llm.jaccard import near_duplicates
+from touchline.llm.jaccard import near_duplicates, text_id
 from touchline.llm.lines import dedup_lines
 from touchline.llm.quality import score_quality
 from touchline.llm.sentencepiece_scan import decode_pieces, encode_pieces
@@ -20,34 +20,59 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Every row is judged by its own text, so repeated rows stay or go together; ids play no part and may be null. Null and
+    empty texts have nothing that speaks against them beyond what the model says of a text without words. An empty
+    table stays empty. Columns other than those of documents are left out, here and in the next three stages.
+    """
     return score_quality(docs.select(*COLUMNS)).where("keep").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents stay in one of them; n_chars follows the text."""
-    kept = dedup_lines(docs, carry=("lang", "source"))
+    """Lines found in many documents stay in one of them; n_chars follows the text.
+
+    No row goes. Rows that share a doc_id are one document; rows with a null doc_id keep all lines; a null text stays
+    null, with null n_chars, and an empty one empty. An empty table stays empty.
+    """
+    kept = dedup_lines(docs.select(*COLUMNS), carry=("lang", "source"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    groups = written(near_duplicates(docs, words=5, num=80, den=100).select("doc_id", "component_id"), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])  # rows of one document that repeat are copies too
-    return kept.select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    A row goes if its own text is a copy of a smaller doc_id's, so other texts of its doc_id stay. Of rows that are
+    equal in doc_id and text one stays. Rows with a null doc_id, null or empty texts (once a doc_id) are nobody's copies
+    and stay. An empty table stays empty.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = near_duplicates(docs, words=5, num=80, den=100).where("doc_id is not null")
+    own = groups.groupBy("doc_id", "text_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("times"))
+    marked = written(own.where("copy or times > 1"), "copies")
+    keyed = docs.withColumn("_text", text_id(F.col("text")))
+    met = keyed.join(marked.withColumnRenamed("text_id", "_text").hint("merge"), ["doc_id", "_text"], "left")
+    once = met.where("times is null").select(*COLUMNS)
+    repeated = met.where("times > 1 and not copy").dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    return once.unionByName(repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; an item of a few letters, such as "yes", is no reason by itself."""
+    """Documents that hold a benchmark item go; an item of a few letters, such as "yes", is no reason by itself.
+
+    Rows that share a doc_id go together; rows with a null doc_id, null and empty texts stay, as do all rows where
+    the benchmark is empty. An empty table stays empty.
+    """
     leaks = written(find_leaks(docs, table(spark, sf_dir, "benchmark")).where("not short").select("doc_id").distinct(), "leaks")
     return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, checked by decoding: doc_id, n_tokens, ids_crc32 and the decoded text's sha-256."""
+    """The ids of every document, checked by decoding: doc_id, n_tokens, ids_crc32 and the decoded text's sha-256.
+
+    One row for every row, repeated ones and null doc_ids too. Null and empty texts have no tokens and decode to an empty
+    text. An empty table gives no rows.
+    """
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
