@@ -71,7 +71,7 @@ def _with_sets(batches, words: int):
                 yield rep, tokens
 
 
-def _packed(batches, words: int, bits: int, at_once: int = 1 << 22):
+def _packed(batches, words: int, bits: int, at_once: int = 1 << 20):
     """Tokens of many sets, dealt by their first bits; a row holds the next 24 bits of each token of one bucket."""
     held, total = [], 0
 

@@ -386,7 +386,7 @@ def _longest(model: str) -> int:
 def _decoded(batches, path: str):
     model = pieces(path)
     for batch in batches:
-        for part in parts(batch, "ids"):
+        for part in parts(batch, "ids", 1_000_000):
             raw, offsets = bytes_of(part.column("ids"))
             counts = np.diff(offsets) // 4
             said, stops = bytes_of(model.spelled.take(pa.array(np.frombuffer(raw.tobytes(), "<u4"))))
