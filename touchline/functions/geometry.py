@@ -98,6 +98,23 @@ def inverse(h) -> list[Column]:
     return [F.when(F.abs(det) > 1e-15, x / det) for x in cofactors]
 
 
+def to_size(box: Box) -> tuple[Column, Column, Column, Column]:
+    """Corner, width and height of a box."""
+    return box.x1, box.y1, box.width, box.height
+
+
+def to_corners(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    return x, y, x + width, y + height
+
+
+def plausible_refinement(new: Box, old: Box) -> Column:
+    """Whether a refined box may stand for the old one: 0.1 to 4 times its area, with a tenth of itself inside it."""
+    area = new.width * new.height
+    ratio = area / F.greatest(F.lit(1.0), old.width * old.height)
+    inside = F.greatest(F.lit(0.0), F.least(new.x2, old.x2) - F.greatest(new.x1, old.x1)) * F.greatest(F.lit(0.0), F.least(new.y2, old.y2) - F.greatest(new.y1, old.y1))
+    return (new.width > 1) & (new.height > 1) & ratio.between(0.10, 4.0) & (inside / F.greatest(F.lit(1.0), area) >= 0.10)
+
+
 def foot(box: Box, h) -> tuple[Column, Column]:
     """Where a player stands, in metres: the middle of the box's lower edge on the pitch."""
     return project(h, box.cx, F.greatest(box.y1, box.y2))

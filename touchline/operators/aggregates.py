@@ -80,6 +80,22 @@ def team_label(boxes: DataFrame, margin: float = 0.02, single_confident: bool =
     return out.withColumn("label", F.when(F.coalesce(F.size("teams"), F.lit(0)) < 1, "unsure").when(sure, best).otherwise("unsure")).drop("_r")
 
 
+def report_order(scores: DataFrame) -> DataFrame:
+    """A report's order: kept tracks first, then by score and length."""
+    return scores.orderBy(F.desc("kept"), F.desc("score"), F.desc("n"), *TRACK)
+
+
+def evidence_summary(profiles: DataFrame) -> DataFrame:
+    """Per match: players, those with a number, frames and appearances in clips, and the best evidence."""
+    return profiles.groupBy("match_id").agg(F.count("*").alias("players"), F.count("number").alias("numbered"), F.sum("n_frames").alias("frames"), F.sum("n_clips").alias("clips"), F.max("evidence").alias("best"))
+
+
+def tracklet_reads(evidence: DataFrame, votes: DataFrame) -> DataFrame:
+    """Per track: frames, mean height residual and its number votes as a map, as a dump of what was read."""
+    said = votes.groupBy(*TRACK).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("number", "weight")))).alias("votes"))
+    return evidence.select(*TRACK, "n_frames", F.when(F.col("h_n") > 0, F.col("h_mean")).alias("resid")).join(said, list(TRACK), "left")
+
+
 def aggregate_objects(rows: DataFrame, width: float, height: float) -> DataFrame:
     """Per track: frames, mean zone, dominant label, number of votes."""
     box = Box()

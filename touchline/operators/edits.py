@@ -1,17 +1,21 @@
-"""Edits of target tracks, one by one or as a replayed log."""
+"""Edits of target tracks, one by one or as a replayed log. A track is (match_id, clip_id, obj_id)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import exclude
 from .trajectory import TRACK, forward_segment
 
 KEY = [*TRACK, "frame"]
+CLIP = ["match_id", "clip_id"]
 
 
-def bulk_delete(rows: DataFrame, ids: list[int]) -> DataFrame:
-    return rows.where(~F.col("obj_id").isin(ids))
+def bulk_delete(rows: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Drops the listed tracks."""
+    return exclude(rows, tracks)
 
 
 def remove_frames(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -19,38 +23,65 @@ def remove_frames(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def delete_forward(rows: DataFrame, obj_id: int, start: int, gap: int = 30) -> DataFrame:
-    """Drops a track's stretch that begins at ``start``."""
-    return remove_frames(rows, forward_segment(rows.where(F.col("obj_id") == obj_id), start, gap))
-
-
-def merge_forward(rows: DataFrame, source: int, target: int, start: int, gap: int = 30) -> DataFrame:
-    """A track's stretch from ``start`` goes over to the target, whose own rows of those frames give way."""
-    moved = forward_segment(rows.where(F.col("obj_id") == source), start, gap)
-    renamed = moved.withColumn("obj_id", F.lit(target).cast(rows.schema["obj_id"].dataType))
-    return remove_frames(remove_frames(rows, moved), renamed).unionByName(renamed)
+def delete_forward(rows: DataFrame, tracks: DataFrame, gap: int = 30) -> DataFrame:
+    """Drops the stretch of each listed track that begins at its ``start``."""
+    own = rows.join(tracks.select(*TRACK, "start"), list(TRACK))
+    return remove_frames(rows, forward_segment(own, F.col("start"), gap))
 
 
 def upsert(rows: DataFrame, new: DataFrame) -> DataFrame:
     return remove_frames(rows, new).unionByName(new.select(*rows.columns))
 
 
-def nuke(rows: DataFrame, obj_id: int) -> DataFrame:
-    return bulk_delete(rows, [obj_id])
+def nuke(rows: DataFrame, match_id: int, clip_id: int, obj_id: int) -> DataFrame:
+    return rows.where(~((F.col("match_id") == match_id) & (F.col("clip_id") == clip_id) & (F.col("obj_id") == obj_id)))
 
 
-OPERATIONS = {"merge_forward": merge_forward, "delete_forward": delete_forward, "bulk_delete": bulk_delete, "nuke": nuke, "upsert": upsert, "remove_frames": remove_frames}
+def _stretch(rows: pd.DataFrame, obj_id: int, start: int, gap: int) -> pd.Series:
+    """The rows of a track from ``start`` up to its first gap."""
+    frames = rows.loc[(rows["obj_id"] == obj_id) & (rows["frame"] >= start), "frame"].sort_values()
+    whole = frames.diff().fillna(1).le(gap).cummin()
+    return rows.index.isin(frames.index[whole])
 
 
-def apply_edit_log(rows: DataFrame, log: list[tuple]) -> DataFrame:
-    """Replays a session's short log of (operation, *arguments) in order; ("undo",) takes back the last one before it."""
-    standing: list[tuple] = []
-    for command in log:
-        if command[0] == "undo":
-            if standing:
-                standing.pop()
-        else:
+def _replayed(rows: pd.DataFrame, log: pd.DataFrame, gap: int) -> pd.DataFrame:
+    rows, standing = rows.reset_index(drop=True), []
+    for command in log.sort_values("seq").itertuples():
+        if command.op != "undo":
             standing.append(command)
-    for name, *arguments in standing:
-        rows = OPERATIONS[name](rows, *arguments)
+        elif standing:
+            standing.pop()
+    for c in standing:
+        own = rows["obj_id"] == c.obj_id
+        if c.op == "nuke":
+            rows = rows[~own]
+        elif c.op == "remove_frame":
+            rows = rows[~(own & (rows["frame"] == c.start))]
+        elif c.op == "upsert":
+            box = pd.DataFrame([{**dict.fromkeys(rows.columns), "match_id": c.match_id, "clip_id": c.clip_id, "obj_id": c.obj_id, "frame": c.start, "x1": c.x1, "y1": c.y1, "x2": c.x2, "y2": c.y2}])
+            rows = pd.concat([rows[~(own & (rows["frame"] == c.start))], box], ignore_index=True)
+        elif c.op == "delete_forward":
+            rows = rows[~_stretch(rows, c.obj_id, c.start, gap)]
+        elif c.op == "merge_forward":
+            moved = _stretch(rows, c.obj_id, c.start, gap)
+            target = int(c.target)
+            gives_way = (rows["obj_id"] == target) & rows["frame"].isin(rows.loc[moved, "frame"]) & ~moved
+            rows = rows.assign(obj_id=rows["obj_id"].mask(pd.Series(moved, rows.index), target))[~gives_way]
+        else:
+            raise ValueError(f"no edit is called {c.op!r}")
+        rows = rows.reset_index(drop=True)
     return rows
+
+
+def apply_edit_log(rows: DataFrame, log: DataFrame, gap: int = 30) -> DataFrame:
+    """Replays a log of edits: match_id, clip_id, seq, op, obj_id, start, target, and x1..y2 for upserts.
+
+    op is nuke, remove_frame, delete_forward, merge_forward, upsert, or undo, which takes back the last one of its clip
+    that stands. Clips are edited apart from one another, each in one pass, however long the log; clips without
+    edits aren't touched. An edited clip has to fit in a task.
+    """
+    edited = log.select(*CLIP).distinct()
+    schema = rows.schema
+    names = rows.columns
+    mine = rows.join(edited, CLIP, "left_semi").groupBy(*CLIP).cogroup(log.groupBy(*CLIP)).applyInPandas(lambda r, e: _replayed(r, e, gap)[names], schema)
+    return rows.join(edited, CLIP, "left_anti").unionByName(mine)

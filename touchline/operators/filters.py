@@ -10,8 +10,8 @@ from .trajectory import FRAME, TRACK
 
 
 def kept_only(boxes: DataFrame) -> DataFrame:
-    """Boxes that passed the gates; all of them where no gate has run."""
-    return boxes.where("kept") if "kept" in boxes.columns else boxes
+    """Boxes that passed the gates; all of them where no gate has run (no column, or null)."""
+    return boxes.where(F.coalesce("kept", F.lit(True))) if "kept" in boxes.columns else boxes
 
 
 def short_tracks(rows: DataFrame, least: int) -> DataFrame:
@@ -23,8 +23,9 @@ def long_enough(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(short_tracks(rows, least).select(*TRACK), list(TRACK), "left_anti")
 
 
-def filter_ids(rows: DataFrame, ids: list[int]) -> DataFrame:
-    return rows.where(F.col("obj_id").isin(ids))
+def filter_ids(rows: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Rows of the listed tracks (match_id, clip_id, obj_id): an obj_id alone means another player in every clip."""
+    return rows.join(tracks.select(*TRACK).distinct(), list(TRACK), "left_semi")
 
 
 def exclude(rows: DataFrame, gone: DataFrame) -> DataFrame:

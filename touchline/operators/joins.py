@@ -90,6 +90,30 @@ def name_tracks(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(names.select(*TRACK, "player_id", "display"), list(TRACK), "left")
 
 
+def join_dims(boxes: DataFrame, clips: DataFrame) -> DataFrame:
+    """Boxes with what is known of their clip; clips without an entry keep nulls."""
+    return boxes.join(clips, ["match_id", "clip_id"], "left")
+
+
+def union_clips(*tables: DataFrame) -> DataFrame:
+    """Tables of several clips as one; a column that one of them lacks is null there."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def refine_boxes(old: DataFrame, new: DataFrame, clamp_to: tuple[float, float]) -> DataFrame:
+    """Boxes of ``new`` where they may stand for the old ones of their track and frame, clamped; else the old ones."""
+    from ..functions.geometry import clamp, plausible_refinement
+
+    names = ("x1", "y1", "x2", "y2")
+    met = old.join(new.select(*TRACK, "frame", *[F.col(c).alias("n_" + c) for c in names]), [*TRACK, "frame"], "left")
+    fits = F.coalesce(plausible_refinement(Box("n_"), Box()), F.lit(False))
+    taken = [F.when(fits, c).otherwise(F.col(n)).alias(n) for c, n in zip(clamp(Box("n_"), *clamp_to), names, strict=True)]
+    return met.select(*[c for c in old.columns if c not in names], *taken, fits.alias("refined"))
+
+
 def merge_retrack(old: DataFrame, new: DataFrame, clamp_to: tuple[float, float]) -> DataFrame:
     """Replaces or adds the rows of the new table's frames, boxes clamped, marked as from re-tracking."""
     from ..functions.geometry import clamp

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, is_wide_deep, role, zone_supports
 from ..functions.scoring import evidence, named_term, unit
-from .aggregates import moments
 from .filters import decide_number, dominant_team, votes_of
 from .joins import attach_nearest_height
 from .trajectory import TRACK
@@ -20,12 +19,11 @@ MY_NUMBER, MY_TEAM, UNSURE, CENTRAL, WIDE, HEIGHT_FITS, HEIGHT_OFF = "reads YOUR
 
 def tracklet_evidence(rows: DataFrame, width: float, height: float) -> DataFrame:
     """Per track: frames and the moments of height residual and zone. Rows carry residual."""
-    box = Box()
-    out = None
+    box, folds = Box(), []
     for name, value in (("h", F.col("residual")), ("zx", box.cx / width), ("zy", box.cy / height)):
-        part = moments(rows, TRACK, value).select(*TRACK, *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mean", "m2")])
-        out = part if out is None else out.join(part, list(TRACK))
-    return out.withColumn("n_frames", F.col("zx_n"))
+        n = F.count(value)
+        folds += [n.alias(f"{name}_n"), F.avg(value).alias(f"{name}_mean"), (F.coalesce(F.var_pop(value), F.lit(0.0)) * n).alias(f"{name}_m2")]
+    return rows.groupBy(*TRACK).agg(*folds).withColumn("n_frames", F.col("zx_n"))
 
 
 def classify_tracks(rows: DataFrame, me: DataFrame, width: float, height: float, min_frames: int = 8) -> DataFrame:

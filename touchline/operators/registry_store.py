@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .aggregates import cosine_distance
 
-# Pixels of height for a link and of margin to the next player, the window of the running mean, its drift.
-HEIGHT_LINK, HEIGHT_MARGIN, WINDOW, DRIFT = 12.0, 3.0, 400, 6.0
+# Pixels of height for a link and of margin to the next player, the least gap in looks that tells players
+# of one height apart, the window of the running mean, its drift.
+HEIGHT_LINK, HEIGHT_MARGIN, LOOKS_MARGIN, WINDOW, DRIFT = 12.0, 3.0, 0.05, 400, 6.0
 PLAYERS = "team string, player_id string, number int, resid double, n_frames long, matches long, history array<int>, last_match long"
 
 
@@ -21,19 +22,54 @@ def new_id(team: str, match: int, key: int) -> str:
 
 
 def link_candidates(profiles: DataFrame, players: DataFrame) -> DataFrame:
-    """For each profile (team, match_id, key, number, resid, fingerprint) who it may be: by number, else the only near height.
+    """Who each profile (team, match_id, key, number, resid, fingerprint) is: player_id and how, null and "new" for nobody.
 
-    Near: at most 12 px away and 3 px nearer than the next; of players within that margin the nearer fingerprint.
+    By number: the player who wears it, else one who wore it once (``history``). Else by height: the nearest player if at
+    most 12 px away and 3 px nearer than the next one; of players within that margin the one whose fingerprint is
+    nearer by 0.05 than the next one's. What stays ambiguous is new. Without a height there is no link by height.
+    players: team, player_id, number, resid, fingerprint and history (array<int>). A team's players are a roster, small.
     """
-    by_number = profiles.join(players.select("team", "number", F.col("player_id").alias("same")), ["team", "number"], "left")
-    met = profiles.join(players.select("team", "player_id", F.col("resid").alias("r2"), F.col("fingerprint").alias("f2")), "team")
-    met = met.withColumn("d", F.abs(F.col("resid") - F.col("r2"))).where(F.col("d") <= HEIGHT_LINK)
-    w = Window.partitionBy("team", "match_id", "key")
-    tied = met.withColumn("_m", F.min("d").over(w)).where(F.col("d") - F.col("_m") < HEIGHT_MARGIN)
-    near = tied.groupBy("team", "match_id", "key").agg(F.count("*").alias("n"), F.min_by("player_id", F.struct("d", "player_id")).alias("first"), F.min_by("player_id", F.struct(F.coalesce(cosine_distance(F.col("fingerprint"), F.col("f2")), F.lit(2.0)), "player_id")).alias("looks"))
-    near = near.select("team", "match_id", "key", F.when(F.col("n") == 1, F.col("first")).otherwise(F.col("looks")).alias("near"))
-    first = by_number.groupBy("team", "match_id", "key").agg(F.min("same").alias("same"))
-    return first.join(near, ["team", "match_id", "key"], "left").select("team", "match_id", "key", F.coalesce("same", "near").alias("player_id"), F.when(F.col("same").isNotNull(), "number").when(F.col("near").isNotNull(), "height").otherwise("new").alias("how"))
+    keys = ["team", "match_id", "key"]
+    worn = players.select("team", "player_id", F.col("number").cast("int").alias("number"), F.lit(0).alias("since"))
+    once = players.select("team", "player_id", F.explode(F.col("history").cast("array<int>")).alias("number"), F.lit(1).alias("since"))
+    of_number = worn.unionByName(once).where("number is not null").groupBy("team", "number").agg(F.min_by("player_id", F.struct("since", "player_id")).alias("same"))
+    by_number = profiles.withColumn("number", F.col("number").cast("int")).join(of_number, ["team", "number"], "left").select(*keys, "same")
+    near = players.where("resid is not null").select("team", "player_id", F.col("resid").alias("r2"), F.col("fingerprint").alias("f2"))
+    met = profiles.where("resid is not null").join(near, "team").select(*keys, F.struct(F.abs(F.col("resid") - F.col("r2")).alias("d"), "player_id", cosine_distance(F.col("fingerprint"), F.col("f2")).alias("looks")).alias("c"))
+    ranked = met.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("r"))
+    best = F.col("r")[0]
+    tied = F.filter("r", lambda c: (c["d"] - best["d"] < HEIGHT_MARGIN) & c["looks"].isNotNull())
+    ranked = ranked.withColumn("t", F.array_sort(F.transform(tied, lambda c: F.struct(c["looks"].alias("looks"), c["player_id"].alias("player_id")))))
+    alone = (F.size("r") == 1) | (F.get("r", F.lit(1))["d"] - best["d"] >= HEIGHT_MARGIN)
+    told = (F.size("t") >= 2) & (F.get("t", F.lit(1))["looks"] - F.get("t", F.lit(0))["looks"] >= LOOKS_MARGIN)
+    how = F.when(best["d"] > HEIGHT_LINK, F.lit(None)).when(alone, "height").when(told, "height+fp")
+    ranked = ranked.withColumn("by", how).select(*keys, "by", F.when(F.col("by") == "height", best["player_id"]).when(F.col("by") == "height+fp", F.get("t", F.lit(0))["player_id"]).alias("near"))
+    out = by_number.join(ranked, keys, "left")
+    return out.select(*keys, F.coalesce("same", "near").alias("player_id"), F.when(F.col("same").isNotNull(), "number").otherwise(F.coalesce("by", F.lit("new"))).alias("how"))
+
+
+def drifted(old: float | None, old_n: int, seen: float | None, seen_n: int) -> float | None:
+    """A running mean over at most WINDOW samples that one match moves by DRIFT at most."""
+    if seen is None or seen_n <= 0:
+        return old
+    if old is None or old_n <= 0:
+        return seen
+    step = (seen - old) * seen_n / min(WINDOW, old_n + seen_n)
+    return old + min(max(step, -DRIFT), DRIFT)
+
+
+def _linked(number: int | None, resid: float | None, free: dict) -> str | None:
+    """The player of ``free`` that a profile is: by number worn now or once, then by the only near height."""
+    if number is not None:
+        hits = sorted((v["number"] != number, p) for p, v in free.items() if v["number"] == number or number in v["history"])
+        if hits:
+            return hits[0][1]
+    if resid is None:
+        return None
+    near = sorted((abs(v["resid"] - resid), p) for p, v in free.items() if v["resid"] is not None)
+    if near and near[0][0] <= HEIGHT_LINK and (len(near) == 1 or near[1][0] - near[0][0] >= HEIGHT_MARGIN):
+        return near[0][1]
+    return None
 
 
 def _fold(batches):
@@ -54,19 +90,13 @@ def _fold(batches):
             if r.match_id != match:
                 match, claimed = r.match_id, set()
             number = None if pd.isna(r.number) else int(r.number)
-            free = {p: v for p, v in players.items() if p not in claimed}
-            found = min((p for p, v in free.items() if number is not None and v["number"] == number), default=None)
-            if found is None and number is None:
-                near = sorted((abs(v["resid"] - r.resid), p) for p, v in free.items() if abs(v["resid"] - r.resid) <= HEIGHT_LINK)
-                if near and (len(near) == 1 or near[1][0] - near[0][0] >= HEIGHT_MARGIN):
-                    found = near[0][1]
+            resid = None if pd.isna(r.resid) else float(r.resid)
+            found = _linked(number, resid, {p: v for p, v in players.items() if p not in claimed})
             if found is None:
                 found = new_id(r.team, int(r.match_id), int(r.key))
-                players[found] = {"number": number, "resid": float(r.resid), "n": 0, "matches": 0, "history": [], "last": -1}
+                players[found] = {"number": number, "resid": None, "n": 0, "matches": 0, "history": [], "last": -1}
             p = players[found]
-            weight = min(p["n"], WINDOW)
-            mean = (p["resid"] * weight + r.resid * r.n_frames) / (weight + r.n_frames) if weight + r.n_frames else r.resid
-            p["resid"] += min(max(mean - p["resid"], -DRIFT), DRIFT)
+            p["resid"] = drifted(p["resid"], p["n"], resid, int(r.n_frames))
             p["n"], p["matches"], p["last"] = p["n"] + int(r.n_frames), p["matches"] + 1, int(r.match_id)
             if number is not None:
                 p["number"] = number
@@ -81,6 +111,9 @@ def _fold(batches):
 def registry_ingest(profiles: DataFrame) -> DataFrame:
     """The registry from all observations (team, match_id, key, number, resid, n_frames), matches in order.
 
+    A profile is the player of its number, now or once, else the only one of its height; a player whose number changes
+    is so found by height and keeps both in the history. Two profiles of a match are never one player. Looks aren't folded
+    here, so players of one height stay apart (``link_candidates`` compares looks).
     It is recomputed from the observations, so taking a match in again changes nothing. Teams are dealt over tasks; a task
     streams its sorted rows and holds one team's players. Numbered profiles of a match come first.
     """
@@ -100,6 +133,33 @@ def registry_merge(players: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def set_numbers(players: DataFrame, changes: DataFrame) -> DataFrame:
+    """Players get the numbers of ``changes`` (team, player_id, number); histories keep those worn before."""
+    met = players.join(changes.select("team", "player_id", F.col("number").cast("int").alias("_to")), ["team", "player_id"], "left")
+    told = F.array_sort(F.array_union("history", F.array("_to")))
+    return met.withColumn("history", F.when(F.col("_to").isNotNull(), told).otherwise(F.col("history"))).withColumn("number", F.coalesce("_to", "number")).select(*players.columns)
+
+
+def rename(players: DataFrame, names: DataFrame) -> DataFrame:
+    """Players get the display_name of ``names`` (team, player_id, display_name); empty names change nothing."""
+    had = players if "display_name" in players.columns else players.withColumn("display_name", F.lit(None).cast("string"))
+    new = names.select("team", "player_id", F.nullif(F.col("display_name"), F.lit("")).alias("_said"))
+    return had.join(new, ["team", "player_id"], "left").withColumn("display_name", F.coalesce("_said", "display_name")).select(*had.columns)
+
+
+def set_me(players: DataFrame, team: str, player_id: str) -> DataFrame:
+    """Marks the one player that is me."""
+    return players.withColumn("is_me", (F.col("team") == team) & (F.col("player_id") == player_id))
+
+
+def add_players(players: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds players (team, match_id, key, number) that no observation has shown; their ids follow from team, match and key."""
+    own = F.substr(F.sha2(F.concat_ws("|", "team", "match_id", "key"), 256), F.lit(1), F.lit(32))
+    number = F.col("number").cast("int")
+    rows = new.select("team", own.alias("player_id"), number.alias("number"), F.lit(0).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("matches"), F.when(number.isNotNull(), F.array(number)).otherwise(F.array().cast("array<int>")).alias("history"))
+    return players.unionByName(rows, allowMissingColumns=True)
+
+
 def list_players(players: DataFrame, me: str | None = None) -> DataFrame:
     """Me first, then by number, unnumbered last."""
     mine = F.when(F.col("player_id") == F.lit(me), 0).otherwise(1)

@@ -14,6 +14,8 @@ from .trajectory import FRAME
 # Weights of nearness to the region's centre, to the prediction, and of looks.
 W_CENTRE, W_PREDICTED, W_LOOKS = 0.4, 0.4, 0.2
 TIEBREAK, MY_NUMBER, RECOVER = 0.15, 0.30, 0.45
+# When the target is lost: weights of place and looks, and how much wider than the region is searched.
+W_PLACE, W_LOOKS_LOST, SEARCH = 0.6, 0.4, 2.5
 
 
 def closeness(x: Column, y: Column, size: Column) -> Column:
@@ -49,11 +51,41 @@ def select_candidate(boxes: DataFrame, rois: DataFrame, mine: str, least: float
     return ranked.where((F.col("_k") == 1) & (F.col("score") >= least)).drop("_sure", "_k")
 
 
-def margin_term(scored: DataFrame) -> DataFrame:
-    """The best score of a frame less the next; 1 for a lone candidate."""
+def recovery_scores(boxes: DataFrame, rois: DataFrame) -> DataFrame:
+    """Adds score for a lost target: 0.6 nearness to the prediction and 0.4 looks, in the region widened about the prediction.
+
+    Boxes outside that search area are left out. Boxes may carry looks (0..1); frames without a prediction look about
+    the region's centre.
+    """
+    met = boxes.join(rois, list(FRAME))
+    box, half_w, half_h = Box(), SEARCH * (F.col("rx2") - F.col("rx1")) / 2, SEARCH * (F.col("ry2") - F.col("ry1")) / 2
+    x, y = F.coalesce("pred_x", (F.col("rx1") + F.col("rx2")) / 2), F.coalesce("pred_y", (F.col("ry1") + F.col("ry2")) / 2)
+    size = 2 * F.sqrt(half_w * half_w + half_h * half_h)
+    looks = F.coalesce("looks", F.lit(0.0)) if "looks" in boxes.columns else F.lit(0.0)
+    near = met.where((F.abs(box.cx - x) <= half_w) & (F.abs(box.cy - y) <= half_h))
+    return near.withColumn("score", W_PLACE * closeness(x, y, F.when(size <= 1e-6, 1.0).otherwise(size)) + W_LOOKS_LOST * looks)
+
+
+def recovery_select(boxes: DataFrame, rois: DataFrame, mine: str, least: float = RECOVER) -> DataFrame:
+    """The box that a lost target is found in again, frame by frame; none where the best scores under ``least``."""
+    pool = boxes.where(F.coalesce("team", F.lit("")).isin(mine, "unsure", ""))
     w = Window.partitionBy(*FRAME).orderBy(F.desc("score"), "obj_id")
-    ranked = scored.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))
-    return ranked.where("_k = 1").select(*FRAME, "obj_id", F.when(F.col("_next").isNull(), 1.0).otherwise(unit(F.col("score") - F.col("_next"))).alias("margin"))
+    return recovery_scores(pool, rois).withColumn("_k", F.row_number().over(w)).where((F.col("_k") == 1) & (F.col("score") >= least)).drop("_k")
+
+
+def margin_term(candidates: DataFrame, rois: DataFrame) -> DataFrame:
+    """How far the chosen box of each frame stands out: its nearness to the region's centre less the next best one's.
+
+    Candidates carry ``chosen`` (boolean). 1 for a lone candidate, 0 if another is nearer, null without a region.
+    """
+    met = candidates.join(rois, list(FRAME), "left")
+    size = F.sqrt(F.pow(F.col("rx2") - F.col("rx1"), 2) + F.pow(F.col("ry2") - F.col("ry1"), 2))
+    near = closeness((F.col("rx1") + F.col("rx2")) / 2, (F.col("ry1") + F.col("ry2")) / 2, F.when(size <= 1e-6, 1.0).otherwise(size))
+    near = F.when(F.col("rx1").isNotNull(), near)
+    best = met.groupBy(*FRAME).agg(F.sort_array(F.collect_list(near), False).alias("all"), F.max(F.when(F.col("chosen"), near)).alias("own"), F.max(F.when(F.col("chosen"), F.col("obj_id"))).alias("obj_id"))
+    second = F.when(F.col("all")[0] <= F.col("own") + 1e-9, F.col("all")[1]).otherwise(F.col("all")[0])
+    margin = F.when(F.size("all") == 1, 1.0).when(F.size("all") > 1, unit(F.col("own") - second))
+    return best.where("obj_id is not null").select(*FRAME, "obj_id", margin.alias("margin"))
 
 
 CHAIN = "match_id long, clip_id long, frame long, healthy boolean, " + ", ".join(f"m{i}{k} double" for i in (1, 2, 3) for k in (1, 2, 3))

@@ -3,12 +3,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, height_plausible, project
+from ..functions import geometry as g
+from ..functions.geometry import Box, project
 from ..operators import aggregates as a
-from ..operators import edits, filters, joins, profiles, registry_store, selection
+from ..operators import edits, filters, joins, profiles, registry_store, scoring_gates, selection
 from ..operators import trajectory as t
-from .box_queries import DECIDED, DISTS, PRINTS, RES, ROI, TRS, VEC, VOTES, rois, with_teams
+from .box_queries import DECIDED, DISTS, PRINTS, RES, ROI, TRS, VEC, VOTES, rois, team_prints, team_vectors
 from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, sql
+from .match_queries import SQL as MATCH_SQL
 from .trajectory_queries import CENTRE, FOOT, POINTS, SEG, TR, points, residuals
 
 
@@ -41,7 +43,7 @@ OBS = f"SELECT 'team' || (obj_id % 3) AS team, clip_id AS match_id, obj_id AS ke
 def as_players(spark, sf):
     """Players as of the even matches, to link the odd ones' profiles to."""
     rows = observations(spark, sf).where("match_id % 2 = 0")
-    return rows.select("team", F.concat(F.lit("p"), "key").alias("player_id"), F.when(F.col("key") % 4 == 0, F.col("number")).alias("number"), F.col("resid"), F.array(F.col("key") % 7 + 1.0, F.lit(2.0)).alias("fingerprint"))
+    return rows.select("team", F.concat(F.lit("p"), "key").alias("player_id"), F.when(F.col("key") % 4 == 0, F.col("number")).alias("number"), F.col("resid"), F.array(F.col("key") % 7 + 1.0, F.lit(2.0)).alias("fingerprint"), F.when(F.col("key") % 8 == 6, F.array(F.col("number").cast("int"))).alias("history"))
 
 
 def incoming(spark, sf):
@@ -73,17 +75,77 @@ def live_points(spark, sf):
 CHAINED = "SELECT match_id, clip_id, frame, frame % 11 <> 0 AS healthy, -sum(CASE WHEN frame % 11 <> 0 THEN frame % 5 ELSE 0 END) OVER w AS m13, sum(CASE WHEN frame % 11 <> 0 THEN 1 ELSE 0 END) OVER w AS m23 FROM (SELECT DISTINCT match_id, clip_id, frame FROM objects_v) WINDOW w AS (PARTITION BY match_id, clip_id ORDER BY frame)"
 
 
+def edit_log(spark, sf):
+    """Edits by track: some go, one of them comes back, stretches go or pass to another track of the clip."""
+    tracks = objects(spark, sf).select(*TR).distinct().withColumn("k", F.col("obj_id") % 40)
+    command = lambda seq, op, start=0, target=0: F.struct((F.col("obj_id") * 10 + seq).alias("seq"), F.lit(op).alias("op"), F.lit(start).alias("start"), (F.col("obj_id") + target).alias("target"))
+    of = {3: [command(1, "nuke")], 4: [command(1, "nuke"), command(2, "undo")], 5: [command(1, "delete_forward", 200)], 6: [command(1, "merge_forward", 300, 10)]}
+    log = None
+    for k, commands in of.items():
+        own = tracks.where(F.col("k") == k).select(*TR, F.explode(F.array(*commands)).alias("c"))
+        log = own if log is None else log.unionByName(own)
+    return log.select(*TR, "c.*")
+
+
 def edited(spark, sf):
-    log = [("nuke", 3), ("bulk_delete", [4, 5]), ("delete_forward", 10, 200), ("nuke", 11), ("undo",), ("merge_forward", 20, 21, 300)]
-    return edits.apply_edit_log(objects(spark, sf), log).groupBy("obj_id").agg(F.count("*").alias("n"), F.sum("frame").alias("frames"))
+    rows = edits.apply_edit_log(objects(spark, sf).select(*TR, "frame", "x1", "y1", "x2", "y2"), edit_log(spark, sf))
+    return rows.groupBy(*TR).agg(F.count("*").alias("n"), F.sum("frame").alias("frames"))
+
+
+STRETCH = "SELECT * FROM (SELECT *, sum(CASE WHEN frame - prev > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, clip_id, obj_id ORDER BY frame) AS part FROM (SELECT *, lag(frame) OVER (PARTITION BY match_id, clip_id, obj_id ORDER BY frame) AS prev FROM objects_v WHERE (obj_id % 40 = 5 AND frame >= 200) OR (obj_id % 40 = 6 AND frame >= 300))) WHERE part = 0"
 
 
 def scored_detections(spark, sf):
-    """Sample boxes with fingerprints as detections: colour by the team distances, height by the label's row."""
-    rows = with_teams(spark, sf).withColumn("height", 40.0 + (F.col("vec_id") % 60)).withColumn("expected", 60.0 + (F.col("vec_id") % 7))
-    score = F.col("d_other") - F.col("d_tracked")
-    kept = (score >= -0.4) & height_plausible(F.col("height"), F.col("expected"), F.lit(4.0))
-    return rows.select("vec_id", F.round(score, 6).alias("team_score"), kept.alias("kept"))
+    """Sample boxes with fingerprints as detections: team 0 is tracked, and every other match has a second tracked team without a height model."""
+    rows = team_vectors(spark, sf)
+    b = rows.withColumn("x1", F.lit(0.0)).withColumn("x2", F.lit(10.0)).withColumn("y1", F.lit(0.0) + F.col("vec_id") % 300).withColumn("y2", F.col("y1") + 40.0 + F.col("vec_id") % 60)
+    prints = team_prints(spark, sf).select("name", "track", "fingerprint")
+    named = rows.select("match_id").distinct().withColumn("name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("team"), k)))).join(prints.hint("merge"), "name")
+    tracked = F.col("track") | ((F.col("name") == "team1") & (F.col("match_id") % 2 == 0))
+    model = lambda value: F.when(F.col("name") == "team0", F.lit(value))
+    teams = named.select("match_id", "name", tracked.alias("track"), "fingerprint", model(0.08).alias("slope"), model(50.0).alias("intercept"), model(4.0).alias("spread"))
+    out = scoring_gates.score_detections(b, teams, field=F.col("vec_id") % 11 != 0)
+    return out.select("vec_id", F.round("team_score", 6).alias("team_score"), "kept")
+
+
+def confident(spark, sf):
+    """Followed boxes with the height statistics of their whole track."""
+    w = Window.partitionBy(*TR)
+    rows = residuals(spark, sf).withColumn("h_mean", F.avg("residual").over(w)).withColumn("h_std", F.stddev_pop("residual").over(w)).withColumn("h_n", F.count("*").over(w))
+    rows = rows.withColumn("appearance", F.col("conf")).withColumn("read", F.expr("try_cast(number as int)")).withColumn("target", F.lit(7))
+    out = scoring_gates.annotate_confidence(rows)
+    return out.select(*TR, "frame", F.round("confidence", 6).alias("confidence"), "tier")
+
+
+def chosen(spark, sf):
+    pool = candidates(spark, sf).where("team in ('home', 'unsure', '')")
+    best = selection.select_candidate(candidates(spark, sf), regions(spark, sf), "home").select("match_id", "clip_id", "frame", F.col("obj_id").alias("_best"))
+    return pool.join(best, ["match_id", "clip_id", "frame"]).withColumn("chosen", F.col("obj_id") == F.col("_best")).drop("_best")
+
+
+def commands(spark, sf):
+    """Players with renumbered, renamed and added ones."""
+    players = as_players(spark, sf).withColumn("history", F.coalesce("history", F.array().cast("array<int>"))).withColumn("number", F.col("number").cast("int"))
+    n = F.substr("player_id", F.lit(2), F.lit(20)).cast("long")
+    out = registry_store.set_numbers(players, players.where(n % 5 == 0).select("team", "player_id", (n % 23 + 1).alias("number")))
+    out = registry_store.rename(out, players.where(n % 3 == 0).select("team", "player_id", F.concat(F.lit("name "), "player_id").alias("display_name")))
+    out = registry_store.add_players(out, incoming(spark, sf).where("key % 9 = 0").select("team", "match_id", "key", "number"))
+    out = registry_store.set_me(out, "team0", "p0")
+    return out.select("team", "player_id", "number", "display_name", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+
+
+def refined(spark, sf):
+    new = objects(spark, sf).where("frame % 4 = 0")
+    new = new.withColumn("x1", F.col("x1") + 2.0).withColumn("x2", F.when(F.col("frame") % 8 == 0, F.col("x2") + 2000.0).otherwise(F.col("x2") + 1.0))
+    out = joins.refine_boxes(objects(spark, sf), new, (FRAME_W, FRAME_H))
+    return out.groupBy(*TR, "refined").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 3).alias("x1"))
+
+
+def sizes(spark, sf):
+    x, y, w, h = g.to_size(Box())
+    corners = g.to_corners(x, y, w, h)
+    rows = objects(spark, sf)
+    return rows.select(*TR, "frame", F.round(w, 6).alias("w"), F.round(h, 6).alias("h"), F.round(corners[2], 6).alias("x2"), F.round(corners[3], 6).alias("y2"))
 
 
 def reprojection(spark, sf):
@@ -126,9 +188,14 @@ def ruled_out(spark, sf):
     return joins.ruled_out_seed(mine, 5).select("match_id", "number", "role_group")
 
 
-def rollup(spark, sf):
-    rows = points(spark, sf).where("px is not null").rollup("match_id", "team").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    return rows
+def summed(spark, sf):
+    return a.evidence_summary(profiles.build_profiles(residuals(spark, sf), FRAME_W, FRAME_H)).withColumn("best", F.round("best", 6))
+
+
+def reads(spark, sf):
+    out = a.tracklet_reads(profiles.tracklet_evidence(residuals(spark, sf), FRAME_W, FRAME_H), filters.votes_of(objects(spark, sf)))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("votes")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("long").cast("string"))), ",")
+    return out.select(*TR, "n_frames", F.round("resid", 6).alias("resid"), said.alias("votes"))
 
 
 def attached(spark, sf):
@@ -157,7 +224,15 @@ QUERIES = {
     "f1_kept_only": lambda s, d: filters.kept_only(objects(s, d).withColumn("kept", F.col("conf") > 0.5)).groupBy("match_id").agg(F.count("*").alias("n")),
     "f10_exclude_ruled_out": lambda s, d: filters.exclude(objects(s, d), filters.short_tracks(objects(s, d), 600)).groupBy("match_id").agg(F.count("*").alias("n")),
     "g24_reprojection": reprojection,
-    "g26_rollup": rollup,
+    "g26_evidence_summary": summed,
+    "s11_tracklet_reads": reads,
+    "p6_box_sizes": sizes,
+    "p24_refine_boxes": refined,
+    "c8_registry_commands": commands,
+    "c12_annotate_confidence": confident,
+    "f7_filter_ids": lambda s, d: filters.filter_ids(objects(s, d), objects(s, d).where("obj_id % 7 = 0").select(*TR)).groupBy(*TR).agg(F.count("*").alias("n")),
+    "j1_join_dims": lambda s, d: joins.join_dims(objects(s, d), objects(s, d).where("clip_id % 2 = 0").groupBy("match_id", "clip_id").agg(F.max("frame").alias("last"))).groupBy("match_id", "clip_id").agg(F.count("last").alias("n"), F.max("last").alias("last")),
+    "t6_union_clips": lambda s, d: joins.union_clips(*[objects(s, d).where(f"clip_id % 3 = {k}").select(*TR, "frame", *(["team"] if k else [])) for k in range(3)]).groupBy("match_id").agg(F.count("*").alias("n"), F.count("team").alias("teams")),
     "j7_ruled_out_seed": ruled_out,
     "j8_find_by_number": by_number,
     "j13_name_tracks": lambda s, d: joins.name_tracks(objects(s, d), objects(s, d).groupBy(*TR).agg(F.count("*").alias("n")).where("obj_id % 2 = 0").select(*TR, F.concat(F.lit("p"), "obj_id").alias("player_id"), F.lit("x").alias("display"))).groupBy("player_id").agg(F.count("*").alias("n")),
@@ -165,33 +240,49 @@ QUERIES = {
     "s9_resolve_by_priority": priority,
     "t7_distinct_clips": lambda s, d: objects(s, d).groupBy("match_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("clip_id")), lambda x: x.cast("string")), ",").alias("clips")),
     "w13_select_candidate": lambda s, d: selection.select_candidate(candidates(s, d), regions(s, d), "home").select("match_id", "clip_id", "frame", "obj_id", F.round("score", 6).alias("score")),
-    "w14_recovery_select": lambda s, d: selection.select_candidate(candidates(s, d), regions(s, d), "home", selection.RECOVER).groupBy("match_id", "clip_id").agg(F.count("*").alias("n")),
-    "w15_margin_term": lambda s, d: selection.margin_term(selection.candidate_scores(candidates(s, d), regions(s, d))).select("match_id", "clip_id", "frame", "obj_id", F.round("margin", 6).alias("margin")),
+    "w14_recovery_select": lambda s, d: selection.recovery_select(candidates(s, d), regions(s, d), "home").select("match_id", "clip_id", "frame", "obj_id", F.round("score", 6).alias("score")),
+    "w15_margin_term": lambda s, d: selection.margin_term(chosen(s, d), rois(s, d)).select("match_id", "clip_id", "frame", "obj_id", F.round("margin", 6).alias("margin")),
     "w19_camera_chain": chained,
 }
 
 BEST = "SELECT *, row_number() OVER (PARTITION BY match_id, clip_id, frame ORDER BY CASE WHEN team = 'home' THEN 1 ELSE 0 END DESC, score DESC, obj_id) AS k FROM scored WHERE team IN ('home', 'unsure', '')"
+CONFIDENT = f"""SELECT {TRS}, frame, greatest(0, least(1, b + CASE WHEN number = '' THEN 0 WHEN CAST(number AS INTEGER) = 7 THEN 1e-1 ELSE -8e-2 END)) AS k FROM (
+ SELECT *, greatest(0, least(1, CASE WHEN source = 'manual' THEN greatest(blend, 85e-2) ELSE blend END)) AS b FROM (
+ SELECT *, 4e-1 * CASE source WHEN 'detection' THEN 7e-1 WHEN 'manual' THEN 9e-1 ELSE 35e-2 END + 2e-1 * coalesce(CASE WHEN n >= 15 THEN CASE WHEN dev <= low THEN 1 WHEN dev >= high THEN 0 ELSE 1 - (dev - low) / (high - low) END END, 5e-1) + 2e-1 * conf + 1e-1 AS blend FROM (
+ SELECT *, abs(r - m) AS dev, greatest(1e-6, 5e-1 * sd) AS low, greatest(18, 25e-1 * sd) AS high FROM (
+ SELECT *, avg(r) OVER w AS m, stddev_pop(r) OVER w AS sd, count(*) OVER w AS n FROM (SELECT *, {RES} AS r FROM objects_v) WINDOW w AS (PARTITION BY {TRS})))))"""
+
 SQL = {
+    "c12_annotate_confidence": sql(f"SELECT {TRS}, frame, round(k, 6) AS confidence, CASE WHEN k < 4e-1 THEN 'low' WHEN k < 7e-1 THEN 'mid' ELSE 'high' END AS tier FROM ({CONFIDENT})"),
+    "g26_evidence_summary": f"SELECT match_id, count(*) AS players, count(number) AS numbered, CAST(sum(n_frames) AS BIGINT) AS frames, CAST(sum(n_clips) AS BIGINT) AS clips, round(max(evidence), 6) AS best FROM ({MATCH_SQL['c4_build_profiles']}) GROUP BY match_id",
+    "c8_registry_commands": sql("SELECT team, player_id, CASE WHEN k % 5 = 0 THEN k % 23 + 1 ELSE number END AS number, CASE WHEN k % 3 = 0 THEN 'name ' || player_id END AS display_name, array_to_string(list_sort(list_distinct(list_filter([before, CASE WHEN k % 5 = 0 THEN k % 23 + 1 END], lambda x: x IS NOT NULL))), ',') AS history FROM pl UNION ALL SELECT team, substr(sha256(team || '|' || match_id || '|' || key), 1, 32), number, NULL, coalesce(CAST(number AS VARCHAR), '') FROM obs WHERE match_id % 2 = 1 AND key % 9 = 0", **_obs, pl="SELECT team, 'p' || key AS player_id, key AS k, CASE WHEN key % 4 = 0 THEN number END AS number, CASE WHEN key % 8 = 6 THEN number END AS before FROM obs WHERE match_id % 2 = 0"),
+    "t6_union_clips": sql("SELECT match_id, count(*) AS n, count(*) FILTER (clip_id % 3 <> 0) AS teams FROM objects_v GROUP BY ALL"),
+    "j1_join_dims": sql("SELECT match_id, clip_id, CASE WHEN clip_id % 2 = 0 THEN count(*) ELSE 0 END AS n, CASE WHEN clip_id % 2 = 0 THEN max(frame) END AS last FROM objects_v GROUP BY match_id, clip_id"),
+    "f7_filter_ids": sql(f"SELECT {TRS}, count(*) AS n FROM objects_v WHERE obj_id % 7 = 0 GROUP BY ALL"),
+    "p24_refine_boxes": sql(f"SELECT {TRS}, refined, count(*) AS n, round(sum(CASE WHEN refined THEN greatest(0, least(1919e0, x1 + 2)) ELSE x1 END), 3) AS x1 FROM (SELECT *, frame % 4 = 0 AND nw > 1 AND nw * h / greatest(1, (x2 - x1) * h) BETWEEN 1e-1 AND 4 AND greatest(0, least(x1 + 2 + nw, x2) - greatest(x1 + 2, x1)) * h / greatest(1, nw * h) >= 1e-1 AS refined FROM (SELECT *, y2 - y1 AS h, x2 - x1 - 2 + CASE WHEN frame % 8 = 0 THEN 2000 ELSE 1 END AS nw FROM objects_v)) GROUP BY ALL"),
+    "p6_box_sizes": sql(f"SELECT {TRS}, frame, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM objects_v"),
+    "s11_tracklet_reads": sql(f"SELECT {TRS}, n_frames, resid, v AS votes FROM (SELECT {TRS}, count(*) AS n_frames, round(avg({RES}), 6) AS resid FROM objects_v GROUP BY ALL) LEFT JOIN (SELECT {TRS}, string_agg(number || ':' || CAST(weight AS BIGINT), ',' ORDER BY number) AS v FROM votes GROUP BY ALL) USING ({TRS})", votes=VOTES),
+    "c5_edit_log": sql(f"SELECT {TRS}, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames FROM (SELECT * FROM kept WHERE ({TRS}, frame) NOT IN (SELECT (match_id, clip_id, obj_id + 10, frame) FROM moved) UNION ALL SELECT match_id, clip_id, obj_id + 10, frame FROM moved) GROUP BY ALL", stretch=STRETCH, moved="SELECT * FROM stretch WHERE obj_id % 40 = 6", kept=f"SELECT {TRS}, frame FROM objects_v WHERE obj_id % 40 <> 3 AND ({TRS}, frame) NOT IN (SELECT ({TRS}, frame) FROM stretch)").replace(f"({TRS}, frame) NOT IN (SELECT ({TRS}, frame)", f"({TRS}, frame) NOT IN (SELECT ({TRS}, frame)"),
     "c16_team_profiles": sql("SELECT match_id, team, count(*) AS n_samples, round(regr_slope(bh, cy), 6) AS slope, count(*) < 12 AS few FROM c GROUP BY ALL", c=CENTRE),
     "j6_attach_nearest_height": sql("SELECT match_id, clip_id, obj_id, arg_min(number, (d, number)) AS number FROM (SELECT o.m AS match_id, o.match_id AS clip_id, o.key AS obj_id, k.number, abs(o.resid - k.resid) AS d FROM ob o JOIN (SELECT m, number, round(avg(resid), 9) AS resid FROM ob WHERE number IS NOT NULL GROUP BY ALL) k ON o.m = k.m WHERE o.number IS NULL) WHERE d <= 8 GROUP BY ALL", **_obs, ob="SELECT *, key % 5 AS m FROM obs"),
-    "c1_score_detections": sql("SELECT vec_id, round(o - k, 6) AS team_score, o - k >= -4e-1 AND abs(40e0 + vec_id % 60 - (60e0 + vec_id % 7)) <= greatest(12e0, 35e-2 * (60e0 + vec_id % 7)) AS kept FROM (SELECT vec_id, min(d) FILTER (team = 0) AS k, min(d) FILTER (team <> 0) AS o FROM dists GROUP BY ALL)", vec=VEC, prints=PRINTS, dists=DISTS),
-    "c6_registry_candidates": sql("""SELECT team, match_id, key, coalesce(same, near) AS player_id, CASE WHEN same IS NOT NULL THEN 'number' WHEN near IS NOT NULL THEN 'height' ELSE 'new' END AS how FROM
- (SELECT i.team, i.match_id, i.key, min(p.player_id) AS same FROM inc i LEFT JOIN pl p ON p.team = i.team AND p.number = i.number GROUP BY ALL) LEFT JOIN
- (SELECT team, match_id, key, CASE WHEN count(*) = 1 THEN arg_min(player_id, (d, player_id)) ELSE arg_min(player_id, (cd, player_id)) END AS near FROM (SELECT *, min(d) OVER (PARTITION BY team, match_id, key) AS m FROM (
- SELECT i.team, i.match_id, i.key, p.player_id, abs(i.resid - p.resid) AS d, 1 - (i.f * p.f + 4) / (sqrt(i.f * i.f + 4) * sqrt(p.f * p.f + 4)) AS cd FROM inc i JOIN pl p ON p.team = i.team) WHERE d <= 12) WHERE d - m < 3 GROUP BY ALL) USING (team, match_id, key)""",
- **_obs, inc="SELECT *, key % 5 + 1e0 AS f FROM obs WHERE match_id % 2 = 1", pl="SELECT team, 'p' || key AS player_id, CASE WHEN key % 4 = 0 THEN number END AS number, resid, key % 7 + 1e0 AS f FROM obs WHERE match_id % 2 = 0"),
+    "c1_score_detections": sql("SELECT vec_id, round(o - k, 6) AS team_score, o - k >= 3e-2 AND (match_id % 2 = 0 OR abs(40e0 + vec_id % 60 - e) <= greatest(12e0, 35e-2 * greatest(e, 1))) AND vec_id % 11 <> 0 AS kept FROM (SELECT vec_id, vec_id % 5 AS match_id, 8e-2 * (vec_id % 300 + (40e0 + vec_id % 60) / 2) + 50e0 AS e, min(d) FILTER (team = 0 OR (team = 1 AND vec_id % 5 % 2 = 0)) AS k, min(d) FILTER (NOT (team = 0 OR (team = 1 AND vec_id % 5 % 2 = 0))) AS o FROM dists GROUP BY ALL)", vec=VEC, prints=PRINTS, dists=DISTS),
+    "c6_registry_candidates": sql("""SELECT team, match_id, key, coalesce(same, near) AS player_id, CASE WHEN same IS NOT NULL THEN 'number' ELSE coalesce(via, 'new') END AS how FROM
+ (SELECT i.team, i.match_id, i.key, arg_min(w.player_id, (w.since, w.player_id)) AS same FROM inc i LEFT JOIN worn w ON w.team = i.team AND w.number = i.number GROUP BY ALL) LEFT JOIN
+ (SELECT team, match_id, key, CASE WHEN d1 > 12 THEN NULL WHEN n = 1 OR d2 - d1 >= 3 THEN 'height' WHEN tied >= 2 AND l2 - l1 >= 5e-2 THEN 'height+fp' END AS via, CASE WHEN d1 > 12 THEN NULL WHEN n = 1 OR d2 - d1 >= 3 THEN p1 WHEN tied >= 2 AND l2 - l1 >= 5e-2 THEN q1 END AS near FROM (
+ SELECT team, match_id, key, count(*) AS n, min(d) AS d1, arg_min(player_id, (d, player_id)) AS p1, list_sort(list(d))[2] AS d2, count(*) FILTER (d - m < 3) AS tied, arg_min(player_id, (cd, player_id)) FILTER (d - m < 3) AS q1, list_sort(list(cd) FILTER (d - m < 3))[1] AS l1, list_sort(list(cd) FILTER (d - m < 3))[2] AS l2 FROM (
+ SELECT *, min(d) OVER (PARTITION BY team, match_id, key) AS m FROM (SELECT i.team, i.match_id, i.key, p.player_id, abs(i.resid - p.resid) AS d, 1 - (i.f * p.f + 4) / (sqrt(i.f * i.f + 4) * sqrt(p.f * p.f + 4)) AS cd FROM inc i JOIN pl p ON p.team = i.team)) GROUP BY ALL)) USING (team, match_id, key)""",
+ **_obs, inc="SELECT *, key % 5 + 1e0 AS f FROM obs WHERE match_id % 2 = 1", pl="SELECT team, 'p' || key AS player_id, CASE WHEN key % 4 = 0 THEN number END AS number, CASE WHEN key % 8 = 6 THEN number END AS before, resid, key % 7 + 1e0 AS f FROM obs WHERE match_id % 2 = 0", worn="SELECT team, player_id, number, 0 AS since FROM pl WHERE number IS NOT NULL UNION ALL SELECT team, player_id, before, 1 FROM pl WHERE before IS NOT NULL"),
     "c14_export_report": sql(f"SELECT {TRS}, tracked_frames, coverage_pct, num_gaps, n_segments, reel_frames, reel_s FROM (SELECT {TRS}, count(*) AS tracked_frames, round(100e0 * count(*) / max(frame), 2) AS coverage_pct, count(*) FILTER (gap > 0) AS num_gaps FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY {TRS} ORDER BY frame) - 1 AS gap FROM objects_v) GROUP BY ALL) JOIN (SELECT {TRS}, count(*) AS n_segments, CAST(sum(last - first + 1) AS BIGINT) AS reel_frames, round(sum(last - first + 1) / 30e0, 2) AS reel_s FROM ({SEG(5)}) GROUP BY ALL) USING ({TRS})"),
     "f1_kept_only": sql("SELECT match_id, count(*) AS n FROM objects_v WHERE conf > 5e-1 GROUP BY ALL"),
     "f10_exclude_ruled_out": sql(f"SELECT match_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {TRS}, count(*) AS n FROM objects_v GROUP BY ALL) WHERE n >= 600 GROUP BY ALL"),
     "g24_reprojection": sql("SELECT match_id, clip_id, round(sqrt(avg((px - (5e-2 * fx + 2e-3 * cy - 3) / (1e-4 * fx + 2e-4 * cy + 1)) ** 2 + (py - (1e-3 * fx + 6e-2 * cy - 2) / (1e-4 * fx + 2e-4 * cy + 1)) ** 2)), 6) AS rms FROM (SELECT *, (y1 + y2) / 2 AS cy FROM points) GROUP BY ALL", foot=FOOT, points=POINTS),
-    "g26_rollup": sql("SELECT match_id, team, count(*) AS n, grouping_id(match_id, team) AS g FROM objects_v GROUP BY ROLLUP (match_id, team)"),
     "j8_find_by_number": sql("SELECT team, number, coalesce(now, once) AS player_id FROM (SELECT team, number, arg_min(key, ord) AS once FROM numbered GROUP BY ALL) LEFT JOIN (SELECT team, number, arg_max(key, (CASE WHEN key % 8 = 0 THEN 1 ELSE 0 END, match_id, -ord)) AS now FROM numbered WHERE key % 4 = 0 GROUP BY ALL) USING (team, number)", **_obs, numbered=NUMBERED),
     "j13_name_tracks": sql("SELECT CASE WHEN obj_id % 2 = 0 THEN 'p' || obj_id END AS player_id, count(*) AS n FROM objects_v GROUP BY 1"),
     "p12_live_foot_point": sql(f"SELECT {TRS}, count(px) AS n, round(sum(px), 3) AS px, round(sum(py), 3) AS py FROM (SELECT {TRS}, CASE WHEN healthy THEN (5e-2 * (fx + m13) + 2e-3 * (fy + m23) - 3) / (1e-4 * (fx + m13) + 2e-4 * (fy + m23) + 1) END AS px, CASE WHEN healthy THEN (1e-3 * (fx + m13) + 6e-2 * (fy + m23) - 2) / (1e-4 * (fx + m13) + 2e-4 * (fy + m23) + 1) END AS py FROM foot JOIN chain USING (match_id, clip_id, frame)) GROUP BY ALL", foot=FOOT, chain=CHAINED),
     "s9_resolve_by_priority": sql("SELECT DISTINCT match_id, clip_id, CASE WHEN clip_id % 3 = 0 THEN 'override' WHEN clip_id % 2 = 0 THEN 'clip' || clip_id WHEN match_id < 3 THEN 'match' || match_id END AS setting FROM objects_v"),
     "t7_distinct_clips": sql("SELECT match_id, string_agg(CAST(clip_id AS VARCHAR), ',' ORDER BY clip_id) AS clips FROM (SELECT DISTINCT match_id, clip_id FROM objects_v) GROUP BY ALL"),
     "w13_select_candidate": sql("SELECT match_id, clip_id, frame, obj_id, round(score, 6) AS score FROM best WHERE k = 1", **SELECTION, best=BEST),
-    "w14_recovery_select": sql("SELECT match_id, clip_id, count(*) AS n FROM best WHERE k = 1 AND score >= 45e-2 GROUP BY ALL", **SELECTION, best=BEST),
-    "w15_margin_term": sql("SELECT match_id, clip_id, frame, obj_id, round(CASE WHEN nx IS NULL THEN 1 ELSE greatest(0, least(1, score - nx)) END, 6) AS margin FROM (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS nx FROM scored WINDOW w AS (PARTITION BY match_id, clip_id, frame ORDER BY score DESC, obj_id)) WHERE k = 1", **SELECTION),
+    "w14_recovery_select": sql("SELECT match_id, clip_id, frame, obj_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY match_id, clip_id, frame ORDER BY score DESC, obj_id) AS k FROM (SELECT c.*, 6e-1 * greatest(0, least(1, 1 - sqrt((cx - pred_x) ** 2 + (cy - pred_y) ** 2) / (25e-1 * size))) + 4e-1 * conf AS score FROM c JOIN region USING (match_id, clip_id, frame) WHERE team IN ('home', 'unsure', '') AND abs(cx - pred_x) <= 125e-2 * (rx2 - rx1) AND abs(cy - pred_y) <= 125e-2 * (ry2 - ry1))) WHERE k = 1 AND score >= 45e-2", **SELECTION),
+    "w15_margin_term": sql("SELECT match_id, clip_id, frame, max(CASE WHEN mine THEN obj_id END) AS obj_id, round(CASE WHEN count(*) = 1 THEN 1 ELSE greatest(0, max(CASE WHEN mine THEN near END) - CASE WHEN max(near) <= max(CASE WHEN mine THEN near END) + 1e-9 THEN list_reverse_sort(list(near))[2] ELSE max(near) END) END, 6) AS margin FROM near JOIN (SELECT match_id, clip_id, frame, obj_id AS o FROM best WHERE k = 1) USING (match_id, clip_id, frame), (SELECT 1) x, LATERAL (SELECT near.obj_id = o AS mine) GROUP BY ALL", **SELECTION, best=BEST, near=f"SELECT c.*, {_near('(rx1 + rx2) / 2', '(ry1 + ry2) / 2')} AS near FROM c JOIN region USING (match_id, clip_id, frame) WHERE team IN ('home', 'unsure', '')"),
     "w19_camera_chain": sql("SELECT match_id, clip_id, frame, healthy, CAST(m13 AS DOUBLE) AS m13, CAST(m23 AS DOUBLE) AS m23 FROM chain", chain=CHAINED.replace("OVER w AS m13", "OVER w AS m13")),
 }

@@ -24,11 +24,11 @@ def _whole(name: str) -> Column:
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet detections in column order; missing columns are 0. Partition columns (match_id, clip_id) stay."""
+    """Parquet detections in column order; missing columns are 0, but kept null: no gate has run. Partition columns (match_id, clip_id) stay."""
     raw = spark.read.parquet(path)
     have = set(raw.columns)
     own = [part.split() for part in DETECTIONS.split(", ")]
-    cols = [(F.col(n) if n in have else F.lit(0)).cast(kind).alias(n) for n, kind in own]
+    cols = [(F.col(n) if n in have else F.lit(None if n == "kept" else 0)).cast(kind).alias(n) for n, kind in own]
     return raw.select(*[c for c in raw.columns if c not in {n for n, _ in own}], *cols)
 
 
