@@ -15,7 +15,11 @@ SCHEMA = "match_id long, clip_id long, obj_id long, frame long, x1 double, y1 do
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="touchline-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
