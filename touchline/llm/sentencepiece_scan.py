@@ -24,7 +24,7 @@ WHOLE = "-1,-1,-1"  # the state of an edge that no piece lies across
 class Pieces:
     """A SentencePiece BPE model: its pieces, encoding of short units, and the lattice."""
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 60_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
