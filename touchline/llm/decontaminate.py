@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import modest_batches, table, written
 
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -152,6 +152,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_ch
     letters or digits (null and empty ones too) can't be searched for; null and empty texts hold none. Null ids, of documents
     or of items, stay null. Repeated rows, of documents or of items, give a row each. Empty tables give no rows. Extra columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"])
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, shingles, word_hashes
-from .shared import Bucketed, release, sliced, table, written
+from .shared import Bucketed, modest_batches, release, sliced, table, written
 from .subwords import groups
 
 #: Largest set for which enumerating subsets is considered; past it their number explodes.
@@ -380,6 +380,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     in several components. Texts equal but for white space and A-Z are one set. An empty table gives no rows. Extra
     columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     return JaccardJoin(docs, words, num, den).run()
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACES, UPPER, Bucketed, ascii_lower, base_columns, release, sliced, table, written
+from .shared import LOWER, SPACES, UPPER, Bucketed, ascii_lower, base_columns, modest_batches, release, sliced, table, written
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -121,6 +121,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     min_chars never go. An empty table gives an empty result. Columns not named in carry are ignored.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     carry = tuple(c for c in carry if c not in ("doc_id", "text"))
     docs = base_columns(docs, "doc_id", *carry, "text")
     known = docs.where("doc_id is not null")

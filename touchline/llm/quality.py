@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, word_hashes
-from .shared import sliced, table
+from .shared import modest_batches, sliced, table
 from .subwords import groups
 
 #: Frequent function words of English, French, German and Spanish.
@@ -250,6 +250,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000
     Repeated rows get equal scores. An empty table gives an empty result. Columns quality_score and keep of the input are
     replaced.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("quality_score", "keep")
     texts = docs.select(docs["text"])
     seen = texts.mapInArrow(_patterns, "pattern long").groupBy("pattern").count().collect()

@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, table, written
+from .shared import modest_batches, release, table, written
 from .subwords import Units, bytes_of, parts
 
 MARK = "▁"  # stands for a space inside pieces
@@ -354,6 +354,7 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = 16384, key: str = "d
     An empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     giant = F.char_length("text") > chunk

@@ -69,6 +69,26 @@ class Bucketed:
         _delete(self.spark, self.path)
 
 
+#: Rows and bytes of an Arrow batch, at most. Rows are whole texts here, and a batch is held several times over: by the
+#: executor's JVM, outside its heap, and by the Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones of the user stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        had = spark.conf.get(name, None)
+        if had is not None and not 0 < _bytes(had) <= most:
+            spark.conf.set(name, str(most))
+
+
+def _bytes(value: str) -> int:
+    """A size as Spark writes it: a number, or one with a unit."""
+    digits = value.rstrip("bBkKmMgG")
+    return int(digits) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(value[len(digits) :].lower().rstrip("b"), 1)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z and leaves every other letter alone."""
     return F.translate(column, UPPER, LOWER)
@@ -81,6 +101,9 @@ def base_columns(df: DataFrame, *names: str) -> DataFrame:
 
 def sliced(batches, rows: int = 256):
     """Arrow batches cut into short ones, so that a task turns few texts into Python strings at a time."""
+    import pyarrow as pa
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
