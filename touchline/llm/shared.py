@@ -78,8 +78,8 @@ def modest_batches(spark: SparkSession) -> None:
     """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones of the user stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        had = spark.conf.get(name, None)
-        if had is not None and not 0 < _bytes(had) <= most:
+        had = spark.conf.get(name)  # both have defaults in Spark
+        if not 0 < _bytes(had) <= most:
             spark.conf.set(name, str(most))
 
 
