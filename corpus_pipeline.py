@@ -49,12 +49,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = docs.select(*COLUMNS)
     groups = near_duplicates(docs, words=5, num=80, den=100).where("doc_id is not null")
     own = groups.groupBy("doc_id", "text_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("times"))
-    marked = written(own.where("copy or times > 1"), "copies")
+    marked = written(own.where("copy or times > 1"), "copies").withColumnRenamed("text_id", "_text")
     keyed = docs.withColumn("_text", text_id(F.col("text")))
-    met = keyed.join(marked.withColumnRenamed("text_id", "_text").hint("merge"), ["doc_id", "_text"], "left")
-    once = met.where("times is null").select(*COLUMNS)
-    repeated = met.where("times > 1 and not copy").dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
-    return once.unionByName(repeated)
+    on = ["doc_id", "_text"]
+    kept = keyed.join(marked.select(*on).hint("shuffle_hash"), on, "left_anti").select(*COLUMNS)  # texts are shuffled once and not sorted
+    again = marked.where("times > 1 and not copy").select(*on)
+    if again.limit(1).count():
+        kept = kept.unionByName(keyed.join(again.hint("shuffle_hash"), on, "left_semi").dropDuplicates(on).select(*COLUMNS))
+    return kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
