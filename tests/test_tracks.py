@@ -243,3 +243,49 @@ def test_camera_chain(spark):
     steps = spark.createDataFrame([(0, 0, 1, shift(0.0), 50), (0, 0, 2, shift(4.0), 50), (0, 0, 3, None, 0), (0, 0, 4, shift(2.0), 50), (0, 0, 5, shift(9.0), 3)], "match_id long, clip_id long, frame long, step array<double>, inliers int")
     got = [(r.frame, r.healthy, r.m13) for r in selection.camera_chain(steps).orderBy("frame").collect()]
     assert got == [(1, True, 0.0), (2, True, -4.0), (3, False, -4.0), (4, True, -6.0), (5, False, -6.0)]
+
+
+def test_landmark_correspondences(spark):
+    from touchline.operators import calibration
+
+    named = spark.createDataFrame([(n, float(k), 2.0 * k) for k, n in enumerate("abcde")], "name string, x double, y double")
+    steps = [(m, 1, f, [1.0, 0.0, 2.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 3 if f == 4 else 60) for m in (1, 2) for f in (1, 2, 3, 4, 5)]
+    chain = selection_chain(spark, steps)
+    clicks = [(1, 1, k, f, n, 100.0, 50.0) for k, (f, n) in enumerate([(2, "a"), (3, "b"), (5, "b"), (4, "c"), (1, "d"), (2, "d"), (3, "e"), (3, "elsewhere")])]
+    clicks += [(2, 1, 0, 2, "a", 1.0, 1.0), (2, 1, 1, 3, "b", 1.0, 1.0), (2, 1, 2, 3, "c", float("nan"), 1.0), (2, 1, 3, 3, "d", None, 1.0)]
+    table = spark.createDataFrame(clicks, "match_id long, clip_id long, click_id long, frame long, name string, x double, y double")
+    found = calibration.landmark_correspondences(table, chain, named).collect()
+    # the weak frame's and the earlier frame's clicks don't count, the later click of b does; match 2 has too few landmarks
+    assert {(r.match_id, r.name, round(r.image_x, 6), r.y) for r in found} == {(1, "a", 100.0, 0.0), (1, "b", 96.0, 2.0), (1, "d", 100.0, 6.0), (1, "e", 98.0, 8.0)}
+    assert {r.anchor_frame for r in found} == {2}
+    error = calibration.reprojection_error(calibration.landmark_correspondences(table, chain, named), (0.01, 0, 0, 0, 0.01, 0, 0, 0, 1)).first()
+    assert error.n == 4 and error.flagged
+    assert calibration.landmark_correspondences(table.limit(0), chain, named).count() == 0
+
+
+def selection_chain(spark, steps):
+    from touchline.operators.selection import camera_chain
+
+    return camera_chain(spark.createDataFrame(steps, "match_id long, clip_id long, frame long, step array<double>, inliers int"))
+
+
+def test_match_report_and_me(spark):
+    from touchline.operators.profiles import match_report, me_profile, merge_same_number
+
+    numbers = spark.createDataFrame([(1, 7), (2, 7), (3, None)], "match_id long, my_number int")
+    known = spark.createDataFrame([(1, 7, 90, 2, 0.5), (1, 11, 40, 1, 0.25), (1, None, 5, 1, 0.0), (2, 9, 10, 1, 0.1)], "match_id long, number int, n_frames long, n_clips long, evidence double")
+    rows = {r.match_id: r for r in match_report(known, numbers).collect()}
+    assert rows[1].identified and rows[1].n_frames == 90 and [p.number for p in rows[1].ruled_out] == [11]
+    assert not rows[2].identified and rows[2].n_frames is None and rows[2].n_ruled_out == 1
+    assert not rows[3].identified and rows[3].role is None and rows[3].n_ruled_out == 0
+    teams = spark.createDataFrame([(1, "x", False, 0), (1, "home", True, 2), (1, "away", True, 3)], "match_id long, team string, tracked boolean, ord int")
+    heights = spark.createDataFrame([(1, 15, 4.0), (2, 14, 5.0)], "match_id long, n long, mean double")
+    told = {r.match_id: tuple(r)[1:] for r in me_profile(numbers, teams, heights).collect()}
+    assert told == {1: (7, "forward", "home", 4.0), 2: (7, "forward", None, None), 3: (None, None, None, None)}
+    parts = [(1, p, n, 1, c, ["k", p], c, m, 2.0) for p, n, c, m in (("a", 7, 4, 1.0), ("b", 7, 4, 3.0), ("c", None, 2, 9.0), ("d", None, 0, None))]
+    profiles = spark.createDataFrame(parts, "match_id long, pid string, number int, n_tracks long, n_frames long, clips array<string>, h_n long, h_mean double, h_m2 double")
+    for side in ("zx", "zy"):
+        profiles = profiles.selectExpr("*", *[f"h_{c} as {side}_{c}" for c in ("n", "mean", "m2")])
+    merged = {r.pid: r for r in merge_same_number(profiles).collect()}
+    assert set(merged) == {"a", "c", "d"} and merged["a"].n_tracks == 2 and list(merged["a"].clips) == ["a", "b", "k"]
+    assert (merged["a"].h_n, merged["a"].h_mean, merged["a"].h_m2) == (8, 2.0, 12.0) and merged["d"].h_mean is None

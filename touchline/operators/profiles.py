@@ -93,3 +93,49 @@ def build_profiles(rows: DataFrame, width: float, height: float, spread: float =
     named, group = role(F.col("number"))
     score = evidence(F.col("n_frames"), F.col("n_clips"), named_term(F.col("number"), F.col("number_conf"), ok))
     return out.select("match_id", "number", "n_tracks", "n_frames", "n_clips", "resid", "zx", "zy", "number_conf", named.alias("role"), group.alias("role_group"), ok.alias("zone_ok"), score.alias("evidence"))
+
+
+def merge_same_number(players: DataFrame) -> DataFrame:
+    """Profiles of a match with one number become one; those without a number stay apart.
+
+    players: match_id, pid, number, n_tracks, n_frames, clips (array), and n, mean and m2 of height residual and zone (``h_n`` to
+    ``zy_m2``, as ``tracklet_evidence`` gives them). Moments are merged exactly; the smallest pid stays.
+    """
+    folds = []
+    for name in ("h", "zx", "zy"):
+        n, mean, m2 = (F.col(f"{name}_{c}") for c in ("n", "mean", "m2"))
+        total, weighted = F.sum(n), F.sum(n * mean)
+        centre = weighted / F.nullif(total, F.lit(0))
+        folds += [total.alias(f"{name}_n"), centre.alias(f"{name}_mean"), F.greatest(F.sum(m2 + n * mean * mean) - weighted * centre, F.lit(0.0)).alias(f"{name}_m2")]
+    alone = F.when(F.col("number").isNull(), F.col("pid"))
+    pooled = players.groupBy("match_id", "number", alone.alias("_alone")).agg(
+        F.min("pid").alias("pid"), F.sum("n_tracks").alias("n_tracks"), F.sum("n_frames").alias("n_frames"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("clips")))).alias("clips"), *folds,
+    )
+    return pooled.drop("_alone")
+
+
+def me_profile(numbers: DataFrame, teams: DataFrame, heights: DataFrame, ready: int = 15) -> DataFrame:
+    """match_id, my_number, my_group, my_team, my_resid: what is known of me in each match, as ``classify_tracks`` takes it.
+
+    numbers: match_id, my_number. teams: match_id, team, tracked (boolean), ord; mine is the first tracked one.
+    heights: match_id, n, mean of my height residual; told only from ``ready`` samples on. What isn't known is null.
+    """
+    team = teams.where("tracked").groupBy("match_id").agg(F.min_by("team", "ord").alias("my_team"))
+    height = heights.where(F.col("n") >= ready).select("match_id", F.col("mean").alias("my_resid"))
+    return numbers.select("match_id", "my_number").join(team, "match_id", "left").join(height, "match_id", "left").select("match_id", "my_number", role(F.col("my_number"))[1].alias("my_group"), "my_team", "my_resid")
+
+
+def match_report(profiles: DataFrame, me: DataFrame) -> DataFrame:
+    """One row for each match of ``me`` (match_id, my_number): my own profile, and who can be ruled out.
+
+    profiles: match_id, number, n_frames, n_clips, evidence, a number once a match. identified is false and my figures are null
+    where no profile has my number. ruled_out holds number, role and evidence of every other numbered player, by number;
+    numbers go up to 23, so the list is short.
+    """
+    met = me.select("match_id", "my_number").join(profiles.where("number is not null"), "match_id", "left")
+    mine = F.coalesce(F.col("number") == F.col("my_number"), F.lit(False))
+    other = F.when(F.col("number").isNotNull() & ~mine, F.struct("number", role(F.col("number"))[0].alias("role"), "evidence"))
+    own = lambda c: F.max(F.when(mine, F.col(c))).alias(c)
+    out = met.groupBy("match_id", "my_number").agg(F.max(mine).alias("identified"), own("n_frames"), own("n_clips"), own("evidence"), F.array_sort(F.collect_list(other)).alias("ruled_out"))
+    return out.withColumn("role", role(F.col("my_number"))[0]).withColumn("n_ruled_out", F.size("ruled_out").cast("long"))

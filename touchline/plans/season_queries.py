@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.geometry import Box, project
 from ..operators import aggregates as a
-from ..operators import edits, filters, joins, profiles, registry_store, scoring_gates, selection
+from ..operators import calibration, edits, filters, joins, profiles, registry_store, scoring_gates, selection
 from ..operators import trajectory as t
 from .box_queries import DECIDED, DISTS, PRINTS, RES, ROI, TRS, VEC, VOTES, rois, team_prints, team_vectors
 from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, sql
-from .match_queries import SQL as MATCH_SQL
+from .match_queries import ME, QUERIES as MATCH_QUERIES, SQL as MATCH_SQL, me
 from .trajectory_queries import CENTRE, FOOT, POINTS, SEG, TR, points, residuals
 
 
@@ -213,7 +213,74 @@ def team_profiles(spark, sf):
     return n.join(model, ["match_id", "team"], "left").withColumn("few", F.col("n_samples") < 12)
 
 
+NAMED = [(f"{u} / {c}", x, y) for u, x in g.UPRIGHT_LINES.items() for c, y in g.CROSS_LINES.items()] + [(n, *p) for n, p in g.OTHER_POINTS.items()]
+
+
+def clicks(spark, sf):
+    """Feet of boxes as clicks on landmarks, in an order that isn't the frames'."""
+    box = Box()
+    spot = (F.col("obj_id") * 7 + F.col("frame")) % len(NAMED) + 1
+    order = (F.col("frame") * 37) % 1009 * 10**10 + F.col("frame") * 10**5 + F.col("obj_id")
+    name = F.element_at(F.array(*[F.lit(n) for n, _, _ in NAMED]), spot.cast("int"))
+    return objects(spark, sf).select("match_id", "clip_id", order.alias("click_id"), "frame", name.alias("name"), box.cx.alias("x"), F.col("y2").alias("y"))
+
+
+def correspondences(spark, sf):
+    return calibration.landmark_correspondences(clicks(spark, sf), selection.camera_chain(camera_steps(spark, sf)), g.landmarks(spark))
+
+
+def placed(spark, sf):
+    return correspondences(spark, sf).select("match_id", "clip_id", "anchor_frame", "name", F.round("image_x", 3).alias("image_x"), F.round("image_y", 3).alias("image_y"), "x", "y")
+
+
+def calibrated(spark, sf):
+    return calibration.reprojection_error(correspondences(spark, sf), HOMOGRAPHY).withColumn("error", F.round("error", 4))
+
+
+LANDMARKS = ", ".join(f"({k + 1}, '{n}', {x}e0, {y}e0)" for k, (n, x, y) in enumerate(NAMED))
+CLICKS = f"SELECT *, first_value(frame) OVER (PARTITION BY match_id, clip_id ORDER BY click_id) AS anchor_frame FROM (SELECT match_id, clip_id, (frame * 37) % 1009 * 10000000000 + frame * 100000 + obj_id AS click_id, frame, (obj_id * 7 + frame) % {len(NAMED)} + 1 AS spot, (x1 + x2) / 2 AS px, y2 AS py FROM objects_v)"
+PLACED = f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY match_id, clip_id) AS n FROM (
+ SELECT match_id, clip_id, anchor_frame, spot, arg_max(ix, click_id) AS image_x, arg_max(iy, click_id) AS image_y FROM (
+ SELECT k.*, px + CASE WHEN k.frame = anchor_frame THEN 0 ELSE c.m13 - b.m13 END AS ix, py + CASE WHEN k.frame = anchor_frame THEN 0 ELSE c.m23 - b.m23 END AS iy FROM clicks k
+ JOIN chain c ON (c.match_id, c.clip_id, c.frame) = (k.match_id, k.clip_id, k.frame) JOIN chain b ON (b.match_id, b.clip_id, b.frame) = (k.match_id, k.clip_id, k.anchor_frame)
+ WHERE k.frame = anchor_frame OR (c.healthy AND k.frame > anchor_frame)) GROUP BY ALL) JOIN (VALUES {LANDMARKS}) AS v(spot, name, x, y) USING (spot)) WHERE n >= 4"""
+CALIBRATION = {"chain": CHAINED, "clicks": CLICKS, "placed": PLACED}
+
+
+def numbered_tracks(spark, sf):
+    """Every track as a profile of its own, with its decided number."""
+    stats = profiles.tracklet_evidence(residuals(spark, sf), FRAME_W, FRAME_H)
+    decided = filters.decide_number(filters.votes_of(objects(spark, sf)), 1.5).select(*TR, "number")
+    return stats.join(decided, list(TR), "left").withColumn("pid", F.col("obj_id") * 10 + F.col("clip_id")).withColumn("n_tracks", F.lit(1)).withColumn("clips", F.array("clip_id"))
+
+
+def merged_numbers(spark, sf):
+    out = profiles.merge_same_number(numbered_tracks(spark, sf))
+    return out.select("match_id", "number", "pid", "n_tracks", "n_frames", F.size("clips").alias("n_clips"), F.round("h_mean", 5).alias("h"), F.round(F.sqrt(F.col("h_m2") / F.col("h_n")), 4).alias("h_dev"), F.round("zx_mean", 6).alias("zx"), F.round("zy_mean", 6).alias("zy"))
+
+
+def known_of_me(spark, sf):
+    rows = residuals(spark, sf)
+    teams = rows.groupBy("match_id", "team").agg(F.max("obj_id").alias("ord")).withColumn("tracked", F.col("team") != "unsure")
+    heights = rows.where("obj_id % 50 = 7").groupBy("match_id").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"))
+    out = profiles.me_profile(me(spark, sf), teams, heights)
+    return out.withColumn("my_resid", F.round("my_resid", 6))
+
+
+def reported(spark, sf):
+    out = profiles.match_report(MATCH_QUERIES["c4_build_profiles"](spark, sf), me(spark, sf))
+    said = F.transform("ruled_out", lambda p: F.concat(p["number"].cast("string"), F.lit(":"), F.coalesce(p["role"], F.lit("?"))))
+    return out.withColumn("ruled_out", F.array_join(said, ", ")).withColumn("evidence", F.round("evidence", 6))
+
+
+_ROLE = lambda n: "CASE " + n + " " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in g.ROLES.items()) + " END"
+
 QUERIES = {
+    "c15_match_report": reported,
+    "c17_landmark_correspondences": placed,
+    "c17_reprojection_flag": calibrated,
+    "c18_me_profile": known_of_me,
+    "g21_merge_same_number": merged_numbers,
     "c16_team_profiles": team_profiles,
     "j6_attach_nearest_height": attached,
     "c1_score_detections": scored_detections,
@@ -253,6 +320,13 @@ CONFIDENT = f"""SELECT {TRS}, frame, greatest(0, least(1, b + CASE WHEN number =
  SELECT *, avg(r) OVER w AS m, stddev_pop(r) OVER w AS sd, count(*) OVER w AS n FROM (SELECT *, {RES} AS r FROM objects_v) WINDOW w AS (PARTITION BY {TRS})))))"""
 
 SQL = {
+    "c15_match_report": f"""SELECT match_id, my_number, {_ROLE('my_number')} AS role, coalesce(bool_or(number = my_number), false) AS identified, max(n_frames) FILTER (number = my_number) AS n_frames, max(n_clips) FILTER (number = my_number) AS n_clips, round(max(evidence) FILTER (number = my_number), 6) AS evidence,
+ count(*) FILTER (number <> my_number) AS n_ruled_out, coalesce(string_agg(number || ':' || coalesce({_ROLE('number')}, '?'), ', ' ORDER BY number) FILTER (number <> my_number), '') AS ruled_out
+ FROM ({ME.replace('{lineitem}', 'lineitem')}) LEFT JOIN ({MATCH_SQL['c4_build_profiles']}) USING (match_id) GROUP BY match_id, my_number""",
+    "c17_landmark_correspondences": sql("SELECT match_id, clip_id, anchor_frame, name, round(image_x, 3) AS image_x, round(image_y, 3) AS image_y, x, y FROM placed", **CALIBRATION),
+    "c17_reprojection_flag": sql("SELECT match_id, clip_id, count(*) AS n, round(sqrt(avg((px - x) ** 2 + (py - y) ** 2)), 4) AS error, sqrt(avg((px - x) ** 2 + (py - y) ** 2)) > 3 AS flagged FROM (SELECT *, (5e-2 * image_x + 2e-3 * image_y - 3) / (1e-4 * image_x + 2e-4 * image_y + 1) AS px, (1e-3 * image_x + 6e-2 * image_y - 2) / (1e-4 * image_x + 2e-4 * image_y + 1) AS py FROM placed) GROUP BY ALL", **CALIBRATION),
+    "c18_me_profile": sql(f"SELECT match_id, my_number, CASE WHEN my_number BETWEEN 1 AND 8 THEN 'forward' WHEN my_number BETWEEN 9 AND 15 THEN 'back' END AS my_group, my_team, my_resid FROM (SELECT match_id, my_number FROM me) LEFT JOIN (SELECT match_id, arg_min(team, o) AS my_team FROM (SELECT match_id, team, max(obj_id) AS o FROM objects_v WHERE team <> 'unsure' GROUP BY ALL) GROUP BY ALL) USING (match_id) LEFT JOIN (SELECT match_id, CASE WHEN count(*) >= 15 THEN round(avg({RES}), 6) END AS my_resid FROM objects_v WHERE obj_id % 50 = 7 GROUP BY ALL) USING (match_id)", me=ME),
+    "g21_merge_same_number": sql(f"SELECT match_id, number, min(obj_id * 10 + clip_id) AS pid, count(DISTINCT obj_id * 10 + clip_id) AS n_tracks, count(*) AS n_frames, count(DISTINCT clip_id) AS n_clips, round(avg(r), 5) AS h, round(stddev_pop(r), 4) AS h_dev, round(avg(cx / 1920e0), 6) AS zx, round(avg(cy / 1080e0), 6) AS zy FROM (SELECT *, {RES} AS r, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM objects_v) LEFT JOIN (SELECT {TRS}, number AS n FROM decided WHERE weight >= 1.5e0) USING ({TRS}) GROUP BY match_id, n, CASE WHEN n IS NULL THEN obj_id * 10 + clip_id END".replace("SELECT match_id, number,", "SELECT match_id, n AS number,", 1), votes=VOTES, decided=DECIDED),
     "c12_annotate_confidence": sql(f"SELECT {TRS}, frame, round(k, 6) AS confidence, CASE WHEN k < 4e-1 THEN 'low' WHEN k < 7e-1 THEN 'mid' ELSE 'high' END AS tier FROM ({CONFIDENT})"),
     "g26_evidence_summary": f"SELECT match_id, count(*) AS players, count(number) AS numbered, CAST(sum(n_frames) AS BIGINT) AS frames, CAST(sum(n_clips) AS BIGINT) AS clips, round(max(evidence), 6) AS best FROM ({MATCH_SQL['c4_build_profiles']}) GROUP BY match_id",
     "c8_registry_commands": sql("SELECT team, player_id, CASE WHEN k % 5 = 0 THEN k % 23 + 1 ELSE number END AS number, CASE WHEN k % 3 = 0 THEN 'name ' || player_id END AS display_name, array_to_string(list_sort(list_distinct(list_filter([before, CASE WHEN k % 5 = 0 THEN k % 23 + 1 END], lambda x: x IS NOT NULL))), ',') AS history FROM pl UNION ALL SELECT team, substr(sha256(team || '|' || match_id || '|' || key), 1, 32), number, NULL, coalesce(CAST(number AS VARCHAR), '') FROM obs WHERE match_id % 2 = 1 AND key % 9 = 0", **_obs, pl="SELECT team, 'p' || key AS player_id, key AS k, CASE WHEN key % 4 = 0 THEN number END AS number, CASE WHEN key % 8 = 6 THEN number END AS before FROM obs WHERE match_id % 2 = 0"),
