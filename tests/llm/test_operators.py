@@ -126,6 +126,23 @@ def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(odd(spark, []), 4, 85, 100).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_jaccard_long_words(spark):
+    """Words that polynomial hashes confuse by construction, and a word of a megabyte, are told apart."""
+    swap = str.maketrans("ab", "ba")
+    words = [w for n in (8, 1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n).translate(swap))] + ["m" * (1 << 20), "m" * (1 << 20) + "n", "m" * ((1 << 20) - 1)]
+    rows = list(enumerate(words)) + [(100 + k, f"one two three four {w} five six seven") for k, w in enumerate(words)]
+    for words_, num in ((4, 85), (5, 80)):
+        got = jaccard.near_duplicates(odd(spark, rows), words_, num, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words_, num, 100)
+    from touchline.llm.hashing import word_hashes
+
+    assert len(set(word_hashes([w.encode() for w in words])[0].tolist())) == len(words)
+
+
 def test_jaccard_branches(spark, monkeypatch):
     """Short texts that differ by a word at the end: their links come from the light branch, or from the heavy one where it is closed."""
     rng, rows = random.Random(4), []

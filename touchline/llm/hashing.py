@@ -10,31 +10,10 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(1, n), np.uint64)
-    filled, step = 1, base
-    while filled < n:
-        more = min(filled, n - filled)
-        out[filled : filled + more] = out[:more] * np.uint64(step)
-        filled, step = filled + more, step * step % (1 << 64)
-    return out[:n]
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """Kept up to a million, as workers live on; a longer list is made for its call alone."""
-    if n > 1 << 20:
-        return powers(base, n)
-    if base not in _POWERS:
-        _POWERS[base] = powers(base, 1 << 20)
-    return _POWERS[base][:n]
+#: What sets the lanes of a word apart by their place, and the word's length from its bytes.
+_PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: The bytes of a lane that belong to the word, by how many there are.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,17 +24,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and how many words each text has."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    """64-bit hashes of the words of all texts in order, and how many words each text has.
+
+    A word is read in lanes of eight bytes. Each lane is scrambled together with its place before the lanes are added, and
+    their sum together with the word's length, so that no word's hash follows from the hashes of its parts.
+    """
+    raw = np.frombuffer(b" ".join(texts) + b" " * 8, np.uint8)
     if fold:
         raw = FOLD[raw]
     space = SPACE[raw]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    back = _powers(_INVERSE, len(raw))
-    words = mix((sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64))
+    lengths = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]])) - begins
+    lanes = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), 0, (1,))  # the eight bytes from each place on
+    n_lanes = (lengths + 7) >> 3
+    first = np.cumsum(n_lanes) - n_lanes
+    place = np.arange(int(n_lanes.sum())) - np.repeat(first, n_lanes)
+    left = np.repeat(lengths, n_lanes) - 8 * place
+    own = lanes[np.repeat(begins, n_lanes) + 8 * place] & _OWN[np.minimum(left, 8)]
+    own = mix(mix(own + _PLACE) + place.astype(np.uint64) * _LENGTH)
+    words = mix((np.add.reduceat(own, first) if len(first) else own) ^ lengths.astype(np.uint64) * _LENGTH)
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     return words, np.diff(np.searchsorted(begins, starts))
 

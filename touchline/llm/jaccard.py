@@ -375,6 +375,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     tokens, which any linked set shares. Every link that counts is checked on the full sets; pairs inside a
     component that is known already are skipped, so a group of copies costs about a pair each, not all pairs.
 
+    Words and shingles are told apart by scrambled 64-bit hashes, so a set is exact but for their chance collisions.
+
     Null or empty texts have no set and stay alone; so do rows with a null doc_id (component null). Repeated rows
     give a row each; rows that share a doc_id are judged by their own text, so that a doc_id with several texts may be
     in several components. Texts equal but for white space and A-Z are one set. An empty table gives no rows. Extra
