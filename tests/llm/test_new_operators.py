@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from touchline.llm import resample, runs, shared, simhash
+from touchline.llm import repair, resample, runs, shared, simhash
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans(shared.UPPER, shared.LOWER)
@@ -181,3 +181,122 @@ def test_shifts_are_zero_bytes():
         got = resample.shifted(states, np.full(4, n))
         assert got.tolist() == [zlib.crc32(b"\0" * n, int(s)) ^ zlib.crc32(b"\0" * n) for s in states]
     assert resample.before_space(np.array([zlib.crc32(b"abc ")], np.uint32)).tolist() == [zlib.crc32(b"abc")]
+
+
+# 11 conversation repair
+
+
+def brute_edits(rows):
+    """(cost, audit, repaired rows) by a forward search that keeps, for each state, the cheapest and then ASCII-least audit."""
+
+    def inserted(best):
+        for _ in range(4):
+            for q, (cost, audit, out) in list(best.items()):
+                to = "a" if q == "u" else "u"
+                mine = (cost + 5, audit + "I", out + [({"u": "user", "a": "assistant"}[to], "")])
+                best[to] = min(mine, best.get(to, mine))
+        return best
+
+    best = {"": (0, "", [])}
+    for role, text, fault in rows:
+        found = {}
+        for q, (cost, audit, out) in inserted(best).items():
+            moves = [("D", 2, q, out)]
+            if fault not in ("blank", "duplicate"):
+                extra = 5 * (fault == "truncated")
+                if role[:1] in (("s", "u") if q == "" else ("a",) if q == "u" else ("u",)):
+                    moves.append(("K", extra, role[:1], [*out, (role, text)]))
+                to = "a" if q == "u" else "u"
+                moves.append(("R", 1 + extra, to, [*out, ({"u": "user", "a": "assistant"}[to], text)]))
+            for edit, fee, to, after in moves:
+                mine = (cost + fee, audit + edit, after)
+                found[to] = min(mine, found.get(to, mine))
+        best = found
+    ends = inserted(best)
+    return min(ends[q] for q in ("", "a") if q in ends)
+
+
+def brute_repair(rows):
+    convs = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        own = convs[conv]
+        if kind:
+            text = {1: "", 2: re.sub("[.!?]", "", text)}.get(kind, text)
+            own += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    out = []
+    for conv, own in convs.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
+        seen, marked = set(), []
+        for _, role, text in own:
+            body = text.rstrip(shared.SPACES)
+            fault = "blank" if not body.lstrip(shared.SPACES) else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else ""
+            seen.add((role, text))
+            marked.append((role, text, fault))
+        turns = [t for t, _, _ in own if t is not None]
+        starts = [r[:1] for _, r, _ in own]
+        cost, audit, repaired = brute_edits(marked)
+        out.append((
+            conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(sum(f == x for _, _, f in marked) for x in ("blank", "duplicate", "truncated")),
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(starts, starts[1:])), cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in repaired).encode()).hexdigest(),
+        ))
+    return out
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def query11(spark, rows):
+    """The query's own steps over some rows with columns that clash."""
+    turns = spark.createDataFrame(rows, TURNS).selectExpr("*", "'x' as place", "1 as kind", "2 as fault", "'z' as edit", "4 as copy")
+    reports, repaired = repair.repair_conversations(repair.damaged(turns), turns)
+    digests = {r.conv_id: r.repaired_sha256 for r in repaired.mapInArrow(repair._digests, "conv_id long, repaired_sha256 string").collect()}
+    return [(*tuple(r), digests.get(r.conv_id, hashlib.sha256(b"").hexdigest())) for r in reports.collect()]
+
+
+def test_repair_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for conv in range(300):
+        for turn in range(rng.randrange(12)):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", None, ""])
+            rows.append((conv, rng.choice([turn, turn, turn, None, turn + 5]), role, rng.choice([f"Text {rng.randrange(4)}.", "cut off", " \t", None, "Is it?\n", "é!"])))
+    rows += [(None, k, "user", "x.") for k in range(9)] + [(-5, 1, "user", "y" * 300_000 + ".")]
+    rows += [(77777, k, rng.choice(["user", "assistant"]), f"{k % 50}.") for k in range(3000)]
+    assert sorted(map(str, query11(spark, rows))) == sorted(map(str, brute_repair(rows)))
+    assert query11(spark, []) == []
+
+
+def test_repair_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = repair.op11_conversation_repair(spark, SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_repair(rows)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_block_tables(size):
+    """Any block length gives what a plain search gives."""
+    made, rng = repair.Tables(size), random.Random(size)
+    names = ["system", "user", "assistant", "tool"]
+    for _ in range(1500):
+        symbols = bytes(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8]) for _ in range(rng.randrange(15)))
+        rows = [(names[x % 4], "", "blank" if x == 8 else "truncated" if x >= 4 else "") for x in symbols]
+        assert made.cheapest(symbols) == brute_edits(rows)[:2]
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op13_importance_resampling"])
+def test_sql(spark, name):
+    import duckdb
+
+    from compare import plain
+    from touchline.llm import registered
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = registered.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    cur = con.execute(registered.SQL[name])
+    heads = [d[0] for d in cur.description]
+    assert sorted(heads) == cols
+    assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(plain(r[heads.index(c)]) for c in cols) for r in cur.fetchall())

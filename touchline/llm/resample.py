@@ -179,4 +179,20 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_importance_resampling": op13_importance_resampling}
-SQL: dict = {}
+SQL = {
+    "op13_importance_resampling": r"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+w AS (SELECT doc_id AS id, true AS own, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+l AS (SELECT id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM w),
+g AS (SELECT id, own, array_to_string(ws[i : i + n - 1], ' ') AS f FROM (SELECT id, own, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM l, (SELECT unnest([1, 2, 3]) AS n))),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM g)),
+c AS (SELECT f, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM x, tab),
+b AS (SELECT g.id, g.own, c.bucket FROM g JOIN c USING (f)),
+n AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM b GROUP BY bucket),
+k AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT count(*) FROM b WHERE own) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b WHERE NOT own) + 10000)))) AS gain FROM n),
+e AS (SELECT id, count(*) AS n_features, sum(gain) AS weight FROM b JOIN k USING (bucket) WHERE own GROUP BY id),
+y AS (SELECT l.id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || l.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM l LEFT JOIN e USING (id) WHERE own),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM z) * 5 // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id)"""
+}
