@@ -1,6 +1,5 @@
-"""Literal cases with known results, invariance to partitioning, files and streams."""
+"""Literal cases with known results, invariance to partitioning, and files."""
 
-import datetime
 import json
 
 import pytest
@@ -11,7 +10,6 @@ from touchline.functions import scoring as s
 from touchline.operators import aggregates, filters, identity, linking
 from touchline.operators import trajectory as t
 from touchline.sources import files
-from touchline.streaming import live
 
 KEYS = "match_id long, clip_id long, obj_id long, frame long"
 BOX = KEYS + ", x1 double, y1 double, x2 double, y2 double"
@@ -151,29 +149,6 @@ def test_files(spark, tmp_path):
     assert [(r.key, r.player) for r in files.clip_manifest(spark, str(tmp_path / "m")).orderBy("key").collect()] == [("ann__one", "ann"), ("two", None)]
 
 
-def run_stream(spark, df, tmp_path, name, mode="append"):
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
-def test_streams_equal_batch(spark, tmp_path):
-    start = datetime.datetime(2024, 1, 1)
-    lows = {k: 0.1 if k % 20 in (3, 4, 5, 6, 7, 8) else 0.9 for k in range(1, 61)}
-    rows = [(0, 0, o, f, start + datetime.timedelta(seconds=f / 30), 0.2 * f, 0.0, lows[f], "7" if f % 2 else "99") for o in (1, 2) for f in lows]
-    schema = KEYS + ", frame_ts timestamp, px double, py double, conf double, number string"
-    df = spark.createDataFrame(rows, schema)
-    df.repartitionByRange(3, "frame").sortWithinPartitions("frame").write.parquet(str(tmp_path / "in"))
-    source = lambda: live.stream_detections(spark, str(tmp_path / "in"), schema)
-    votes = run_stream(spark, live.stream_votes(source()), tmp_path, "votes", "complete").collect()
-    assert sorted((r.obj_id, r.number, r.weight) for r in votes) == [(1, 7, 30), (2, 7, 30)]
-    alerts = run_stream(spark, live.stream_low_conf_alerts(source()), tmp_path, "alerts").collect()
-    want = t.low_conf_runs(df, 0.4, 5).collect()
-    assert sorted((r.obj_id, r.start) for r in alerts) == sorted((r.obj_id, r["first"]) for r in want) and len(want) == 6
-    steps = run_stream(spark, live.stream_steps(source()), tmp_path, "steps")
-    assert steps.agg(F.round(F.sum("step"), 6)).first()[0] == t.step_metrics(df, 30.0).agg(F.round(F.sum("step"), 6)).first()[0]
-
-
 def test_edits_and_undo(spark):
     from touchline.operators import edits
 

@@ -2,65 +2,97 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _score(box, other, gate2: float) -> float | None:
-    """Overlap plus nearness of two boxes, or None where they are neither over one another nor near."""
-    w, h = min(box[2], other[2]) - max(box[0], other[0]), min(box[3], other[3]) - max(box[1], other[1])
-    inter = max(w, 0.0) * max(h, 0.0)
-    union = (box[2] - box[0]) * (box[3] - box[1]) + (other[2] - other[0]) * (other[3] - other[1]) - inter
-    overlap = inter / union if inter > 0 and union > 0 else 0.0
-    d2 = ((box[0] + box[2] - other[0] - other[2]) / 2) ** 2 + ((box[1] + box[3] - other[1] - other[3]) / 2) ** 2
-    return overlap + 1.0 / (1.0 + d2 / (gate2 + 1.0)) if overlap >= 0.20 or d2 <= gate2 else None
+def gate_of(width: float, height: float) -> float:
+    """The square of the distance up to which boxes may be linked that aren't over one another."""
+    return (0.04 * (width**2 + height**2) ** 0.5) ** 2
 
 
-class _Linker:
-    """Open tracklets of one stretch of a clip: their last box and frame."""
+def scores(old: np.ndarray, new: np.ndarray, gate2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap plus nearness of every pair of boxes, and which pairs are over one another or near."""
+    a, b = old[:, None, :], new[None, :, :]
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    union = area(a) + area(b) - inter
+    overlap = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
+    d2 = ((a[..., 0] + a[..., 2] - b[..., 0] - b[..., 2]) / 2) ** 2 + ((a[..., 1] + a[..., 3] - b[..., 1] - b[..., 3]) / 2) ** 2
+    return overlap + 1.0 / (1.0 + d2 / (gate2 + 1.0)), (overlap >= 0.20) | (d2 <= gate2)
+
+
+class Linker:
+    """Open tracklets of one stretch of a clip, oldest first: their numbers, last frames and last boxes."""
 
     def __init__(self, gap: int, gate2: float):
-        self.gap, self.gate2, self.open, self.made = gap, gate2, [], 0
-
-    def frame(self, frame: int, boxes: list[tuple]) -> list[int]:
-        self.open = [t for t in self.open if frame - t[1] <= self.gap]
-        pairs = [(s, k, b) for k, t in enumerate(self.open) for b, box in enumerate(boxes) if (s := _score(t[2], box, self.gate2)) is not None]
-        given: dict[int, int] = {}
-        used: set[int] = set()
-        for _, k, b in sorted(pairs, reverse=True):  # of equal scores the later tracklet, then the later box
-            if k not in used and b not in given:
-                used.add(k)
-                given[b] = self.open[k][0]
-                self.open[k] = (self.open[k][0], frame, boxes[b])
-        for b, box in enumerate(boxes):
-            if b not in given:
-                given[b] = self.made
-                self.open.append((self.made, frame, box))
-                self.made += 1
-        return [given[b] for b in range(len(boxes))]
+        self.gap, self.gate2, self.made = gap, gate2, 0
+        self.local, self.last, self.boxes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4))
+
+    def resume(self, standing: list[tuple]) -> None:
+        """Goes on from open tracklets (number, last frame, box); new ones are numbered after them."""
+        if standing:
+            self.local, self.last = (np.array([s[k] for s in standing], np.int64) for k in (0, 1))
+            self.boxes = np.array([[np.nan if v is None else v for v in s[2]] for s in standing], float)
+            self.made = int(self.local.max()) + 1
+
+    def standing(self) -> list[tuple]:
+        boxes = [[None if v != v else v for v in box] for box in self.boxes.tolist()]
+        return list(zip(self.local.tolist(), self.last.tolist(), boxes, strict=True))
+
+    def frame(self, frame: int, boxes: np.ndarray) -> np.ndarray:
+        """The tracklet of each of a frame's boxes: best score first, each tracklet and each box once."""
+        stay = frame - self.last <= self.gap
+        self.local, self.last, self.boxes = self.local[stay], self.last[stay], self.boxes[stay]
+        score, allowed = scores(self.boxes, boxes, self.gate2)
+        k, b = np.nonzero(allowed)
+        order = np.lexsort((b, k, score[k, b]))[::-1]  # of equal scores the later tracklet, then the later box
+        given, used = np.full(len(boxes), -1, np.int64), np.zeros(len(self.local), bool)
+        for i, j in zip(k[order].tolist(), b[order].tolist(), strict=True):
+            if not used[i] and given[j] < 0:
+                used[i], given[j] = True, i
+        old, new = given >= 0, given < 0
+        self.last[given[old]], self.boxes[given[old]] = frame, boxes[old]
+        out = np.empty(len(boxes), np.int64)
+        out[old] = self.local[given[old]]
+        out[new] = self.made + np.arange(int(new.sum()))
+        self.made += int(new.sum())
+        self.local = np.concatenate([self.local, out[new]])
+        self.last = np.concatenate([self.last, np.full(int(new.sum()), frame)])
+        self.boxes = np.concatenate([self.boxes, boxes[new]])
+        return out
 
 
 def _linked(batches, gap: int, gate2: float, columns: list[str]):
     """Rows sorted by stretch and frame; a frame is linked once its last row has been seen."""
-    key, linker, held = None, None, []
+    held, key, linker = None, None, None
 
-    def close():
-        boxes = [(r.x1, r.y1, r.x2, r.y2) for r in held]
-        return [(*(getattr(r, c) for c in columns), int(t)) for r, t in zip(held, linker.frame(int(held[0].frame), boxes), strict=True)]
+    def link(rows: pd.DataFrame):
+        nonlocal key, linker
+        spot = rows[["match_id", "clip_id", "stretch", "frame"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (spot[1:] != spot[:-1]).any(axis=1)]))
+        boxes, local = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), []
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            if tuple(spot[a, :3]) != key:
+                key, linker = tuple(spot[a, :3]), Linker(gap, gate2)
+            local.append(linker.frame(int(spot[a, 3]), boxes[a:b]))
+        return rows[columns].assign(local=np.concatenate(local))
 
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            if held and (r.frame != held[0].frame or (r.match_id, r.clip_id, r.stretch) != key):
-                out += close()
-                held = []
-            if (r.match_id, r.clip_id, r.stretch) != key:
-                key, linker = (r.match_id, r.clip_id, r.stretch), _Linker(gap, gate2)
-            held.append(r)
-        yield pd.DataFrame(out, columns=[*columns, "local"])
-    if held:
-        yield pd.DataFrame(close(), columns=[*columns, "local"])
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        last = (rows[["match_id", "clip_id", "stretch", "frame"]] != rows[["match_id", "clip_id", "stretch", "frame"]].iloc[-1]).any(axis=1).to_numpy()
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last frame may go on in the next batch
+        held = rows.iloc[cut:]
+        if cut:
+            yield link(rows.iloc[:cut])
+    if held is not None:
+        yield link(held)
 
 
 def link_tracklets(detections: DataFrame, width: float, height: float, gap: int = 8, min_len: int = 8) -> DataFrame:
@@ -70,7 +102,7 @@ def link_tracklets(detections: DataFrame, width: float, height: float, gap: int
     is open for ``gap`` frames. Where a clip has no detection for longer than that every tracklet is closed, so the clip
     is cut there and its stretches are linked in parallel. A task streams its rows and holds the open tracklets only.
     """
-    gate2 = (0.04 * (width**2 + height**2) ** 0.5) ** 2
+    gate2 = gate_of(width, height)
     frames = detections.select("match_id", "clip_id", "frame").distinct()
     w = Window.partitionBy("match_id", "clip_id").orderBy("frame")
     cut = F.when(F.col("frame") - F.lag("frame").over(w) > gap, 1).otherwise(0)

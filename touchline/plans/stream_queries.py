@@ -2,16 +2,18 @@
 
 import tempfile
 import uuid
+from functools import cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import trajectory as t
 from ..streaming import live
-from .fixtures import HOMOGRAPHY, objects, sql
+from .fixtures import FRAME_H, FRAME_W, HOMOGRAPHY, objects, sql
 from .trajectory_queries import TR, VIEWS, W
 
 TRS = "match_id, clip_id, obj_id"
-SCHEMA = "match_id long, clip_id long, obj_id long, frame long, x1 double, y1 double, x2 double, y2 double, team string, conf double, number string, source string, px double, py double, frame_ts timestamp"
+SCHEMA = "match_id long, clip_id long, obj_id long, frame long, ord long, x1 double, y1 double, x2 double, y2 double, team string, conf double, number string, source string, px double, py double, frame_ts timestamp"
 
 
 def _folder(spark) -> str:
@@ -23,12 +25,30 @@ def _folder(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def source(spark, sf):
-    """The fixture's boxes as a file stream; frame_ts is the frame's time at 30 frames a second."""
+@cache
+def _files(spark, sf) -> str:
+    """The fixture's boxes in files that a stream reads in four or more triggers, each file's rows in no order.
+
+    frame_ts is the frame's time at 30 frames a second. A file holds 10 seconds, but a row may come up to 4 seconds late. The
+    last file has one row of no track, whose time is two hours later, so that every timer goes off.
+    """
     rows = t.foot_points(objects(spark, sf), HOMOGRAPHY).withColumn("frame_ts", F.timestamp_millis((F.col("frame") * 1000 / 30).cast("long")))
-    path = _folder(spark)
-    rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(path)
-    return live.stream_detections(spark, path, SCHEMA, late="1 hour", per_trigger=100_000)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    band = F.floor((F.col("frame") + F.pmod(F.xxhash64("obj_id", "frame"), F.lit(120))) / 300)
+    place = F.row_number().over(Window.partitionBy("match_id", "clip_id", "frame").orderBy("obj_id")) - 1
+    all_, path = _folder(spark), _folder(spark)
+    rows.withColumn("ord", place.cast("long")).select(*names, band.alias("band")).repartition("band").write.parquet(all_)
+    ready = spark.read.parquet(all_)
+    for k in range(ready.agg(F.max("band")).first()[0] + 1):
+        ready.where(F.col("band") == k).orderBy(F.xxhash64("frame", "obj_id")).select(*names).coalesce(1).write.mode("append").parquet(path)
+    last = ready.agg((F.max("frame_ts") + F.expr("interval 2 hours")).alias("frame_ts")).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "frame_ts" else F.col("frame_ts") for f in ready.drop("band").schema.fields])
+    last.write.mode("append").parquet(path)
+    return path
+
+
+def source(spark, sf):
+    rows = live.stream_detections(spark, _files(spark, sf), SCHEMA, late="5 seconds", per_trigger=1)
+    return rows.where("match_id is not null")
 
 
 def through(spark, stream):
@@ -38,30 +58,34 @@ def through(spark, stream):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def running_votes(spark, sf):
-    """Votes in update mode: the last count of each (track, number) that a batch has sent."""
-    out, state = _folder(spark), _folder(spark)
-    votes = live.stream_votes(source(spark, sf))
-    votes.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(out)).start().awaitTermination()
-    rows = spark.read.schema(votes.schema.add("batch", "long")).parquet(out)
-    return rows.groupBy(*TR, "number").agg(F.max_by("weight", "batch").alias("weight"))
-
-
-def distances(spark, sf):
-    steps = through(spark, live.stream_steps(source(spark, sf)))
-    return steps.where("speed <= 12").groupBy(*TR).agg(F.round(F.sum("step"), 3).alias("distance"), F.count("*").alias("steps"))
+def final_votes(spark, sf):
+    return through(spark, live.stream_votes(source(spark, sf))).where("final").select(*TR, F.col("number").cast("int").alias("number"), "weight")
 
 
 QUERIES = {
     "x1_stream_detections": lambda s, d: through(s, source(s, d)).groupBy(*TR).agg(F.count("*").alias("n"), F.sum("frame").alias("frames")),
-    "x4_stream_votes": running_votes,
+    "x2_stream_link_tracklets": lambda s, d: through(s, live.stream_link_tracklets(source(s, d), FRAME_W, FRAME_H)).groupBy("match_id", "clip_id", "start", "start_ord").agg(F.max("frame").alias("last"), F.count("*").alias("n")),
+    "x3_stream_jump_gate": lambda s, d: through(s, live.stream_jump_gate(source(s, d))).where("held").select(*TR, "frame"),
+    "x4_stream_votes": final_votes,
     "x5_stream_low_conf_alerts": lambda s, d: through(s, live.stream_low_conf_alerts(source(s, d), below=0.6)),
-    "x7_stream_distance": distances,
+    "x6_stream_segments": lambda s, d: through(s, live.stream_segments(source(s, d), "1010 milliseconds")).select(*TR, F.unix_millis("start").alias("start_ms"), F.unix_millis("stop").alias("stop_ms"), "n"),
+    "x7_stream_distance": lambda s, d: through(s, live.stream_distance(source(s, d), width=5000)).select(*TR, "window_ms", F.round("distance", 3).alias("distance"), "steps"),
 }
 
+MS = "CAST(floor(frame * 1000 / 30e0) AS BIGINT)"
+ROWS = f"SELECT {TRS}, frame, x1, y1, x2, y2, source, row_number() OVER {W} AS i FROM objects_v"
+GATE = f"""SELECT {TRS}, i, frame, false AS held, (x1 + x2) / 2 AS gx, (y1 + y2) / 2 AS gy, frame AS gf, 0 AS pending FROM o WHERE i = 1
+ UNION ALL SELECT {TRS}, i, frame, held, CASE WHEN held THEN gx ELSE cx END, CASE WHEN held THEN gy ELSE cy END, CASE WHEN held THEN gf ELSE frame END, CASE WHEN held THEN pending ELSE 0 END FROM (
+  SELECT *, pending BETWEEN 1 AND 2 AS held FROM (
+   SELECT o.match_id, o.clip_id, o.obj_id, o.i, o.frame, gx, gy, gf, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy,
+    CASE WHEN source <> 'manual' AND o.frame - gf BETWEEN 1 AND 8 AND sqrt(((x1 + x2) / 2 - gx) ** 2 + ((y1 + y2) / 2 - gy) ** 2) > 9e-1 * greatest(y2 - y1, 20e0) * (o.frame - gf) THEN pending + 1 ELSE 0 END AS pending
+   FROM g JOIN o ON g.match_id = o.match_id AND g.clip_id = o.clip_id AND g.obj_id = o.obj_id AND o.i = g.i + 1))"""
+
 SQL = {
     "x1_stream_detections": sql(f"SELECT {TRS}, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames FROM objects_v GROUP BY ALL"),
     "x4_stream_votes": sql(f"SELECT {TRS}, CAST(number AS INTEGER) AS number, count(*) AS weight FROM objects_v WHERE number <> '' AND try_cast(number AS INTEGER) BETWEEN 1 AND 23 GROUP BY ALL"),
     "x5_stream_low_conf_alerts": sql(f"SELECT {TRS}, list(frame ORDER BY frame)[1] AS start, list(frame ORDER BY frame)[5] AS alert FROM (SELECT *, row_number() OVER {W} - row_number() OVER (PARTITION BY {TRS}, conf < 6e-1 ORDER BY frame) AS run FROM objects_v) WHERE conf < 6e-1 GROUP BY {TRS}, run HAVING count(*) >= 5"),
-    "x7_stream_distance": sql(f"SELECT {TRS}, round(sum(step), 3) AS distance, count(*) AS steps FROM steps WHERE gap > 0 AND step / (gap / 30e0) <= 12e0 GROUP BY ALL", **VIEWS),
+    "x3_stream_jump_gate": sql(f"SELECT {TRS}, frame FROM g WHERE held", o=ROWS, g=GATE).replace("WITH ", "WITH RECURSIVE ", 1),
+    "x6_stream_segments": sql(f"SELECT {TRS}, min(ms) AS start_ms, max(ms) + 1010 AS stop_ms, count(*) AS n FROM (SELECT *, sum(CASE WHEN ms - prev > 1010 THEN 1 ELSE 0 END) OVER {W} AS part FROM (SELECT *, {MS} AS ms, lag({MS}) OVER {W} AS prev FROM objects_v)) GROUP BY {TRS}, part"),
+    "x7_stream_distance": sql(f"SELECT {TRS}, CAST(floor({MS} / 5e3) AS BIGINT) * 5000 AS window_ms, round(sum(step), 3) AS distance, count(*) AS steps FROM steps WHERE gap > 0 AND step / (gap / 30e0) <= 12e0 GROUP BY ALL", **VIEWS),
 }

@@ -1,15 +1,27 @@
-"""Streaming twins of the track operators. Sources carry frame_ts; a frame's time is clip start + frame / fps."""
+"""Streaming twins of the track operators. Sources carry frame_ts; a frame's time is clip start + frame / fps.
+
+What depends on the order of frames waits in state until the watermark has passed it (``ordered.InOrder``), so results don't
+depend on how rows are dealt to triggers. ``idle`` bounds the state of keys that fall silent.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.linking import Linker, gate_of
+from .ordered import InOrder, in_order
 
 TRACK = ["match_id", "clip_id", "obj_id"]
+MINUTE, HOUR = 60_000, 3_600_000
+# Fixed values of the jump gate: travel in box heights a frame, the least height, frames that a far place has to persist,
+# and the gap after which any place is taken.
+TRAVEL, LEAST_HEIGHT, CONFIRM, RESET = 0.9, 20.0, 3, 8
+#: Rows that anchor the gate wherever they are.
+ANCHORS = ("manual",)
 
 
 def stream_detections(spark: SparkSession, path: str, schema: str, keys=("match_id", "clip_id", "frame", "obj_id"), late: str = "10 seconds", per_trigger: int = 100) -> DataFrame:
@@ -18,10 +30,114 @@ def stream_detections(spark: SparkSession, path: str, schema: str, keys=("match_
     return rows.withWatermark("frame_ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_votes(rows: DataFrame) -> DataFrame:
-    """Running number votes of each track (update or complete mode)."""
-    number = F.when(F.col("number").rlike("^[0-9]+$"), F.col("number").try_cast("int"))
-    return rows.withColumn("number", number).where("number between 1 and 23").groupBy(*TRACK, "number").agg(F.count("*").alias("weight"))
+class _Link(InOrder):
+    key, row = ["match_id", "clip_id"], "frame long, ord long, x1 double, y1 double, x2 double, y2 double"
+    out = "frame long, ord long, start long, start_ord long"
+    kept = {"open": "start long, start_ord long, last long, x1 double, y1 double, x2 double, y2 double, n long", "early": "start long, start_ord long, frame long, ord long"}
+
+    def __init__(self, gate2: float, gap: int, min_len: int, idle: int):
+        super().__init__(idle)
+        self.gate2, self.gap, self.min_len = gate2, gap, min_len
+
+    def step(self, key, rows, state):
+        linker, out = Linker(self.gap, self.gate2), []
+        started = {k: r[:2] for k, r in enumerate(state["open"])}
+        sizes = {r[:2]: r[7] for r in state["open"]}
+        early: dict[tuple, list] = {}
+        for start, start_ord, frame, place in state["early"]:
+            early.setdefault((start, start_ord), []).append((frame, place))
+        linker.resume([(k, r[2], r[3:7]) for k, r in enumerate(state["open"])])
+        for frame, own in groupby(rows, key=lambda r: r[1]):
+            own = list(own)
+            boxes = np.array([[np.nan if v is None else v for v in r[3:7]] for r in own], float)
+            for r, local in zip(own, linker.frame(frame, boxes).tolist(), strict=True):
+                name = started.setdefault(local, (frame, r[2]))
+                sizes[name] = sizes.get(name, 0) + 1
+                if sizes[name] < self.min_len:
+                    early.setdefault(name, []).append((frame, r[2]))
+                else:
+                    out += [(f, o, *name) for f, o in [*early.pop(name, []), (frame, r[2])]]
+        state["open"] = [(*started[k], last, *box, sizes[started[k]]) for k, last, box in linker.standing()]
+        alive = {r[:2] for r in state["open"]}
+        state["early"] = [(*name, f, o) for name, held in early.items() if name in alive for f, o in held]
+        return out
+
+
+def stream_link_tracklets(detections: DataFrame, width: float, height: float, gap: int = 8, min_len: int = 8, idle: int = MINUTE) -> DataFrame:
+    """match_id, clip_id, frame, ord and the tracklet (start, start_ord: its first box) of every box, as ``link_tracklets`` has it.
+
+    A frame is linked when the watermark has passed it. State of a clip: rows that wait, open tracklets (closed ``gap`` frames
+    after their last box), and the boxes of tracklets that aren't ``min_len`` long yet; these are given out when they are, and
+    dropped with tracklets that close before. Detections: match_id, clip_id, frame, ord, x1..y2, frame_ts; idle in
+    milliseconds, at least ``gap`` frames.
+    """
+    return in_order(detections, _Link(gate_of(width, height), gap, min_len, idle))
+
+
+def gate_steps(rows: list[tuple], gate: tuple | None) -> tuple[list[tuple], tuple | None]:
+    """The jump gate over (frame, x1, y1, x2, y2, source) in order: (frame, held) of each, and the gate's state.
+
+    State: centre and frame of the last good box, and how many far boxes have come since.
+    """
+    out = []
+    for frame, x1, y1, x2, y2, source in rows:
+        if None in (x1, y1, x2, y2):
+            continue
+        cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+        pending = 0
+        if gate is not None and source not in ANCHORS:
+            gap = frame - gate[2]
+            far = ((cx - gate[0]) ** 2 + (cy - gate[1]) ** 2) ** 0.5
+            if 0 < gap <= RESET and far > TRAVEL * max(y2 - y1, LEAST_HEIGHT) * gap:
+                pending = gate[3] + 1
+        held = 0 < pending < CONFIRM
+        gate = (gate[0], gate[1], gate[2], pending) if held else (cx, cy, frame, 0)
+        out.append((frame, held))
+    return out, gate
+
+
+class _Gate(InOrder):
+    key, row, out = TRACK, "frame long, x1 double, y1 double, x2 double, y2 double, source string", "frame long, held boolean"
+    kept = {"gate": "cx double, cy double, frame long, pending long"}
+
+    def step(self, key, rows, state):
+        out, gate = gate_steps([r[1:] for r in rows], state["gate"][0] if state["gate"] else None)
+        state["gate"] = [gate] if gate is not None else []
+        return out
+
+
+def stream_jump_gate(rows: DataFrame, idle: int = HOUR) -> DataFrame:
+    """Track, frame and held: whether a box is too far from the last good one and hasn't persisted for three frames yet.
+
+    A gap of over 8 frames opens the gate, and manual rows are good wherever they are. Rows without a box are left out.
+    """
+    return in_order(rows, _Gate(idle))
+
+
+class _Votes(InOrder):
+    key, row, out = TRACK, "frame long, number long", "number long, weight long, final boolean"
+    kept = {"votes": "number long, weight long"}
+
+    def step(self, key, rows, state):
+        votes = dict(state["votes"])
+        for r in rows:
+            votes[r[2]] = votes.get(r[2], 0) + 1
+        changed = {r[2] for r in rows}
+        state["votes"] = sorted(votes.items())
+        return [(n, w, False) for n, w in state["votes"] if n in changed]
+
+    def finish(self, key, state):
+        return [(n, w, True) for n, w in state["votes"]]
+
+
+def stream_votes(rows: DataFrame, idle: int = HOUR) -> DataFrame:
+    """Running number votes of each track: number, weight and final.
+
+    A number's weight is given out whenever it has grown, and once more with ``final`` when the track has been silent for ``idle``
+    milliseconds of event time; then its votes leave the state.
+    """
+    number = F.when(F.col("number").rlike("^[0-9]+$"), F.col("number").try_cast("long"))
+    return in_order(rows.withColumn("number", number).where("number between 1 and 23"), _Votes(idle))
 
 
 def stream_segments(rows: DataFrame, gap: str) -> DataFrame:
@@ -29,46 +145,89 @@ def stream_segments(rows: DataFrame, gap: str) -> DataFrame:
     return rows.groupBy(F.session_window("frame_ts", gap).alias("w"), *TRACK).agg(F.count("*").alias("n")).select(*TRACK, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def _alerts(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    run, start, told, last = state.get if state.exists else (0, -1, False, -1)
-    out = []
-    pdf = pd.concat(list(frames))  # a trigger's rows of one track come in pieces, in no order
-    for frame, low in sorted(zip(pdf.frame, pdf.low, strict=True)):
-        if frame <= last:
-            continue
-        last = int(frame)
-        run, start, told = (run + 1, start if run else last, told) if low else (0, -1, False)
-        if run >= 5 and not told:
-            told = True
-            out.append((*key, start, last))
-    state.update((run, start, told, last))
-    yield pd.DataFrame(out, columns=[*TRACK, "start", "alert"])
+class _Alerts(InOrder):
+    key, row, out = TRACK, "frame long, low boolean", "start long, alert long"
+    kept = {"run": "length long, start long, told boolean"}
 
+    def step(self, key, rows, state):
+        length, start, told = state["run"][0] if state["run"] else (0, -1, False)
+        out = []
+        for _, frame, low in rows:
+            length, start, told = (length + 1, start if length else frame, told) if low else (0, -1, False)
+            if length >= 5 and not told:
+                told = True
+                out.append((start, frame))
+        state["run"] = [(length, start, told)]
+        return out
 
-def stream_low_conf_alerts(rows: DataFrame, below: float = 0.4) -> DataFrame:
-    """One alert for each run of at least five rows under a confidence, as soon as it is that long. State: one tuple a track."""
-    marked = rows.select(*TRACK, "frame", (F.col("conf") < below).alias("low"))
-    return marked.groupBy(*TRACK).applyInPandasWithState(
-        _alerts, "match_id long, clip_id long, obj_id long, start long, alert long", "run long, start long, told boolean, last long", "append", GroupStateTimeout.NoTimeout
-    )
 
+def stream_low_conf_alerts(rows: DataFrame, below: float = 0.4, idle: int = HOUR) -> DataFrame:
+    """One alert for each run of at least five rows under a confidence, when the watermark has passed the fifth. A null confidence isn't low."""
+    return in_order(rows.withColumn("low", F.coalesce(F.col("conf") < below, F.lit(False))), _Alerts(idle))
 
-def _steps(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
-    out = []
-    for r in pd.concat(list(frames)).sort_values("frame").itertuples():
-        if last is not None and r.frame > last[0]:
-            step = ((r.px - last[1]) ** 2 + (r.py - last[2]) ** 2) ** 0.5
-            out.append((*key, int(r.frame), r.frame_ts, step, step / ((r.frame - last[0]) / 30.0)))
-        if last is None or r.frame > last[0]:
-            last = (int(r.frame), float(r.px), float(r.py))
-    if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=[*TRACK, "frame", "frame_ts", "step", "speed"])
-
-
-def stream_steps(points: DataFrame) -> DataFrame:
-    """The step from the previous point of each track; state: that point. Windows of distance follow from it."""
-    return points.select(*TRACK, "frame", "frame_ts", "px", "py").groupBy(*TRACK).applyInPandasWithState(
-        _steps, "match_id long, clip_id long, obj_id long, frame long, frame_ts timestamp, step double, speed double", "frame long, px double, py double", "append", GroupStateTimeout.NoTimeout
-    )
+
+class _Steps(InOrder):
+    key, row, out = TRACK, "frame long, px double, py double", "frame long, frame_ms long, step double, speed double"
+    kept = {"point": "frame long, px double, py double"}
+
+    def __init__(self, fps: float, idle: int):
+        super().__init__(idle)
+        self.fps = fps
+
+    def steps(self, rows, state):
+        last = state["point"][0] if state["point"] else None
+        for ms, frame, px, py in rows:
+            if px is None or py is None or last is not None and frame <= last[0]:
+                continue
+            if last is not None:
+                step = ((px - last[1]) ** 2 + (py - last[2]) ** 2) ** 0.5
+                yield frame, ms, step, step / ((frame - last[0]) / self.fps)
+            last = (frame, px, py)
+        state["point"] = [last] if last is not None else []
+
+    def step(self, key, rows, state):
+        return list(self.steps(rows, state))
+
+
+def stream_steps(points: DataFrame, fps: float = 30.0, idle: int = HOUR) -> DataFrame:
+    """The step (metres) and speed from the previous point of each track; frame_ms is the step's end. Rows without a point are left out."""
+    return in_order(points, _Steps(fps, idle))
+
+
+class _Distance(_Steps):
+    out = "window_ms long, distance double, steps long"
+    kept = {"point": "frame long, px double, py double", "windows": "start long, distance double, steps long"}
+
+    def __init__(self, fps: float, width: int, slide: int, fastest: float, idle: int):
+        super().__init__(fps, idle)
+        self.width, self.slide, self.fastest = width, slide, fastest
+
+    def step(self, key, rows, state):
+        sums = {start: (distance, n) for start, distance, n in state["windows"]}
+        for _, ms, step, speed in self.steps(rows, state):
+            if speed <= self.fastest:
+                for start in range(ms // self.slide * self.slide, ms - self.width, -self.slide):
+                    distance, n = sums.get(start, (0.0, 0))
+                    sums[start] = (distance + step, n + 1)
+        state["windows"] = [(start, *x) for start, x in sorted(sums.items())]
+        return []
+
+    def closed(self, key, state, now):
+        over = [w for w in state["windows"] if w[0] + self.width <= now]
+        state["windows"] = [w for w in state["windows"] if w[0] + self.width > now]
+        return over
+
+    def due(self, state):
+        return min((w[0] + self.width for w in state["windows"]), default=None)
+
+    def finish(self, key, state):
+        return state["windows"]
+
+
+def stream_distance(points: DataFrame, fps: float = 30.0, width: int = 10_000, slide: int | None = None, fastest: float = 12.0, idle: int = HOUR) -> DataFrame:
+    """Metres run by each track in windows of ``width`` milliseconds every ``slide`` (tumbling without): window_ms, distance, steps.
+
+    A step counts in the windows that its end lies in, unless it is faster than ``fastest``. A window is given once, when the watermark
+    has passed it; windows without a step aren't given.
+    """
+    return in_order(points, _Distance(fps, width, slide or width, fastest, idle))
