@@ -176,6 +176,67 @@ def test_edits_and_undo(spark):
     assert edits.bulk_delete(rows.unionByName(other), gone).count() == 50 + 40 and edits.nuke(rows.unionByName(other), match_id, clip_id, 5).count() == 60
 
 
+def test_edit_log_edges(spark):
+    """bulk_delete, many frames, undo of what changed something, nulls, longs past 2**53 and columns that aren't nullable."""
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    from touchline.operators import edits
+
+    big = 2**60 + 1
+    schema = StructType([StructField(c, LongType(), c in ("obj_id", "frame")) for c in ("match_id", "clip_id", "obj_id", "frame")] + [StructField(c, DoubleType()) for c in ("x1", "y1", "x2", "y2")] + [StructField("token", LongType(), True), StructField("must", LongType(), False)])
+    data = [(1, 1, o, f, 0.0, 0.0, 1.0, 2.0, big + f if f % 2 else None, 5) for o in (3, 4, 5) for f in range(6)] + [(1, 1, None, 2, 0.0, 0.0, 1.0, 2.0, big, 5), (1, 1, 3, None, 0.0, 0.0, 1.0, 2.0, None, 5)]
+    rows = spark.createDataFrame(data, schema)
+    log_schema = "match_id long, clip_id long, seq long, op string, obj_id long, start long, target long, x1 double, y1 double, x2 double, y2 double, obj_ids array<long>, frames array<long>"
+
+    def replay(*log):
+        table = spark.createDataFrame([(1, 1, k, op, obj, start, target, 9.0, 9.0, 10.0, 11.0, ids, frames) for k, (op, obj, start, target, ids, frames) in enumerate(log)], log_schema)
+        return sorted(map(tuple, edits.apply_edit_log(rows, table).collect()), key=str)
+
+    plain = sorted(data, key=str)
+    out = replay(("upsert", 3, 9, None, None, None))
+    assert [r for r in out if r[3] == 9] == [(1, 1, 3, 9, 9.0, 9.0, 10.0, 11.0, None, None)] and [r for r in out if r[3] != 9] == plain
+    assert replay(("bulk_delete", None, None, None, [3, 4], None)) == [r for r in plain if r[2] not in (3, 4) or r[3] is None]
+    assert replay(("bulk_delete", 5, None, None, None, None)) == [r for r in plain if r[2] != 5]
+    assert replay(("remove_frames", 3, None, None, None, [0, 1, 4])) == [r for r in plain if not (r[2] == 3 and r[3] in (0, 1, 4))]
+    nothing = [("merge_forward", 3, 0, None, None, None), ("nuke", None, None, None, None, None), ("delete_forward", 3, None, None, None, None), ("nuke", 77, None, None, None, None), ("undo", None, None, None, None, None)]
+    assert replay(*nothing) == plain
+    assert replay(("bulk_delete", None, None, None, [3, 4], None), ("nuke", 99, None, None, None, None), ("undo", None, None, None, None, None)) == plain
+    with pytest.raises(Exception, match="no edit is called"):
+        replay(("paint", 3, 0, None, None, None))
+    assert edits.apply_edit_log(rows, spark.createDataFrame([], log_schema)).count() == len(data)
+
+
+def test_identity_samples_that_teach_nothing(spark):
+    """The model equals a plain loop over the good samples; null features, bad weights and null labels are skipped."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    nan, inf = float("nan"), float("inf")
+    good = [(1, k, [rng.gauss(k % 2, 1), rng.gauss(0, 1), 4.0], float(k % 2), rng.choice([1.0, 0.3, 2.0])) for k in range(60)]
+    bad = [(1, 100, None, 1.0, 1.0), (1, 101, [1.0], 1.0, 1.0), (1, 102, [nan, 0.0, 0.0], 1.0, 1.0), (1, 103, [1.0, None, 0.0], 1.0, 1.0)]
+    bad += [(1, 104 + k, [9.0, 9.0, 9.0], 1.0, w) for k, w in enumerate([None, nan, inf, 0.0, -2.0])] + [(1, 120, [9.0, 9.0, 9.0], None, 1.0), (2, 1, None, 1.0, 1.0)]
+    schema = "player long, k long, features array<double>, label double, weight double"
+    n, mean, m2, w, b = 0, [0.0] * 3, [0.0] * 3, [0.0] * 3, 0.0
+    for _, _, x, label, weight in good:
+        n += 1
+        for j in range(3):
+            gap = x[j] - mean[j]
+            mean[j] += gap / n
+            m2[j] += gap * (x[j] - mean[j])
+        spread = [math.sqrt(max(v / n, 0)) if n > 1 else 1.0 for v in m2]
+        z = [(x[j] - mean[j]) / (1.0 if spread[j] < 1e-6 else spread[j]) for j in range(3)]
+        slip = weight * (1 / (1 + math.exp(-sum(a * c for a, c in zip(w, z)) - b)) - label)
+        w = [w[j] - 0.1 * (slip * z[j] + 1e-4 * w[j]) for j in range(3)]
+        b -= 0.1 * slip
+    mixed = good + bad
+    rng.shuffle(mixed)
+    model = {r.player: r for r in identity.identity_fit(spark.createDataFrame(sorted(mixed, key=lambda r: r[1]), schema), ["k"], dims=3).collect()}
+    one, none = model[1], model[2]
+    assert (one.n, one.n_pos, one.n_neg) == (60, 30, 30) and one.w == pytest.approx(w) and one.b == pytest.approx(b) and one.mean == pytest.approx(mean)
+    assert (none.n, none.w, none.b) == (0, [0.0] * 3, 0.0)
+
+
 def test_registry_season(spark):
     """Numbers link across matches; a changed number is found by height and joins the history; a match taken in again changes nothing."""
     from touchline.operators import registry_store as store
