@@ -237,32 +237,6 @@ def test_identity_samples_that_teach_nothing(spark):
     assert (none.n, none.w, none.b) == (0, [0.0] * 3, 0.0)
 
 
-def test_registry_season(spark):
-    """Numbers link across matches; a changed number is found by height and joins the history; a match taken in again changes nothing."""
-    from touchline.operators import registry_store as store
-
-    schema = "team string, match_id long, key long, number int, resid double, n_frames long"
-    first = [("t", 1, 7, 7, 2.0, 300), ("t", 1, 11, 11, -6.0, 200), ("t", 1, 99, None, 30.0, 100)]
-    later = [("t", 2, 7, 7, 3.0, 280), ("t", 2, 11, 11, -7.0, 200), ("t", 3, 5, 23, -7.0, 150), ("t", 4, 1, 11, -6.5, 50), ("t", 4, 2, 15, -20.0, 50), ("t", 5, 1, None, None, 10)]
-    players = {r.player_id: r for r in store.registry_ingest(spark.createDataFrame(first + later, schema)).collect()}
-    seven, eleven = players[store.new_id("t", 1, 7)], players[store.new_id("t", 1, 11)]
-    assert seven.number == 7 and seven.matches == 2 and seven.n_frames == 580
-    assert eleven.history == [11, 23] or sorted(eleven.history) == [11, 23]
-    assert eleven.matches == 4 and eleven.number == 11  # worn once, so #11 finds the player again
-    assert -12 < eleven.resid < -4
-    assert store.new_id("t", 4, 2) in players  # eleven is taken and seven too far off
-    assert players[store.new_id("t", 5, 1)].resid is None and len(players) == 5
-    again = {r.player_id: r for r in store.registry_ingest(spark.createDataFrame(first + first + later, schema)).collect()}
-    assert again == players
-    assert store.drifted(0.0, 300, 100.0, 300) == 6.0 and store.drifted(None, 0, 4.0, 5) == 4.0 and store.drifted(0.0, 390, 4.0, 100) == 1.0
-    known = spark.createDataFrame([("t", "a", 7, 0.0, [1.0, 0.0], []), ("t", "b", 9, 1.0, [0.0, 1.0], [4]), ("t", "c", 10, 40.0, None, [])], "team string, player_id string, number int, resid double, fingerprint array<double>, history array<int>")
-    asked = [("t", 9, 1, 4, 30.0, None), ("t", 9, 2, None, 0.5, None), ("t", 9, 3, None, 0.5, [0.1, 1.0]), ("t", 9, 4, None, 45.0, None), ("t", 9, 5, 3, 20.0, None), ("t", 9, 6, None, None, None)]
-    got = {r.key: (r.player_id, r.how) for r in store.link_candidates(spark.createDataFrame(asked, "team string, match_id long, key long, number int, resid double, fingerprint array<double>"), known).collect()}
-    assert got == {1: ("b", "number"), 2: (None, "new"), 3: ("b", "height+fp"), 4: ("c", "height"), 5: (None, "new"), 6: (None, "new")}
-    me = store.set_me(store.rename(known, known.select("team", "player_id", F.lit("").alias("display_name"))), "t", "b")
-    assert [r.player_id for r in me.where("is_me").collect()] == ["b"] and me.where("display_name is not null").count() == 0
-
-
 def test_detections_without_gate(spark, tmp_path):
     from touchline.operators import filters
     from touchline.sources import files

@@ -1,35 +1,30 @@
-"""A persistent registry of players across matches: linking each match's profiles and folding them in, in order."""
+"""A registry of players as a table: linking profiles to it and changing it. ``roster`` folds matches in and keeps versions."""
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import cosine_distance
-
-# Pixels of height for a link and of margin to the next player, the least gap in looks that tells players
-# of one height apart, the window of the running mean, its drift.
-HEIGHT_LINK, HEIGHT_MARGIN, LOOKS_MARGIN, WINDOW, DRIFT = 12.0, 3.0, 0.05, 400, 6.0
-PLAYERS = "team string, player_id string, number int, resid double, n_frames long, matches long, history array<int>, last_match long"
-
-
-def new_id(team: str, match: int, key: int) -> str:
-    """The same id for the same player of the same match, however often a task is run."""
-    return hashlib.sha256(f"{team}|{match}|{key}".encode()).hexdigest()[:32]
+from .roster import HEIGHT_LINK, HEIGHT_MARGIN, LOOKS_MARGIN, PLAYERS, WINDOW, WORN, _typed, columns, fold
 
 
-def link_candidates(profiles: DataFrame, players: DataFrame) -> DataFrame:
+def link_candidates(profiles: DataFrame, players: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     """Who each profile (team, match_id, key, number, resid, fingerprint) is: player_id and how, null and "new" for nobody.
 
     By number: the player who wears it, else one who wore it once (``history``). Else by height: the nearest player if at
     most 12 px away and 3 px nearer than the next one; of players within that margin the one whose fingerprint is
     nearer by 0.05 than the next one's. What stays ambiguous is new. Without a height there is no link by height.
-    players: team, player_id, number, resid, fingerprint and history (array<int>). A team's players are a roster, small.
+    players: team, player_id, number, resid, fingerprint and history (numbers, or structs with a number). A team's players are a roster,
+    small. Every profile is asked about by itself; ``claimed`` (team, match_id, player_id) names players whom a match has shown already and who
+    can't be anybody else in it (``roster.fold`` claims as it goes).
     """
     keys = ["team", "match_id", "key"]
+    kind = players.schema["history"].dataType.elementType
+    if kind.typeName() == "struct":
+        players = players.withColumn("history", F.transform("history", lambda w: w["number"]))
+    if claimed is not None:
+        return _link_unclaimed(profiles, players, claimed)
     worn = players.select("team", "player_id", F.col("number").cast("int").alias("number"), F.lit(0).alias("since"))
     once = players.select("team", "player_id", F.explode(F.col("history").cast("array<int>")).alias("number"), F.lit(1).alias("since"))
     of_number = worn.unionByName(once).where("number is not null").groupBy("team", "number").agg(F.min_by("player_id", F.struct("since", "player_id")).alias("same"))
@@ -48,89 +43,59 @@ def link_candidates(profiles: DataFrame, players: DataFrame) -> DataFrame:
     return out.select(*keys, F.coalesce("same", "near").alias("player_id"), F.when(F.col("same").isNotNull(), "number").otherwise(F.coalesce("by", F.lit("new"))).alias("how"))
 
 
-def drifted(old: float | None, old_n: int, seen: float | None, seen_n: int) -> float | None:
-    """A running mean over at most WINDOW samples that one match moves by DRIFT at most."""
-    if seen is None or seen_n <= 0:
-        return old
-    if old is None or old_n <= 0:
-        return seen
-    step = (seen - old) * seen_n / min(WINDOW, old_n + seen_n)
-    return old + min(max(step, -DRIFT), DRIFT)
-
-
-def _linked(number: int | None, resid: float | None, free: dict) -> str | None:
-    """The player of ``free`` that a profile is: by number worn now or once, then by the only near height."""
-    if number is not None:
-        hits = sorted((v["number"] != number, p) for p, v in free.items() if v["number"] == number or number in v["history"])
-        if hits:
-            return hits[0][1]
-    if resid is None:
-        return None
-    near = sorted((abs(v["resid"] - resid), p) for p, v in free.items() if v["resid"] is not None)
-    if near and near[0][0] <= HEIGHT_LINK and (len(near) == 1 or near[1][0] - near[0][0] >= HEIGHT_MARGIN):
-        return near[0][1]
-    return None
-
-
-def _fold(batches):
-    """Matches of a team in order; the state is the team's players."""
-    names = [c.split()[0] for c in PLAYERS.split(", ")]
-    team, match, players, claimed = None, None, {}, set()
-
-    def rows():
-        return [(team, p, v["number"], v["resid"], v["n"], v["matches"], v["history"], v["last"]) for p, v in sorted(players.items())]
-
-    for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.team != team:
-                if team is not None:
-                    out += rows()
-                team, match, players, claimed = r.team, None, {}, set()
-            if r.match_id != match:
-                match, claimed = r.match_id, set()
-            number = None if pd.isna(r.number) else int(r.number)
-            resid = None if pd.isna(r.resid) else float(r.resid)
-            found = _linked(number, resid, {p: v for p, v in players.items() if p not in claimed})
-            if found is None:
-                found = new_id(r.team, int(r.match_id), int(r.key))
-                players[found] = {"number": number, "resid": None, "n": 0, "matches": 0, "history": [], "last": -1}
-            p = players[found]
-            p["resid"] = drifted(p["resid"], p["n"], resid, int(r.n_frames))
-            p["n"], p["matches"], p["last"] = p["n"] + int(r.n_frames), p["matches"] + 1, int(r.match_id)
-            if number is not None:
-                p["number"] = number
-                if number not in p["history"]:
-                    p["history"] = [*p["history"], number]
-            claimed.add(found)
-        yield pd.DataFrame(out, columns=names)
-    if team is not None:
-        yield pd.DataFrame(rows(), columns=names)
+def _link_unclaimed(profiles: DataFrame, players: DataFrame, claimed: DataFrame) -> DataFrame:
+    """Links match by match: a match has a team of its own, which its claimed players have left."""
+    matches = profiles.select("team", "match_id").distinct()
+    free = players.join(matches, "team").join(claimed.select("team", "match_id", "player_id").distinct(), ["team", "match_id", "player_id"], "left_anti")
+    apart = lambda df: df.withColumn("_real", F.col("team")).withColumn("team", F.to_json(F.struct("team", "match_id")))
+    out = link_candidates(apart(profiles).drop("_real"), apart(free).drop("_real"))
+    return out.withColumn("team", F.get_json_object("team", "$.team"))
 
 
 def registry_ingest(profiles: DataFrame) -> DataFrame:
-    """The registry from all observations (team, match_id, key, number, resid, n_frames), matches in order.
+    """The registry from all match profiles, folded in order of match (``roster.fold``); ``roster.Registry`` keeps versions of it."""
+    return fold(profiles)[0]
 
-    A profile is the player of its number, now or once, else the only one of its height; a player whose number changes
-    is so found by height and keeps both in the history. Two profiles of a match are never one player. Looks aren't folded
-    here, so players of one height stay apart (``link_candidates`` compares looks).
-    It is recomputed from the observations, so taking a match in again changes nothing. Teams are dealt over tasks; a task
-    streams its sorted rows and holds one team's players. Numbered profiles of a match come first.
-    """
-    n = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = profiles.select("team", "match_id", "key", "number", "resid", "n_frames").dropDuplicates(["team", "match_id", "key"])
-    dealt = rows.repartition(n, "team").sortWithinPartitions("team", "match_id", F.col("number").isNull(), "number", "key")
-    return dealt.mapInPandas(_fold, PLAYERS)
+
+def _pooled(acc: Column, x: Column) -> Column:
+    """Heights weighted by their samples and looks blended, over a window."""
+    n, m = acc["h_n"], x["h_n"]
+    one = acc["resid"].isNull() | x["resid"].isNull() | (n + m <= 0)
+    resid = F.when(one, F.coalesce(acc["resid"], x["resid"])).otherwise((acc["resid"] * n + x["resid"] * m) / (n + m))
+    count = F.when(one, F.when(acc["resid"].isNull(), m).otherwise(n)).otherwise(F.least(F.lit(WINDOW).cast("long"), n + m))
+    k, j = F.coalesce(acc["fp_n"], F.lit(0)), F.coalesce(x["fp_n"], F.lit(0))
+    had, have = acc["fingerprint"].isNotNull() & (k > 0), x["fingerprint"].isNotNull() & (j > 0)
+    fits = have & (~had | (F.size(acc["fingerprint"]) == F.size(x["fingerprint"])))
+    share = j / F.least(F.lit(WINDOW), k + j)
+    looks = F.when(~fits, acc["fingerprint"]).when(~had, x["fingerprint"]).otherwise(F.zip_with(acc["fingerprint"], x["fingerprint"], lambda a, b: a + (b - a) * share))
+    seen = F.when(~fits, F.least(F.lit(WINDOW).cast("long"), k)).when(~had, F.least(F.lit(WINDOW).cast("long"), j)).otherwise(F.least(F.lit(WINDOW).cast("long"), k + j))
+    return F.struct(resid.alias("resid"), count.alias("h_n"), looks.alias("fingerprint"), seen.alias("fp_n"))
 
 
 def registry_merge(players: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Folds player ``drop`` into ``keep``: heights weighted by frames, matches and histories pooled."""
-    moved = players.join(pairs.select("team", F.col("drop").alias("player_id"), "keep"), ["team", "player_id"], "left").withColumn("_id", F.coalesce("keep", "player_id"))
-    own = (F.col("_id") == F.col("player_id")).cast("int")
-    return moved.groupBy("team", F.col("_id").alias("player_id")).agg(
-        F.max_by("number", own).alias("number"), (F.sum(F.col("resid") * F.col("n_frames")) / F.sum("n_frames")).alias("resid"), F.sum("n_frames").alias("n_frames"),
-        F.sum("matches").alias("matches"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("history")))).alias("history"), F.max("last_match").alias("last_match"),
-    )
+    """Folds player ``drop`` into ``keep`` of a team: heights weighted by their samples, looks blended, votes and counts added, histories joined.
+
+    The kept player's number, name, place and spread stand where it has them. Several drops of one player go in by player_id. Columns
+    that players lack are null. A drop that isn't there changes nothing.
+    """
+    players = _typed(players, PLAYERS)
+    kept = pairs.select("team", F.col("drop").alias("player_id"), "keep")
+    moved = players.join(kept.hint("shuffle_hash"), ["team", "player_id"], "left").withColumn("_id", F.coalesce("keep", "player_id"))
+    count = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
+    rest = [c for c in columns(PLAYERS) if c not in ("team", "player_id", "h_n", "fp_n")]
+    all_ = moved.groupBy("team", "_id").agg(F.sort_array(F.collect_list(F.struct((F.col("_id") != F.col("player_id")).alias("_other"), "player_id", count("h_n"), count("fp_n"), F.struct(*[c for c in rest if c != "votes"]).alias("r"), F.map_entries(F.coalesce("votes", F.create_map().cast("map<string,double>"))).alias("v")))).alias("a"))  # few, named by hand
+    start = F.struct(F.lit(None).cast("double").alias("resid"), F.lit(0).cast("long").alias("h_n"), F.lit(None).cast("array<double>").alias("fingerprint"), F.lit(0).cast("long").alias("fp_n"))
+    pooled = F.aggregate(F.transform("a", lambda x: F.struct(x["r"]["resid"].alias("resid"), x["h_n"].alias("h_n"), x["r"]["fingerprint"].alias("fingerprint"), x["fp_n"].alias("fp_n"))), start, _pooled)
+    first = lambda name: F.get(F.filter(F.transform("a", lambda x: x["r"][name]), lambda v: v.isNotNull()), F.lit(0))
+    total = lambda name: F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["r"][name], F.lit(0)))
+    votes = F.flatten(F.transform("a", lambda x: x["v"]))
+    sums = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(votes, lambda e: e["key"]))), lambda k: F.struct(k, F.aggregate(F.filter(votes, lambda e: e["key"] == k), F.lit(0.0), lambda s, e: s + e["value"]))))
+    worn = F.flatten(F.transform("a", lambda x: F.coalesce(x["r"]["history"], F.array().cast(WORN))))
+    history = F.transform(F.array_distinct(F.transform(worn, lambda w: w["number"])), lambda n: F.struct(n.alias("number"), F.aggregate(F.filter(worn, lambda w: w["number"] == n), F.lit(0).cast("long"), lambda s, w: s + w["matches"]).alias("matches"), F.array_max(F.transform(F.filter(worn, lambda w: w["number"] == n), lambda w: w["last_seen"])).alias("last_seen")))
+    told = {c: first(c) for c in ("ord", "display_name", "number", "resid_std", "zone_x", "zone_y", "speed")} | {c: total(c) for c in ("n_frames", "n_clips", "matches")}
+    told |= {c: F.col("p")[c] for c in ("resid", "h_n", "fingerprint", "fp_n")} | {"votes": sums, "history": history, "team": F.col("team"), "player_id": F.col("_id")}
+    told |= {"is_me": F.exists("a", lambda x: F.coalesce(x["r"]["is_me"], F.lit(False))), "last_match": F.array_max(F.transform("a", lambda x: x["r"]["last_match"]))}
+    return all_.withColumn("p", pooled).select(*[told[c].alias(c) for c in columns(PLAYERS)])
 
 
 def set_numbers(players: DataFrame, changes: DataFrame) -> DataFrame:
@@ -154,7 +119,8 @@ def set_me(players: DataFrame, team: str, player_id: str) -> DataFrame:
 
 def add_players(players: DataFrame, new: DataFrame) -> DataFrame:
     """Adds players (team, match_id, key, number) that no observation has shown; their ids follow from team, match and key."""
-    own = F.substr(F.sha2(F.concat_ws("|", "team", "match_id", "key"), 256), F.lit(1), F.lit(32))
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("team", "match_id", "key")]
+    own = F.substr(F.sha2(F.concat_ws("|", *said), 256), F.lit(1), F.lit(32))
     number = F.col("number").cast("int")
     rows = new.select("team", own.alias("player_id"), number.alias("number"), F.lit(0).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("matches"), F.when(number.isNotNull(), F.array(number)).otherwise(F.array().cast("array<int>")).alias("history"))
     return players.unionByName(rows, allowMissingColumns=True)

@@ -91,30 +91,77 @@ def margin_term(candidates: DataFrame, rois: DataFrame) -> DataFrame:
 CHAIN = "match_id long, clip_id long, frame long, healthy boolean, " + ", ".join(f"m{i}{k} double" for i in (1, 2, 3) for k in (1, 2, 3))
 
 
+def _step(r, least: int) -> np.ndarray | None:
+    """A row's motion, or None where it is weak."""
+    step = np.array([np.nan if v is None else v for v in r.step], float).reshape(3, 3) if r.step is not None and len(r.step) == 9 else None
+    return step if step is not None and np.isfinite(step).all() and r.inliers >= least else None
+
+
+def _after(chain: np.ndarray, step: np.ndarray) -> np.ndarray:
+    chain = step @ chain
+    return chain / chain[2, 2] if abs(chain[2, 2]) > 1e-12 else chain
+
+
+BLOCK = "match_id long, clip_id long, block long, step array<double>"
+
+
+def _products(batches, least: int):
+    """The product of each block's steps; a block's rows come one after another, in order."""
+    key, chain, out = None, None, []
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if (r.match_id, r.clip_id, r.block) != key:
+                if key is not None:
+                    out.append((*key, chain.ravel().tolist()))
+                key, chain = (r.match_id, r.clip_id, r.block), np.eye(3)
+            step = _step(r, least)
+            chain = chain if step is None else _after(chain, step)
+        yield pd.DataFrame(out, columns=["match_id", "clip_id", "block", "step"])
+        out = []
+    if key is not None:
+        yield pd.DataFrame([(*key, chain.ravel().tolist())], columns=["match_id", "clip_id", "block", "step"])
+
+
+def _prefixes(batches):
+    """The product of all blocks before each one of a clip."""
+    key, chain = None, None
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if (r.match_id, r.clip_id) != key:
+                key, chain = (r.match_id, r.clip_id), np.eye(3)
+            out.append((*key, r.block, chain.ravel().tolist()))
+            chain = _after(chain, np.array(r.step, float).reshape(3, 3))
+        yield pd.DataFrame(out, columns=["match_id", "clip_id", "block", "step"])
+
+
 def _chained(batches, least: int):
     names = [c.split()[0] for c in CHAIN.split(", ")]
     key, chain = None, np.eye(3)
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            if (r.match_id, r.clip_id) != key:
-                key, chain = (r.match_id, r.clip_id), np.eye(3)
-            step = np.array(r.step, float).reshape(3, 3) if r.step is not None and len(r.step) == 9 else None
-            healthy = step is not None and bool(np.isfinite(step).all()) and r.inliers >= least
-            if healthy:
-                chain = step @ chain
-                chain = chain / chain[2, 2] if abs(chain[2, 2]) > 1e-12 else chain
+            if (r.match_id, r.clip_id, r.block) != key:
+                key, chain = (r.match_id, r.clip_id, r.block), np.array(r.before, float).reshape(3, 3)
+            step = _step(r, least)
+            chain = chain if step is None else _after(chain, step)
             back = np.linalg.inv(chain) if abs(np.linalg.det(chain)) > 1e-12 else np.full((3, 3), np.nan)
-            out.append((r.match_id, r.clip_id, r.frame, healthy, *back.ravel().tolist()))
+            out.append((r.match_id, r.clip_id, r.frame, step is not None, *back.ravel().tolist()))
         yield pd.DataFrame(out, columns=names)
 
 
-def camera_chain(steps: DataFrame, least: int = 25) -> DataFrame:
+def camera_chain(steps: DataFrame, least: int = 25, size: int = 2000) -> DataFrame:
     """The map from each frame back to the anchor (its clip's first frame): m11..m33 and healthy.
 
     steps: match_id, clip_id, frame, step (nine numbers: previous frame to this one), inliers. A weak step keeps the
-    map of the frame before and marks the frame. A task streams its clips in frame order and holds one matrix.
+    map of the frame before and marks the frame. A prefix scan over blocks of ``size`` frames: each block's steps are multiplied, the
+    products of the blocks before it (one small row a block) are multiplied along the clip, and each block is then followed by
+    itself from there, so one long clip spreads over as many tasks as it has blocks.
     """
     n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = steps.repartition(n, "match_id", "clip_id").sortWithinPartitions("match_id", "clip_id", "frame")
-    return dealt.select("match_id", "clip_id", "frame", "step", F.coalesce("inliers", F.lit(0)).alias("inliers")).mapInPandas(lambda it: _chained(it, least), CHAIN)
+    block = ["match_id", "clip_id", "block"]
+    rows = steps.select("match_id", "clip_id", "frame", "step", F.coalesce("inliers", F.lit(0)).alias("inliers")).withColumn("block", F.floor(F.col("frame") / size))
+    products = rows.repartition(n, *block).sortWithinPartitions(*block, "frame").mapInPandas(lambda it: _products(it, least), BLOCK)
+    before = products.repartition(n, "match_id", "clip_id").sortWithinPartitions(*block).mapInPandas(_prefixes, BLOCK).withColumnRenamed("step", "before")
+    met = rows.join(before.hint("shuffle_hash"), block)  # both sides by block, the built one a row a block
+    return met.repartition(n, *block).sortWithinPartitions(*block, "frame").mapInPandas(lambda it: _chained(it, least), CHAIN)

@@ -26,7 +26,7 @@ def foot_points(boxes: DataFrame, h) -> DataFrame:
 def live_foot_points(boxes: DataFrame, motion: DataFrame, h) -> DataFrame:
     """Foot points by way of the anchor frame: boxes x the frame's current-to-anchor matrix (m11..m33, healthy)."""
     box = Box()
-    joined = boxes.join(motion, list(FRAME), "left")
+    joined = boxes.join(motion.hint("merge"), list(FRAME), "left")
     ax, ay = project([F.col(f"m{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)], box.cx, F.greatest(box.y1, box.y2), least=1e-9)
     x, y = project(h, F.col("ax"), F.col("ay"))
     out = joined.withColumn("ax", F.when(F.col("healthy"), ax)).withColumn("ay", F.when(F.col("healthy"), ay))
