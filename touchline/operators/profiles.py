@@ -2,28 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, is_wide_deep, role, zone_supports
+from ..functions.geometry import Box, is_wide_deep, role, strict_number, zone_supports
 from ..functions.scoring import evidence, named_term, unit
+from ..sources.scratch import stored
 from .filters import decide_number, dominant_team, votes_of
 from .joins import attach_nearest_height
-from .trajectory import TRACK
+from .trajectory import TRACK, cluster_by_value
 
-# The statuses in order, and the wording of the reasons.
+# The highest shirt number, the statuses in order, and the wording of the reasons.
+MAX_NUMBER = 23
 STATUSES = ("me-likely", "possible", "ruled-out")
 OPPOSITION, NAMED_OPPOSITION, OTHER_NUMBER, NOT_A_FORWARD = "opposition team", "opposition team (%s)", "reads #%s, you are #%s", "plays wide & deep (back three); you're a forward"
 MY_NUMBER, MY_TEAM, UNSURE, CENTRAL, WIDE, HEIGHT_FITS, HEIGHT_OFF = "reads YOUR #%s", "your team", "team unsure", "central (forward-like)", "wide/deep (back-like)", "matching height", "height off"
 
 
-def tracklet_evidence(rows: DataFrame, width: float, height: float) -> DataFrame:
-    """Per track: frames and the moments of height residual and zone. Rows carry residual."""
-    box, folds = Box(), []
-    for name, value in (("h", F.col("residual")), ("zx", box.cx / width), ("zy", box.cy / height)):
+MOMENTS = ("h", "zx", "zy", "sp")
+
+
+def _number_sums(weight) -> Column:
+    """A map from number to summed weight, as MAX_NUMBER partial sums; ``weight`` gives what a row adds to a number."""
+    sums = F.array(*[F.struct(F.lit(k).alias("number"), F.coalesce(F.sum(weight(k)), F.lit(0.0)).alias("weight")) for k in range(1, MAX_NUMBER + 1)])
+    return F.map_from_entries(F.filter(sums, lambda e: e["weight"] > 0))
+
+
+def tracklet_evidence(rows: DataFrame, width: float, height: float, stride: int = 1, most: int | None = None, dims: int = 0) -> DataFrame:
+    """Per track all that speaks of its player, in one aggregation that ``merge_evidence`` can go on with.
+
+    n_frames; number, mean and m2 of height residual (h), zone (zx, zy) and speed in pixels a frame (sp, where the frame advances); votes
+    (map of number to weight); and, with ``dims``, fp and fp_n, the mean of the rows' ``looks`` of that length. Rows carry
+    residual, and may carry number and number_weight (1 without). Numbers and looks are taken from every ``stride``-th row of a
+    track and ``most`` rows at most, as reading them is dear. Null, NaN and infinite values aren't counted.
+    """
+    box, along = Box(), Window.partitionBy(*TRACK).orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(along)
+    far = F.sqrt(F.pow(box.cx - F.lag(box.cx).over(along), 2) + F.pow(box.cy - F.lag(box.cy).over(along), 2))
+    out = rows.withColumn("_h", F.col("residual")).withColumn("_zx", box.cx / width).withColumn("_zy", box.cy / height).withColumn("_sp", F.when(gap > 0, far / gap))
+    taken = F.lit(True)
+    if stride > 1 or most is not None:
+        out = out.withColumn("_at", F.row_number().over(along) - 1)
+        taken = (F.col("_at") % stride == 0) & (F.lit(most is None) | (F.floor(F.col("_at") / stride) < F.lit(most or 0)))
+    folds = []
+    for name in MOMENTS:
+        value = F.when(~F.isnan(f"_{name}") & (F.abs(f"_{name}") < float("inf")), F.col(f"_{name}"))
         n = F.count(value)
         folds += [n.alias(f"{name}_n"), F.avg(value).alias(f"{name}_mean"), (F.coalesce(F.var_pop(value), F.lit(0.0)) * n).alias(f"{name}_m2")]
-    return rows.groupBy(*TRACK).agg(*folds).withColumn("n_frames", F.col("zx_n"))
+    if "number" in rows.columns:
+        weight = F.col("number_weight").cast("double") if "number_weight" in rows.columns else F.lit(1.0)
+        good = taken & (weight > 0) & (weight < float("inf"))
+        read = strict_number(F.col("number").cast("string"))
+        folds.append(_number_sums(lambda k: F.when(good & (read == k), weight)).alias("votes"))
+    if dims:
+        good = taken & (F.size("looks") == dims) & F.forall("looks", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        n = F.count_if(good)
+        folds += [F.when(n > 0, F.array(*[F.avg(F.when(good, F.col("looks")[k])) for k in range(dims)])).alias("fp"), n.alias("fp_n")]
+    return out.groupBy(*TRACK).agg(F.count("*").alias("n_frames"), *folds)
+
+
+def merge_evidence(parts: DataFrame, keys: list, dims: int = 0, *more: Column) -> DataFrame:
+    """Evidence of tracks, or of groups of them, folded by keys: counts and votes added, moments and looks merged exactly.
+
+    parts: n_tracks, n_frames, clips (array) and the columns of ``tracklet_evidence``. Folding in steps gives what folding at once gives. ``more`` are further aggregates.
+    """
+    folds = [F.sum("n_tracks").alias("n_tracks"), F.sum("n_frames").alias("n_frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("clips")))).alias("clips")]
+    for name in MOMENTS:
+        if f"{name}_n" not in parts.columns:
+            continue
+        n, mean, m2 = F.col(f"{name}_n"), F.coalesce(f"{name}_mean", F.lit(0.0)), F.col(f"{name}_m2")
+        total, weighted = F.sum(n), F.sum(n * mean)
+        centre = weighted / F.nullif(total, F.lit(0))
+        folds += [total.alias(f"{name}_n"), centre.alias(f"{name}_mean"), F.greatest(F.sum(m2 + n * mean * mean) - F.coalesce(weighted * centre, F.lit(0.0)), F.lit(0.0)).alias(f"{name}_m2")]
+    if "votes" in parts.columns:
+        folds.append(_number_sums(lambda k: F.col("votes")[F.lit(k)]).alias("votes"))
+    if dims:
+        n = F.sum("fp_n")
+        folds += [F.when(n > 0, F.array(*[F.sum(F.col("fp")[k] * F.col("fp_n")) / F.nullif(n, F.lit(0)) for k in range(dims)])).alias("fp"), n.alias("fp_n")]
+    return parts.groupBy(*keys).agg(*folds, *more)
+
+
+def finalised(players: DataFrame, least: float = 2.0) -> DataFrame:
+    """Adds number (most votes, the smaller of two alike, if they reach ``least``), its share number_conf, role, role_group, zone_ok and evidence."""
+    weights = F.map_values("votes")
+    best, total = F.array_max(weights), F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
+    number = F.when(best >= least, F.array_min(F.map_keys(F.map_filter("votes", lambda _, w: w == best))))
+    out = players.withColumn("number", number).withColumn("number_conf", F.when(F.col("number").isNotNull(), best / total).otherwise(0.0))
+    named, group = role(F.col("number"))
+    out = out.withColumn("role", named).withColumn("role_group", group).withColumn("zone_ok", zone_supports(F.col("number"), F.col("zx_mean"), F.col("zy_mean")))
+    return out.withColumn("evidence", evidence(F.col("n_frames"), F.size("clips"), named_term(F.col("number"), F.col("number_conf"), F.col("zone_ok"))))
 
 
 def classify_tracks(rows: DataFrame, me: DataFrame, width: float, height: float, min_frames: int = 8) -> DataFrame:
@@ -73,46 +140,42 @@ def shortlist_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("match_id").agg(*[F.count_if(F.col("status") == s).alias(s.replace("-", "_")) for s in STATUSES], F.count("*").alias("total"))
 
 
-def build_profiles(rows: DataFrame, width: float, height: float, spread: float = 1.0) -> DataFrame:
-    """match_id, number, tracks, frames, clips, residual, zone, certainty, role, evidence: the players of each match.
+def build_profiles(rows: DataFrame, width: float, height: float, per_track: float = 1.5, least: float = 2.0, k: float = 1.5, stride: int = 1, most: int | None = None, dims: int = 0) -> DataFrame:
+    """The players of each match: match_id, pid, number, n_tracks, n_frames, clips, n_clips, resid, zx, zy, speed, number_conf, role, role_group, zone_ok, evidence, votes.
 
-    Tracks with a decided number anchor a player; others join the number of nearest mean height residual, or stay out.
+    A track whose own votes reach ``per_track`` anchors the player of its number. Others join the number whose anchors' mean height is
+    nearest, if within ``k`` deviations of the match's tracks (8 pixels at least). What is left is split by gaps in height, and tracks without a
+    height are one group. Every track belongs to exactly one player. Groups are numbered (p01, p02, ...): those with a number first.
+    A player's number is then told by all its votes, and players of one number become one, told anew.
     """
-    stats = tracklet_evidence(rows, width, height)
-    votes = votes_of(rows)
-    decided = decide_number(votes, 1.5).select(*TRACK, F.col("number").alias("own"))
-    known = stats.join(decided, list(TRACK), "left").withColumn("resid", F.col("h_mean"))
-    clusters = known.where("own is not null").groupBy("match_id", F.col("own").alias("number")).agg(F.avg("resid").alias("resid"))
-    attached = attach_nearest_height(known.where("own is null").select(*TRACK, "resid"), clusters, F.lit(spread)).select(*TRACK, F.col("number").alias("near"))
-    member = known.join(attached, list(TRACK), "left").withColumn("player", F.coalesce("own", "near")).where("player is not null")
-    mean = lambda c: F.sum(F.col(f"{c}_n") * F.col(f"{c}_mean")) / F.sum(f"{c}_n")
-    base = member.groupBy("match_id", F.col("player").alias("number")).agg(F.count("*").alias("n_tracks"), F.sum("n_frames").alias("n_frames"), F.countDistinct("clip_id").alias("n_clips"), mean("h").alias("resid"), mean("zx").alias("zx"), mean("zy").alias("zy"))
-    all_votes = votes.join(member.select(*TRACK, "player"), list(TRACK)).groupBy("match_id", F.col("player").alias("number")).agg((F.sum(F.when(F.col("number") == F.col("player"), F.col("weight"))) / F.sum("weight")).alias("number_conf"))
-    out = base.join(all_votes, ["match_id", "number"], "left")
-    ok = zone_supports(F.col("number"), F.col("zx"), F.col("zy"))
-    named, group = role(F.col("number"))
-    score = evidence(F.col("n_frames"), F.col("n_clips"), named_term(F.col("number"), F.col("number_conf"), ok))
-    return out.select("match_id", "number", "n_tracks", "n_frames", "n_clips", "resid", "zx", "zy", "number_conf", named.alias("role"), group.alias("role_group"), ok.alias("zone_ok"), score.alias("evidence"))
-
-
-def merge_same_number(players: DataFrame) -> DataFrame:
+    stats = stored(tracklet_evidence(rows, width, height, stride, most, dims), "track-evidence")  # a row a track, read five times
+    own = F.when(F.array_max(F.map_values("votes")) >= per_track, F.array_min(F.map_keys(F.map_filter("votes", lambda _, w: w == F.array_max(F.map_values("votes"))))))
+    known = stats.withColumn("own", own).withColumn("resid", F.col("h_mean"))
+    spread = known.groupBy("match_id").agg(F.when(F.count("resid") >= 2, F.coalesce(F.nullif(F.stddev_pop("resid"), F.lit(0.0)), F.lit(1.0))).otherwise(1.0).alias("resid_std"))
+    known = known.join(spread, "match_id")
+    anchors = known.where("own is not null and resid is not null").groupBy("match_id", F.col("own").alias("number")).agg(F.avg("resid").alias("resid"))
+    attached = attach_nearest_height(known.where("own is null").select(*TRACK, "resid", "resid_std"), anchors, F.col("resid_std"), k).select(*TRACK, F.col("number").alias("near"))
+    met = known.join(attached, list(TRACK), "left").withColumn("anchor", F.coalesce("own", "near"))
+    pool = cluster_by_value(met.where("anchor is null"), ["match_id"], "resid", F.col("resid_std"), k)
+    members = met.where("anchor is not null").withColumn("cluster", F.lit(None).cast("long")).unionByName(pool.withColumn("cluster", F.col("cluster").cast("long")))
+    parts = members.withColumn("n_tracks", F.lit(1)).withColumn("clips", F.array("clip_id"))
+    groups = finalised(stored(merge_evidence(parts, ["match_id", "anchor", "cluster"], dims), "player-evidence"), least)
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.asc_nulls_last("anchor"), "cluster"))
+    groups = groups.withColumn("pid", F.format_string("p%02d", place))
+    out = merge_same_number(groups, least, dims)
+    looks = ["fp", "fp_n"] if dims else []
+    return out.select("match_id", "pid", "number", "n_tracks", "n_frames", "clips", F.size("clips").cast("long").alias("n_clips"), F.col("h_mean").alias("resid"), F.col("zx_mean").alias("zx"), F.col("zy_mean").alias("zy"), F.col("sp_mean").alias("speed"), "number_conf", "role", "role_group", "zone_ok", "evidence", "votes", *looks)
+
+
+def merge_same_number(players: DataFrame, least: float | None = None, dims: int = 0) -> DataFrame:
     """Profiles of a match with one number become one; those without a number stay apart.
 
-    players: match_id, pid, number, n_tracks, n_frames, clips (array), and n, mean and m2 of height residual and zone (``h_n`` to
-    ``zy_m2``, as ``tracklet_evidence`` gives them). Moments are merged exactly; the smallest pid stays.
+    players: match_id, pid, number and what ``merge_evidence`` takes. Moments, votes and looks are merged exactly; the smallest pid stays.
+    Where players carry votes, the number, role and evidence are told anew (votes of ``least`` at least), which ``build_profiles`` asks for.
     """
-    folds = []
-    for name in ("h", "zx", "zy"):
-        n, mean, m2 = (F.col(f"{name}_{c}") for c in ("n", "mean", "m2"))
-        total, weighted = F.sum(n), F.sum(n * mean)
-        centre = weighted / F.nullif(total, F.lit(0))
-        folds += [total.alias(f"{name}_n"), centre.alias(f"{name}_mean"), F.greatest(F.sum(m2 + n * mean * mean) - weighted * centre, F.lit(0.0)).alias(f"{name}_m2")]
     alone = F.when(F.col("number").isNull(), F.col("pid"))
-    pooled = players.groupBy("match_id", "number", alone.alias("_alone")).agg(
-        F.min("pid").alias("pid"), F.sum("n_tracks").alias("n_tracks"), F.sum("n_frames").alias("n_frames"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("clips")))).alias("clips"), *folds,
-    )
-    return pooled.drop("_alone")
+    out = merge_evidence(players.withColumn("_alone", alone), ["match_id", "number", "_alone"], dims, F.min("pid").alias("pid")).drop("_alone")
+    return out if least is None else finalised(out, least)
 
 
 def me_profile(numbers: DataFrame, teams: DataFrame, heights: DataFrame, ready: int = 15) -> DataFrame:

@@ -81,8 +81,8 @@ QUERIES = {
     "c3_classify_tracks": lambda s, d: verdicts(s, d).select(*TR, "status", "score", F.array_join("reasons", "; ").alias("reasons")),
     "g22_shortlist_summary": lambda s, d: profiles.shortlist_summary(verdicts(s, d)),
     "t1_rank_shortlist": lambda s, d: profiles.rank_shortlist(verdicts(s, d)).select(*TR, "status", "score"),
-    "g15_tracklet_evidence": lambda s, d: profiles.tracklet_evidence(residuals(s, d), FRAME_W, FRAME_H).select(*TR, "n_frames", F.round("h_mean", 6).alias("h_mean"), F.round("h_m2", 3).alias("h_m2"), F.round("zx_mean", 6).alias("zx_mean")),
-    "c4_build_profiles": lambda s, d: profiles.build_profiles(residuals(s, d), FRAME_W, FRAME_H).select("match_id", "number", "n_tracks", "n_frames", "n_clips", F.round("resid", 5).alias("resid"), F.round("zx", 6).alias("zx"), F.round("number_conf", 6).alias("number_conf"), "role", "evidence"),
+    "g15_tracklet_evidence": lambda s, d: profiles.tracklet_evidence(residuals(s, d), FRAME_W, FRAME_H).select(*TR, "n_frames", F.round("h_mean", 6).alias("h_mean"), F.round("h_m2", 3).alias("h_m2"), F.round("zx_mean", 6).alias("zx_mean"), "sp_n", F.round("sp_mean", 6).alias("sp_mean"), F.array_join(F.transform(F.array_sort(F.map_entries("votes")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("int").cast("string"))), ",").alias("votes")),
+    "c4_build_profiles": lambda s, d: profiles.build_profiles(residuals(s, d), FRAME_W, FRAME_H).select("match_id", "pid", "number", "n_tracks", "n_frames", "n_clips", F.round("resid", 5).alias("resid"), F.round("zx", 6).alias("zx"), F.round("speed", 5).alias("speed"), F.round("number_conf", 6).alias("number_conf"), "role", "evidence"),
     "c9_identity": scored,
     "c11_identity_samples": lambda s, d: samples(s, d).groupBy("player", "label").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight")),
     "c13_audio_offset": lambda s, d: align.audio_offset(envelopes(s, d), pairs_of(s, d), 20, 100.0).select("clip_a", "clip_b", "lag", F.round("peak", 6).alias("peak"), "seconds"),
@@ -95,23 +95,29 @@ QUERIES = {
     "f12_rois": lambda s, d: rois(s, d).groupBy("match_id", "clip_id").agg(F.count("*").alias("n"), F.round(F.avg("rx1"), 4).alias("rx1")),
 }
 
-MEMBER = f"SELECT *, coalesce(own, near) AS player FROM known LEFT JOIN (SELECT {TRS}, arg_min(number, (d, number)) AS near FROM (SELECT k.match_id, k.clip_id, k.obj_id, c.number, abs(k.h - c.resid) AS d FROM known k JOIN clusters c USING (match_id) WHERE k.own IS NULL) WHERE d <= 8e0 GROUP BY ALL) USING ({TRS})"
-KNOWN = f"SELECT s.*, d.number AS own FROM stats s LEFT JOIN (SELECT * FROM decided WHERE weight >= 1.5e0) d USING ({TRS})"
+KNOWN = f"SELECT s.*, d.number AS own, sd FROM stats s LEFT JOIN (SELECT * FROM decided WHERE weight >= 1.5e0) d USING ({TRS}) JOIN (SELECT match_id, CASE WHEN count(h) >= 2 THEN coalesce(nullif(stddev_pop(h), 0), 1) ELSE 1 END AS sd FROM stats GROUP BY ALL) USING (match_id)"
+SPEEDS = f"SELECT {TRS}, count(sp) AS sp_n, sum(sp) AS sp_sum FROM (SELECT {TRS}, CASE WHEN frame > lag(frame) OVER w THEN sqrt(((x1 + x2) / 2 - lag((x1 + x2) / 2) OVER w) ** 2 + ((y1 + y2) / 2 - lag((y1 + y2) / 2) OVER w) ** 2) / (frame - lag(frame) OVER w) END AS sp FROM objects_v WINDOW w AS (PARTITION BY {TRS} ORDER BY frame)) GROUP BY ALL"
+ANCHORED = f"SELECT k.*, coalesce(own, near) AS anchor FROM known k LEFT JOIN (SELECT {TRS}, arg_min(number, (d, number)) AS near FROM (SELECT k.match_id, k.clip_id, k.obj_id, k.sd, c.number, abs(k.h - c.resid) AS d FROM known k JOIN clusters c USING (match_id) WHERE k.own IS NULL) WHERE d <= greatest(15e-1 * sd, 8e0) GROUP BY ALL) USING ({TRS})"
+POOLED = f"SELECT {TRS}, sum(apart) OVER (PARTITION BY match_id ORDER BY h, obj_id) AS label FROM (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY match_id ORDER BY h, obj_id) > 15e-1 * greatest(sd, 1) THEN 1 ELSE 0 END AS apart FROM anchored WHERE anchor IS NULL)"
+PLACES = "SELECT match_id, anchor, label, printf('p%02d', row_number() OVER (PARTITION BY match_id ORDER BY anchor NULLS LAST, label)) AS pid FROM (SELECT DISTINCT match_id, anchor, label FROM anchored LEFT JOIN pooled USING (match_id, clip_id, obj_id))"
+PLACED = f"SELECT a.*, p.pid AS spot FROM anchored a LEFT JOIN pooled l USING ({TRS}) JOIN places p ON p.match_id = a.match_id AND p.anchor IS NOT DISTINCT FROM a.anchor AND p.label IS NOT DISTINCT FROM l.label"
+TOLD = lambda keys: f"SELECT {keys}, CASE WHEN max(weight) >= 2 THEN arg_max(number, (weight, -number)) END AS number, CASE WHEN max(weight) >= 2 THEN max(weight) / sum(weight) ELSE 0 END AS number_conf FROM (SELECT {keys}, v.number, sum(weight) AS weight FROM votes v JOIN MEMBERS USING ({TRS}) GROUP BY ALL) GROUP BY ALL"
+MERGED = f"SELECT d.*, min(spot) OVER (PARTITION BY d.match_id, coalesce(CAST(t.number AS VARCHAR), spot)) AS pid FROM placed d LEFT JOIN ({TOLD('match_id, spot').replace('MEMBERS', 'placed')}) t USING (match_id, spot)"
 POSEG = "SELECT clip_id, frame, count(*) FILTER (vis >= 3e-1) >= 2 AS good FROM pose_v GROUP BY ALL"
 
 SQL = {
     "c3_classify_tracks": sql(f"SELECT * FROM verdicts JOIN reasons USING ({TRS})", **VIEWS, reasons=REASONS),
     "g22_shortlist_summary": sql("SELECT match_id, count(*) FILTER (status = 'me-likely') AS me_likely, count(*) FILTER (status = 'possible') AS possible, count(*) FILTER (status = 'ruled-out') AS ruled_out, count(*) AS total FROM verdicts GROUP BY ALL", **VIEWS),
     "t1_rank_shortlist": sql("SELECT * FROM verdicts ORDER BY CASE status WHEN 'me-likely' THEN 0 WHEN 'possible' THEN 1 ELSE 2 END, score DESC", **VIEWS),
-    "g15_tracklet_evidence": sql(f"SELECT {TRS}, count(*) AS n_frames, round(avg(r), 6) AS h_mean, round(var_pop(r) * count(*), 3) AS h_m2, round(avg((x1 + x2) / 2 / 1920e0), 6) AS zx_mean FROM (SELECT *, {RES} AS r FROM objects_v) GROUP BY ALL"),
-    "c4_build_profiles": sql(f"""SELECT match_id, number, n_tracks, n_frames, n_clips, round(resid, 5) AS resid, round(zx, 6) AS zx, round(number_conf, 6) AS number_conf,
+    "g15_tracklet_evidence": sql(f"SELECT {TRS}, count(*) AS n_frames, round(avg(r), 6) AS h_mean, round(var_pop(r) * count(*), 3) AS h_m2, round(avg((x1 + x2) / 2 / 1920e0), 6) AS zx_mean, any_value(sp_n) AS sp_n, round(any_value(sp_sum / nullif(sp_n, 0)), 6) AS sp_mean, any_value(coalesce(v, '')) AS votes FROM (SELECT *, {RES} AS r FROM objects_v) JOIN speeds USING ({TRS}) LEFT JOIN (SELECT {TRS}, string_agg(number || ':' || CAST(weight AS BIGINT), ',' ORDER BY number) AS v FROM votes GROUP BY ALL) USING ({TRS}) GROUP BY {TRS}", speeds=SPEEDS, votes=VOTES),
+    "c4_build_profiles": sql(f"""SELECT match_id, pid, number, n_tracks, n_frames, n_clips, round(resid, 5) AS resid, round(zx, 6) AS zx, round(speed, 5) AS speed, round(coalesce(number_conf, 0), 6) AS number_conf,
  CASE number WHEN 1 THEN 'loosehead prop' WHEN 2 THEN 'hooker' WHEN 3 THEN 'tighthead prop' WHEN 4 THEN 'lock' WHEN 5 THEN 'lock' WHEN 6 THEN 'blindside flanker' WHEN 7 THEN 'openside flanker' WHEN 8 THEN 'number 8' WHEN 9 THEN 'halfback'
   WHEN 10 THEN 'first-five-eighth' WHEN 11 THEN 'left wing' WHEN 12 THEN 'inside centre' WHEN 13 THEN 'outside centre' WHEN 14 THEN 'right wing' WHEN 15 THEN 'fullback' END AS role,
- round(45e-2 * (1 - exp(-n_frames / 120e0)) + 2e-1 * least(1, n_clips / 3e0) + 35e-2 * CASE WHEN ok THEN least(1e0, 6e-1 + 5e-1 * number_conf) ELSE 5e-1 + 5e-1 * number_conf END, 3) AS evidence FROM (
+ round(45e-2 * (1 - exp(-n_frames / 120e0)) + 2e-1 * least(1, n_clips / 3e0) + 35e-2 * CASE WHEN number IS NULL THEN 0 WHEN ok THEN least(1e0, 6e-1 + 5e-1 * number_conf) ELSE 5e-1 + 5e-1 * number_conf END, 3) AS evidence FROM (
  SELECT *, CASE WHEN number IN (11, 14, 15) THEN zx < 3e-1 OR zx > 7e-1 OR zy < 45e-2 WHEN number BETWEEN 1 AND 8 THEN zx BETWEEN 25e-2 AND 75e-2 END AS ok FROM (
- SELECT match_id, player AS number, count(*) AS n_tracks, CAST(sum(n_frames) AS BIGINT) AS n_frames, count(DISTINCT clip_id) AS n_clips, sum(h * n_frames) / sum(n_frames) AS resid, sum(zx * n_frames) / sum(n_frames) AS zx, sum(zy * n_frames) / sum(n_frames) AS zy FROM member WHERE player IS NOT NULL GROUP BY ALL)
- LEFT JOIN (SELECT v.match_id, m.player AS number, sum(weight) FILTER (v.number = m.player) / sum(weight) AS number_conf FROM votes v JOIN member m USING ({TRS}) WHERE m.player IS NOT NULL GROUP BY ALL) USING (match_id, number))""",
- votes=VOTES, decided=DECIDED, stats=STATS, known=KNOWN, clusters="SELECT match_id, own AS number, avg(h) AS resid FROM known WHERE own IS NOT NULL GROUP BY ALL", member=MEMBER),
+ SELECT match_id, pid, count(*) AS n_tracks, CAST(sum(n_frames) AS BIGINT) AS n_frames, count(DISTINCT clip_id) AS n_clips, sum(h * n_frames) / sum(n_frames) AS resid, sum(zx * n_frames) / sum(n_frames) AS zx, sum(zy * n_frames) / sum(n_frames) AS zy, sum(sp_sum) / nullif(sum(sp_n), 0) AS speed FROM merged JOIN speeds USING ({TRS}) GROUP BY ALL)
+ LEFT JOIN ({TOLD('match_id, pid').replace('MEMBERS', 'merged')}) USING (match_id, pid))""",
+ votes=VOTES, decided=DECIDED, stats=STATS, known=KNOWN, speeds=SPEEDS, clusters="SELECT match_id, own AS number, avg(h) AS resid FROM known WHERE own IS NOT NULL GROUP BY ALL", anchored=ANCHORED, pooled=POOLED, places=PLACES, placed=PLACED, merged=MERGED),
     "c11_identity_samples": sql("SELECT player, label, count(*) AS n, round(sum(CASE WHEN label = 1 THEN 1e0 ELSE 3e-1 END), 3) AS weight FROM (SELECT p.obj_id AS player, CASE WHEN o.obj_id = p.obj_id THEN 1 ELSE 0 END AS label FROM objects_v o JOIN (SELECT match_id, clip_id, frame, obj_id FROM objects_v WHERE (match_id, clip_id, obj_id) IN (SELECT (match_id, clip_id, min(obj_id)) FROM objects_v GROUP BY match_id, clip_id)) p USING (match_id, clip_id, frame)) GROUP BY ALL"),
     "c13_audio_offset": sql("""SELECT clip_a, clip_b, CAST(arg_max(lag, (round(r, 12), -abs(lag))) AS INTEGER) AS lag, round(max(r), 6) AS peak, arg_max(lag, (round(r, 12), -abs(lag))) / 1e2 AS seconds FROM (SELECT a.clip AS clip_a, b.clip AS clip_b, b.i - a.i AS lag, sum(a.amp * b.amp) AS r FROM u a JOIN u b ON a.clip LIKE 'A%' AND b.clip = replace(a.clip, 'A', 'B') AND b.i - a.i BETWEEN -20 AND 20 GROUP BY ALL) GROUP BY ALL HAVING max(r) >= 5e-2""", env0=ENV0, env=ENV, u=UNIT),
     "j9_pair_clips": sql("""SELECT pair_id, count(*) AS n, CAST(sum(fa) AS BIGINT) AS fa, CAST(sum(fb) AS BIGINT) AS fb FROM (SELECT pair_id, clip_a, clip_b, CAST(round_even((k / 1e1) * 3e1, 0) AS BIGINT) + 1 AS fa, least(greatest(CAST(round_even((k / 1e1 + 1.5e0) * 25e0, 0) AS BIGINT) + 1, 1), n_b) AS fb FROM (

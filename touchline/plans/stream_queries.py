@@ -1,6 +1,5 @@
 """Streams run over files until they are through, with the SQL of their batch twins."""
 
-import tempfile
 import uuid
 from functools import cache
 
@@ -8,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import trajectory as t
+from ..sources.scratch import shared_folder
 from ..streaming import live
 from .fixtures import FRAME_H, FRAME_W, HOMOGRAPHY, objects, sql
 from .trajectory_queries import TR, VIEWS, W
@@ -17,12 +17,7 @@ SCHEMA = "match_id long, clip_id long, obj_id long, frame long, ord long, x1 dou
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="touchline-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @cache
