@@ -158,22 +158,6 @@ def hsv_gates() -> dict[str, Column]:
     }
 
 
-def learn_colour_band(pixels: DataFrame, keys, tight: float = 1.6) -> DataFrame:
-    """Median +- (1.6 spread + pad) of h, s, v by keys without grass and skin; needs thirty pixels."""
-    h, s, v = F.col("h"), F.col("s"), F.col("v")
-    grass = h.between(35, 85) & s.between(40, 255) & v.between(30, 255)
-    skin = h.between(0, 28) & s.between(40, 185) & v.between(60, 245)
-    patch = Window.partitionBy("obj_id", "frame", "region")
-    marked = pixels.withColumn("_bg", grass | skin)
-    marked = marked.withColumn("_clear", F.sum((~F.col("_bg")).cast("int")).over(patch)).where(~F.col("_bg") | (F.col("_clear") <= 5))
-    aggs = [F.count("*").alias("n")]
-    for c, pad, most in (("h", 3.0, 179.0), ("s", 18.0, 255.0), ("v", 18.0, 255.0)):
-        q = lambda p, c=c: F.percentile(c, F.lit(p))
-        half = tight * (q(0.75) - q(0.25)) / 1.35 + pad
-        aggs += [F.greatest(q(0.5) - half, F.lit(0.0)).alias(f"{c}_lo"), F.least(q(0.5) + half, F.lit(most)).alias(f"{c}_hi")]
-    return marked.groupBy(*keys).agg(*aggs).where("n >= 30")
-
-
 def team_signal_score(rows: DataFrame, signals: list[tuple[str, float]], veto: str, share: float, veto_median: float, least: int = 12) -> DataFrame:
     """Weighted count of signals that hold on enough frames; kept with score >= 1, a low veto median and enough frames."""
     score = sum(((F.avg((F.col(c) > 0).cast("int")) >= share).cast("int") * w for c, w in signals), F.lit(0.0))

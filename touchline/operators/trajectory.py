@@ -33,32 +33,36 @@ def live_foot_points(boxes: DataFrame, motion: DataFrame, h) -> DataFrame:
     return out.withColumn("px", x).withColumn("py", y).select(*boxes.columns, "px", "py")
 
 
-def step_metrics(points: DataFrame, fps: float) -> DataFrame:
+def step_metrics(points: DataFrame, fps: float, w: Window | None = None) -> DataFrame:
     """Adds gap, step and speed to the previous row of the track; null for its first row and where no frame passed.
 
     The previous row counts even where its own step was too fast, so one wrong point spoils two steps.
     """
-    w = along()
+    w = along() if w is None else w
     gap = F.col("frame") - F.lag("frame").over(w)
     dx, dy = F.col("px") - F.lag("px").over(w), F.col("py") - F.lag("py").over(w)
     out = points.withColumn("gap", gap).withColumn("step", F.when(F.col("gap") > 0, F.sqrt(dx * dx + dy * dy)))
     return out.withColumn("speed", F.col("step") / (F.col("gap") / F.lit(fps)))
 
 
-def track_distances(points: DataFrame, fps: float = 30.0, max_speed: float = MAX_SPEED) -> DataFrame:
-    """Distance, top and mean speed, frames and minutes of every track; one shuffle, by track."""
-    fps = fps or 30.0
-    known = points.where(F.col("px").isNotNull() & F.col("py").isNotNull())
-    steps = step_metrics(known, fps)
+def _distances(fps: float, max_speed: float) -> list[Column]:
+    """The aggregates of a track's steps; rows without a point have none."""
     fits = F.col("speed") <= max_speed
     moves = fits & (F.col("step") > MIN_STEP)
-    return steps.groupBy(*TRACK).agg(
+    n = F.count_if(F.col("px").isNotNull() & F.col("py").isNotNull())
+    return [
         F.round(F.coalesce(F.sum(F.when(fits, F.col("step"))), F.lit(0.0)), 1).alias("distance_m"),
         F.round(F.coalesce(F.max(F.when(moves, F.col("speed"))), F.lit(0.0)), 2).alias("top_speed_ms"),
         F.round(F.coalesce(F.avg(F.when(moves, F.col("speed"))), F.lit(0.0)), 2).alias("avg_speed_ms"),
-        F.count("*").alias("n_frames"),
-        F.round(F.count("*") / F.lit(fps) / 60.0, 2).alias("minutes"),
-    )
+        n.alias("n_frames"),
+        F.round(n / F.lit(fps) / 60.0, 2).alias("minutes"),
+    ]
+
+
+def track_distances(points: DataFrame, fps: float = 30.0, max_speed: float = MAX_SPEED) -> DataFrame:
+    """Distance, top and mean speed, frames and minutes of every track; one shuffle, by track."""
+    known = points.where(F.col("px").isNotNull() & F.col("py").isNotNull())
+    return step_metrics(known, fps or 30.0).groupBy(*TRACK).agg(*_distances(fps or 30.0, max_speed))
 
 
 def last_label(boxes: DataFrame) -> DataFrame:
@@ -67,9 +71,17 @@ def last_label(boxes: DataFrame) -> DataFrame:
     return named.groupBy(*TRACK).agg(F.max_by("team", "frame").alias("team"))
 
 
-def player_stats(points: DataFrame, fps: float = 30.0, min_frames: int = 15, top: int | None = 12) -> DataFrame:
-    """Distances with labels, short tracks left out, the farthest runners first; ``top`` is the report's length."""
-    stats = track_distances(points, fps).where(F.col("n_frames") >= min_frames).join(last_label(points), list(TRACK), "left")
+def player_stats(points: DataFrame, fps: float = 30.0, min_frames: int = 15, top: int | None = 12, max_speed: float = MAX_SPEED) -> DataFrame:
+    """Distances with labels, short tracks left out, the farthest runners first; ``top`` is the report's length.
+
+    One shuffle, by track, serves the steps, the sums and the last label that isn't blank, which may stand on a row without a point.
+    """
+    fps = fps or 30.0
+    rows = points.repartition(*TRACK).withColumn("_known", F.col("px").isNotNull() & F.col("py").isNotNull())
+    steps = step_metrics(rows, fps, Window.partitionBy(*TRACK, "_known").orderBy("frame"))
+    named = F.coalesce("team", F.lit("")) != ""
+    label = F.max_by(F.when(named, F.col("team")), F.when(named, F.col("frame"))).alias("team")
+    stats = steps.groupBy(*TRACK).agg(*_distances(fps, max_speed), label).where((F.col("n_frames") >= min_frames) & (F.col("n_frames") > 0))
     ranked = stats.orderBy(F.desc("distance_m"), *TRACK)
     return ranked.limit(top) if top else ranked
 
@@ -185,15 +197,19 @@ def chain_trust(frames: DataFrame, anchor: Column | int) -> DataFrame:
 def within_radius(points: DataFrame, metres: float = 1.0) -> DataFrame:
     """Pairs of tracks of a frame whose feet are at most so far apart, each once.
 
-    Points are keyed by a grid cell of that size; the other side looks into its nine cells.
+    Points are keyed by a grid cell of that size; the other side looks into its own cell and half of those around it, as every pair of
+    neighbouring cells is met from one side.
     """
     cell = lambda c: F.floor(F.col(c) / metres)
     a = points.where("px is not null and py is not null").select(*FRAME, "obj_id", "team", "px", "py", cell("px").alias("gx"), cell("py").alias("gy"))
     b = a.select(*FRAME, F.col("obj_id").alias("other"), F.col("team").alias("other_team"), F.col("px").alias("qx"), F.col("py").alias("qy"), "gx", "gy")
-    steps = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    b = b.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy")).drop("dx", "dy")
+    half = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    b = b.withColumn("d", F.explode(half)).withColumn("gx", F.col("gx") + F.col("d.x")).withColumn("gy", F.col("gy") + F.col("d.y"))
+    b = b.withColumn("own", (F.col("d.x") == 0) & (F.col("d.y") == 0)).drop("d")
     near = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2) <= metres * metres + 1e-9
-    return a.join(b.hint("merge"), [*FRAME, "gx", "gy"]).where((F.col("obj_id") < F.col("other")) & near).select(*FRAME, "obj_id", "other", (F.col("team") == F.col("other_team")).alias("same_team"))
+    once = (F.col("obj_id") < F.col("other")) | (~F.col("own") & (F.col("obj_id") != F.col("other")))
+    met = a.join(b.hint("merge"), [*FRAME, "gx", "gy"]).where(once & near)
+    return met.select(*FRAME, F.least("obj_id", "other").alias("obj_id"), F.greatest("obj_id", "other").alias("other"), (F.col("team") == F.col("other_team")).alias("same_team"))
 
 
 def offside(points: DataFrame, reference: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import scoring as s
 from ..operators import aggregates as a
 from ..operators import filters as f
 from ..operators import joins as j
+from ..operators import team_profiles
 from ..operators import trajectory as t
 from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, pixels, pose, sql
 from .trajectory_queries import CENTRE, FOOT, POINTS, TR, W, points
@@ -124,7 +125,7 @@ def _occupancy(spark, sf):
 
 
 def _bands(spark, sf):
-    out = a.learn_colour_band(pixels(spark, sf), ["region"])
+    out = team_profiles.colour_bands(pixels(spark, sf), ["region"], clusters=False)
     return out.select("region", "n", *[F.round(c, 4).alias(c) for c in ("h_lo", "h_hi", "s_lo", "s_hi", "v_lo", "v_hi")])
 
 

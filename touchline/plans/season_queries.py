@@ -7,9 +7,10 @@ from ..functions import geometry as g
 from ..functions.geometry import Box, project
 from ..operators import aggregates as a
 from ..operators import calibration, edits, filters, joins, profiles, registry_store, scoring_gates, selection
+from ..operators import team_profiles as learning
 from ..operators import trajectory as t
-from .box_queries import DECIDED, DISTS, PRINTS, RES, ROI, TRS, VEC, VOTES, rois, team_prints, team_vectors
-from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, sql
+from .box_queries import BG, _band, DECIDED, DISTS, PRINTS, RES, ROI, TRS, VEC, VOTES, rois, team_prints, team_vectors
+from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, pixels, sql
 from .match_queries import ME, QUERIES as MATCH_QUERIES, SQL as MATCH_SQL, me
 from .trajectory_queries import CENTRE, FOOT, POINTS, SEG, TR, points, residuals
 
@@ -204,13 +205,30 @@ def attached(spark, sf):
     return joins.attach_nearest_height(rows.where("number is null").select(*TR, "resid"), clusters, F.lit(1.0))
 
 
+KIT = "SELECT *, obj_id % 5 AS match_id, CASE WHEN obj_id % 3 = 0 THEN 'opp' ELSE 'home' END AS team FROM pixel_v WHERE obj_id % 10 <> 9 OR region = 'torso'"
+
+
+def kit_pixels(spark, sf):
+    """Pixels by match and team; teams of suppliers 9, 19, ... show no shorts."""
+    rows = pixels(spark, sf).where("obj_id % 10 <> 9 or region = 'torso'")
+    return rows.withColumn("match_id", F.col("obj_id") % 5).withColumn("team", F.when(F.col("obj_id") % 3 == 0, "opp").otherwise("home"))
+
+
 def team_profiles(spark, sf):
-    """Height model and number of samples of each team of a match; teams with under twelve are marked."""
+    """Looks, height model and robust bands of each team of a match."""
     b = Box()
-    rows = objects(spark, sf).select("match_id", "team", b.height.alias("height"), b.cy.alias("cy"))
-    n = rows.groupBy("match_id", "team").agg(F.count("*").alias("n_samples"))
-    model = a.learn_height_model(rows, ["match_id", "team"]).select("match_id", "team", F.round("slope", 6).alias("slope"))
-    return n.join(model, ["match_id", "team"], "left").withColumn("few", F.col("n_samples") < 12)
+    rows = objects(spark, sf).select("match_id", "team", b.height.alias("height"), b.cy.alias("cy"), F.array(b.cx / FRAME_W, F.col("conf")).alias("features"))
+    out = learning.learn_team_profiles(rows, kit_pixels(spark, sf), rows.where("team = 'home'"), clusters=False)
+    side = lambda part, c: F.round(F.col(f"{part}.{c}"), 4).alias(f"{part}_{c}")
+    return out.select("match_id", "team", "track", "n_samples", "few", F.round("slope", 6).alias("slope"), F.round("resid_std", 4).alias("resid_std"), F.round(F.col("fingerprint")[0], 6).alias("look_1"), F.round(F.col("fingerprint")[1], 6).alias("look_2"), *[side(p, c) for p in ("primary", "shorts") for c in ("h_lo", "h_hi", "v_hi")], F.array_join("missing", ",").alias("missing"))
+
+
+def dominant_bands(spark, sf):
+    """The bands of the largest clusters, and how much of their own team's pixels they hold."""
+    keys = ["match_id", "team", "region"]
+    bands = learning.colour_bands(kit_pixels(spark, sf), keys)
+    held = learning.band_fraction(kit_pixels(spark, sf), bands, keys, keys).withColumn("fraction", F.round("fraction", 6))
+    return bands.join(held, keys).select(*keys, "n", F.round("share", 6).alias("share"), *[F.round(f"{c}_{x}", 4).alias(f"{c}_{x}") for c in "hsv" for x in ("lo", "hi")], "fraction")
 
 
 NAMED = [(f"{u} / {c}", x, y) for u, x in g.UPRIGHT_LINES.items() for c, y in g.CROSS_LINES.items()] + [(n, *p) for n, p in g.OTHER_POINTS.items()]
@@ -282,6 +300,7 @@ QUERIES = {
     "c18_me_profile": known_of_me,
     "g21_merge_same_number": merged_numbers,
     "c16_team_profiles": team_profiles,
+    "g18_dominant_bands": dominant_bands,
     "j6_attach_nearest_height": attached,
     "c1_score_detections": scored_detections,
     "c5_edit_log": edited,
@@ -337,7 +356,10 @@ SQL = {
     "p6_box_sizes": sql(f"SELECT {TRS}, frame, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM objects_v"),
     "s11_tracklet_reads": sql(f"SELECT {TRS}, n_frames, resid, v AS votes FROM (SELECT {TRS}, count(*) AS n_frames, round(avg({RES}), 6) AS resid FROM objects_v GROUP BY ALL) LEFT JOIN (SELECT {TRS}, string_agg(number || ':' || CAST(weight AS BIGINT), ',' ORDER BY number) AS v FROM votes GROUP BY ALL) USING ({TRS})", votes=VOTES),
     "c5_edit_log": sql(f"SELECT {TRS}, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames FROM (SELECT * FROM kept WHERE ({TRS}, frame) NOT IN (SELECT (match_id, clip_id, obj_id + 10, frame) FROM moved) UNION ALL SELECT match_id, clip_id, obj_id + 10, frame FROM moved) GROUP BY ALL", stretch=STRETCH, moved="SELECT * FROM stretch WHERE obj_id % 40 = 6", kept=f"SELECT {TRS}, frame FROM objects_v WHERE obj_id % 40 <> 3 AND ({TRS}, frame) NOT IN (SELECT ({TRS}, frame) FROM stretch)").replace(f"({TRS}, frame) NOT IN (SELECT ({TRS}, frame)", f"({TRS}, frame) NOT IN (SELECT ({TRS}, frame)"),
-    "c16_team_profiles": sql("SELECT match_id, team, count(*) AS n_samples, round(regr_slope(bh, cy), 6) AS slope, count(*) < 12 AS few FROM c GROUP BY ALL", c=CENTRE),
+    "c16_team_profiles": sql("""SELECT n.match_id, n.team, n.team = 'home' AS track, n_samples, n_samples < 12 AS few, slope, resid_std, look_1, look_2, p.h_lo AS primary_h_lo, p.h_hi AS primary_h_hi, p.v_hi AS primary_v_hi, q.h_lo AS shorts_h_lo, q.h_hi AS shorts_h_hi, q.v_hi AS shorts_v_hi,
+  concat_ws(',', CASE WHEN p.h_lo IS NULL THEN 'primary' END, CASE WHEN q.h_lo IS NULL THEN 'shorts' END, CASE WHEN slope IS NULL THEN 'height' END) AS missing FROM taught n LEFT JOIN bands p ON p.match_id = n.match_id AND p.team = n.team AND p.region = 'torso' LEFT JOIN bands q ON q.match_id = n.match_id AND q.team = n.team AND q.region = 'shorts'""", c=CENTRE,
+  taught="SELECT match_id, team, count(*) AS n_samples, round(CASE WHEN count(*) >= 4 THEN regr_slope(bh, cy) END, 6) AS slope, round(CASE WHEN count(*) >= 4 THEN sqrt(var_pop(bh) - regr_slope(bh, cy) * covar_pop(bh, cy)) END, 4) AS resid_std, round(avg(cx / 1920e0), 6) AS look_1, round(avg(conf), 6) AS look_2 FROM c GROUP BY ALL",
+  kit=KIT, bands=f"SELECT match_id, team, region, {_band('h', 3, 179)}, {_band('v', 18, 255)} FROM (SELECT *, sum(CASE WHEN {BG} THEN 0 ELSE 1 END) OVER (PARTITION BY obj_id, frame, region) AS k FROM kit) WHERE NOT {BG} OR k <= 5 GROUP BY ALL HAVING count(*) >= 30"),
     "j6_attach_nearest_height": sql("SELECT match_id, clip_id, obj_id, arg_min(number, (d, number)) AS number FROM (SELECT o.m AS match_id, o.match_id AS clip_id, o.key AS obj_id, k.number, abs(o.resid - k.resid) AS d FROM ob o JOIN (SELECT m, number, round(avg(resid), 9) AS resid FROM ob WHERE number IS NOT NULL GROUP BY ALL) k ON o.m = k.m WHERE o.number IS NULL) WHERE d <= 8 GROUP BY ALL", **_obs, ob="SELECT *, key % 5 AS m FROM obs"),
     "c1_score_detections": sql("SELECT vec_id, round(o - k, 6) AS team_score, o - k >= 3e-2 AND (match_id % 2 = 0 OR abs(40e0 + vec_id % 60 - e) <= greatest(12e0, 35e-2 * greatest(e, 1))) AND vec_id % 11 <> 0 AS kept FROM (SELECT vec_id, vec_id % 5 AS match_id, 8e-2 * (vec_id % 300 + (40e0 + vec_id % 60) / 2) + 50e0 AS e, min(d) FILTER (team = 0 OR (team = 1 AND vec_id % 5 % 2 = 0)) AS k, min(d) FILTER (NOT (team = 0 OR (team = 1 AND vec_id % 5 % 2 = 0))) AS o FROM dists GROUP BY ALL)", vec=VEC, prints=PRINTS, dists=DISTS),
     "c6_registry_candidates": sql("""SELECT team, match_id, key, coalesce(same, near) AS player_id, CASE WHEN same IS NOT NULL THEN 'number' ELSE coalesce(via, 'new') END AS how FROM
