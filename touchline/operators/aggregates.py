@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
 from .filters import dominant_team, votes_of
-from .trajectory import TRACK
+from .trajectory import TRACK, clip_reel_stats, segments
 
 
 def id_stats(rows: DataFrame, fps: float = 29.97) -> DataFrame:
@@ -81,8 +81,19 @@ def team_label(boxes: DataFrame, margin: float = 0.02, single_confident: bool =
 
 
 def report_order(scores: DataFrame) -> DataFrame:
-    """A report's order: kept tracks first, then by score and length."""
-    return scores.orderBy(F.desc("kept"), F.desc("score"), F.desc("n"), *TRACK)
+    """Adds place, a match's tracks in a report's order: kept ones first, then by score and length. Nulls come last."""
+    order = [F.desc_nulls_last(c) for c in ("kept", "score", "n")]
+    return scores.withColumn("place", F.row_number().over(Window.partitionBy("match_id").orderBy(*order, *TRACK)).cast("long"))
+
+
+def unique_ids(rows: DataFrame, keys=("match_id",)) -> DataFrame:
+    """By keys: the ids of its tracks, ascending, and how many. An id is a number; of a match there are as many as it has tracks."""
+    return rows.where("obj_id is not null").groupBy(*keys).agg(F.sort_array(F.collect_set("obj_id")).alias("obj_ids"), F.countDistinct("obj_id").alias("ids"))
+
+
+def distinct_clips(rows: DataFrame, keys=("match_id",)) -> DataFrame:
+    """By keys: the clips that they are seen in, ascending, and how many."""
+    return rows.where("clip_id is not null").groupBy(*keys).agg(F.sort_array(F.collect_set("clip_id")).alias("clips"), F.countDistinct("clip_id").alias("n_clips"))
 
 
 def evidence_summary(profiles: DataFrame) -> DataFrame:
@@ -136,6 +147,12 @@ def coverage_stats(rows: DataFrame, fps: float) -> DataFrame:
     return out.withColumn("coverage_pct", F.round(100.0 * F.col("tracked_frames") / F.col("total_frames"), 2)).withColumn("longest_gap_s", F.round(F.col("longest_gap") / F.lit(fps), 2))
 
 
+def export_report(rows: DataFrame, fps: float, gap: int = 5) -> DataFrame:
+    """Per track: what was tracked (``coverage_stats``) and what its reel would hold (``clip_reel_stats``)."""
+    reels = clip_reel_stats(segments(rows, gap), fps)
+    return coverage_stats(rows, fps).join(reels, list(TRACK))
+
+
 def pitch_occupancy(points: DataFrame, cell: float = 1.0) -> DataFrame:
     """Foot points by team and grid cell."""
     return points.where("px is not null and py is not null").groupBy("match_id", "team", F.floor(F.col("px") / cell).alias("gx"), F.floor(F.col("py") / cell).alias("gy")).agg(F.count("*").alias("n"))

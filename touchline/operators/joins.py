@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, dist2, iou
@@ -39,6 +39,12 @@ def nearest_box(points: DataFrame, boxes: DataFrame, within: Column | None = Non
     return found.select(*FRAME, "id", "best.obj_id", "best.d2")
 
 
+def manual_snap(rois: DataFrame, boxes: DataFrame, widths: float = 1.5) -> DataFrame:
+    """For each region (rx1 .. ry2) of a frame the box nearest its centre, if that is within ``widths`` of the region's width; d2 is the squared distance."""
+    points = rois.select(*FRAME, F.lit(0).alias("id"), ((F.col("rx1") + F.col("rx2")) / 2).alias("x"), ((F.col("ry1") + F.col("ry2")) / 2).alias("y"), (F.lit(widths) * (F.col("rx2") - F.col("rx1"))).alias("_reach"))
+    return nearest_box(points, boxes, F.col("_reach")).drop("id")
+
+
 def attach_nearest_height(tracks: DataFrame, clusters: DataFrame, spread: Column, k: float = 1.5, least: float = 8.0) -> DataFrame:
     """Unnumbered tracks to the numbered cluster of their match with the nearest mean residual, if near enough.
 
@@ -51,8 +57,9 @@ def attach_nearest_height(tracks: DataFrame, clusters: DataFrame, spread: Column
 
 
 def ruled_out_seed(profiles: DataFrame, mine: int) -> DataFrame:
-    """Every numbered player of a match but mine, by number."""
-    return profiles.where(F.col("number").isNotNull() & (F.col("number") != mine))
+    """Every numbered player of a match but mine; place counts them by number."""
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy("number"))
+    return profiles.where(F.col("number").isNotNull() & (F.col("number") != mine)).withColumn("place", place.cast("long"))
 
 
 def find_by_number(players: DataFrame, history: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -44,5 +44,43 @@ def bone_segments(points: DataFrame, bones: DataFrame, visible: float = 0.3) ->
     return out.select("clip_id", "frame", "a", "b", F.sqrt(F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2)).alias("length"), ((F.col("a_vis") + F.col("b_vis")) / 2).alias("depth"))
 
 
+def body_segments(points: DataFrame, slots: dict[str, int], visible: float = 0.3) -> DataFrame:
+    """clip_id, frame, part, ord, x1, y1, x2, y2, depth: feet, shoulders, pelvis and spine, by what can be seen of them.
+
+    slots names the key points: l_ and r_ of ankle, heel, meta, toe, shoulder, clavicle and hip, and c7, thoracic, lumbar, sacrum; absent
+    ones are never seen. A foot is ankle-heel-meta-toe, or without meta ankle-toe, ankle-heel and heel-toe. Shoulders are a chain over what is
+    seen of clavicles and c7; the pelvis bends at the sacrum if it is seen. The spine goes from c7 (else the shoulders' middle) by
+    thoracic and lumbar to the sacrum (else the hips' middle); what isn't seen drops out, and one point is no spine. depth is the mean
+    visibility of a segment's ends, the spine's that of shoulders and hips (0.5 for a pair that isn't seen). A frame's key points are a few dozen.
+    """
+    seen = points.where(F.col("vis") >= visible).groupBy("clip_id", "frame", "kp").agg(F.max_by(F.struct("x", "y", "vis"), "vis").alias("p"))
+    frames = seen.groupBy("clip_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("kp", "p"))).alias("m"))
+    kind = "struct<x:double,y:double,vis:double>"
+    at = lambda name: F.col("m")[F.lit(slots[name])] if name in slots else F.lit(None).cast(kind)
+    middle = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"), ((a["vis"] + b["vis"]) / 2).alias("vis")))
+    segment = lambda part, a, b, depth=None: F.when(a.isNotNull() & b.isNotNull(), F.struct(F.lit(part).alias("part"), a.alias("a"), b.alias("b"), ((a["vis"] + b["vis"]) / 2 if depth is None else depth).alias("depth")))
+
+    def chain(part, places, depth=None):
+        kept = F.filter(F.array(*places), lambda p: p.isNotNull())
+        return F.transform(F.sequence(F.lit(0), F.size(kept) - 2), lambda k: segment(part, F.get(kept, k), F.get(kept, k + 1), depth)), F.size(kept)
+
+    none = F.array().cast(f"array<struct<part:string,a:{kind},b:{kind},depth:double>>")
+    parts = []
+    for side in ("l", "r"):
+        ankle, heel, meta, toe = (at(f"{side}_{n}") for n in ("ankle", "heel", "meta", "toe"))
+        long_ = F.array(segment(f"{side}_foot", ankle, heel), segment(f"{side}_foot", heel, meta), segment(f"{side}_foot", meta, toe))
+        parts.append(F.when(meta.isNotNull(), long_).otherwise(F.array(segment(f"{side}_foot", ankle, toe), segment(f"{side}_foot", ankle, heel), segment(f"{side}_foot", heel, toe))))
+    shoulders, hips = middle(at("l_shoulder"), at("r_shoulder")), middle(at("l_hip"), at("r_hip"))
+    line, _ = chain("shoulders", [at(n) for n in ("l_shoulder", "l_clavicle", "c7", "r_clavicle", "r_shoulder")])
+    parts.append(F.when(shoulders.isNotNull(), line).otherwise(none))
+    bent = F.array(segment("pelvis", at("l_hip"), at("sacrum")), segment("pelvis", at("sacrum"), at("r_hip")))
+    parts.append(F.when(hips.isNull(), none).when(at("sacrum").isNotNull(), bent).otherwise(F.array(segment("pelvis", at("l_hip"), at("r_hip")))))
+    depth = (F.coalesce(shoulders["vis"], F.lit(0.5)) + F.coalesce(hips["vis"], F.lit(0.5))) / 2
+    spine, n = chain("spine", [F.coalesce(at("c7"), shoulders), at("thoracic"), at("lumbar"), F.coalesce(at("sacrum"), hips)], depth)
+    parts.append(F.when(n >= 2, spine).otherwise(none))
+    found = frames.select("clip_id", "frame", F.posexplode(F.filter(F.concat(*parts), lambda s: s.isNotNull())).alias("ord", "s"))
+    return found.select("clip_id", "frame", "s.part", "ord", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"), "s.depth")
+
+
 def pose_progress(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip_id").agg(F.avg(F.col("good").cast("int")).alias("progress"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import cosine_distance
@@ -76,10 +76,11 @@ def registry_merge(players: DataFrame, pairs: DataFrame) -> DataFrame:
     """Folds player ``drop`` into ``keep`` of a team: heights weighted by their samples, looks blended, votes and counts added, histories joined.
 
     The kept player's number, name, place and spread stand where it has them. Several drops of one player go in by player_id. Columns
-    that players lack are null. A drop that isn't there changes nothing.
+    that players lack are null. A pair of which either isn't there changes nothing.
     """
     players = _typed(players, PLAYERS)
-    kept = pairs.select("team", F.col("drop").alias("player_id"), "keep")
+    there = players.select("team", F.col("player_id").alias("keep")).distinct()
+    kept = pairs.where("keep <> drop").join(there, ["team", "keep"], "left_semi").select("team", F.col("drop").alias("player_id"), "keep")
     moved = players.join(kept.hint("shuffle_hash"), ["team", "player_id"], "left").withColumn("_id", F.coalesce("keep", "player_id"))
     count = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
     rest = [c for c in columns(PLAYERS) if c not in ("team", "player_id", "h_n", "fp_n")]
@@ -127,6 +128,8 @@ def add_players(players: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def list_players(players: DataFrame, me: str | None = None) -> DataFrame:
-    """Me first, then by number, unnumbered last."""
-    mine = F.when(F.col("player_id") == F.lit(me), 0).otherwise(1)
-    return players.orderBy("team", mine, F.asc_nulls_last("number"), "player_id")
+    """Adds place, a team's players in order: me (``me``, or is_me where players carry it) first, then by number, unnumbered last, then by name."""
+    is_me = F.col("player_id") == F.lit(me) if me is not None else F.col("is_me") if "is_me" in players.columns else F.lit(False)
+    name = F.coalesce("display_name", F.lit("")) if "display_name" in players.columns else F.lit("")
+    order = [F.desc(F.coalesce(is_me, F.lit(False))), F.asc_nulls_last("number"), name, "player_id"]
+    return players.withColumn("place", F.row_number().over(Window.partitionBy("team").orderBy(*order)).cast("long"))

@@ -158,7 +158,7 @@ QUERIES = {
     "j3_assign_track_id": lambda sp, d: j.assign_track_id(detections(sp, d).where("obj_id % 2 = 0").select(*t.FRAME, "ord", "x1", "y1", "x2", "y2"), objects(sp, d).where("obj_id % 2 = 1 or obj_id % 4 = 0").select(*t.FRAME, "obj_id", "x1", "y1", "x2", "y2"), -1).groupBy("match_id", "clip_id", "obj_id").agg(F.count("*").alias("n")),
     "j4_nearest_box": lambda sp, d: j.nearest_box(rois(sp, d).select(*t.FRAME, F.lit(1).alias("id"), (F.col("rx1") + 90).alias("x"), F.col("ry1").alias("y")), objects(sp, d).select(*t.FRAME, "obj_id", "x1", "y1", "x2", "y2")).select(*t.FRAME, "obj_id", R("d2", 4).alias("d2")),
     "g1_id_stats": lambda sp, d: a.id_stats(objects(sp, d)),
-    "g2_unique_ids": lambda sp, d: objects(sp, d).groupBy("match_id").agg(F.countDistinct("obj_id").alias("ids")),
+    "g2_unique_ids": lambda sp, d: a.unique_ids(objects(sp, d)).select("match_id", "ids", F.array_join(F.transform("obj_ids", lambda x: x.cast("string")), ",").alias("obj_ids")),
     "g3_moments": lambda sp, d: a.combine_moments(a.moments(objects(sp, d), ["match_id", "clip_id", "obj_id"], F.col("conf")), ["match_id"]).select("match_id", "n", R("mean").alias("mean"), R(a.spread(F.col("n"), F.col("m2"))).alias("std")),
     "g4_height_model": lambda sp, d: a.learn_height_model(objects(sp, d).select("match_id", "team", g.Box().height.alias("height"), g.Box().cy.alias("cy")), ["match_id", "team"]).select("match_id", "team", R("slope").alias("slope"), R("intercept", 4).alias("intercept"), R("resid_std", 4).alias("resid_std"), R("y_min").alias("y_min"), R("y_max").alias("y_max")),
     "g5_fingerprint": lambda sp, d: team_prints(sp, d).select("name", "track", F.round(F.aggregate(F.transform("fingerprint", lambda x, i: x * (i + 1)), F.lit(0.0), lambda p, q: p + q), 6).alias("mixed")),
@@ -216,7 +216,7 @@ SQL = {
  ON a.match_id = b.match_id AND a.clip_id = b.clip_id AND a.frame = b.frame, LATERAL (SELECT greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i)) GROUP BY ALL) GROUP BY ALL""", c=CENTRE),
     "j4_nearest_box": sql("SELECT match_id, clip_id, frame, arg_min(obj_id, (d, obj_id)) AS obj_id, round(min(d), 4) AS d2 FROM (SELECT c.match_id, c.clip_id, c.frame, c.obj_id, (cx - (rx1 + 90)) ** 2 + (cy - ry1) ** 2 AS d FROM c JOIN roi USING (match_id, clip_id, frame)) GROUP BY ALL", c=CENTRE, roi=ROI),
     "g1_id_stats": sql(f"SELECT {TRS}, count(*) AS n, min(frame) AS first, max(frame) AS last, round((max(frame) - min(frame) + 1) / 29.97e0, 4) AS seconds FROM objects_v GROUP BY ALL"),
-    "g2_unique_ids": sql("SELECT match_id, count(DISTINCT obj_id) AS ids FROM objects_v GROUP BY ALL"),
+    "g2_unique_ids": sql("SELECT match_id, count(*) AS ids, string_agg(CAST(obj_id AS VARCHAR), ',' ORDER BY obj_id) AS obj_ids FROM (SELECT DISTINCT match_id, obj_id FROM objects_v) GROUP BY ALL"),
     "g3_moments": sql("SELECT match_id, count(*) AS n, round(avg(conf), 6) AS mean, round(stddev_pop(conf), 6) AS std FROM objects_v GROUP BY ALL"),
     "g4_height_model": sql("SELECT match_id, team, round(regr_slope(bh, cy), 6) AS slope, round(regr_intercept(bh, cy), 4) AS intercept, round(sqrt(var_pop(bh) - regr_slope(bh, cy) * covar_pop(bh, cy)), 4) AS resid_std, round(min(cy), 6) AS y_min, round(max(cy), 6) AS y_max FROM c GROUP BY ALL HAVING count(*) >= 4", c=CENTRE),
     "g5_fingerprint": sql("SELECT 'team' || label AS name, label = 0 AS track, round(list_sum(list_transform(range(1, 11), lambda i: fp[i] * i)), 6) AS mixed FROM prints", vec=VEC, prints=PRINTS),

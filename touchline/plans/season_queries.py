@@ -159,9 +159,7 @@ def reprojection(spark, sf):
 
 
 def report(spark, sf):
-    cover = a.coverage_stats(objects(spark, sf), FPS).select(*TR, "tracked_frames", "coverage_pct", "num_gaps")
-    reels = t.clip_reel_stats(t.segments(objects(spark, sf), 5), FPS)
-    return cover.join(reels, list(TR))
+    return a.export_report(objects(spark, sf), FPS).select(*TR, "tracked_frames", "coverage_pct", "num_gaps", "n_segments", "reel_frames", "reel_s")
 
 
 def priority(spark, sf):
@@ -186,7 +184,7 @@ _obs = {"votes": VOTES, "decided": DECIDED, "obs": OBS}
 
 def ruled_out(spark, sf):
     mine = profiles.build_profiles(residuals(spark, sf), FRAME_W, FRAME_H)
-    return joins.ruled_out_seed(mine, 5).select("match_id", "number", "role_group")
+    return joins.ruled_out_seed(mine, 5).select("match_id", "place", "number", "role_group")
 
 
 def summed(spark, sf):
@@ -324,7 +322,7 @@ QUERIES = {
     "j13_name_tracks": lambda s, d: joins.name_tracks(objects(s, d), objects(s, d).groupBy(*TR).agg(F.count("*").alias("n")).where("obj_id % 2 = 0").select(*TR, F.concat(F.lit("p"), "obj_id").alias("player_id"), F.lit("x").alias("display"))).groupBy("player_id").agg(F.count("*").alias("n")),
     "p12_live_foot_point": live_points,
     "s9_resolve_by_priority": priority,
-    "t7_distinct_clips": lambda s, d: objects(s, d).groupBy("match_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("clip_id")), lambda x: x.cast("string")), ",").alias("clips")),
+    "t7_distinct_clips": lambda s, d: a.distinct_clips(objects(s, d)).select("match_id", F.array_join(F.transform("clips", lambda x: x.cast("string")), ",").alias("clips")),
     "w13_select_candidate": lambda s, d: selection.select_candidate(candidates(s, d), regions(s, d), "home").select("match_id", "clip_id", "frame", "obj_id", F.round("score", 6).alias("score")),
     "w14_recovery_select": lambda s, d: selection.recovery_select(candidates(s, d), regions(s, d), "home").select("match_id", "clip_id", "frame", "obj_id", F.round("score", 6).alias("score")),
     "w15_margin_term": lambda s, d: selection.margin_term(chosen(s, d), rois(s, d)).select("match_id", "clip_id", "frame", "obj_id", F.round("margin", 6).alias("margin")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import role
+
 # The formats' columns.
 DETECTIONS = "frame int, x1 double, y1 double, x2 double, y2 double, conf double, team_score double, kept boolean"
 TRACK_COLUMNS = ("frame", "target_id", "x1", "y1", "x2", "y2", "source", "confidence")
@@ -75,11 +77,12 @@ def write_v1_tracks(rows: DataFrame, path: str, keys=("match_id", "clip_id")) ->
     out.select(*keys, "frame", "track_id", *[_fixed(c, 2) for c in ("x1", "y1", "x2", "y2")], _fixed("confidence", 4)).write.mode("overwrite").option("header", True).partitionBy(*keys).csv(path)
 
 
-CALIBRATION = "video string, teams array<struct<name:string,track:boolean,n_samples:int,height:struct<a:double,b:double,resid_std:double,y_min:double,y_max:double>,fingerprint:array<double>>>"
+BAND = "struct<lo:array<double>,hi:array<double>>"
+CALIBRATION = f"video string, teams array<struct<name:string,track:boolean,n_samples:int,primary:{BAND},secondary:{BAND},shorts:{BAND},height:struct<a:double,b:double,resid_std:double,y_min:double,y_max:double>,fingerprint:array<double>>>"
 
 
 def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file and team."""
+    """One row per file and team: name, track, n_samples, the colour bands (lo and hi of h, s, v), height model and fingerprint; what a file lacks is null."""
     raw = spark.read.schema(CALIBRATION).option("multiLine", True).json(path)
     return raw.select(F.col("_metadata.file_path").alias("file_path"), "video", F.explode("teams").alias("t")).select("file_path", "video", "t.*")
 
@@ -113,6 +116,23 @@ def write_player_stats(stats: DataFrame, path: str) -> None:
     stats.orderBy(F.desc("distance_m"), "obj_id").select("match_id", "clip_id", *cols).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_export_stats(report: DataFrame, path: str) -> None:
+    """The export report (``export_report``) as JSON lines, one a track, in order inside each match's file."""
+    report.repartition("match_id").sortWithinPartitions("match_id", "clip_id", "obj_id").write.mode("overwrite").partitionBy("match_id").json(path)
+
+
+def write_ruleout_seed(seed: DataFrame, me: DataFrame, path: str, keys=("match_id",)) -> None:
+    """One JSON object by keys: my_number, my_role and rule_out, the players that are not me in their order (place).
+
+    seed: keys, place and what tells each player (``ruled_out_seed``, ``rule_out``). me: keys, my_number. Nobody to rule out gives an empty list.
+    """
+    told = [c for c in seed.columns if c not in (*keys, "place")]
+    others = seed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*told).alias("player")))), lambda s: s["player"]).alias("rule_out"))
+    out = me.select(*keys, "my_number").join(others, list(keys), "left").withColumn("my_role", role(F.col("my_number"))[0])
+    empty = F.array().cast(others.schema["rule_out"].dataType)
+    out.select(*keys, "my_number", "my_role", F.coalesce("rule_out", empty).alias("rule_out")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """Profiles, stats or rule-out seeds as JSON lines."""
     rows.write.mode("overwrite").json(path)
