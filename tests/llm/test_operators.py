@@ -59,6 +59,16 @@ def test_lines_brute_force(spark, docs):
         assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got], key=str) == brute_lines(rows)
 
 
+def test_lines_carry_and_batch_size(spark, docs):
+    """Columns named like the result's or the operator's own; batches made by size give the same."""
+    df = odd(spark, ODD).selectExpr("doc_id", "text", "1 as gone", "2 as n_lines", "3 as n_dropped", "4 as batch", "5 as keeper")
+    out = lines.dedup_lines(df, carry=("gone", "n_lines", "n_dropped", "batch", "keeper"))
+    assert out.columns == ["doc_id", "gone", "batch", "keeper", "text", "n_lines", "n_dropped"]
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out.collect()], key=str) == brute_lines(ODD) and out.where("gone = 1 and batch = 4 and keeper = 5").count() == len(ODD)
+    small = lines.dedup_lines(docs, batches=1, batch_docs=60)
+    assert sorted(small.select("doc_id", "n_dropped", "text").collect()) == sorted(lines.dedup_lines(docs).select("doc_id", "n_dropped", "text").collect())
+
+
 def test_lines_empty_and_compaction(spark):
     assert lines.dedup_lines(odd(spark, [])).count() == 0
     runs = lines.LineRuns(spark, 4, fanout=2)
@@ -242,6 +252,17 @@ def test_leaks_empty(spark, docs):
     assert decontaminate.find_leaks(docs.limit(0), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
 
 
+def test_leaks_long_texts_and_repeated_rows(spark):
+    """A passage deep in a very long text, repeated documents and items, null ids, and columns named like the result's."""
+    item = "which river flows through the old town and under the seven bridges of the harbour"
+    long_ = "filler words " * 60_000 + item.upper() + " tail " * 1000
+    rows = [(1, long_), (2, item), (2, item), (None, item), (3, "nothing of it")]
+    items = spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id long, text string").selectExpr("*", "1 as distance", "2 as start", "3 as doc_id")
+    docs = odd(spark, rows).selectExpr("*", "1 as distance", "2 as stop", "true as short")
+    got = sorted((str(r.doc_id), str(r.item_id), r.distance, r.short) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == sorted([(d, i, 0, False) for d in ("1", "2", "2", "None") for i in ("7", "7", "None")])
+
+
 # 3 URL filters
 
 
@@ -263,6 +284,13 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_urls_long_repeated_and_own_labels(spark):
+    given = ["http://a.org/" + "x/" * 100_000, "http://" + "sub." * 20_000 + "example.com/en/", "http://b.org/q", "http://b.org/q"]
+    df = spark.createDataFrame([(k // 3, u) for k, u in enumerate(given)], "page_id long, url string").selectExpr("*", "'v' as verdict", "'r' as rule", "'b' as blocked")
+    out = urls.filter_urls(df).collect()
+    assert len(out) == 4 and sorted(r.rule or "" for r in out) == ["", "", "", "example.com/en/"] and len({(r.host, r.verdict, r.score) for r in out if r.host == "b.org"}) == 1
+
+
 def test_url_model_held_out(spark):
     rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()]
     known = [(*brute_rule(r.url)[:2], brute_rule(r.url)[3] == "block") for r in rows if brute_rule(r.url)[3]]
@@ -288,6 +316,16 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_long_texts_in_parts(spark):
+    """A batch of several megabytes is cut into parts; nothing changes at their edges."""
+    rows = [(k // 3, k % 3, "assistant" if k % 3 else "user", f"#{k} <" + "é\\#" * 150_000) for k in range(12)] + [(50, 0, "user", "\n" * 2_000_000)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()}
+    assert set(got) == {0, 1, 2, 3, 50}
+    for conv, r in got.items():
+        assert chat.parse(r.formatted) == [x[2:] for x in rows if x[0] == conv]
+        assert [chat.unescape(r.formatted[s.start : s.stop]) for s in r.loss_spans] == [x[3] for x in rows if x[0] == conv and x[2] == "assistant"]
+
+
 # 5 neighbours
 
 
@@ -346,10 +384,35 @@ def test_neighbours_estimate_is_unbiased():
     turn = neighbours.rotation(40, 512)
     codes = neighbours.Codes(*neighbours.encode_bits(x, turn))
     guess, most = neighbours.estimates(codes, neighbours.Asked(q, turn), 1.0)
-    off = (guess - x @ q) / (most - guess)
+    off = (guess - x @ q / np.linalg.norm(q) / codes.unit) / (most - guess)
     assert abs(off.mean()) < 0.05 and 0.9 < off.std() < 1.1 and np.mean(np.abs(off) > 4) < 0.001
 
 
+@pytest.mark.parametrize("size", [1e-30, 1e25])
+def test_neighbours_of_any_length(spark, size):
+    """Very long and very short vectors, in several blocks: nothing overflows, and the codes still choose."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(900, 24)) * size
+    base[::50] *= 1e3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base)], "vec_id long, embedding array<double>")
+    with np.errstate(over="raise"):
+        got = {}
+        for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20, stripe=200, query_block=10).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 900, 20):
+        s = base @ (base[q] / size)
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.99 * 45 * 20
+    turn = neighbours.rotation(24, 512)
+    search = neighbours.Search(np.array([0]), base[:1], turn, 21, 4.0)
+    for k in range(0, 900, 300):
+        own = base[k : k + 300]
+        search.add(own, neighbours.Codes(*neighbours.encode_bits(own, turn)), [[k + j] for j in range(300)], [[1]] * 300)
+    assert search.scored < search.met
+
+
 # 6 and 9 tokens
 
 
@@ -361,6 +424,12 @@ def library_ids(texts):
     return t.encode_batch(texts, add_special_tokens=False)
 
 
+def test_token_counts_carry(spark):
+    df = spark.createDataFrame([(1, "one\ntwo", 5, 6, 7)], "doc_id long, text string, section long, n_tokens long, other long")
+    out = token_counts.count_tokens(df, BPE, carry=("doc_id", "section", "n_tokens", "n_chars", "other"))
+    assert out.columns == ["doc_id", "other", "section", "n_chars", "n_tokens", "n_crossing"] and [(r.section, r.n_chars, r.other) for r in out.collect()] == [(0, 4, 7), (1, 3, 7)]
+
+
 def test_token_counts(spark, docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()][:120] + [(9001, None), (9002, ""), (9003, "\n\n"), (9004, "a\n\n b\né中\U0001f600\n"), (9004, "a\n\n b\né中\U0001f600\n")]
     for rule in token_counts.RULES:

@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Null or empty texts have no set and stay alone; so do rows with a null doc_id (component null). Repeated rows
     give a row each; rows that share a doc_id are judged by their own text, so that a doc_id with several texts may be
     in several components. Texts equal but for white space and A-Z are one set. An empty table gives no rows. Extra
-    columns are ignored.
+    columns are ignored. The session's bounds of Arrow batches are lowered, as ``modest_batches`` says.
     """
     modest_batches(docs.sparkSession)
     return JaccardJoin(docs, words, num, den).run()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .shared import LOWER, SPACES, UPPER, Bucketed, ascii_lower, base_columns, modest_batches, release, sliced, table, written
 
 _FOLD = str.maketrans(UPPER, LOWER)
+#: The column of a document's line hashes that go, by a name that no table is likely to carry.
+GONE = "line hashes to drop"
 
 
 class LineRuns:
@@ -83,9 +85,9 @@ def line_facts(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _without(batches, min_chars: int):
-    """Removes from each text the lines whose key hash is in ``gone``; carries all other columns through."""
+    """Removes from each text the lines whose key hash is in GONE; carries all other columns through."""
     for batch in sliced(batches):
-        texts, gone = batch.column("text").to_pylist(), batch.column("gone")
+        texts, gone = batch.column("text").to_pylist(), batch.column(GONE)
         kept, n_lines, n_dropped = [], [], []
         for i, text in enumerate(texts):
             lines = ("" if text is None else text).split("\n")
@@ -102,7 +104,7 @@ def _without(batches, min_chars: int):
                     stay.append(line)
             n_dropped.append(len(lines) - len(stay))
             kept.append("\n".join(stay))
-        rest = [n for n in batch.schema.names if n not in ("text", "gone")]
+        rest = [n for n in batch.schema.names if n not in ("text", GONE)]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in rest), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
             names=[*rest, "text", "n_lines", "n_dropped"],
@@ -118,11 +120,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
     A null or empty text is one empty line; a null text without drops stays null. Rows with a null doc_id
     are not counted and keep all lines. Rows that share a doc_id are one document. Lines shorter than
-    min_chars never go. An empty table gives an empty result. Columns not named in carry are ignored.
+    min_chars never go. An empty table gives an empty result. Columns not named in carry are ignored, and so are those
+    named like the result's own (n_lines, n_dropped). The session's bounds of Arrow batches are lowered, as ``modest_batches`` says.
     """
     spark = docs.sparkSession
     modest_batches(spark)
-    carry = tuple(c for c in carry if c not in ("doc_id", "text"))
+    carry = tuple(c for c in carry if c not in ("doc_id", "text", "n_lines", "n_dropped"))
     docs = base_columns(docs, "doc_id", *carry, "text")
     known = docs.where("doc_id is not null")
     batches = max(batches, math.ceil(known.count() / batch_docs))
@@ -136,13 +139,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         mine = facts.where(F.col("batch") == k).groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
         runs.add(mine.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")))
     repeated = written(runs.counts().where(F.col("n") >= min_docs).select("h", "keeper"), "line-repeats")
-    gone = written(facts.join(repeated, "h").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "line-gone")
+    gone = written(facts.join(repeated, "h").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("h").alias(GONE)), "line-gone")
     runs.drop()
     release(facts, repeated)
     wide = docs.join(gone.hint("merge"), "doc_id", "left")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in ("doc_id", *carry)) + ", text string, n_lines long, n_dropped long"
-    return wide.select("doc_id", *carry, "text", "gone").mapInArrow(lambda it: _without(it, min_chars), schema)
+    return wide.select("doc_id", *carry, "text", GONE).mapInArrow(lambda it: _without(it, min_chars), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ class Codes:
     def __init__(self, codes: np.ndarray, length: np.ndarray, fit: np.ndarray):
         self.words = np.ascontiguousarray(np.ascontiguousarray(codes).view(np.uint64).T)
         self.bits, self.n = 64 * len(self.words), len(length)
-        self.scale = (length / (fit * math.sqrt(self.bits))).astype(np.float32)
+        self.unit = float(length.max()) if self.n else 1.0  # estimates are told in units of the longest vector, so that none leaves single precision
+        self.scale = (length / self.unit / (fit * math.sqrt(self.bits))).astype(np.float32)
         self.miss = ((1 - fit**2).clip(0) * self.bits / (self.bits - 1)).astype(np.float32)
         self.counts = np.empty(self.words.shape, np.uint8)
         self.common = np.empty_like(self.words)
@@ -50,10 +51,11 @@ class Codes:
 
 
 class Asked:
-    """A rotated query, rounded to LEVELS bits a dimension and packed plane by plane."""
+    """A rotated query of length 1, rounded to LEVELS bits a dimension and packed plane by plane; ``length`` is the query's own."""
 
     def __init__(self, query: np.ndarray, turn: np.ndarray):
-        turned = turn @ query
+        self.length = float(np.linalg.norm(query))
+        turned = turn @ (query / self.length)
         self.low = float(turned.min())
         self.step = max(float(turned.max()) - self.low, 1e-300) / (2**LEVELS - 1)
         rounded = np.rint((turned - self.low) / self.step).astype(np.uint8)
@@ -65,6 +67,7 @@ class Asked:
 def estimates(codes: Codes, asked: Asked, sure: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of a query with all coded vectors, and what they are at most within ``sure`` standard errors.
 
+    Both are in units of the query's length times the codes' ``unit``.
     With x the unit code and o the unit vector, <x, q> / <x, o> estimates <o, q> without bias; its squared standard
     error is |q|^2 (1 - <x,o>^2) / (D - 1) and that of the query's rounding |q - rounded q|^2 / D, both over <x,o>^2.
     <x, rounded q> is counted from packed bits: it is a sum over the planes of the bits common to code and plane.
@@ -114,7 +117,7 @@ class Search:
             if len(scores) < self.keep:  # no bar yet: the likeliest ones give one
                 done = np.argpartition(-guess, 4 * self.keep)[: 4 * self.keep] if codes.n > 4 * self.keep else np.arange(codes.n)
                 scores, firsts, places = self._kept(j, vectors, first, done)
-            likely = most >= scores[-1] if len(scores) == self.keep else np.ones(codes.n, bool)
+            likely = most >= scores[-1] / asked.length / codes.unit if len(scores) == self.keep else np.ones(codes.n, bool)
             likely[done] = False
             pick = np.flatnonzero(likely)
             if len(pick):

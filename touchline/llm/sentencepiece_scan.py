@@ -343,7 +343,7 @@ def _blobs(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def encode_pieces(docs: DataFrame, model: str, chunk: int = 16384, key: str = "doc_id") -> DataFrame:
-    """``key``, text_id (sha-256 of the text) and ids (little-endian unsigned 32-bit): the model's encoding of every text.
+    """``key`` and ids (little-endian unsigned 32-bit): the model's encoding of every text.
 
     Texts of more than ``chunk`` characters are cut there, wherever that falls. Each chunk yields its transfer matrix
     between the states of its edges; matrices are multiplied in blocks of 256 chunks, then block by block, and the

@@ -63,12 +63,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", carry: tu
     ``sections`` names an array column with the character positions at which sections start (0 always is one;
     nulls, repeats, negative positions and those past the end are left out); without it, sections are lines. Tokens whose span
     crosses a section boundary are counted once, in the section that ``rule`` names, and in its n_crossing.
-    The n_tokens of a document's sections sum to the length of its encoding. A null or empty text is one
+    Columns to carry that have a name of the result (section, n_chars, n_tokens, n_crossing) are left out. The n_tokens of a document's sections sum to the length of its encoding. A null or empty text is one
     section without characters or tokens. Repeated rows are counted each. An empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}, not {rule!r}")
-    names = [c for c in carry if c not in ("text", "sections")]
+    names = [c for c in carry if c not in ("text", "sections", "section", "n_chars", "n_tokens", "n_crossing")]
     rows = base_columns(docs, *names, "text")
     if sections:
         rows = docs.select(*[docs[n] for n in names], docs["text"], docs[sections].cast("array<long>").alias("sections"))

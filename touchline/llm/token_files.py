@@ -103,7 +103,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
-    """Where each chunk starts among all ids, its ids and its stored bytes, without reading any payload."""
+    """Where each chunk starts among all ids, its ids and its stored bytes, without reading any payload.
+
+    One row a chunk, numbered inside its shard without ties; no column is null. Files without chunks give no rows.
+    """
     chunks = spark.read.schema(CHUNKS).parquet(path)
     base = _bases(chunks)
     inside = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
