@@ -33,7 +33,7 @@ def landmark_correspondences(clicks: DataFrame, chain: DataFrame, named: DataFra
     finite = F.coalesce(F.abs("_p.x") + F.abs("_p.y") < float("inf"), F.lit(False))
     good = met.withColumn("_p", spot).where(finite)
     latest = good.groupBy(*CLIP, "anchor_frame", "name").agg(F.max_by("_p", "click_id").alias("_p"))
-    known = latest.join(F.broadcast(named.select("name", "x", "y")), "name")  # the pitch has some fifty landmarks
+    known = latest.join(named.select("name", "x", "y").hint("shuffle_hash"), "name")
     counted = known.withColumn("_n", F.count("*").over(Window.partitionBy(*CLIP))).where(F.col("_n") >= least)
     return counted.select(*CLIP, "anchor_frame", "name", F.col("_p.x").alias("image_x"), F.col("_p.y").alias("image_y"), "x", "y")
 

@@ -28,7 +28,7 @@ def link_candidates(profiles: DataFrame, players: DataFrame, claimed: DataFrame
     worn = players.select("team", "player_id", F.col("number").cast("int").alias("number"), F.lit(0).alias("since"))
     once = players.select("team", "player_id", F.explode(F.col("history").cast("array<int>")).alias("number"), F.lit(1).alias("since"))
     of_number = worn.unionByName(once).where("number is not null").groupBy("team", "number").agg(F.min_by("player_id", F.struct("since", "player_id")).alias("same"))
-    by_number = profiles.withColumn("number", F.col("number").cast("int")).join(of_number, ["team", "number"], "left").select(*keys, "same")
+    by_number = profiles.withColumn("number", F.col("number").cast("int")).join(of_number.hint("merge"), ["team", "number"], "left").select(*keys, "same")
     near = players.where("resid is not null").select("team", "player_id", F.col("resid").alias("r2"), F.col("fingerprint").alias("f2"))
     met = profiles.where("resid is not null").join(near, "team").select(*keys, F.struct(F.abs(F.col("resid") - F.col("r2")).alias("d"), "player_id", cosine_distance(F.col("fingerprint"), F.col("f2")).alias("looks")).alias("c"))
     ranked = met.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("r"))

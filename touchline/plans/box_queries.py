@@ -10,6 +10,7 @@ from ..operators import filters as f
 from ..operators import joins as j
 from ..operators import team_profiles
 from ..operators import trajectory as t
+from ..sources.scratch import stored
 from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, pixels, pose, sql
 from .trajectory_queries import CENTRE, FOOT, POINTS, TR, W, points
 
@@ -52,7 +53,7 @@ def team_prints(spark, sf):
 def with_teams(spark, sf):
     matches = team_vectors(spark, sf).select("match_id").distinct().withColumn("name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("team"), k))))
     teams = matches.join(team_prints(spark, sf).hint("merge"), "name")  # ten teams take part in every match
-    return a.team_distances(team_vectors(spark, sf), teams)
+    return a.team_distances(team_vectors(spark, sf), stored(teams, "teams"))
 
 
 VEC = "SELECT vec_id, vec_id % 5 AS match_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS features FROM embeddings"

@@ -9,6 +9,7 @@ from ..operators import aggregates as a
 from ..operators import calibration, edits, filters, joins, profiles, registry_store, scoring_gates, selection
 from ..operators import team_profiles as learning
 from ..operators import trajectory as t
+from ..sources.scratch import stored
 from .box_queries import BG, _band, DECIDED, DISTS, PRINTS, RES, ROI, TRS, VEC, VOTES, rois, team_prints, team_vectors
 from .fixtures import FPS, FRAME_H, FRAME_W, HOMOGRAPHY, objects, pixels, sql
 from .match_queries import ME, QUERIES as MATCH_QUERIES, SQL as MATCH_SQL, me
@@ -85,7 +86,7 @@ def edit_log(spark, sf):
     for k, commands in of.items():
         own = tracks.where(F.col("k") == k).select(*TR, F.explode(F.array(*commands)).alias("c"))
         log = own if log is None else log.unionByName(own)
-    return log.select(*TR, "c.*")
+    return stored(log.select(*TR, "c.*"), "edit-log")
 
 
 def edited(spark, sf):
@@ -105,7 +106,7 @@ def scored_detections(spark, sf):
     tracked = F.col("track") | ((F.col("name") == "team1") & (F.col("match_id") % 2 == 0))
     model = lambda value: F.when(F.col("name") == "team0", F.lit(value))
     teams = named.select("match_id", "name", tracked.alias("track"), "fingerprint", model(0.08).alias("slope"), model(50.0).alias("intercept"), model(4.0).alias("spread"))
-    out = scoring_gates.score_detections(b, teams, field=F.col("vec_id") % 11 != 0)
+    out = scoring_gates.score_detections(b, stored(teams, "teams"), field=F.col("vec_id") % 11 != 0)
     return out.select("vec_id", F.round("team_score", 6).alias("team_score"), "kept")
 
 
