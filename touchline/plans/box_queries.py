@@ -233,6 +233,8 @@ SQL = {
     "g17_colour_fractions": sql("""SELECT region, round(avg(white), 6) AS white, round(avg(black), 6) AS black, round(avg(red), 6) AS red, round(avg(navy), 6) AS navy, round(avg(gold), 6) AS gold, count(*) AS n FROM (SELECT obj_id, frame, region, avg(CASE WHEN s <= 50 AND v >= 140 THEN 1 ELSE 0 END) AS white, avg(CASE WHEN s <= 120 AND v <= 55 THEN 1 ELSE 0 END) AS black,
  avg(CASE WHEN (h <= 10 OR h BETWEEN 170 AND 179) AND s >= 90 AND v BETWEEN 40 AND 230 THEN 1 ELSE 0 END) AS red, avg(CASE WHEN h BETWEEN 95 AND 130 AND s >= 40 AND v BETWEEN 15 AND 165 THEN 1 ELSE 0 END) AS navy, avg(CASE WHEN h BETWEEN 16 AND 34 AND s >= 80 AND v >= 90 THEN 1 ELSE 0 END) AS gold FROM pixel_v GROUP BY ALL) GROUP BY region"""),
     "g18_colour_band": sql(f"SELECT region, count(*) AS n, {_band('h', 3, 179)}, {_band('s', 18, 255)}, {_band('v', 18, 255)} FROM (SELECT *, sum(CASE WHEN {BG} THEN 0 ELSE 1 END) OVER (PARTITION BY obj_id, frame, region) AS k FROM pixel_v) WHERE NOT {BG} OR k <= 5 GROUP BY region HAVING count(*) >= 30"),
+    "g14_throttle_spaced": sql(f"SELECT {TRS}, frame FROM g", tall=f"SELECT {TRS}, frame FROM objects_v WHERE y2 - y1 >= 46", g=f"""SELECT {TRS}, min(frame) AS frame, 1 AS k FROM tall GROUP BY ALL
+ UNION ALL SELECT g.match_id, g.clip_id, g.obj_id, min(t.frame), g.k + 1 FROM g JOIN tall t ON t.match_id = g.match_id AND t.clip_id = g.clip_id AND t.obj_id = g.obj_id AND t.frame >= g.frame + 8 WHERE g.k < 6 GROUP BY g.match_id, g.clip_id, g.obj_id, g.k""").replace("WITH ", "WITH RECURSIVE ", 1),
     "g19_coverage": sql(f"""SELECT {TRS}, max(frame) AS total_frames, count(*) AS tracked_frames, count(*) FILTER (gap > 0) AS num_gaps, greatest(coalesce(max(gap), 0), 0) AS longest_gap, count(*) FILTER (source = 'detection') AS n_detection, count(*) FILTER (source = 'csrt') AS n_csrt, count(*) FILTER (source = 'manual') AS n_manual, count(*) FILTER (source = 'sam2') AS n_sam2,
  round(100e0 * count(*) / max(frame), 2) AS coverage_pct, round(greatest(coalesce(max(gap), 0), 0) / 30e0, 2) AS longest_gap_s FROM (SELECT *, frame - lag(frame) OVER {W} - 1 AS gap FROM objects_v) GROUP BY ALL"""),
     "g25_pitch_occupancy": sql("SELECT match_id, team, CAST(floor(px / 5e0) AS BIGINT) AS gx, CAST(floor(py / 5e0) AS BIGINT) AS gy, count(*) AS n FROM points GROUP BY ALL", foot=FOOT, points=POINTS),

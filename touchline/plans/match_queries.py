@@ -103,6 +103,15 @@ PLACES = "SELECT match_id, anchor, label, printf('p%02d', row_number() OVER (PAR
 PLACED = f"SELECT a.*, p.pid AS spot FROM anchored a LEFT JOIN pooled l USING ({TRS}) JOIN places p ON p.match_id = a.match_id AND p.anchor IS NOT DISTINCT FROM a.anchor AND p.label IS NOT DISTINCT FROM l.label"
 TOLD = lambda keys: f"SELECT {keys}, CASE WHEN max(weight) >= 2 THEN arg_max(number, (weight, -number)) END AS number, CASE WHEN max(weight) >= 2 THEN max(weight) / sum(weight) ELSE 0 END AS number_conf FROM (SELECT {keys}, v.number, sum(weight) AS weight FROM votes v JOIN MEMBERS USING ({TRS}) GROUP BY ALL) GROUP BY ALL"
 MERGED = f"SELECT d.*, min(spot) OVER (PARTITION BY d.match_id, coalesce(CAST(t.number AS VARCHAR), spot)) AS pid FROM placed d LEFT JOIN ({TOLD('match_id, spot').replace('MEMBERS', 'placed')}) t USING (match_id, spot)"
+SAMPLES = """SELECT *, row_number() OVER (PARTITION BY player ORDER BY match_id, clip_id, frame, label, obj_id) AS i FROM (SELECT o.match_id, o.clip_id, o.frame, o.obj_id, p.obj_id AS player, CASE WHEN o.obj_id = p.obj_id THEN 1 ELSE 0 END AS label, CASE WHEN o.obj_id = p.obj_id THEN 1e0 ELSE 3e-1 END AS weight,
+ [(o.x1 + o.x2) / 2 / 1920e0, (o.y1 + o.y2) / 2 / 1080e0, (o.y2 - o.y1) / 1080e0] AS x FROM objects_v o JOIN (SELECT match_id, clip_id, frame, obj_id FROM objects_v WHERE (match_id, clip_id, obj_id) IN (SELECT (match_id, clip_id, min(obj_id)) FROM objects_v GROUP BY match_id, clip_id)) p USING (match_id, clip_id, frame))"""
+TAUGHT = """SELECT DISTINCT player, 0::BIGINT AS i, 0::BIGINT AS k, 0::BIGINT AS pos, 0::BIGINT AS neg, [0e0, 0e0, 0e0] AS mean, [0e0, 0e0, 0e0] AS m2, [0e0, 0e0, 0e0] AS w, 0e0 AS b FROM samples
+ UNION ALL SELECT player, i, k, pos, neg, mean, m2, list_transform([1, 2, 3], lambda j: w[j] - 1e-1 * (slip * z[j] + 1e-4 * w[j])), b - 1e-1 * slip FROM (
+  SELECT *, weight * (1 / (1 + exp(-greatest(-3e1, least(3e1, w[1] * z[1] + w[2] * z[2] + w[3] * z[3] + b)))) - label) AS slip FROM (
+   SELECT *, list_transform([1, 2, 3], lambda j: (x[j] - mean[j]) / CASE WHEN k < 2 OR sqrt(m2[j] / k) < 1e-6 THEN 1e0 ELSE sqrt(m2[j] / k) END) AS z FROM (
+    SELECT player, i, k, pos, neg, x, label, weight, w, b, mean, list_transform([1, 2, 3], lambda j: m2[j] + (x[j] - old[j]) * (x[j] - mean[j])) AS m2 FROM (
+     SELECT t.player, s.i, t.k + 1 AS k, t.pos + s.label AS pos, t.neg + 1 - s.label AS neg, s.x, s.label, s.weight, t.w, t.b, t.m2, t.mean AS old, list_transform([1, 2, 3], lambda j: t.mean[j] + (s.x[j] - t.mean[j]) / (t.k + 1)) AS mean
+     FROM taught t JOIN samples s ON s.player = t.player AND s.i = t.i + 1))))"""
 POSEG = "SELECT clip_id, frame, count(*) FILTER (vis >= 3e-1) >= 2 AS good FROM pose_v GROUP BY ALL"
 
 SQL = {
@@ -118,6 +127,8 @@ SQL = {
  SELECT match_id, pid, count(*) AS n_tracks, CAST(sum(n_frames) AS BIGINT) AS n_frames, count(DISTINCT clip_id) AS n_clips, sum(h * n_frames) / sum(n_frames) AS resid, sum(zx * n_frames) / sum(n_frames) AS zx, sum(zy * n_frames) / sum(n_frames) AS zy, sum(sp_sum) / nullif(sum(sp_n), 0) AS speed FROM merged JOIN speeds USING ({TRS}) GROUP BY ALL)
  LEFT JOIN ({TOLD('match_id, pid').replace('MEMBERS', 'merged')}) USING (match_id, pid))""",
  votes=VOTES, decided=DECIDED, stats=STATS, known=KNOWN, speeds=SPEEDS, clusters="SELECT match_id, own AS number, avg(h) AS resid FROM known WHERE own IS NOT NULL GROUP BY ALL", anchored=ANCHORED, pooled=POOLED, places=PLACES, placed=PLACED, merged=MERGED),
+    "c9_identity": sql("SELECT player, label, count(*) AS n, round(avg(CASE WHEN pos >= 8 AND neg >= 8 THEN 1 / (1 + exp(-(list_sum(list_transform([1, 2, 3], lambda j: w[j] * (x[j] - mean[j]) / CASE WHEN sqrt(m2[j] / k) < 1e-6 THEN 1e0 ELSE sqrt(m2[j] / k) END)) + b))) ELSE 5e-1 END), 3) AS p FROM taught JOIN (SELECT player, max(i) AS i FROM samples GROUP BY ALL) USING (player, i) JOIN (SELECT player, label, x FROM samples) USING (player) GROUP BY ALL",
+     samples=SAMPLES, taught=TAUGHT).replace("WITH ", "WITH RECURSIVE ", 1),
     "c11_identity_samples": sql("SELECT player, label, count(*) AS n, round(sum(CASE WHEN label = 1 THEN 1e0 ELSE 3e-1 END), 3) AS weight FROM (SELECT p.obj_id AS player, CASE WHEN o.obj_id = p.obj_id THEN 1 ELSE 0 END AS label FROM objects_v o JOIN (SELECT match_id, clip_id, frame, obj_id FROM objects_v WHERE (match_id, clip_id, obj_id) IN (SELECT (match_id, clip_id, min(obj_id)) FROM objects_v GROUP BY match_id, clip_id)) p USING (match_id, clip_id, frame)) GROUP BY ALL"),
     "c13_audio_offset": sql("""SELECT clip_a, clip_b, CAST(arg_max(lag, (round(r, 12), -abs(lag))) AS INTEGER) AS lag, round(max(r), 6) AS peak, arg_max(lag, (round(r, 12), -abs(lag))) / 1e2 AS seconds FROM (SELECT a.clip AS clip_a, b.clip AS clip_b, b.i - a.i AS lag, sum(a.amp * b.amp) AS r FROM u a JOIN u b ON a.clip LIKE 'A%' AND b.clip = replace(a.clip, 'A', 'B') AND b.i - a.i BETWEEN -20 AND 20 GROUP BY ALL) GROUP BY ALL HAVING max(r) >= 5e-2""", env0=ENV0, env=ENV, u=UNIT),
     "j9_pair_clips": sql("""SELECT pair_id, count(*) AS n, CAST(sum(fa) AS BIGINT) AS fa, CAST(sum(fb) AS BIGINT) AS fb FROM (SELECT pair_id, clip_a, clip_b, CAST(round_even((k / 1e1) * 3e1, 0) AS BIGINT) + 1 AS fa, least(greatest(CAST(round_even((k / 1e1 + 1.5e0) * 25e0, 0) AS BIGINT) + 1, 1), n_b) AS fb FROM (
