@@ -97,12 +97,24 @@ def print_links(prints: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     return links
 
 
+def told(rows: DataFrame, known: DataFrame, key: str, value: str, parts: int) -> DataFrame:
+    """Rows with what is known of their key; known: key, value and n, the rows that have the key, each key of rows once.
+
+    Keys of more than a ``parts``-th of all rows are met by a broadcast of fewer than ``parts`` rows, wherever their rows lie; all others
+    by a merge join.
+    """
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.broadcast(known.where(F.col("n") * parts > total).select(key, value))
+    other = known.where(F.col("n") * parts <= total).select(key, value)
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(other.hint("merge"), key))
+
+
 def simhash_duplicates(docs: DataFrame, shingle: int = 3, most_paired: int = MOST_PAIRED) -> DataFrame:
     """doc_id, print, component_id: components of documents whose fingerprints differ in at most 2 bits.
 
     Equal prints are one class from the start, so copies cost nothing beyond their row. The links of ``print_links`` give
-    components of classes, and each row gets the smallest doc_id of its print's component. Prints that many rows have are
-    met by a broadcast of at most as many rows as there are shuffle partitions, all others by a merge join.
+    components of classes, and each row gets the smallest doc_id of its print's component, without gathering the rows of a frequent
+    print or the prints of a large component (``told``).
 
     Null and empty texts have the print 0 and are linked with each other and with prints near 0. A row with a null doc_id has a
     print, links nothing, and has a null component. Repeated rows give a row each; rows that share a doc_id are judged by their own
@@ -115,19 +127,15 @@ def simhash_duplicates(docs: DataFrame, shingle: int = 3, most_paired: int = MOS
     known = rows.where("doc_id is not null")
     classes = written(known.groupBy("print").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")), "simhash-classes")
     links = print_links(classes.select("print"), most_paired)
-    labels = components(links)
-    own = labels.withColumnRenamed("node", "print").join(classes.select("print", "smallest").hint("merge"), "print")
-    lowest = own.groupBy("component").agg(F.min("smallest").alias("lowest"))
-    moved = labels.join(lowest.hint("merge"), "component").select(F.col("node").alias("print"), "lowest")
+    labels = components(links).withColumnRenamed("node", "print")
+    own = labels.join(classes.select("print", "smallest").hint("merge"), "print")
+    lowest = written(own.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count("*").alias("n")), "simhash-components")
+    moved = told(labels, lowest, "component", "component_id", parts).select("print", F.col("component_id").alias("lowest"))
     ends = written(classes.join(moved.hint("merge"), "print", "left").select("print", F.coalesce("lowest", "smallest").alias("component_id"), "n"), "simhash-ends")
-    total = known.count()
-    common = ends.where(F.col("n") * parts > total).select("print", "component_id")  # fewer than parts
-    other = ends.where(F.col("n") * parts <= total).select("print", "component_id")
-    hot = known.join(F.broadcast(common), "print").select("doc_id", "print", "component_id")
-    rest = known.join(F.broadcast(common.select("print")), "print", "left_anti").join(other.hint("merge"), "print").select("doc_id", "print", "component_id")
+    found = told(known, ends, "print", "component_id", parts).select("doc_id", "print", "component_id")
     alone = rows.where("doc_id is null").select("doc_id", "print", F.lit(None).cast("long").alias("component_id"))
     release(links)
-    return hot.unionByName(rest).unionByName(alone)
+    return found.unionByName(alone)
 
 
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
