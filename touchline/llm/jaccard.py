@@ -24,6 +24,8 @@ MIN_FREQUENT, RANK_BITS = 16, 22
 CHECK_COST = 8
 #: A token's list is met with itself in parts of so many rows, each in a task of its own.
 LIST_PART = 2000
+#: So many lists back a set remembers where it has been, when pairs are given.
+LOOK_BACK = 8
 #: A list of classes (an id and 16 bytes) is broadcast up to so many rows, about 80 MB; beyond that the documents are
 #: stored once in buckets of their id, and lists are merge-joined to them without moving texts again.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -309,12 +311,17 @@ class JaccardJoin:
         return counts.groupBy("b").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a")).select("a", "b")
 
     def rest(self, lists: DataFrame) -> DataFrame:
-        """Every possible pair of sets of different components that share a list; a long list is met part by part."""
+        """Every possible pair of sets of different components that share a list; a long list is met part by part.
+
+        A pair isn't given again at a list where both sets were in one of the other's last LOOK_BACK lists before; at the first list that they
+        share there is none, so no pair is left out, and edits of one text aren't given once for each of their many common lists.
+        """
         open_ = self.open_lists(lists).select("token", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts"))
-        rows = written(lists.join(open_.hint("merge"), "token"), "open-lists")
+        before = F.collect_list("token").over(Window.partitionBy("rep").orderBy("i", "token").rowsBetween(-LOOK_BACK, -1))
+        rows = written(lists.join(open_.hint("merge"), "token").withColumn("before", before), "open-lists")
         x = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).alias("x")
         y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-        pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.possible("x", "y"))
+        pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.possible("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
         return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
