@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, dist2, iou
+from .frames import assigned
 from .trajectory import FRAME, TRACK
 
 
@@ -19,13 +23,28 @@ def pairs_in_frame(a: DataFrame, b: DataFrame, min_iou: float, gate: float) -> D
     return prefixed(a, "a_").join(prefixed(b, "b_"), list(FRAME)).where(near)
 
 
+def _assigned(boxes: pa.Table, tracks: pa.Table, default: int, min_iou: float) -> pa.Table:
+    """A frame's boxes with the tracks found for them."""
+    corners = lambda t: np.column_stack([t.column(c).cast(pa.float64()).to_numpy() for c in ("x1", "y1", "x2", "y2")]).reshape(-1, 4)
+    tracks = tracks.filter(pc.is_valid(tracks.column("obj_id")))
+    ids = tracks.column("obj_id").to_numpy()
+    at = assigned(corners(boxes), corners(tracks), ids, min_iou)
+    given = np.full(len(at), default, np.int64)
+    given[at >= 0] = ids[at[at >= 0]]
+    return boxes.select([*FRAME, "ord"]).append_column("obj_id", pa.array(given, pa.int64()))
+
+
 def assign_track_id(boxes: DataFrame, tracks: DataFrame, default: int, min_iou: float = 0.3) -> DataFrame:
-    """Each box (with its ord) gets the track of best overlap, else of nearest centre, else the default."""
-    a, b = Box("a_"), Box("b_")
-    met = prefixed(boxes, "a_").join(prefixed(tracks, "b_"), list(FRAME), "left").withColumn("_iou", iou(a, b)).withColumn("_d", dist2(a, b))
-    best = F.max_by(F.when(F.col("_iou") > min_iou, F.col("b_obj_id")), F.struct(F.col("_iou") > min_iou, F.col("_iou"), -F.col("b_obj_id")))
-    near = F.min_by("b_obj_id", F.struct("_d", "b_obj_id"))
-    return met.groupBy(*FRAME, F.col("a_ord").alias("ord")).agg(F.coalesce(best, near, F.lit(default)).alias("obj_id"))
+    """Each box (with its ord) gets the track of best overlap, else of nearest centre, else the default.
+
+    Boxes and tracks are grouped by frame, and a frame's boxes meet only what is near them (``frames.assigned``), so neither pairs nor
+    more than one frame are ever held. A box without coordinates gets the default, a track without them is nobody's.
+    """
+    own = boxes.select(*FRAME, "ord", "x1", "y1", "x2", "y2")
+    known = tracks.select(*FRAME, F.col("obj_id").cast("long").alias("obj_id"), "x1", "y1", "x2", "y2").where(" and ".join(f"{c} is not null" for c in FRAME))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*FRAME, "ord")) + ", obj_id long"
+    return own.groupBy(*FRAME).cogroup(known.groupBy(*FRAME)).applyInArrow(lambda a, b: _assigned(a, b, default, min_iou), schema)
 
 
 def nearest_box(points: DataFrame, boxes: DataFrame, within: Column | None = None) -> DataFrame:
