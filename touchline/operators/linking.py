@@ -7,25 +7,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import box_bands, centres
+
+#: Pairs that are dealt before those are left out that have lost their tracklet or box.
+STEP = 2048
+
 
 def gate_of(width: float, height: float) -> float:
     """The square of the distance up to which boxes may be linked that aren't over one another."""
     return (0.04 * (width**2 + height**2) ** 0.5) ** 2
 
 
-def scores(old: np.ndarray, new: np.ndarray, gate2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Overlap plus nearness of every pair of boxes, and which pairs are over one another or near."""
-    a, b = old[:, None, :], new[None, :, :]
-    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
-    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+def scores(a: np.ndarray, b: np.ndarray, gate2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap plus nearness of boxes one by one, and which of them are over one another or near."""
+    w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+    h = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
     inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
-    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     union = area(a) + area(b) - inter
     overlap = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
-    d2 = ((a[..., 0] + a[..., 2] - b[..., 0] - b[..., 2]) / 2) ** 2 + ((a[..., 1] + a[..., 3] - b[..., 1] - b[..., 3]) / 2) ** 2
+    d2 = ((a[:, 0] + a[:, 2] - b[:, 0] - b[:, 2]) / 2) ** 2 + ((a[:, 1] + a[:, 3] - b[:, 1] - b[:, 3]) / 2) ** 2
     return overlap + 1.0 / (1.0 + d2 / (gate2 + 1.0)), (overlap >= 0.20) | (d2 <= gate2)
 
 
+def pairs(old: np.ndarray, new: np.ndarray, gate2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(old, new, score) of all pairs that are over one another or near; only boxes whose centres are near enough for that are compared."""
+    at, to = np.flatnonzero(np.isfinite(old).all(axis=1)), np.flatnonzero(np.isfinite(new).all(axis=1))
+    if not len(at) or not len(to):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    a, b, gate, found = old[at], new[to], gate2**0.5, []
+    bands, w, h = box_bands(b, gate)
+    reach = [np.maximum(gate, np.abs(a[:, k + 2] - a[:, k]) / 2 + half) * (1 + 1e-9) + 1e-6 for k, half in ((0, w), (1, h))]
+    for q, p in bands.near(*centres(a), *reach):
+        score, allowed = scores(a[q], b[p], gate2)
+        found.append((at[q[allowed]], to[p[allowed]], score[allowed]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 class Linker:
     """Open tracklets of one stretch of a clip, oldest first: their numbers, last frames and last boxes."""
 
@@ -48,13 +66,17 @@ class Linker:
         """The tracklet of each of a frame's boxes: best score first, each tracklet and each box once."""
         stay = frame - self.last <= self.gap
         self.local, self.last, self.boxes = self.local[stay], self.last[stay], self.boxes[stay]
-        score, allowed = scores(self.boxes, boxes, self.gate2)
-        k, b = np.nonzero(allowed)
-        order = np.lexsort((b, k, score[k, b]))[::-1]  # of equal scores the later tracklet, then the later box
+        k, b, score = pairs(self.boxes, boxes, self.gate2)
+        order = np.lexsort((b, k, score))[::-1]  # of equal scores the later tracklet, then the later box
         given, used = np.full(len(boxes), -1, np.int64), np.zeros(len(self.local), bool)
-        for i, j in zip(k[order].tolist(), b[order].tolist(), strict=True):
-            if not used[i] and given[j] < 0:
-                used[i], given[j] = True, i
+        k, b = k[order], b[order]
+        while len(k):
+            for i, j in zip(k[:STEP].tolist(), b[:STEP].tolist(), strict=True):
+                if not used[i] and given[j] < 0:
+                    used[i], given[j] = True, i
+            k, b = k[STEP:], b[STEP:]
+            left = ~used[k] & (given[b] < 0)
+            k, b = k[left], b[left]
         old, new = given >= 0, given < 0
         self.last[given[old]], self.boxes[given[old]] = frame, boxes[old]
         out = np.empty(len(boxes), np.int64)
