@@ -299,3 +299,27 @@ def test_match_report_and_me(spark):
     merged = {r.pid: r for r in merge_same_number(profiles).collect()}
     assert set(merged) == {"a", "c", "d"} and merged["a"].n_tracks == 2 and list(merged["a"].clips) == ["a", "b", "k"]
     assert (merged["a"].h_n, merged["a"].h_mean, merged["a"].h_m2) == (8, 2.0, 12.0) and merged["d"].h_mean is None
+
+
+def test_height_gate_at_the_tolerance(spark):
+    """A residual as far off as is tolerated fits on either side of the rounding of a running mean."""
+    means = [1.1, 1.1 - 2e-16, 1.1 + 4e-16, 1.1 + 1e-6]
+    rows = [(0, 0, 1, k, 2.0, mean, 0.9, True) for k, mean in enumerate(means)] + [(0, 0, 1, 9, 2.0, 1.09, 0.9, True), (0, 0, 1, 10, 2.0, 2.0, 0.9, True)]
+    df = spark.createDataFrame(rows, "match_id long, clip_id long, frame long, obj_id long, residual double, h_mean double, h_tol double, h_ready boolean")
+    assert sorted(r.obj_id for r in filters.height_gate(df).collect()) == [0, 1, 2, 3, 10]
+
+
+def test_report_order_at_half_a_place(spark, tmp_path):
+    """Tracks whose mean confidence is 0.645 in any order of summing score alike, in the query as in its SQL."""
+    import duckdb
+
+    from touchline.plans import report_queries
+
+    rows = [(k, 34 + p * 70, obj, 1 + k % 7, 0.0, "N", k) for obj in range(40) for k, p in enumerate(range(obj % 5 + 2))] + [(k, 35 + 70 * k, obj, 2, 0.0, "N", k) for obj in range(40) for k in range(obj % 5 + 2)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_shipdate long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in report_queries.ordered(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = sorted(con.execute(report_queries.SQL["t4_report_order"]).fetchall())
+    assert got == want

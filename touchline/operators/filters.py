@@ -46,9 +46,11 @@ def feet_on_pitch(points: DataFrame, pad: float = 0.0) -> DataFrame:
 def height_gate(rows: DataFrame, protected: Column | None = None) -> DataFrame:
     """Boxes of a fitting height residual. Rows carry residual, h_mean, h_tol, h_ready.
 
-    A null residual stays, and so does everything before the model is ready; a frame that would be empty keeps all.
+    A null residual stays, and so does everything before the model is ready; a frame that would be empty keeps all. Distances
+    are rounded to 9 places, so a residual just as far off as is tolerated fits, however the running mean was summed.
     """
-    fits = ~F.coalesce("h_ready", F.lit(False)) | F.col("residual").isNull() | (F.abs(F.col("residual") - F.col("h_mean")) <= F.col("h_tol"))
+    within = F.round(F.abs(F.col("residual") - F.col("h_mean")) - F.col("h_tol"), 9) <= 0
+    fits = ~F.coalesce("h_ready", F.lit(False)) | F.col("residual").isNull() | within
     if protected is not None:
         fits = fits | protected
     left = F.sum(F.coalesce(fits, F.lit(True)).cast("int")).over(Window.partitionBy(*FRAME))
