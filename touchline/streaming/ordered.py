@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Buckets of keys that share what they are told apart by first (a clip's tracks).
+BUCKETS = 256
+
 
 def names(schema: str) -> list[str]:
     return [column.split()[0] for column in schema.split(", ")]
@@ -20,12 +25,18 @@ class InOrder(StatefulProcessor):
     ``row`` and ``out`` are schemas (out after the key's columns), ``kept`` the list states by name. ``step`` gets rows that no row still to
     come can precede. Event-time timers drive it: one at the earliest waiting row, one where ``due`` says, and one ``idle``
     milliseconds after the last row, when ``finish`` is called and the key's state goes.
+
+    Where the key has more columns than ``shared``, Spark's state is keyed by these and a bucket of the others (``buckets`` by hash), and holds
+    each key's lists side by side, so that calls to the store are made once a bucket. Waiting rows are kept as Arrow batches.
     """
 
     key: list[str]
     row: str
     out: str
     kept: dict[str, str]
+    #: Columns of the key that buckets keep apart, and the others' schema.
+    shared = ["match_id", "clip_id"]
+    inner = ""
 
     def __init__(self, idle: int):
         self.idle = idle
@@ -45,43 +56,77 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ms long, {self.row}")
-        self.last = handle.getValueState("last", "ms long")
-        self.lists = {name: handle.getListState(name, schema) for name, schema in self.kept.items()}
+        own = f"{self.inner}, " if self.inner else ""
+        self.inside = len(names(self.inner)) if self.inner else 0
+        self.columns = [*(names(self.inner) if self.inner else []), "ms", *names(self.row)]
+        self.waiting = handle.getListState("waiting", "first long, rows binary")
+        self.last = handle.getListState("last", f"{own}ms long")
+        self.lists = {name: handle.getListState(name, own + schema) for name, schema in self.kept.items()}
 
     def handleInputRows(self, key, rows, timerValues):
-        columns = ["ms", *names(self.row)]
-        new = [tuple(r) for pdf in rows for r in pdf[columns].astype(object).where(pdf[columns].notna(), None).itertuples(index=False)]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(r[0] for r in new))
+        first = None
+        for pdf in rows:
+            least = int(pdf["ms"].min())
+            self.waiting.appendValue((least, _packed(pa.RecordBatch.from_pandas(pdf[self.columns], preserve_index=False))))
+            first = least if first is None else min(first, least)
+        self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
-        ready, rest = sorted((r for r in rows if r[0] <= now), key=self.place), [r for r in rows if r[0] > now]
-        state = {name: list(own.get()) for name, own in self.lists.items()}
-        out = []
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            out += self.step(key, ready, state)
-            self.last.update((max(r[0] for r in ready),))
-        out += self.closed(key, state, now)
-        gone = not rest and self.last.exists() and self.last.get()[0] + self.idle <= now
-        if gone:
-            out += self.finish(key, state)
-            self.last.clear()
+        now, n = timerValues.getCurrentWatermarkInMs(), self.inside
+        held = list(self.waiting.get())
+        first = min((r[0] for r in held), default=None)
+        ready: dict[tuple, list[tuple]] = {}
+        waits, rest = set(), None
+        if first is not None and first <= now:
+            table = pa.concat_tables([_unpacked(r[1]) for r in held], promote_options="permissive")
+            early = pc.less_equal(table.column("ms"), now)
+            taken, left = table.filter(early), table.filter(pc.invert(early)).combine_chunks()
+            for r in zip(*(c.to_pylist() for c in taken.columns), strict=True):
+                ready.setdefault(r[:n], []).append(r[n:])
+            if len(left):
+                rest = pc.min(left.column("ms")).as_py()
+                waits = set(zip(*(left.column(k).to_pylist() for k in range(n)), strict=True)) if n else {()}
+                self.waiting.put([(rest, _packed(b)) for b in left.to_batches()])
+            else:
+                self.waiting.clear()
+        elif first is not None:
+            rest = first
+            waits = {r for h in held for r in (zip(*(_unpacked(h[1]).column(k).to_pylist() for k in range(n)), strict=True) if n else [()])}
+        lists = {name: _by_key(own.get(), n) for name, own in self.lists.items()}
+        last = {r[:n]: r[n] for r in map(tuple, self.last.get())}
+        out, timers = [], set() if rest is None else {rest}
+        for sub in sorted({*ready, *last, *(k for own in lists.values() for k in own)}, key=_nulls_first):
+            whole, state = self.whole(key, sub), {name: own.pop(sub, []) for name, own in lists.items()}
+            rows = ready.get(sub)
+            told = []
+            if rows:
+                told += self.step(whole, sorted(rows, key=self.place), state)
+                last[sub] = max(r[0] for r in rows)
+            told += self.closed(whole, state, now)
+            gone = sub not in waits and sub in last and last[sub] + self.idle <= now
+            if gone:
+                told += self.finish(whole, state)
+                del last[sub]
+            else:
+                for name, own in lists.items():
+                    if state[name]:
+                        own[sub] = state[name]
+                due = self.due(state)
+                timers |= {t for t in (due, last[sub] + self.idle if sub in last and sub not in waits else None) if t is not None}
+            out += [(*whole, *r) for r in told]
         for name, own in self.lists.items():
-            own.put(state[name]) if state[name] and not gone else own.clear()
-        if rest:
-            self.handle.registerTimer(min(r[0] for r in rest))
-        elif ready and not gone:
-            self.handle.registerTimer(self.last.get()[0] + self.idle)
-        due = None if gone else self.due(state)
-        if due is not None:
-            self.handle.registerTimer(due)
+            _put(own, [(*sub, *r) for sub, rows in lists[name].items() for r in rows])
+        _put(self.last, [(*sub, ms) for sub, ms in last.items()])
+        later = [t for t in timers if t > now]
+        if later:
+            self.handle.registerTimer(min(later))
         if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=[*self.key, *names(self.out)])
+            yield pd.DataFrame(out, columns=[*self.key, *names(self.out)])
+
+    def whole(self, key: tuple, sub: tuple) -> tuple:
+        """A key's own columns, from its bucket and what follows."""
+        return (*key[:-1], *sub) if self.inside else tuple(key)
 
     @staticmethod
     def place(row: tuple):
@@ -92,6 +137,35 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
+
+
+def _nulls_first(key: tuple):
+    return tuple((v is not None, v) for v in key)
+
+
+def _by_key(rows, n: int) -> dict[tuple, list[tuple]]:
+    out: dict[tuple, list[tuple]] = {}
+    for r in map(tuple, rows):
+        out.setdefault(r[:n], []).append(r[n:])
+    return out
+
+
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 def uses_timers(spark: SparkSession) -> None:
     """Streams with timers keep their state in RocksDB; this sets the session so."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -107,4 +181,9 @@ def in_order(rows: DataFrame, processor: InOrder) -> DataFrame:
     own = rows.withColumn("ms", F.unix_millis("frame_ts")).select(*processor.key, "frame_ts", "ms", *names(processor.row))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in processor.key) + ", " + processor.out
-    return own.groupBy(*processor.key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    inner = [c for c in processor.key if c not in processor.shared]
+    if not inner:
+        return own.groupBy(*processor.key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    processor.inner = ", ".join(f"{c} {kinds[c]}" for c in inner)
+    dealt = own.withColumn("_bucket", F.pmod(F.xxhash64(*inner), F.lit(BUCKETS)))
+    return dealt.groupBy(*processor.shared, "_bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
