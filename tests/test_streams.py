@@ -146,3 +146,22 @@ def test_alerts_steps_votes_and_windows(spark, tmp_path):
     counts = df.where("number in ('7', '9')").groupBy("clip_id", "obj_id", F.col("number").cast("long").alias("number")).count().collect()
     assert sorted((*track(r), r.number, r.weight) for r in votes.where("final").collect()) == sorted(tuple(r) for r in counts)
     assert votes.where("not final").count() > len(counts)
+
+
+def test_every_trigger_has_all_its_files(spark, monkeypatch):
+    """However many files a band is dealt to, each has rows, so a trigger takes one band's files and no others."""
+    import pyarrow.parquet as pq
+    from pathlib import Path
+
+    from touchline.plans import stream_queries
+
+    stream_queries._files.cache_clear()
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 300)
+    path, parts = stream_queries._files(spark, "/root/testdata/sf0.001")
+    stream_queries._files.cache_clear()
+    found = sorted(Path(path).glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert parts > 2 and len(found) % parts == 1
+    read = [pq.read_table(p) for p in found[:-1]]
+    assert max(t.num_rows for t in read) < 600
+    bands = [read[k : k + parts] for k in range(0, len(read), parts)]
+    assert len(bands) >= 4
