@@ -323,3 +323,12 @@ def test_report_order_at_half_a_place(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     want = sorted(con.execute(report_queries.SQL["t4_report_order"]).fetchall())
     assert got == want
+
+
+def test_clicks_arent_gathered_by_clip(spark):
+    """Clicks are shuffled by clip and frame; what is known of a clip reaches them by a row a frame."""
+    from touchline.plans import season_queries
+
+    plan = season_queries.correspondences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "click_id" in line]
+    assert "rightHint=(strategy=shuffle_hash)" in plan and not joins

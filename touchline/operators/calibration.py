@@ -25,7 +25,8 @@ def landmark_correspondences(clicks: DataFrame, chain: DataFrame, named: DataFra
     anchor = first.join(chain.withColumnRenamed("frame", "anchor_frame").hint("merge"), [*CLIP, "anchor_frame"], "left")
     anchor = anchor.select(*CLIP, "anchor_frame", F.array(*inverse([F.col(m) for m in MATRIX])).alias("_back"))
     told = clicks.select(*CLIP, "click_id", "frame", "name", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    met = told.join(at, [*CLIP, "frame"], "left").join(anchor.hint("merge"), list(CLIP))
+    frames = told.select(*CLIP, "frame").distinct().join(at, [*CLIP, "frame"], "left").join(anchor.hint("merge"), list(CLIP))
+    met = told.join(frames.hint("shuffle_hash"), [*CLIP, "frame"])  # a row a frame meets the clicks; no clip's clicks come together
     start_x, start_y = project([F.col("_to")[k] for k in range(9)], F.col("_x"), F.col("_y"))
     anchor_x, anchor_y = project([F.col("_back")[k] for k in range(9)], start_x, start_y)
     same = F.col("frame") == F.col("anchor_frame")
