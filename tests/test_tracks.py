@@ -332,3 +332,17 @@ def test_clicks_arent_gathered_by_clip(spark):
     plan = season_queries.correspondences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "click_id" in line]
     assert "rightHint=(strategy=shuffle_hash)" in plan and not joins
+
+
+def test_edits_leave_unnamed_tracks_alone(spark, monkeypatch):
+    """Only tracks that the log names, as what is edited or as a target, are handed to the replay."""
+    from touchline.operators import edits
+
+    def seen(rows, log, gap):
+        assert set(rows.column("obj_id").to_pylist()) <= {1, 2}, "an unnamed track"
+        return rows
+
+    monkeypatch.setattr(edits, "_replayed", seen)
+    rows = spark.createDataFrame([(0, 0, obj, f) for obj in (1, 2, 3) for f in range(5)], "match_id long, clip_id long, obj_id long, frame long")
+    log = spark.createDataFrame([(0, 0, 1, "merge_forward", 1, 2, 2)], "match_id long, clip_id long, seq long, op string, obj_id long, start long, target long")
+    assert edits.apply_edit_log(rows, log).count() == 15

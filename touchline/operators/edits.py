@@ -137,10 +137,12 @@ def apply_edit_log(rows: DataFrame, log: DataFrame, gap: int = 30) -> DataFrame:
     stands. An edit that lacks its track, start or target changes nothing. Rows without a track or a frame stay as they are; further
     columns of upserted rows are null, so the result's columns are nullable. All other values stay exactly as they were.
 
-    Clips are edited apart from one another, each in one pass over arrays, however long the log; clips without
-    edits aren't touched. An edited clip has to fit in a task.
+    Clips are edited apart from one another, each in one pass over arrays, however long the log; tracks that the log
+    doesn't name aren't touched. A clip's named tracks have to fit in a task.
     """
-    edited = log.select(*CLIP).distinct().hint("shuffle_hash")
+    told = [F.array(F.col(c).cast("long")) for c in ("obj_id", "target") if c in log.columns]
+    told += [F.coalesce(F.col("obj_ids").cast("array<long>"), F.array().cast("array<long>"))] if "obj_ids" in log.columns else []
+    named = log.select(*CLIP, F.explode(F.concat(*told)).alias("obj_id")).where("obj_id is not null").distinct().hint("shuffle_hash")
     schema, columns = StructType([StructField(f.name, f.dataType, True) for f in rows.schema.fields]), rows.columns
-    mine = rows.join(edited, CLIP, "left_semi").groupBy(*CLIP).cogroup(log.groupBy(*CLIP)).applyInArrow(lambda r, e: _replayed(r, e, gap).select(columns), schema)
-    return rows.join(edited, CLIP, "left_anti").unionByName(mine)
+    mine = rows.join(named, list(TRACK), "left_semi").groupBy(*CLIP).cogroup(log.groupBy(*CLIP)).applyInArrow(lambda r, e: _replayed(r, e, gap).select(columns), schema)
+    return rows.join(named, list(TRACK), "left_anti").unionByName(mine)
