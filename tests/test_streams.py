@@ -165,3 +165,21 @@ def test_every_trigger_has_all_its_files(spark, monkeypatch):
     assert max(t.num_rows for t in read) < 600
     bands = [read[k : k + parts] for k in range(0, len(read), parts)]
     assert len(bands) >= 4
+
+
+def test_rows_that_come_again(spark, tmp_path, monkeypatch):
+    """Repeats, in the trigger or in a later one, count once without a state of their own, and many clips share few buckets of state."""
+    from touchline.streaming import ordered
+
+    monkeypatch.setattr(ordered, "BUCKETS", 4)
+    rows, folder = [(r[0], r[1] + 2 * (r[2] % 3), *r[2:]) for r in boxes(seed=8)], str(tmp_path / "again")
+    fed(spark, folder, rows + rows[::3] + rows[::7], 3)
+    stream = live.stream_detections(spark, folder, BOX, late="4 seconds", per_trigger=1, distinct=False)
+    query = live.stream_jump_gate(stream.where(F.when(F.col("frame_ts").isNotNull(), F.col("match_id")).isNotNull()), once=True).writeStream.format("parquet").option("path", folder + "-out").option("checkpointLocation", folder + "-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    most = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert len(most) >= 5 and len(query.recentProgress[0]["stateOperators"]) == 1
+    found = [((r.clip_id, r.obj_id, r.frame), r.held) for r in spark.read.parquet(folder + "-out").collect()]
+    assert len(found) == len(rows) and dict(found) == replay(rows)
+    keys = spark.read.format("statestore").option("path", folder + "-state").option("operatorId", 0).option("stateVarName", "waiting").option("batchId", 0).load().count()
+    assert 0 < keys <= 4

@@ -24,13 +24,18 @@ TRAVEL, LEAST_HEIGHT, CONFIRM, RESET = 0.9, 20.0, 3, 8
 ANCHORS = ("manual",)
 
 
-def stream_detections(spark: SparkSession, path: str, schema: str, keys=("match_id", "clip_id", "frame", "obj_id"), late: str = "10 seconds", per_trigger: int = 100) -> DataFrame:
-    """A file stream of boxes with a watermark on frame_ts, each box once."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-    return rows.withWatermark("frame_ts", late).dropDuplicatesWithinWatermark(list(keys))
+def stream_detections(spark: SparkSession, path: str, schema: str, keys=("match_id", "clip_id", "frame", "obj_id"), late: str = "10 seconds", per_trigger: int = 100, distinct: bool = True) -> DataFrame:
+    """A file stream of boxes with a watermark on frame_ts, each box once.
+
+    Without ``distinct`` boxes that come again are left in, for operators that are told to take them ``once``: these hold every box until the watermark
+    has passed it anyway, so no second state with a row for each box is needed.
+    """
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path).withWatermark("frame_ts", late)
+    return rows.dropDuplicatesWithinWatermark(list(keys)) if distinct else rows
 
 
 class _Link(InOrder):
+    dealt = False
     key, row = ["match_id", "clip_id"], "frame long, ord long, x1 double, y1 double, x2 double, y2 double"
     out = "frame long, ord long, start long, start_ord long"
     kept = {"open": "start long, start_ord long, last long, x1 double, y1 double, x2 double, y2 double, n long", "early": "start long, start_ord long, frame long, ord long"}
@@ -106,12 +111,12 @@ class _Gate(InOrder):
         return out
 
 
-def stream_jump_gate(rows: DataFrame, idle: int = HOUR) -> DataFrame:
+def stream_jump_gate(rows: DataFrame, idle: int = HOUR, once: bool = False) -> DataFrame:
     """Track, frame and held: whether a box is too far from the last good one and hasn't persisted for three frames yet.
 
     A gap of over 8 frames opens the gate, and manual rows are good wherever they are. Rows without a box are left out.
     """
-    return in_order(rows, _Gate(idle))
+    return in_order(rows, _Gate(idle), once)
 
 
 class _Votes(InOrder):
@@ -130,14 +135,14 @@ class _Votes(InOrder):
         return [(n, w, True) for n, w in state["votes"]]
 
 
-def stream_votes(rows: DataFrame, idle: int = HOUR) -> DataFrame:
+def stream_votes(rows: DataFrame, idle: int = HOUR, once: bool = False) -> DataFrame:
     """Running number votes of each track: number, weight and final.
 
     A number's weight is given out whenever it has grown, and once more with ``final`` when the track has been silent for ``idle``
     milliseconds of event time; then its votes leave the state.
     """
     number = F.when(F.col("number").rlike("^[0-9]+$"), F.col("number").try_cast("long"))
-    return in_order(rows.withColumn("number", number).where("number between 1 and 23"), _Votes(idle))
+    return in_order(rows.withColumn("number", number).where("number between 1 and 23"), _Votes(idle), once)
 
 
 def stream_segments(rows: DataFrame, gap: str) -> DataFrame:
@@ -161,9 +166,9 @@ class _Alerts(InOrder):
         return out
 
 
-def stream_low_conf_alerts(rows: DataFrame, below: float = 0.4, idle: int = HOUR) -> DataFrame:
+def stream_low_conf_alerts(rows: DataFrame, below: float = 0.4, idle: int = HOUR, once: bool = False) -> DataFrame:
     """One alert for each run of at least five rows under a confidence, when the watermark has passed the fifth. A null confidence isn't low."""
-    return in_order(rows.withColumn("low", F.coalesce(F.col("conf") < below, F.lit(False))), _Alerts(idle))
+    return in_order(rows.withColumn("low", F.coalesce(F.col("conf") < below, F.lit(False))), _Alerts(idle), once)
 
 
 class _Steps(InOrder):
@@ -189,9 +194,9 @@ class _Steps(InOrder):
         return list(self.steps(rows, state))
 
 
-def stream_steps(points: DataFrame, fps: float = 30.0, idle: int = HOUR) -> DataFrame:
+def stream_steps(points: DataFrame, fps: float = 30.0, idle: int = HOUR, once: bool = False) -> DataFrame:
     """The step (metres) and speed from the previous point of each track; frame_ms is the step's end. Rows without a point are left out."""
-    return in_order(points, _Steps(fps, idle))
+    return in_order(points, _Steps(fps, idle), once)
 
 
 class _Distance(_Steps):
@@ -224,10 +229,10 @@ class _Distance(_Steps):
         return state["windows"]
 
 
-def stream_distance(points: DataFrame, fps: float = 30.0, width: int = 10_000, slide: int | None = None, fastest: float = 12.0, idle: int = HOUR) -> DataFrame:
+def stream_distance(points: DataFrame, fps: float = 30.0, width: int = 10_000, slide: int | None = None, fastest: float = 12.0, idle: int = HOUR, once: bool = False) -> DataFrame:
     """Metres run by each track in windows of ``width`` milliseconds every ``slide`` (tumbling without): window_ms, distance, steps.
 
     A step counts in the windows that its end lies in, unless it is faster than ``fastest``. A window is given once, when the watermark
     has passed it; windows without a step aren't given.
     """
-    return in_order(points, _Distance(fps, width, slide or width, fastest, idle))
+    return in_order(points, _Distance(fps, width, slide or width, fastest, idle), once)

@@ -11,8 +11,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: Buckets of keys that share what they are told apart by first (a clip's tracks).
-BUCKETS = 256
+#: Buckets that a stream's keys are dealt to, however many keys and clips there are.
+BUCKETS = 512
+#: Waiting rows of one value of the store, about.
+PACK_ROWS = 100_000
+KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
 def names(schema: str) -> list[str]:
@@ -26,17 +29,21 @@ class InOrder(StatefulProcessor):
     come can precede. Event-time timers drive it: one at the earliest waiting row, one where ``due`` says, and one ``idle``
     milliseconds after the last row, when ``finish`` is called and the key's state goes.
 
-    Where the key has more columns than ``shared``, Spark's state is keyed by these and a bucket of the others (``buckets`` by hash), and holds
-    each key's lists side by side, so that calls to the store are made once a bucket. Waiting rows are kept as Arrow batches.
+    Where ``dealt`` is set, Spark's state is keyed by a bucket of keys (by hash), and holds each key's lists side by side, so that the store is called,
+    and rows pass between Spark and Python, once a bucket. Waiting rows and lists are kept as Arrow batches.
+
+    With ``once``, of a key's rows of one frame only the first that came counts. As a frame has one time, all of them wait until the
+    watermark has passed it and later ones are too late, so nothing is remembered for this.
     """
 
     key: list[str]
     row: str
     out: str
     kept: dict[str, str]
-    #: Columns of the key that buckets keep apart, and the others' schema.
-    shared = ["match_id", "clip_id"]
+    #: Whether keys are dealt to buckets, and the schema of what a bucket tells apart.
+    dealt = True
     inner = ""
+    once = False
 
     def __init__(self, idle: int):
         self.idle = idle
@@ -60,20 +67,34 @@ class InOrder(StatefulProcessor):
         self.inside = len(names(self.inner)) if self.inner else 0
         self.columns = [*(names(self.inner) if self.inner else []), "ms", *names(self.row)]
         self.waiting = handle.getListState("waiting", "first long, rows binary")
-        self.last = handle.getListState("last", f"{own}ms long")
-        self.lists = {name: handle.getListState(name, own + schema) for name, schema in self.kept.items()}
+        self.lists = {name: handle.getListState(name, "rows binary") for name in [*self.kept, "last"]}
+        self.kinds = {name: dict(c.split() for c in (own + schema).split(", ")) for name, schema in {**self.kept, "last": "ms long"}.items()}
+        self.done: dict[tuple, int] = {}
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
+        first, held, n = None, [], 0
         for pdf in rows:
-            least = int(pdf["ms"].min())
-            self.waiting.appendValue((least, _packed(pa.RecordBatch.from_pandas(pdf[self.columns], preserve_index=False))))
-            first = least if first is None else min(first, least)
+            held.append(pa.RecordBatch.from_pandas(pdf[self.columns], preserve_index=False))
+            n += len(pdf)
+            if n >= PACK_ROWS:
+                first, held, n = self._wait(held, first), [], 0
+        if held:
+            first = self._wait(held, first)
+        self.done.pop(tuple(key), None)
         self.handle.registerTimer(first)
         return iter(())
 
+    def _wait(self, held: list[pa.RecordBatch], first: int | None) -> int:
+        table = pa.concat_tables([pa.Table.from_batches([b]) for b in held], promote_options="permissive")
+        least = pc.min(table.column("ms")).as_py()
+        self.waiting.appendValue((least, _packed(table)))
+        return least if first is None else min(first, least)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now, n = timerValues.getCurrentWatermarkInMs(), self.inside
+        if self.done.get(tuple(key)) == now:  # another of the key's timers, and nothing has come since
+            return
+        self.done[tuple(key)] = now
         held = list(self.waiting.get())
         first = min((r[0] for r in held), default=None)
         ready: dict[tuple, list[tuple]] = {}
@@ -82,23 +103,25 @@ class InOrder(StatefulProcessor):
             table = pa.concat_tables([_unpacked(r[1]) for r in held], promote_options="permissive")
             early = pc.less_equal(table.column("ms"), now)
             taken, left = table.filter(early), table.filter(pc.invert(early)).combine_chunks()
-            for r in zip(*(c.to_pylist() for c in taken.columns), strict=True):
-                ready.setdefault(r[:n], []).append(r[n:])
+            ready = _by_key(zip(*(c.to_pylist() for c in taken.columns), strict=True), n)
             if len(left):
                 rest = pc.min(left.column("ms")).as_py()
                 waits = set(zip(*(left.column(k).to_pylist() for k in range(n)), strict=True)) if n else {()}
-                self.waiting.put([(rest, _packed(b)) for b in left.to_batches()])
+                self.waiting.put([(rest, _packed(left))])
             else:
                 self.waiting.clear()
         elif first is not None:
             rest = first
             waits = {r for h in held for r in (zip(*(_unpacked(h[1]).column(k).to_pylist() for k in range(n)), strict=True) if n else [()])}
-        lists = {name: _by_key(own.get(), n) for name, own in self.lists.items()}
-        last = {r[:n]: r[n] for r in map(tuple, self.last.get())}
+        had = {name: list(own.get()) for name, own in self.lists.items()}
+        lists = {name: _by_key([r for h in rows for r in zip(*(c.to_pylist() for c in _unpacked(h[0]).columns), strict=True)], n) for name, rows in had.items()}
+        last = {sub: rows[0][0] for sub, rows in lists.pop("last").items()}
         out, timers = [], set() if rest is None else {rest}
         for sub in sorted({*ready, *last, *(k for own in lists.values() for k in own)}, key=_nulls_first):
             whole, state = self.whole(key, sub), {name: own.pop(sub, []) for name, own in lists.items()}
             rows = ready.get(sub)
+            if rows and self.once:
+                rows = list({r[1]: r for r in reversed(rows)}.values())
             told = []
             if rows:
                 told += self.step(whole, sorted(rows, key=self.place), state)
@@ -115,9 +138,14 @@ class InOrder(StatefulProcessor):
                 due = self.due(state)
                 timers |= {t for t in (due, last[sub] + self.idle if sub in last and sub not in waits else None) if t is not None}
             out += [(*whole, *r) for r in told]
+        lists["last"] = {sub: [(ms,)] for sub, ms in last.items()}
         for name, own in self.lists.items():
-            _put(own, [(*sub, *r) for sub, rows in lists[name].items() for r in rows])
-        _put(self.last, [(*sub, ms) for sub, ms in last.items()])
+            rows = [(*sub, *r) for sub, held in lists[name].items() for r in held]
+            if rows:
+                columns = zip(self.kinds[name].values(), zip(*rows, strict=True), strict=True)
+                own.put([(_packed(pa.table([pa.array(list(values), KINDS.get(kind)) for kind, values in columns], names=list(self.kinds[name]))),)])
+            elif had[name]:
+                own.clear()
         later = [t for t in timers if t > now]
         if later:
             self.handle.registerTimer(min(later))
@@ -126,7 +154,7 @@ class InOrder(StatefulProcessor):
 
     def whole(self, key: tuple, sub: tuple) -> tuple:
         """A key's own columns, from its bucket and what follows."""
-        return (*key[:-1], *sub) if self.inside else tuple(key)
+        return sub if self.inside else tuple(key)
 
     @staticmethod
     def place(row: tuple):
@@ -137,10 +165,10 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
+def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -154,36 +182,29 @@ def _nulls_first(key: tuple):
 
 def _by_key(rows, n: int) -> dict[tuple, list[tuple]]:
     out: dict[tuple, list[tuple]] = {}
-    for r in map(tuple, rows):
+    for r in rows:
         out.setdefault(r[:n], []).append(r[n:])
     return out
 
 
-def _put(state, rows: list[tuple]) -> None:
-    if rows:
-        state.put(rows)
-    else:
-        state.clear()
-
-
 def uses_timers(spark: SparkSession) -> None:
     """Streams with timers keep their state in RocksDB; this sets the session so."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def in_order(rows: DataFrame, processor: InOrder) -> DataFrame:
+def in_order(rows: DataFrame, processor: InOrder, once: bool = False) -> DataFrame:
     """A stream of ``frame_ts`` and the processor's columns through the processor, in append mode.
 
     Rows that come later than the stream's watermark allows are dropped by Spark, all others are taken in the order of frames.
-    A key that was silent for the processor's ``idle`` begins anew.
+    A key that was silent for the processor's ``idle`` begins anew. ``once``: rows of a key's frame that come again count once.
     """
     uses_timers(rows.sparkSession)
+    processor.once = once
     own = rows.withColumn("ms", F.unix_millis("frame_ts")).select(*processor.key, "frame_ts", "ms", *names(processor.row))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in processor.key) + ", " + processor.out
-    inner = [c for c in processor.key if c not in processor.shared]
-    if not inner:
+    if not processor.dealt:
         return own.groupBy(*processor.key).transformWithStateInPandas(processor, schema, "append", "eventTime")
-    processor.inner = ", ".join(f"{c} {kinds[c]}" for c in inner)
-    dealt = own.withColumn("_bucket", F.pmod(F.xxhash64(*inner), F.lit(BUCKETS)))
-    return dealt.groupBy(*processor.shared, "_bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    processor.inner = ", ".join(f"{c} {kinds[c]}" for c in processor.key)
+    dealt = own.withColumn("_bucket", F.pmod(F.xxhash64(*processor.key), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
