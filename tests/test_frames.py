@@ -60,3 +60,39 @@ def test_linked_pairs(seed, monkeypatch):
     score, allowed = real(a[k], b[j], gate2)
     assert found == sorted(zip(k[allowed].tolist(), j[allowed].tolist(), score[allowed].tolist(), strict=True)) and found
     assert max(sizes) <= 64 + 70
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 700])
+def test_near_pairs_are_counted(n):
+    """As all pairs have it, with ties at the limit, repeated ids and labels that are missing; and most pairs are never met."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x, y = np.floor(rng.uniform(-50, 50, n) * (seed % 3 + 1)), np.floor(rng.uniform(0, 30, n))
+        x, y = (x + 1e6, y) if seed == 5 else (x, y)
+        ids, label, met = rng.integers(0, max(1, n - n // 10), n), rng.integers(-1, 3, n), []
+        near = lambda i, p: (met.append(len(i)), (x[i] - x[p]) ** 2 + (y[i] - y[p]) ** 2 <= 225 + (label[i] == label[p]) * 40)[1]  # noqa: B023, E731
+        found = frames.count_pairs(x, y, ids, label, 15.0 * (1 - 1e-9), 17.0, near)
+        i, p = np.triu_indices(n, 1)
+        want = ((x[i] - x[p]) ** 2 + (y[i] - y[p]) ** 2 <= 225 + (label[i] == label[p]) * 40) & (ids[i] != ids[p])
+        assert found == (want.sum(), (want & (label[i] == label[p]) & (label[i] >= 0)).sum())
+        assert n < 700 or sum(met) < len(i) / 3
+
+
+def test_counts_equal_the_joins(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.operators import joins, trajectory
+
+    rng, rows = np.random.default_rng(3), []
+    for frame in range(3):
+        for k, b in enumerate(boxes(rng, 60, 400.0, 300.0 if frame else 20.0, True).tolist()):
+            rows.append((0, 1, frame, k, ["a", "b", None][k % 3], *(b if k else [None] * 4)))
+    df = spark.createDataFrame(rows, "match_id long, clip_id long, frame long, obj_id long, team string, x1 double, y1 double, x2 double, y2 double")
+    own = df.select("match_id", "clip_id", "frame", "obj_id", "x1", "y1", "x2", "y2")
+    for least, gate in ((0.05, 30.0), (0.0, 30.0), (0.2, 200.0)):
+        known = own.where("x1 is not null")
+        want = joins.pairs_in_frame(known, known, least, gate).where("a_obj_id < b_obj_id").groupBy("frame").count().collect()
+        assert {r.frame: r.pairs for r in joins.count_pairs_in_frame(df, least, gate).collect()} == {r["frame"]: r["count"] for r in want}
+    points = df.withColumn("px", F.col("x1")).withColumn("py", F.col("y1"))
+    want = trajectory.within_radius(points, 25.0).groupBy("frame").agg(F.count("*"), F.count_if("same_team")).collect()
+    assert {r.frame: (r.pairs, r.same_team) for r in trajectory.count_within_radius(points, 25.0).collect()} == {r[0]: (r[1], r[2]) for r in want}

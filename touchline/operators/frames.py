@@ -117,3 +117,95 @@ def assigned(a: np.ndarray, b: np.ndarray, ids: np.ndarray, min_iou: float) -> n
         todo, r = todo[~done], r * 2
     out[own] = np.where(found >= 0, other[found], -1)
     return out
+
+
+def runs(first: np.ndarray, last: np.ndarray):
+    """(query, place) of every place in first..last - 1 of each query, chunk by chunk."""
+    size = np.maximum(last - first, 0)
+    some = np.flatnonzero(size)
+    ends, at = np.cumsum(size[some]), 0
+    while at < len(some):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        q, n = some[at:stop], size[some[at:stop]]
+        yield np.repeat(q, n), np.repeat(first[q] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        at = stop
+
+
+def count_near(x: np.ndarray, y: np.ndarray, label: np.ndarray, sure: float, reach: float, near) -> tuple[int, int]:
+    """How many pairs of points are near, and how many of these share a label (codes from 0, -1 for none), without meeting most pairs.
+
+    ``near`` tells it of pairs of places; it must hold up to the distance ``sure`` and fail beyond ``reach``. Points are sorted by bands of y and by x.
+    In a band, what is certainly near a point is one run, which is only counted, and what may be is a run at either end, which is asked for pair
+    by pair. With bands as narrow as the points are dense, the work grows with n to the power 1.5.
+    """
+    n = len(x)
+    if n < 2:
+        return 0, 0
+    wide, high = float(np.ptp(x)), float(np.ptp(y))
+    sure, reach = min(sure, wide + high + 1.0), min(reach, wide + high + 1.0)
+    h = max((8.0 * (wide + 1e-9) * (high + 1e-9) / n) ** 0.5, high / 4096, reach / 4096, 1e-9)
+    band = np.floor((y - y.min()) / h).astype(np.int64)
+    order = np.lexsort((x, band))
+    x0, y0, span, bands = float(x.min()), float(y.min()), wide + 2 * reach + 1.0, int(band.max()) + 1
+    px, py, own, label = x[order] - x0, y[order] - y0, band[order], label[order]
+    key = px + own * span
+    slack = 1e-9 * (1.0 + span * bands + float(np.abs(x).max()) + float(np.abs(y).max()))
+    kinds = np.unique(label[label >= 0])
+    code = np.where(label >= 0, np.searchsorted(kinds, label), -1)
+    before = np.zeros((len(kinds), n + 1), np.int64)
+    for k in range(len(kinds)):
+        np.cumsum(code == k, out=before[k, 1:])
+    pairs = same = 0
+    for step in range(min(bands - 1, int((reach + slack) / h) + 1) + 1):
+        q = np.arange(int(np.searchsorted(own, bands - step)))
+        at = (own[q] + step) * h
+        low = np.maximum(at - py[q] - slack, 0.0)
+        high_ = np.maximum(at + h - py[q], py[q] - at) + slack
+        far = np.where(low <= reach, np.sqrt(np.maximum(reach * reach - low * low, 0.0)) + slack, -1.0)
+        in_ = np.where(high_ <= sure, np.sqrt(np.maximum(sure * sure - high_ * high_, 0.0)) - slack, -1.0)
+        base = (own[q] + step) * span
+        edge = lambda r, side: np.searchsorted(key, base + np.clip(px[q] + r, -reach, wide + reach), side)  # noqa: B023, E731
+        a, d = edge(-far, "left"), edge(far, "right")
+        d = np.where(far < 0, a, d)
+        b, c = edge(-in_, "left"), edge(in_, "right")
+        b, c = np.where(in_ < 0, a, b), np.where(in_ < 0, a, c)
+        if step == 0:  # each pair of a band once
+            a, b, c, d = (np.maximum(v, q + 1) for v in (a, b, c, d))
+        b = np.clip(b, a, np.maximum(a, d))
+        c = np.clip(c, b, np.maximum(b, d))
+        pairs += int((c - b).sum())
+        known = q[code[q] >= 0]
+        same += int((before[code[known], c[known]] - before[code[known], b[known]]).sum()) if len(known) else 0
+        for first, last in ((a, b), (c, d)):
+            for i, p in runs(first, last):
+                met = near(order[i], order[p])
+                pairs += int(np.count_nonzero(met))
+                same += int(np.count_nonzero(met & (code[i] == code[p]) & (code[i] >= 0)))
+    return pairs, same
+
+
+def count_pairs(x: np.ndarray, y: np.ndarray, ids: np.ndarray, label: np.ndarray, sure: float, reach: float, near) -> tuple[int, int]:
+    """``count_near`` of points with different ids."""
+    pairs, same = count_near(x, y, label, sure, reach, near)
+    by = np.argsort(ids, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]])) if len(ids) else np.zeros(0, np.int64)
+    stop = np.repeat(np.append(start[1:], len(ids)), np.diff(np.append(start, len(ids)))) if len(ids) else start
+    for i, p in runs(np.arange(len(ids)) + 1, stop):
+        met = near(by[i], by[p])
+        pairs -= int(np.count_nonzero(met))
+        same -= int(np.count_nonzero(met & (label[by[i]] == label[by[p]]) & (label[by[i]] >= 0)))
+    return pairs, same
+
+
+def codes(labels) -> np.ndarray:
+    """Labels of an Arrow column as numbers from 0, -1 for null."""
+    found = labels.combine_chunks().dictionary_encode()
+    return found.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def counted(rows, keys: tuple[str, ...], count, name: str = "obj_id"):
+    """A frame's keys with its pairs, and those of one label (pyarrow in and out); ``count`` takes the table and the tracks' codes."""
+    import pyarrow as pa
+
+    pairs, same = count(rows, codes(rows.column(name)))
+    return rows.select(list(keys)).slice(0, 1).append_column("pairs", pa.array([pairs], pa.int64())).append_column("same_team", pa.array([same], pa.int64()))

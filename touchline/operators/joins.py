@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, dist2, iou
-from .frames import assigned
+from .frames import assigned, count_pairs, counted
 from .trajectory import FRAME, TRACK
 
 
@@ -23,6 +23,33 @@ def pairs_in_frame(a: DataFrame, b: DataFrame, min_iou: float, gate: float) -> D
     return prefixed(a, "a_").join(prefixed(b, "b_"), list(FRAME)).where(near)
 
 
+def count_pairs_in_frame(boxes: DataFrame, min_iou: float, gate: float) -> DataFrame:
+    """How many pairs of different tracks ``pairs_in_frame`` has in each frame of a table with itself: match_id, clip_id, frame, pairs.
+
+    Runs of boxes that are certainly near are counted, not met (``frames.count_near``); only those about ``gate`` away, or that may overlap from
+    farther, are measured. A box without finite corners is in no pair. Frames without a pair are left out.
+    """
+
+    def count(rows, ids):
+        x1, y1, x2, y2 = (rows.column(c).cast("double").to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        x, y, area = (x1 + x2) / 2, (y1 + y2) / 2, np.maximum(x2 - x1, 0.0) * np.maximum(y2 - y1, 0.0)
+        touch = float(np.hypot(np.abs(x2 - x1).max(), np.abs(y2 - y1).max())) if min_iou > 0 else np.inf
+
+        def near(i, p):
+            inter = np.maximum(np.minimum(x2[i], x2[p]) - np.maximum(x1[i], x1[p]), 0.0) * np.maximum(np.minimum(y2[i], y2[p]) - np.maximum(y1[i], y1[p]), 0.0)
+            union = area[i] + area[p] - inter
+            overlap = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
+            dx, dy = x[i] - x[p], y[i] - y[p]
+            return (overlap >= min_iou) | (dx * dx + dy * dy <= gate * gate)
+
+        return count_pairs(x, y, ids, np.full(len(x), -1), gate * (1 - 1e-9), max(gate, touch) * (1 + 1e-9), near)
+
+    finite = " and ".join([*(f"{c} is not null" for c in (*FRAME, "obj_id")), *(f"abs({c}) < double('inf')" for c in ("x1", "y1", "x2", "y2"))])
+    own = boxes.where(finite).select(*FRAME, "obj_id", "x1", "y1", "x2", "y2")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:3]) + ", pairs long, same_team long"
+    return own.groupBy(*FRAME).applyInArrow(lambda rows: counted(rows, FRAME, count), schema).where("pairs > 0").drop("same_team")
+
+
 def _assigned(boxes: pa.Table, tracks: pa.Table, default: int, min_iou: float) -> pa.Table:
     """A frame's boxes with the tracks found for them."""
     corners = lambda t: np.column_stack([t.column(c).cast(pa.float64()).to_numpy() for c in ("x1", "y1", "x2", "y2")]).reshape(-1, 4)
