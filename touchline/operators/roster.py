@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -66,10 +68,41 @@ def _cosine(a: list, b: list) -> float | None:
 
 
 class Roster:
-    """One team's players, by id, and the players that the match at hand has shown."""
+    """One team's players, by id, and the players that the match at hand has shown.
+
+    A profile is linked without going through the team: ``free`` has the heights of players whom the match hasn't shown, sorted, ``worn`` a heap of
+    each number's wearers, first choice on top (entries that no longer hold are dropped when they get there), ``once`` who wore a number first. They are
+    made when a profile comes and given up when a command changes players.
+    """
 
     def __init__(self, team: str | None):
         self.team, self.players, self.match, self.claimed = team, {}, object(), set()
+        self.free = None
+
+    def index(self) -> None:
+        if self.free is not None:
+            return
+        self.free, self.worn, self.once = [], {}, {}
+        self.release(p for p in self.players.values() if p["player_id"] not in self.claimed)
+        for p in self.players.values():
+            self.note(p)
+
+    def release(self, players) -> None:
+        """Players whom the match has not shown."""
+        self.free += [(p["resid"], p["ord"], p["player_id"]) for p in players if p["resid"] is not None and p["h_n"] > 0]
+        self.free.sort()
+
+    @staticmethod
+    def choice(p: dict) -> tuple:
+        """Wearers of a number by this: me first, then who was seen last."""
+        return (not p["is_me"], -math.inf if p["last_match"] is None else -p["last_match"], p["ord"])
+
+    def note(self, p: dict) -> None:
+        """Who wears and has worn which number."""
+        if p["number"] is not None:
+            heapq.heappush(self.worn.setdefault(p["number"], []), (*self.choice(p), p["player_id"]))
+        for worn in p["history"]:
+            self.once[worn["number"]] = min(self.once.get(worn["number"], (math.inf, "")), (p["ord"], p["player_id"]))
 
     def add(self, player_id: str, number: int | None, match: int | None) -> dict:
         p = dict.fromkeys(columns(PLAYERS)) | {"team": self.team, "player_id": player_id, "ord": len(self.players), "is_me": False, "history": [], "h_n": 0, "fp_n": 0, "votes": {}, "n_frames": 0, "n_clips": 0, "matches": 0}
@@ -88,11 +121,14 @@ class Roster:
 
     def of_number(self, number: int) -> str | None:
         """Who wears a number (me first, then who was seen last), else the first who wore it."""
-        now = [p for p in self.players.values() if p["number"] == number]
-        if now:
-            return min(now, key=lambda p: (not p["is_me"], -math.inf if p["last_match"] is None else -p["last_match"], p["ord"]))["player_id"]
-        once = [p for p in self.players.values() if any(w["number"] == number for w in p["history"])]
-        return min(once, key=lambda p: p["ord"])["player_id"] if once else None
+        wearers = self.worn.get(number, [])
+        while wearers:
+            *choice, player_id = wearers[0]
+            p = self.players[player_id]
+            if p["number"] == number and self.choice(p) == tuple(choice):
+                return player_id
+            heapq.heappop(wearers)
+        return self.once[number][1] if number in self.once else None
 
     def link(self, r: dict) -> tuple[str | None, str]:
         """Who a profile is, and how that is known: by number, height, height and looks; or new."""
@@ -102,13 +138,17 @@ class Roster:
                 return found, "number"
         if r["resid"] is None:
             return None, "new"
-        known = [p for p in self.players.values() if p["resid"] is not None and p["h_n"] > 0 and p["player_id"] not in self.claimed]
-        near = sorted(((abs(p["resid"] - r["resid"]), p["ord"], p) for p in known), key=lambda t: t[:2])
+        at = bisect_left(self.free, (r["resid"],))
+        near = sorted((abs(f[0] - r["resid"]), f[1], f[2]) for f in self.free[max(0, at - 2) : at + 2])
         if not near or near[0][0] > HEIGHT_LINK:
             return None, "new"
         if len(near) == 1 or near[1][0] - near[0][0] >= HEIGHT_MARGIN:
-            return near[0][2]["player_id"], "height"
-        tied = [(_cosine(r["fingerprint"], p["fingerprint"]), k, p) for d, k, p in near if d - near[0][0] < HEIGHT_MARGIN]
+            return near[0][2], "height"
+        if r["fingerprint"] is None:
+            return None, "new"
+        reach = near[0][0] + HEIGHT_MARGIN + 1e-6 * (1.0 + abs(r["resid"]))
+        about = [self.players[f[2]] for f in self.free[bisect_left(self.free, (r["resid"] - reach,)) : bisect_left(self.free, (r["resid"] + reach, math.inf))]]
+        tied = [(_cosine(r["fingerprint"], p["fingerprint"]), p["ord"], p) for p in about if abs(p["resid"] - r["resid"]) - near[0][0] < HEIGHT_MARGIN]
         tied = sorted((t for t in tied if t[0] is not None), key=lambda t: t[:2])
         if len(tied) >= 2 and tied[1][0] - tied[0][0] >= LOOKS_MARGIN:
             return tied[0][2]["player_id"], "height+fp"
@@ -117,9 +157,16 @@ class Roster:
     def take(self, r: dict) -> tuple[str, str]:
         """Folds a profile in."""
         if r["match_id"] != self.match:
-            self.match, self.claimed = r["match_id"], set()
+            shown, self.match, self.claimed = self.claimed, r["match_id"], set()
+            if self.free is not None:
+                self.release(self.players[player_id] for player_id in shown)
+        self.index()
         found, how = self.link(r)
         p = self.players[found] if found is not None else self.add(new_id(self.team, r["match_id"], r["key"]), r["number"], r["match_id"])
+        if found is not None:
+            at = bisect_left(self.free, (p["resid"], p["ord"])) if p["resid"] is not None else len(self.free)
+            if at < len(self.free) and self.free[at][2] == found:
+                del self.free[at]
         p["resid"] = drifted(p["resid"], p["h_n"], r["resid"], r["h_n"])
         p["h_n"] = min(WINDOW, p["h_n"] + max(0, r["h_n"])) if r["resid"] is not None else p["h_n"]
         p["fingerprint"], p["fp_n"] = blended(p["fingerprint"], p["fp_n"], r["fingerprint"], r["fp_n"])
@@ -131,10 +178,12 @@ class Roster:
         p["n_frames"], p["n_clips"] = p["n_frames"] + r["n_frames"], p["n_clips"] + max(1, r["n_clips"])
         p["matches"], p["last_match"] = p["matches"] + 1, r["match_id"]
         self.claimed.add(p["player_id"])
+        self.note(p)
         return p["player_id"], how
 
     def command(self, c: dict) -> None:
         """A change by hand; one that names a player whom nothing has shown changes nothing."""
+        self.free = None
         if c["op"] == "add":
             if c["player_id"] not in self.players:
                 p = self.add(c["player_id"], c["number"], c["match_id"])
