@@ -346,3 +346,24 @@ def test_edits_leave_unnamed_tracks_alone(spark, monkeypatch):
     rows = spark.createDataFrame([(0, 0, obj, f) for obj in (1, 2, 3) for f in range(5)], "match_id long, clip_id long, obj_id long, frame long")
     log = spark.createDataFrame([(0, 0, 1, "merge_forward", 1, 2, 2)], "match_id long, clip_id long, seq long, op string, obj_id long, start long, target long")
     assert edits.apply_edit_log(rows, log).count() == 15
+
+
+def test_smoothing_in_blocks(spark, monkeypatch):
+    """Blocks of frames give what all frames give, points of one frame count together, and no aggregation holds every frame that a point counts for."""
+    import random
+
+    from touchline.operators import pose
+
+    monkeypatch.setattr(pose, "BLOCK", 8)
+    rng = random.Random(2)
+    rows = [(clip, f, kp, rng.random(), rng.choice([None, rng.random()]), rng.choice([None, 0.0, 0.5, 1.0])) for clip in (0, 1) for kp in (0, 3) for f in range(-20, 60) if rng.random() < 0.6 for _ in range(1 + (f == 7))]
+    out = pose.smooth_pose(spark.createDataFrame(rows, "clip_id long, frame long, kp int, x double, y double, vis double"))
+    want = {}
+    for clip, f, kp in {r[:3] for r in rows}:
+        near = [(6 - abs(r[1] - f), *r[3:5], r[5] or 0.0) for r in rows if r[0] == clip and r[2] == kp and abs(r[1] - f) <= 5]
+        w = sum(d * v for d, _, _, v in near)
+        mean = lambda k: (lambda own: round(sum(own) / w, 9) if own else None)([n[0] * n[3] * n[k] for n in near if n[k] is not None])  # noqa: B023, E731
+        want[clip, f, kp] = (mean(1), mean(2), round(sum(n[3] for n in near) / len(near), 9)) if w > 1e-6 else (0.0, 0.0, 0.0)
+    found = out.collect()
+    assert len(found) == len(want) and {(r.clip_id, r.frame, r.kp): tuple(None if v is None else round(v, 9) for v in (r.x, r.y, r.vis)) for r in found} == want
+    assert "Aggregate" not in out._jdf.queryExecution().sparkPlan().toString()

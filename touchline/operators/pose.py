@@ -6,17 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames of a key point that are smoothed together.
+BLOCK = 4096
+
+
 def smooth_pose(points: DataFrame, half: int = 5) -> DataFrame:
     """Mean of each key point over the frames around, weighted by nearness and visibility; vis is the plain mean.
 
-    Each point is sent to the frames that it counts for, so the join is an aggregation and nothing grows but 2 half + 1 fold.
+    A key point's frames are cut into blocks, and points near an edge also go to the next block, so a task sorts rows and holds one block, whatever
+    the table's size. A weight that falls by one a frame is a sum of windows, each a frame wider. Points without a frame are left out.
     """
-    steps = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    spread = points.withColumn("d", steps).select("clip_id", (F.col("frame") + F.col("d")).alias("frame"), "kp", "x", "y", F.coalesce("vis", F.lit(0.0)).alias("vis"), (half + 1 - F.abs("d")).alias("near"), (F.col("d") == 0).alias("own"))
-    weight = F.col("near") * F.col("vis")
-    out = spread.groupBy("clip_id", "frame", "kp").agg(F.bool_or("own").alias("own"), F.sum(weight).alias("w"), F.sum(weight * F.col("x")).alias("wx"), F.sum(weight * F.col("y")).alias("wy"), F.avg("vis").alias("v"))
-    seen = F.col("w") > 1e-6
-    return out.where("own").select("clip_id", "frame", "kp", F.when(seen, F.col("wx") / F.col("w")).otherwise(0.0).alias("x"), F.when(seen, F.col("wy") / F.col("w")).otherwise(0.0).alias("y"), F.when(seen, F.col("v")).otherwise(0.0).alias("vis"))
+    block = lambda d: F.floor((F.col("frame") + d) / F.lit(BLOCK))
+    vis = F.coalesce("vis", F.lit(0.0))
+    dealt = points.select("clip_id", "frame", "kp", vis.alias("vis"), (vis * F.col("x")).alias("vx"), (vis * F.col("y")).alias("vy"), F.explode(F.sequence(block(-half), block(half))).alias("_block"))
+    w = Window.partitionBy("clip_id", "kp", "_block").orderBy("frame")
+    first = ~F.lag("frame").over(w).eqNullSafe(F.col("frame"))
+
+    def weighted(c):
+        sums = [F.sum(c).over(w.rangeBetween(-r, r)) for r in range(half + 1)]
+        total = sums[half]
+        for own in sums[:half]:
+            total = total + F.coalesce(own, F.lit(0.0))
+        return total
+
+    out = dealt.select("clip_id", "frame", "kp", "_block", first.alias("_first"), weighted("vis").alias("w"), weighted("vx").alias("wx"), weighted("vy").alias("wy"), F.avg("vis").over(w.rangeBetween(-half, half)).alias("v"))
+    out, seen = out.where(F.col("_first") & (F.col("_block") == block(0))), F.col("w") > 1e-6
+    return out.select("clip_id", "frame", "kp", F.when(seen, F.col("wx") / F.col("w")).otherwise(0.0).alias("x"), F.when(seen, F.col("wy") / F.col("w")).otherwise(0.0).alias("y"), F.when(seen, F.col("v")).otherwise(0.0).alias("vis"))
 
 
 def carry_pose(frames: DataFrame, hold: int = 8) -> DataFrame:
