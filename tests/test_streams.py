@@ -221,6 +221,14 @@ def test_segments_in_small_tasks(spark, small_tasks):
     assert state_partitions(spark, small_tasks) == {stream_queries._files(spark, "/root/testdata/sf0.001")[1]}
 
 
+def test_votes_in_small_tasks(spark, small_tasks):
+    from touchline.plans import stream_queries
+
+    found = stream_queries.QUERIES["x4_stream_votes"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == by_sql("x4_stream_votes")
+    assert state_partitions(spark, small_tasks) == {stream_queries._files(spark, "/root/testdata/sf0.001")[1]}
+
+
 def test_rows_that_come_again(spark, tmp_path, monkeypatch):
     """Repeats, in the trigger or in a later one, count once without a state of their own, and many clips share few buckets of state."""
     from touchline.streaming import ordered
