@@ -179,6 +179,19 @@ def test_jaccard_beyond_broadcast(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(made, 4, 85, 100)
 
 
+def test_jaccard_plans_few_queries(spark):
+    """The driver plans and keeps every query, so there are few: none for a round without pairs, none to look up components again."""
+    made = corpus(2, [(20, 60, 4), (20, 12, 1)])
+    seen = spark._jsparkSession.sharedState().statusStore()
+    before = seen.executionsCount()
+    got = jaccard.near_duplicates(odd(spark, made), 4, 85, 100).collect()
+    after = seen.executionsCount()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(made, 4, 85, 100)
+    planned = [seen.executionsList(before, after - before).apply(k).physicalPlanDescription() for k in range(after - before)]
+    joins = sum(len(re.findall(r"^\(\d+\) (?:SortMergeJoin|BroadcastHashJoin)", p, re.M)) for p in planned)
+    assert after - before <= 42 and joins <= 66, (after - before, joins)
+
+
 def test_subset_sizes_meet():
     for n in range(1, 21):
         for m in range(n, 21):

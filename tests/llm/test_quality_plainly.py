@@ -2,9 +2,11 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from touchline.llm import quality
@@ -128,3 +130,31 @@ def test_features_and_training(texts):
         bias -= 0.5 * sum(slips) / math.sqrt(speed_b)
     fitted = quality.fit_scorer(rows, slots, values, target, weight, rounds=4)
     assert fitted[-1] == pytest.approx(bias) and all(fitted[s] == pytest.approx(v, rel=1e-6, abs=1e-9) for s, v in w.items())
+
+
+def test_the_scorer_is_fitted_in_parts(monkeypatch):
+    """The driver holds little beside the features, and the weights are those of one pass over them all, to the last bit."""
+    rng = np.random.default_rng(3)
+    count = np.concatenate([[0, 500_000, 0], rng.integers(0, 9000, 700), [0]])
+    rows = np.repeat(np.arange(len(count)), count)
+    slots, values = rng.integers(0, quality.SLOTS, len(rows)).astype(np.int32), rng.random(len(rows), np.float32)
+    target, weight = rng.random(len(count)), rng.random(len(count))
+    tracemalloc.start()
+    got = quality.fit_scorer(rows, slots, values, target, weight, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(rows), peak / len(rows)
+    w, speed, part = np.zeros(quality.SLOTS + 1), np.full(quality.SLOTS + 1, 1e-8), weight / weight.sum()
+    for _ in range(3):
+        slip = (1 / (1 + np.exp(-(np.bincount(rows, w[slots] * values, minlength=len(target)) + w[-1]))) - target) * part
+        step = np.append(np.bincount(slots, slip[rows] * values, minlength=quality.SLOTS), slip.sum())
+        step[:-1] += 1e-5 * w[:-1]
+        speed += step * step
+        w -= 0.5 * step / np.sqrt(speed)
+    assert (got == w).all()
+    # the same from Arrow rows in any order and any chunks
+    ends = np.cumsum(count)
+    table = pa.table({"h": np.arange(len(count)) // 2, "g": np.arange(len(count)), "pattern": np.arange(len(count)), "slots": [slots[b - n : b] for n, b in zip(count, ends, strict=True)], "values": [values[b - n : b] for n, b in zip(count, ends, strict=True)]})
+    mixed = table.take(pa.array(rng.permutation(len(count))))
+    monkeypatch.setattr(quality, "_fit", lambda parts, target, weight, fit=quality._fit: fit(parts, target, weight, rounds=3))
+    assert (quality._trained(pa.concat_tables([mixed.slice(k, 100) for k in range(0, len(count), 100)]), dict(enumerate(target.tolist())), weight) == w).all()

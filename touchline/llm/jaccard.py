@@ -179,7 +179,7 @@ def _linked(batches, num: int, den: int):
             both = int((y[spot] == x).sum())
             good.append(den * both >= num * (len(x) + len(y) - both))
         keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("c_a").filter(keep), batch.column("c_b").filter(keep)], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,12 +188,12 @@ def components(links: DataFrame) -> DataFrame:
     Labels go to neighbours and then jump to their own label's label, so rounds grow with the logarithm of
     a component's width; each round is written to the shared folder.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    edges = written(both, "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    ends = F.inline(F.expr("array(named_struct('a', a, 'b', b), named_struct('a', b, 'b', a), named_struct('a', a, 'b', a), named_struct('a', b, 'b', b))"))  # every node is its own neighbour too
+    edges = written(links.select("a", "b").where("a <> b").select(ends).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        closer = labels.join(near.withColumnRenamed("a", "node").hint("merge"), "node").select("node", "component", F.least("component", "near").alias("step"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b")
+        closer = near.groupBy(F.col("a").alias("node")).agg(F.max(F.expr("if(a = b, component, null)")).alias("component"), F.min("component").alias("step"))
         jump = labels.select(F.col("node").alias("step"), F.col("component").alias("jump"))
         moved = closer.join(jump.hint("merge"), "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("component"), F.col("component").alias("old"))
         moved = written(moved, "labels")
@@ -211,13 +211,13 @@ class JaccardJoin:
         self.spark, self.words, self.num, self.den = docs.sparkSession, words, num, den
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_id(docs["text"]).alias("text_id"))
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.stored = None
+        self.stored = self.few = None
         self.bits = max(8, min(24, (4 * self.parts - 1).bit_length()))
 
     def of_classes(self, classes: DataFrame) -> DataFrame:
         """rep, set_key and text of the documents that stand for the classes."""
         wanted = classes.select("doc_id", "rep", "set_key")
-        if classes.count() <= MAX_BROADCAST_ROWS:
+        if self.few or classes.count() <= MAX_BROADCAST_ROWS:
             found = self.docs.join(F.broadcast(wanted), "doc_id")
         else:
             found = self.in_buckets().join(wanted.hint("merge"), "doc_id")
@@ -248,6 +248,7 @@ class JaccardJoin:
         i is the token's place in its set's order, r its place among the tokens that are in such a list.
         """
         words, num, den = self.words, self.num, self.den
+        self.few = classes.count() <= MAX_BROADCAST_ROWS
         texts = self.of_classes(classes)
         frequent = self.frequent(texts)
         post = texts.mapInArrow(lambda it: _postings(it, words, num, den, frequent), "rep long, n int, tokens array<long>")
@@ -295,7 +296,7 @@ class JaccardJoin:
         if labels is None:
             return lists.withColumn("component", F.col("rep"))
         own = labels.select(F.col("node").alias("rep"), "component")
-        return lists.join(own.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        return written(lists.join(own.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled-lists")
 
     def open_lists(self, lists: DataFrame) -> DataFrame:
         """The lists that still hold more than one component, with their pivot: the set with the token nearest its front."""
@@ -303,15 +304,16 @@ class JaccardJoin:
         return heads.where("lo <> hi").select("token", "p", "size")
 
     def star(self, lists: DataFrame) -> DataFrame:
-        """One pair for each set at most: with the pivot that it shares most lists with."""
+        """One pair (a, b and their components c_a, c_b) for each set at most: with the pivot that it shares most lists with."""
         pivot = self.open_lists(lists).alias("h")
         met = lists.alias("x").join(pivot.hint("merge"), F.col("x.token") == F.col("h.token")).select(F.col("x.rep").alias("b"), F.struct("x.n", "x.i", "x.r", "x.component").alias("x"), F.col("h.p").alias("p"))
         met = met.where((F.col("p.component") != F.col("x.component")) & self.possible("x", "p"))
-        counts = met.groupBy("b", F.col("p.rep").alias("a")).agg(F.count("*").alias("lists"))
-        return counts.groupBy("b").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a")).select("a", "b")
+        counts = met.groupBy("b", F.col("x.component").alias("c_b"), F.col("p.rep").alias("a"), F.col("p.component").alias("c_a")).agg(F.count("*").alias("lists"))
+        best = counts.groupBy("b", "c_b").agg(F.max_by(F.struct("a", "c_a"), F.struct("lists", -F.col("a"))).alias("p"))
+        return best.select("p.a", "b", "p.c_a", "c_b")
 
     def rest(self, lists: DataFrame) -> DataFrame:
-        """Every possible pair of sets of different components that share a list; a long list is met part by part.
+        """Every possible pair (as of ``star``) of sets of different components that share a list; a long list is met part by part.
 
         A pair isn't given again at a list where both sets were in one of the other's last LOOK_BACK lists before; at the first list that they
         share there is none, so no pair is left out, and edits of one text aren't given once for each of their many common lists.
@@ -322,14 +324,14 @@ class JaccardJoin:
         x = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).alias("x")
         y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
         pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.possible("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
-        return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.component").alias("c_a"), F.col("y.component").alias("c_b")).distinct()
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar enough, counted exactly."""
+        """The components of the pairs whose sets are similar enough, counted exactly."""
         num, den = self.num, self.den
         with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("set_b")).hint("merge"), "b")
         with_a = with_b.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("set_a")).hint("merge"), "a")
-        return written(with_a.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _linked(it, num, den), "a long, b long"), "links")
+        return written(with_a.select("c_a", "c_b", "set_a", "set_b").mapInArrow(lambda it: _linked(it, num, den), "a long, b long"), "links")
 
     def run(self) -> DataFrame:
         words = self.words
@@ -341,17 +343,21 @@ class JaccardJoin:
         lists = self.lists(classes)
         labels = None
         for pick in (self.star, self.star, self.rest):
-            pairs = written(pick(self.labelled(lists, labels)), "pairs")
+            own = self.labelled(lists, labels)
+            pairs = written(pick(own), "pairs")
+            if labels is not None:
+                release(own)
+                if pairs.isEmpty():
+                    release(pairs)
+                    continue
             members = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            wanted = written(classes.join(members.hint("merge"), "rep", "left_semi"), "members")
+            wanted = classes.join(members.hint("merge"), "rep", "left_semi")
+            wanted = wanted if self.few else written(wanted, "members")
             sets = written(self.of_classes(wanted).mapInArrow(lambda it: _set_rows(it, words), "rep long, elements binary"), "sets")
-            found = self.links(pairs, sets)
-            release(wanted, sets)
-            if labels is not None:  # links join whole components
-                at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")).hint("merge")
-                found = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+            found = self.links(pairs, sets)  # of whole components
+            release(sets, *([] if self.few else [wanted]))
             joined = components(found)
-            release(pairs)
+            release(pairs, found)
             if labels is not None:
                 wider = joined.select(F.col("node").alias("component"), F.col("component").alias("wider"))
                 kept = labels.join(wider.hint("merge"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))

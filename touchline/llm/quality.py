@@ -38,6 +38,8 @@ BINS = 8
 #: Slots of the scorer: for character classes and statistics, then for hashed words and pairs of words.
 CLASSES, WORDS = 1 << 12, 1 << 16
 SLOTS = CLASSES + WORDS
+#: Features of the scorer's sample that the driver computes on at a time, about.
+FEATURES_AT_ONCE = 1 << 18
 
 _CLASS = np.full(256, 1, np.uint64)  # other bytes of letters
 for _c in range(128):
@@ -158,12 +160,39 @@ def features(texts: list[bytes], stats: np.ndarray, hashed: tuple[np.ndarray, np
 
 
 def fit_scorer(rows, slots, values, target: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Weights and bias of a logistic regression on soft targets, by full-batch adaptive gradient steps; a text counts by its weight."""
+    """Weights and bias of a logistic regression on soft targets, by full-batch adaptive gradient steps; a text counts by its weight.
+
+    Features are gone through text by text in parts of about FEATURES_AT_ONCE, so that the driver holds little beside the
+    features themselves; a sum goes on from part to part in the order of the features, so parts don't change it.
+    """
+    if (rows[1:] < rows[:-1]).any():
+        order = np.argsort(rows, kind="stable")
+        rows, slots, values = rows[order], slots[order], values[order]
+    return _fit(list(_feature_parts(np.bincount(rows, minlength=len(target)), slots, values)), target, weight, rounds, rate, decay)
+
+
+def _feature_parts(count: np.ndarray, slots: np.ndarray, values: np.ndarray):
+    """(first text, features of each text, slots, values) of whole texts with about FEATURES_AT_ONCE features together; count: features of each text."""
+    stops = np.cumsum(count)
+    text = at = 0
+    while text < len(count):
+        last = max(text + 1, int(np.searchsorted(stops, at + FEATURES_AT_ONCE, "right")))
+        yield text, count[text:last], slots[at : stops[last - 1]], values[at : stops[last - 1]]
+        text, at = last, stops[last - 1]
+
+
+def _fit(parts: list, target: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     w, speed, part = np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-8), weight / weight.sum()
+    every = np.arange(SLOTS)
     for _ in range(rounds):
-        z = np.bincount(rows, w[slots] * values, minlength=len(target)) + w[-1]
-        slip = (1 / (1 + np.exp(-z)) - target) * part
-        step = np.append(np.bincount(slots, slip[rows] * values, minlength=SLOTS), slip.sum())
+        total, slips = np.zeros(SLOTS), []
+        for text, count, slots, values in parts:
+            own = slice(text, text + len(count))
+            rows = np.repeat(np.arange(len(count)), count)
+            z = np.bincount(rows, w[slots] * values, minlength=len(count)) + w[-1]
+            slips.append((1 / (1 + np.exp(-z)) - target[own]) * part[own])
+            total = np.bincount(np.concatenate([every, slots]), np.concatenate([total, slips[-1][rows] * values]), minlength=SLOTS)
+        step = np.append(total, np.concatenate(slips).sum())
         step[:-1] += decay * w[:-1]
         speed += step * step
         w -= rate * step / np.sqrt(speed)
@@ -236,6 +265,22 @@ def _featured(batches):
             )
 
 
+def _trained(rows: pa.Table, good: dict[int, float], weight: np.ndarray) -> np.ndarray:
+    """The scorer's weights from the drawn texts' features (h, g, pattern, slots, values), taken in the order of h and g.
+
+    Slots and values keep their 4 bytes; only a part at a time is widened.
+    """
+    order = pa.compute.sort_indices(rows.select(["h", "g"]), [("h", "ascending"), ("g", "ascending")])
+    target = np.array([good[p] for p in rows.column("pattern").take(order).to_pylist()])
+    count = pa.compute.list_value_length(rows.column("slots")).take(order).to_numpy().astype(np.int64)
+    cut = [0, *(text + len(own) for text, own, _, _ in _feature_parts(count, count[:0], count[:0]))]
+    parts = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = rows.select(["slots", "values"]).take(order.slice(a, b - a))
+        parts.append((a, count[a:b], *(np.concatenate([c.flatten().to_numpy() for c in own.column(name).chunks]) for name in ("slots", "values"))))
+    return _fit(parts, target, weight)
+
+
 def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000) -> DataFrame:
     """All columns of ``docs`` with quality_score (probability of good) and keep.
 
@@ -264,11 +309,10 @@ def score_quality(docs: DataFrame, threshold: float = 0.2, max_train: int = 4000
         picked = docs.sparkSession.createDataFrame([d[:2] for d in drawn], "h long, g long")
         sample = keys.join(F.broadcast(picked), ["h", "g"], "left_semi").select("text", "h", "g")
         sample = sample.mapInArrow(_once, "text string, h long, g long").dropDuplicates(["h", "g"])
-        rows = sample.mapInArrow(_featured, "h long, g long, pattern long, slots array<int>, values array<float>").toArrow().sort_by([("h", "ascending"), ("g", "ascending")])
-        column = lambda name: rows.column(name).combine_chunks()
-        n = np.repeat(np.arange(rows.num_rows), pa.compute.list_value_length(column("slots")).to_numpy())
-        slots, values = (column(name).flatten().to_numpy() for name in ("slots", "values"))
-        weights = fit_scorer(n, slots.astype(np.int64), values.astype(float), np.array([good[p] for p in column("pattern").to_pylist()]), np.array([d[2] for d in drawn]))
+        rows = sample.mapInArrow(_featured, "h long, g long, pattern long, slots array<int>, values array<float>").toArrow()
+        weights = _trained(rows, good, np.array([d[2] for d in drawn]))
+        del rows
+        pa.default_memory_pool().release_unused()
 
     def judge(batches):
         for batch in sliced(batches):
