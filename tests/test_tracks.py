@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,42 @@ def test_linker_doesnt_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_linking_a_crowd(monkeypatch):
+    """A crowded frame is dealt as by all pairs, best score first, but pairs are met in proportion to the boxes."""
+    met, scores = [], linking.scores
+
+    def counted(a, b, gate2):
+        met.append(len(a))
+        return scores(a, b, gate2)
+
+    monkeypatch.setattr(linking, "scores", counted)
+    rng, gate2 = np.random.default_rng(3), linking.gate_of(1920.0, 1080.0)
+    at = lambda x, y, h: np.stack([x - 0.2 * h, y - 0.5 * h, x + 0.2 * h, y + 0.5 * h], 1)
+
+    def crowd(n, kind):
+        h = rng.choice([40.0, 60.0, 90.0], n)
+        if kind == "grid":  # many equal scores
+            return at(rng.integers(0, 60, n) * 3.0, rng.integers(0, 30, n) * 4.0, h)
+        return at(rng.normal(800, 40, n), rng.normal(500, 40, n), h) if kind == "heap" else at(rng.uniform(200, 1600, n), rng.uniform(300, 900, n), h)
+
+    for kind in ("grid", "heap", "field"):
+        old = crowd(700, kind)
+        new = np.concatenate([old[:500] + rng.integers(-4, 5, (500, 1)), crowd(200, kind)])
+        old[3], new[5, 2] = np.nan, np.inf
+        i, j = (x.ravel() for x in np.meshgrid(np.delete(np.arange(700), 3), np.delete(np.arange(700), 5), indexing="ij"))
+        score, allowed = scores(old[i], new[j], gate2)
+        want, used = np.full(700, -1), set()
+        for _, a, b in sorted(zip(score[allowed], i[allowed], j[allowed], strict=True), reverse=True):
+            if a not in used and want[b] < 0:
+                want[b] = a
+                used.add(a)
+        assert (linking.best_first(old, new, gate2) == want).all() and len(used) > 400
+    met.clear()
+    old = crowd(8000, "field")
+    found = linking.best_first(old, old + rng.uniform(-4, 4, (8000, 1)), gate2)
+    assert (found >= 0).mean() > 0.9 and sum(met) < 60 * 8000
+
+
 def test_moments_merge(spark):
     rows = spark.createDataFrame([(k % 7, float(k * k % 31)) for k in range(100)], "part long, v double")
     whole = aggregates.moments(rows, [], F.col("v")).first()

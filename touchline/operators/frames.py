@@ -53,9 +53,14 @@ class Bands:
             at = stop
 
 
+def half_sizes(boxes: np.ndarray) -> tuple[float, float]:
+    """Half of the largest width and height."""
+    return float(np.abs(boxes[:, 2] - boxes[:, 0]).max()) / 2, float(np.abs(boxes[:, 3] - boxes[:, 1]).max()) / 2
+
+
 def box_bands(boxes: np.ndarray, reach: float = 0.0) -> tuple[Bands, float, float]:
     """Bands of boxes' centres, and half of the largest width and height."""
-    w, h = float(np.abs(boxes[:, 2] - boxes[:, 0]).max()) / 2, float(np.abs(boxes[:, 3] - boxes[:, 1]).max()) / 2
+    w, h = half_sizes(boxes)
     return Bands(*centres(boxes), max(reach, 2 * h)), w, h
 
 

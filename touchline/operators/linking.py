@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import box_bands, centres
+from .frames import Bands, box_bands, centres, half_sizes
 
 #: Pairs that are dealt before those are left out that have lost their tracklet or box.
 STEP = 2048
+#: Pairs of boxes up to which a frame is met at once, and the boxes that one meets first in a more crowded frame, about.
+CROWD, FEW = 1 << 14, 8
+#: Pairs at once, above which a crowded frame's first reach is made smaller.
+MANY = 1 << 23
 
 
 def gate_of(width: float, height: float) -> float:
@@ -30,20 +34,79 @@ def scores(a: np.ndarray, b: np.ndarray, gate2: float) -> tuple[np.ndarray, np.n
     return overlap + 1.0 / (1.0 + d2 / (gate2 + 1.0)), (overlap >= 0.20) | (d2 <= gate2)
 
 
-def pairs(old: np.ndarray, new: np.ndarray, gate2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(old, new, score) of all pairs that are over one another or near; only boxes whose centres are near enough for that are compared."""
+def pairs(old: np.ndarray, new: np.ndarray, gate2: float, reach: float = np.inf, above: float = -np.inf, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(old, new, score) of all pairs that are over one another or near and score more than ``above``; only boxes whose centres are near enough for that are compared.
+
+    Told a ``reach``, only pairs whose centres are that near in x and in y are sure to be among them; None where more than ``most`` are compared.
+    """
     at, to = np.flatnonzero(np.isfinite(old).all(axis=1)), np.flatnonzero(np.isfinite(new).all(axis=1))
     if not len(at) or not len(to):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    a, b, gate, found = old[at], new[to], gate2**0.5, []
-    bands, w, h = box_bands(b, gate)
-    reach = [np.maximum(gate, np.abs(a[:, k + 2] - a[:, k]) / 2 + half) * (1 + 1e-9) + 1e-6 for k, half in ((0, w), (1, h))]
-    for q, p in bands.near(*centres(a), *reach):
+    a, b, gate, found, seen = old[at], new[to], gate2**0.5, [], 0
+    bands, w, h = (Bands(*centres(b), reach), *half_sizes(b)) if reach < np.inf else box_bands(b, gate)
+    far = [np.minimum(np.maximum(gate, np.abs(a[:, k + 2] - a[:, k]) / 2 + half) * (1 + 1e-9) + 1e-6, reach) for k, half in ((0, w), (1, h))]
+    for q, p in bands.near(*centres(a), *far):
+        seen += len(q)
+        if seen > most:
+            return None
         score, allowed = scores(a[q], b[p], gate2)
+        allowed &= score > above
         found.append((at[q[allowed]], to[p[allowed]], score[allowed]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def farthest(old: np.ndarray, new: np.ndarray, gate2: float) -> float:
+    """Beyond this in x or in y no pair is over one another or near."""
+    return max(gate2**0.5, *(a + b for a, b in zip(half_sizes(old), half_sizes(new), strict=True))) * (1 + 1e-9) + 1e-6
+
+
+def most_beyond(reach: float, old: np.ndarray, new: np.ndarray, gate2: float) -> float:
+    """No pair whose centres are farther apart than ``reach`` in x or in y scores more.
+
+    Intervals of lengths u and v that are apart by r have at most (u + v) / 2 - r in common, of at least (u + v) / 2 + r, and boxes overlap by no larger share
+    than their sides.
+    """
+    side = max(a + b for a, b in zip(half_sizes(old), half_sizes(new), strict=True))
+    return max(side - reach, 0.0) / (side + reach) + 1.0 / (1.0 + reach * reach / (gate2 + 1.0)) + 1e-9
+
+
+def best_first(old: np.ndarray, new: np.ndarray, gate2: float) -> np.ndarray:
+    """For each new box the old one it goes to, or -1: best score first, each old and each new box once; of equal scores the later old, then the later new one.
+
+    In a crowded frame not all pairs near enough are met. Pairs up to a small reach are, and those that score more than any pair beyond it can are
+    dealt; the boxes left over meet again at twice the reach. So the work grows with the boxes, not with the pairs.
+    """
+    given = np.full(len(new), -1, np.int64)
+    at, to = np.flatnonzero(np.isfinite(old).all(axis=1)), np.flatnonzero(np.isfinite(new).all(axis=1))
+    reach = most = None
+    while len(at) and len(to):
+        a, b = old[at], new[to]
+        if most is None:
+            (x, y), most = centres(b), farthest(a, b, gate2)
+            reach, first = max((FEW * (float(np.ptp(x)) + 1e-3) * (float(np.ptp(y)) + 1e-3) / 6 / len(b)) ** 0.5, 1e-3), True
+        last = 2 * reach >= most or len(a) * len(b) <= CROWD
+        found = pairs(a, b, gate2) if last else pairs(a, b, gate2, reach, most_beyond(reach, a, b, gate2), MANY if first and reach > 1e-3 else np.inf)
+        if found is None:  # boxes stand closer than their mean
+            reach /= 4
+            continue
+        first, (k, p, score) = False, found
+        order = np.lexsort((p, k, score))[::-1]
+        k, p = k[order], p[order]
+        used, taken = np.zeros(len(at), bool), np.zeros(len(to), bool)
+        while len(k):
+            for i, j in zip(k[:STEP].tolist(), p[:STEP].tolist(), strict=True):
+                if not used[i] and not taken[j]:
+                    used[i] = taken[j] = True
+                    given[to[j]] = at[i]
+            k, p = k[STEP:], p[STEP:]
+            left = ~used[k] & ~taken[p]
+            k, p = k[left], p[left]
+        if last:
+            break
+        at, to, reach = at[~used], to[~taken], 2 * reach
+    return given
+
+
 class Linker:
     """Open tracklets of one stretch of a clip, oldest first: their numbers, last frames and last boxes."""
 
@@ -66,17 +129,7 @@ class Linker:
         """The tracklet of each of a frame's boxes: best score first, each tracklet and each box once."""
         stay = frame - self.last <= self.gap
         self.local, self.last, self.boxes = self.local[stay], self.last[stay], self.boxes[stay]
-        k, b, score = pairs(self.boxes, boxes, self.gate2)
-        order = np.lexsort((b, k, score))[::-1]  # of equal scores the later tracklet, then the later box
-        given, used = np.full(len(boxes), -1, np.int64), np.zeros(len(self.local), bool)
-        k, b = k[order], b[order]
-        while len(k):
-            for i, j in zip(k[:STEP].tolist(), b[:STEP].tolist(), strict=True):
-                if not used[i] and given[j] < 0:
-                    used[i], given[j] = True, i
-            k, b = k[STEP:], b[STEP:]
-            left = ~used[k] & (given[b] < 0)
-            k, b = k[left], b[left]
+        given = best_first(self.boxes, boxes, self.gate2)
         old, new = given >= 0, given < 0
         self.last[given[old]], self.boxes[given[old]] = frame, boxes[old]
         out = np.empty(len(boxes), np.int64)
