@@ -70,6 +70,77 @@ def test_linking(spark, tmp_path, seed):
     assert left(spark, folder, "waiting", "open", "early", "last") == {"waiting": 0, "open": 0, "early": 0, "last": 0}
 
 
+def test_linking_again(spark, tmp_path):
+    """Boxes that come again, in the trigger or in a later one, count once."""
+    rows, folder = boxes(), str(tmp_path / "twice")
+    fed(spark, folder, rows + rows[::3], 5)
+    stream = live.stream_detections(spark, folder, BOX, late="4 seconds", per_trigger=1, distinct=False)
+    stream = stream.where(F.when(F.col("frame_ts").isNotNull(), F.col("match_id")).isNotNull())
+    found = run(spark, live.stream_link_tracklets(stream, 1920.0, 1080.0, once=True), folder)
+    batch = linking.link_tracklets(spark.createDataFrame(rows, BOX), 1920.0, 1080.0)
+    assert sorted(map(tuple, found.groupBy("clip_id", "start", "start_ord").count().select("clip_id", "count").collect())) == sorted(map(tuple, batch.groupBy("clip_id", "stretch", "local").count().select("clip_id", "count").collect()))
+    assert left(spark, folder, "waiting", "open", "early", "last", "packs") == {"waiting": 0, "open": 0, "early": 0, "last": 0, "packs": 0}
+
+
+class Kept(dict):
+    """A state variable of a handle that keeps it in memory."""
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def getValue(self, key):
+        return super().get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Handle:
+    def __init__(self):
+        self.kept = {}
+
+    def getValueState(self, name, schema):
+        return self.kept.setdefault(name, Kept())
+
+    def getMapState(self, name, key, schema):
+        return self.kept.setdefault(name, Kept())
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+def test_linking_holds_one_block():
+    """A clip's waiting rows are kept and taken in blocks of a quarter of a second, however many of them wait."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    taken = []
+
+    class Link(live._Link):
+        once = False
+
+        def block(self, rows, held):
+            taken.append(len(rows))
+            return super().block(rows, held)
+
+    link, handle, key = Link(linking.gate_of(1920.0, 1080.0), 8, 8, live.MINUTE), Handle(), (0, 0)
+    link.init(handle)
+    rows = pd.DataFrame([(r[3] * 1000 // 30, *r[3:9]) for r in boxes() if r[1] == 0], columns=["ms", "frame", "ord", "x1", "y1", "x2", "y2"]).sample(frac=1.0, random_state=1)
+    list(link.handleInputRows(key, iter([rows[:500], rows[500:]]), None))
+    assert max(len(v[0]) for v in handle.kept["waiting"].values()) < 6000
+    told = [list(link.handleExpiredTimer(key, SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None)) for now in (4017, 9_000_000)]
+    assert sum(taken) == len(rows) and max(taken) <= 8 * 6 and not any(handle.kept.values())
+    assert told[0] and max(t["frame"].max() for t in told[0]) == 120
+    assert len({(r.frame, r.ord) for t in sum(told, []) for r in t.itertuples()}) == sum(len(t) for t in sum(told, [])) > 1000
+
+
 def replay(rows):
     """The jump gate as plainly as can be."""
     out, good = {}, {}

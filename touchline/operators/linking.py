@@ -114,16 +114,9 @@ class Linker:
         self.gap, self.gate2, self.made = gap, gate2, 0
         self.local, self.last, self.boxes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4))
 
-    def resume(self, standing: list[tuple]) -> None:
-        """Goes on from open tracklets (number, last frame, box); new ones are numbered after them."""
-        if standing:
-            self.local, self.last = (np.array([s[k] for s in standing], np.int64) for k in (0, 1))
-            self.boxes = np.array([[np.nan if v is None else v for v in s[2]] for s in standing], float)
-            self.made = int(self.local.max()) + 1
-
-    def standing(self) -> list[tuple]:
-        boxes = [[None if v != v else v for v in box] for box in self.boxes.tolist()]
-        return list(zip(self.local.tolist(), self.last.tolist(), boxes, strict=True))
+    def resume(self, last: np.ndarray, boxes: np.ndarray) -> None:
+        """Goes on from open tracklets, oldest first, which are numbered from 0; new ones are numbered after them."""
+        self.local, self.last, self.boxes, self.made = np.arange(len(last)), last, boxes, len(last)
 
     def frame(self, frame: int, boxes: np.ndarray) -> np.ndarray:
         """The tracklet of each of a frame's boxes: best score first, each tracklet and each box once."""

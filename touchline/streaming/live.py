@@ -6,16 +6,19 @@ depend on how rows are dealt to triggers. ``idle`` bounds the state of keys that
 
 from __future__ import annotations
 
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.linking import Linker, gate_of
-from .ordered import InOrder, in_order
+from .ordered import InBlocks, InOrder, in_order
 
 TRACK = ["match_id", "clip_id", "obj_id"]
+SIDES = ["x1", "y1", "x2", "y2"]
 MINUTE, HOUR = 60_000, 3_600_000
 # Fixed values of the jump gate: travel in box heights a frame, the least height, frames that a far place has to persist,
 # and the gap after which any place is taken.
@@ -34,49 +37,62 @@ def stream_detections(spark: SparkSession, path: str, schema: str, keys=("match_
     return rows.dropDuplicatesWithinWatermark(list(keys)) if distinct else rows
 
 
-class _Link(InOrder):
-    dealt = False
+class _Link(InBlocks):
     key, row = ["match_id", "clip_id"], "frame long, ord long, x1 double, y1 double, x2 double, y2 double"
     out = "frame long, ord long, start long, start_ord long"
-    kept = {"open": "start long, start_ord long, last long, x1 double, y1 double, x2 double, y2 double, n long", "early": "start long, start_ord long, frame long, ord long"}
+    kept = {"open": "open tracklets, oldest first", "early": "boxes of those that aren't long enough yet"}
 
     def __init__(self, gate2: float, gap: int, min_len: int, idle: int):
         super().__init__(idle)
         self.gate2, self.gap, self.min_len = gate2, gap, min_len
 
-    def step(self, key, rows, state):
-        linker, out = Linker(self.gap, self.gate2), []
-        started = {k: r[:2] for k, r in enumerate(state["open"])}
-        sizes = {r[:2]: r[7] for r in state["open"]}
-        early: dict[tuple, list] = {}
-        for start, start_ord, frame, place in state["early"]:
-            early.setdefault((start, start_ord), []).append((frame, place))
-        linker.resume([(k, r[2], r[3:7]) for k, r in enumerate(state["open"])])
-        for frame, own in groupby(rows, key=lambda r: r[1]):
-            own = list(own)
-            boxes = np.array([[np.nan if v is None else v for v in r[3:7]] for r in own], float)
-            for r, local in zip(own, linker.frame(frame, boxes).tolist(), strict=True):
-                name = started.setdefault(local, (frame, r[2]))
-                sizes[name] = sizes.get(name, 0) + 1
-                if sizes[name] < self.min_len:
-                    early.setdefault(name, []).append((frame, r[2]))
-                else:
-                    out += [(f, o, *name) for f, o in [*early.pop(name, []), (frame, r[2])]]
-        state["open"] = [(*started[k], last, *box, sizes[started[k]]) for k, last, box in linker.standing()]
-        alive = {r[:2] for r in state["open"]}
-        state["early"] = [(*name, f, o) for name, held in early.items() if name in alive for f, o in held]
-        return out
-
-
-def stream_link_tracklets(detections: DataFrame, width: float, height: float, gap: int = 8, min_len: int = 8, idle: int = MINUTE) -> DataFrame:
+    def load(self, tables):
+        """The linker, and each open tracklet's first box and length; tracklet, frame and ord of boxes that aren't given out yet."""
+        linker, nothing = Linker(self.gap, self.gate2), np.zeros(0, np.int64)
+        read = lambda table, *names: [table.column(c).to_numpy() if table is not None else nothing for c in names]
+        if tables["open"] is not None:
+            linker.resume(*read(tables["open"], "last"), np.stack(read(tables["open"], *SIDES), axis=1))
+        return {"linker": linker, "open": read(tables["open"], "start", "start_ord", "n"), "early": read(tables["early"], "local", "frame", "ord")}
+
+    def block(self, rows, held):
+        linker, (start, start_ord, size), early = held["linker"], held["open"], held["early"]
+        frame, ord_ = (rows.column(c).to_numpy() for c in ("frame", "ord"))
+        boxes = np.stack([rows.column(c).to_numpy() for c in SIDES], axis=1)
+        order = np.lexsort((ord_, frame))
+        if self.once:
+            order = order[np.flatnonzero((np.diff(frame[order], prepend=frame[order[0]] - 1) != 0) | (np.diff(ord_[order], prepend=ord_[order[0]] - 1) != 0))]
+        frame, ord_, boxes = frame[order], ord_[order], boxes[order]
+        names, made, found = linker.local, linker.made, []
+        for a, b in pairwise([*np.flatnonzero(np.diff(frame, prepend=frame[0] - 1)), len(frame)]):
+            found.append(linker.frame(int(frame[a]), boxes[a:b]))
+        local = np.concatenate(found)
+        _, first = np.unique(local[local >= made], return_index=True)
+        first = np.flatnonzero(local >= made)[first]
+        names, start, start_ord = (np.concatenate(x) for x in ((names, local[first]), (start, frame[first]), (start_ord, ord_[first])))
+        early = [np.concatenate(x) for x in zip(early, (local, frame, ord_), strict=True)]
+        size = np.concatenate([size, np.zeros(len(first), np.int64)]) + np.bincount(np.searchsorted(names, local), minlength=len(names))
+        at = np.searchsorted(names, early[0])
+        long, alive = size[at] >= self.min_len, np.isin(early[0], linker.local)
+        stay = np.searchsorted(names, linker.local)
+        held["open"], held["early"] = [start[stay], start_ord[stay], size[stay]], [x[~long & alive] for x in early]
+        return pd.DataFrame({"frame": early[1][long], "ord": early[2][long], "start": start[at[long]], "start_ord": start_ord[at[long]]})
+
+    def save(self, held):
+        linker, (local, frame, ord_) = held["linker"], held["early"]
+        own = dict(zip(("start", "start_ord", "n"), held["open"], strict=True)) | {"last": linker.last} | dict(zip(SIDES, linker.boxes.T, strict=True))
+        early = {"local": np.searchsorted(linker.local, local), "frame": frame, "ord": ord_}
+        return {"open": pa.table({k: pa.array(v) for k, v in own.items()}), "early": pa.table({k: pa.array(v) for k, v in early.items()})}
+
+
+def stream_link_tracklets(detections: DataFrame, width: float, height: float, gap: int = 8, min_len: int = 8, idle: int = MINUTE, once: bool = False) -> DataFrame:
     """match_id, clip_id, frame, ord and the tracklet (start, start_ord: its first box) of every box, as ``link_tracklets`` has it.
 
-    A frame is linked when the watermark has passed it. State of a clip: rows that wait, open tracklets (closed ``gap`` frames
-    after their last box), and the boxes of tracklets that aren't ``min_len`` long yet; these are given out when they are, and
-    dropped with tracklets that close before. Detections: match_id, clip_id, frame, ord, x1..y2, frame_ts; idle in
-    milliseconds, at least ``gap`` frames.
+    A frame is linked when the watermark has passed it. State of a clip: rows that wait, by blocks of time, one of which is held at once, open
+    tracklets (closed ``gap`` frames after their last box), and the boxes of tracklets that aren't ``min_len`` long yet; these are given out when they
+    are, and dropped with tracklets that close before. Detections: match_id, clip_id, frame, ord, x1..y2, frame_ts; idle in
+    milliseconds, at least ``gap`` frames. ``once``: of rows of one frame and ord only the first that came counts.
     """
-    return in_order(detections, _Link(gate_of(width, height), gap, min_len, idle))
+    return in_order(detections, _Link(gate_of(width, height), gap, min_len, idle), once)
 
 
 def gate_steps(rows: list[tuple], gate: tuple | None) -> tuple[list[tuple], tuple | None]:

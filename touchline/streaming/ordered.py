@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +18,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 BUCKETS = 512
 #: Waiting rows of one value of the store, about.
 PACK_ROWS = 100_000
+#: Time that waiting rows are kept together for, where they are kept by blocks.
+BLOCK_MS = 250
 KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
@@ -165,9 +170,109 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class InBlocks(InOrder):
+    """As ``InOrder``, for keys with too many rows to be held at once: waiting rows are kept by blocks of time, and blocks are taken one after another.
+
+    ``load`` makes of the kept tables (None where there is none) what ``block`` works on, which gets a block's rows that no row still to come can
+    precede and gives a table; ``save`` gives the tables to keep. Memory holds one block, the kept tables and a pack of rows that come in.
+    """
+
+    dealt = False
+
+    def load(self, tables: dict[str, pa.Table | None]):
+        raise NotImplementedError
+
+    def block(self, rows: pa.Table, held) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def save(self, held) -> dict[str, pa.Table]:
+        raise NotImplementedError
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.schema = pa.schema([("ms", pa.int64()), *[(name, KINDS[kind]) for name, kind in (c.split() for c in self.row.split(", "))]])
+        self.waiting = handle.getMapState("waiting", "block long, pack long", "rows binary")
+        self.packs, self.last = handle.getValueState("packs", "n long"), handle.getValueState("last", "ms long")
+        self.tables = {name: handle.getValueState(name, "rows binary") for name in self.kept}
+        self.done: dict[tuple, int] = {}
+
+    def handleInputRows(self, key, rows, timerValues):
+        pack, first, held, n = (self.packs.get() or (0,))[0], None, [], 0
+
+        def wait():
+            nonlocal pack, first, held, n
+            table = pa.Table.from_batches(held)
+            block = table.column("ms").to_numpy() // BLOCK_MS
+            order = np.argsort(block, kind="stable")
+            table, block = table.take(order), block[order]
+            for a, b in itertools.pairwise([*np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block)]):
+                self.waiting.updateValue((int(block[a]), pack), (_packed(table.slice(a, b - a).combine_chunks()),))
+            least = pc.min(table.column("ms")).as_py()
+            pack, first, held, n = pack + 1, least if first is None else min(first, least), [], 0
+
+        for pdf in rows:
+            held.append(pa.RecordBatch.from_pandas(pdf[self.schema.names], self.schema, preserve_index=False))
+            n += len(pdf)
+            if n >= PACK_ROWS:
+                wait()
+        if held:
+            wait()
+        self.packs.update((pack,))
+        self.done.pop(tuple(key), None)
+        self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.done.get(tuple(key)) == now:  # another of the key's timers, and nothing has come since
+            return
+        self.done[tuple(key)] = now
+        blocks, rest = _by_key(self.waiting.keys(), 1), None
+        last = (self.last.get() or (None,))[0]
+        had = {name: own.get() for name, own in self.tables.items()}
+        held = self.load({name: _unpacked(value[0]) if value else None for name, value in had.items()})
+        for (at,), packs in sorted(blocks.items()):
+            if at * BLOCK_MS > now:
+                rest = at * BLOCK_MS
+                break
+            keys = [(at, pack) for (pack,) in sorted(packs)]
+            table = pa.concat_tables([_unpacked(self.waiting.getValue(k)[0]) for k in keys])
+            early = pc.less_equal(table.column("ms"), now)
+            taken, left = table.filter(early), table.filter(pc.invert(early)).combine_chunks()
+            if len(taken):
+                for k in keys:
+                    self.waiting.removeKey(k)
+                if len(left):
+                    self.waiting.updateValue(keys[0], (_packed(left),))
+                most = pc.max(taken.column("ms")).as_py()
+                last = most if last is None else max(last, most)
+                out = self.block(taken, held)
+                if len(out):
+                    for place, (name, value) in enumerate(zip(self.key, key, strict=True)):
+                        out.insert(place, name, value)
+                    yield out
+            if len(left):
+                rest = pc.min(left.column("ms")).as_py()
+                break
+        if rest is None:
+            self.packs.clear()
+        if rest is None and last is not None and last + self.idle <= now:
+            for own in (self.last, *self.tables.values()):
+                own.clear()
+            return
+        for name, table in self.save(held).items():
+            if len(table):
+                self.tables[name].update((_packed(table),))
+            elif had[name]:
+                self.tables[name].clear()
+        if last is not None:
+            self.last.update((last,))
+        self.handle.registerTimer(rest if rest is not None else last + self.idle)
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
