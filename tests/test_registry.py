@@ -211,6 +211,49 @@ def test_candidates_against_the_whole_roster(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def test_looks_are_those_of_all_players():
+    """Counting players by their looks finds whom a search among all finds, at the margin's edges and with looks that are null, zero or no numbers."""
+    import random
+
+    import pyarrow as pa
+
+    from touchline.operators import looks
+
+    rng = random.Random(5)
+    nan = float("nan")
+    look = lambda: rng.choice([[1.0, 2.0], [2.0, 4.0], [2.0, 1.0], [0.0, 0.0], [None, 1.0], [nan, 1.0], [3.0], [rng.random(), rng.random()]])
+    height = lambda: rng.choice([float(rng.randrange(0, 30)), rng.uniform(0, 30), rng.randrange(0, 300) / 10])
+    players = [(f"p{k}", height(), look()) for k in range(60)] + [("x", nan, [1.0, 2.0])]
+    asked = [(height(), rng.choice([0.0, 1.0, 2.5]), look()) for _ in range(400)]
+
+    def apart(p, q):
+        if len(p) != len(q) or None in p or None in q:
+            return None
+        dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+        norm = math.sqrt(dot(p, p)) * math.sqrt(dot(q, q))
+        return None if norm <= 0 else math.inf if norm != norm else 1.0 - dot(p, q) / norm
+
+    want = {}
+    for k, (at, d, own) in enumerate(asked):
+        told = sorted((apart(own, f), i) for i, r, f in players if abs(at - r) - d < 3.0 and apart(own, f) is not None)
+        if len(told) >= 2 and not told[1][0] - told[0][0] < 0.05:
+            want[k] = told[0][1]
+    table = lambda rows, *names: pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    found, near = looks.most_alike(table(asked, "at", "d", "fingerprint"), table(players, "player_id", "resid", "fingerprint"), 3.0, 0.05)
+    assert {int(k): players[i][0] for k, i in zip(found, near, strict=True)} == want and 20 < len(want) < 380
+
+
+def test_profiles_meet_looks_not_players(spark):
+    """Where many players of few looks are of one height, a profile isn't joined to each of them."""
+    n = 3000
+    players = spark.range(n).selectExpr("'t' AS team", "concat('p', id) AS player_id", "CAST(NULL AS INT) AS number", "id % 400 / 100e0 AS resid", "array(id % 7 + 1e0, 2e0) AS fingerprint", "CAST(NULL AS ARRAY<INT>) AS history")
+    profiles = spark.range(n).selectExpr("'t' AS team", "0L AS match_id", "id AS key", "CAST(NULL AS INT) AS number", "id % 397 / 100e0 AS resid", "array(id % 5 + 1e0, 2e0) AS fingerprint")
+    out = store.link_candidates(profiles, players)
+    assert {(r.player_id, r.how) for r in out.collect()} == {(None, "new")} and out.count() == n
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan  # looks were compared for each pair of a joined row
+
+
 def test_profiles_are_linked_without_going_through_the_team():
     class Players(dict):
         times = 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import cosine_distance
+from .looks import most_alike
 from .roster import HEIGHT_LINK, HEIGHT_MARGIN, LOOKS_MARGIN, PLAYERS, WINDOW, WORN, _typed, columns, fold
 
 
@@ -61,19 +62,26 @@ def _by_height(profiles: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def _by_looks(open_: DataFrame, profiles: DataFrame, players: DataFrame) -> DataFrame:
-    """Of the players whose heights tie for a profile the one that looks like it, if it does so more than the next one."""
+    """Of the players whose heights tie for a profile the one that looks like it, if it does so more than the next one.
+
+    Profiles and the players within their reach meet by cells of height of a team, where players of one look are counted at once (``looks.most_alike``).
+    """
     keys = ["team", "match_id", "key"]
-    bin_ = lambda c: F.floor(c / HEIGHT_MARGIN)
-    asked = open_.join(profiles.where("fingerprint is not null").select(*keys, "fingerprint"), keys)
-    reach = F.col("d") + HEIGHT_MARGIN + 1e-6
-    asked = asked.withColumn("bin", F.explode(F.sequence(bin_(F.col("at") - reach), bin_(F.col("at") + reach))))
-    seen = players.where("fingerprint is not null").select("team", "player_id", "resid", F.col("fingerprint").alias("f2"), bin_(F.col("resid")).alias("bin"))
-    looks = cosine_distance(F.col("fingerprint"), F.col("f2"))
-    met = asked.join(seen.hint("merge"), ["team", "bin"]).where(F.abs(F.col("at") - F.col("resid")) - F.col("d") < HEIGHT_MARGIN)
-    told = met.select(*keys, looks.alias("looks"), "player_id").where("looks is not null")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("looks", "player_id"))
-    two = told.withColumn("_k", place).where("_k <= 2").groupBy(*keys).agg(F.min("looks").alias("one"), F.max("looks").alias("two"), F.count("*").alias("n"), F.min_by("player_id", "_k").alias("near"))
-    return two.where((F.col("n") == 2) & (F.col("two") - F.col("one") >= LOOKS_MARGIN)).select(*keys, F.lit("height+fp").alias("by"), "near")
+    cell, reach = lambda c: F.floor(c / (2 * HEIGHT_MARGIN)), HEIGHT_LINK + HEIGHT_MARGIN + 1e-6
+    asked = open_.join(profiles.where("fingerprint is not null").select(*keys, "fingerprint"), keys).withColumn("cell", cell(F.col("at")))
+    asked = asked.select(*keys, "cell", "at", "d", F.col("fingerprint").cast("array<double>").alias("fingerprint"))
+    seen = players.where("fingerprint is not null and team is not null").withColumn("cell", F.explode(F.sequence(cell(F.col("resid") - reach), cell(F.col("resid") + reach))))
+    seen = seen.select("team", "cell", "player_id", "resid", F.col("fingerprint").cast("array<double>").alias("fingerprint"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *seen.schema.fields]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", by string, near {kinds['player_id']}"
+
+    def alike(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.slice(0, 0).select(keys).append_column("by", pa.array([], pa.string())).append_column("near", right.column("player_id").slice(0, 0))
+        found, near = most_alike(left, right, HEIGHT_MARGIN, LOOKS_MARGIN)
+        return left.select(keys).take(found).append_column("by", pa.array(["height+fp"] * len(found), pa.string())).append_column("near", right.column("player_id").take(near))
+
+    return asked.groupBy("team", "cell").cogroup(seen.groupBy("team", "cell")).applyInArrow(alike, schema)
 
 
 def _link_unclaimed(profiles: DataFrame, players: DataFrame, claimed: DataFrame) -> DataFrame:
