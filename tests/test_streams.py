@@ -284,6 +284,24 @@ def test_detections_in_small_tasks(spark, small_tasks):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
+def test_detections_keep_no_rows_on_the_heap(spark, small_tasks):
+    """What tells boxes that come again is kept in RocksDB, in memory that all partitions share, whatever the session had."""
+    from pathlib import Path
+
+    from touchline.plans import stream_queries
+    from touchline.streaming import ordered
+
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.unset(ordered.BOUNDED)
+    found = stream_queries.QUERIES["x1_stream_detections"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == by_sql("x1_stream_detections")
+    state = Path(small_tasks[-1]) / "state"
+    assert list(state.rglob("*.zip")) and not list(state.rglob("*.delta"))
+    assert spark.conf.get(ordered.BOUNDED) == "true"
+    written = spark.read.parquet(small_tasks[-2]).columns
+    assert sorted(written) == ["clip_id", "frame", "frame_ts", "match_id", "obj_id"]
+
+
 def test_segments_in_small_tasks(spark, small_tasks):
     from touchline.plans import stream_queries
 

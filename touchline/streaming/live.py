@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.linking import Linker, gate_of
-from .ordered import InBlocks, InOrder, in_order
+from .ordered import InBlocks, InOrder, in_order, on_disk
 
 TRACK = ["match_id", "clip_id", "obj_id"]
 SIDES = ["x1", "y1", "x2", "y2"]
@@ -28,13 +28,16 @@ ANCHORS = ("manual",)
 
 
 def stream_detections(spark: SparkSession, path: str, schema: str, keys=("match_id", "clip_id", "frame", "obj_id"), late: str = "10 seconds", per_trigger: int = 100, distinct: bool = True) -> DataFrame:
-    """A file stream of boxes with a watermark on frame_ts, each box once.
+    """A file stream of boxes with a watermark on frame_ts, each box once. What tells boxes that come again is kept in RocksDB.
 
     Without ``distinct`` boxes that come again are left in, for operators that are told to take them ``once``: these hold every box until the watermark
     has passed it anyway, so no second state with a row for each box is needed.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path).withWatermark("frame_ts", late)
-    return rows.dropDuplicatesWithinWatermark(list(keys)) if distinct else rows
+    if not distinct:
+        return rows
+    on_disk(spark)
+    return rows.dropDuplicatesWithinWatermark(list(keys))
 
 
 class _Link(InBlocks):

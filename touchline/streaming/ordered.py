@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
 
 #: Buckets that a stream's keys are dealt to, however many keys and clips there are.
 BUCKETS = 512
@@ -292,9 +293,14 @@ def _by_key(rows, n: int) -> dict[tuple, list[tuple]]:
     return out
 
 
-def uses_timers(spark: SparkSession) -> None:
-    """Streams with timers keep their state in RocksDB; this sets the session so."""
+def on_disk(spark: SparkSession) -> None:
+    """Streams keep their state in RocksDB, which timers need and whose rows aren't held on the heap; this sets the session so.
+
+    All of an executor's stores share one bound of memory, unless the session says otherwise, so it doesn't grow with the partitions.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    if spark.conf.get(BOUNDED, None) is None:
+        spark.conf.set(BOUNDED, "true")
 
 
 def in_order(rows: DataFrame, processor: InOrder, once: bool = False) -> DataFrame:
@@ -303,7 +309,7 @@ def in_order(rows: DataFrame, processor: InOrder, once: bool = False) -> DataFra
     Rows that come later than the stream's watermark allows are dropped by Spark, all others are taken in the order of frames.
     A key that was silent for the processor's ``idle`` begins anew. ``once``: rows of a key's frame that come again count once.
     """
-    uses_timers(rows.sparkSession)
+    on_disk(rows.sparkSession)
     processor.once = once
     own = rows.withColumn("ms", F.unix_millis("frame_ts")).select(*processor.key, "frame_ts", "ms", *names(processor.row))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
