@@ -101,6 +101,17 @@ class Kept(dict):
         del self[key]
 
 
+class Listed(list):
+    def get(self):
+        return iter(self)
+
+    def put(self, values):
+        self[:] = values
+
+    def appendValue(self, value):
+        self.append(value)
+
+
 class Handle:
     def __init__(self):
         self.kept = {}
@@ -111,6 +122,9 @@ class Handle:
     def getMapState(self, name, key, schema):
         return self.kept.setdefault(name, Kept())
 
+    def getListState(self, name, schema):
+        return self.kept.setdefault(name, Listed())
+
     def registerTimer(self, at):
         self.timer = at
 
@@ -141,6 +155,36 @@ def test_linking_holds_one_block():
     assert len({(r.frame, r.ord) for t in sum(told, []) for r in t.itertuples()}) == sum(len(t) for t in sum(told, [])) > 1000
 
 
+def test_gate_state_is_small():
+    """A waiting row takes much less than its 100 bytes in state, and what comes out is the same."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    gate, handle = live._Gate(live.HOUR), Handle()
+    gate.inner = "match_id long, clip_id long, obj_id long"
+    gate.init(handle)
+    names = ["match_id", "clip_id", "obj_id", "ms", "frame", "x1", "y1", "x2", "y2", "source"]
+    rows = boxes(seed=8)
+    pdf = pd.DataFrame([(*r[:3], r[3] * 1000 // 30, r[3], *r[5:10]) for r in rows], columns=names).sample(frac=1.0, random_state=2)
+    list(gate.handleInputRows((0,), iter([pdf]), None))
+    assert sum(len(v[1]) for v in handle.kept["waiting"]) < 40 * len(rows)
+    found = pd.concat(gate.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 60_000), None))
+    assert {(r.clip_id, r.obj_id, r.frame): r.held for r in found.itertuples()} == replay(rows)
+
+
+def test_files_hold_no_derived_columns(spark, small_tasks):
+    from touchline.plans import stream_queries
+
+    path, _ = stream_queries._files(spark, "/root/testdata/sf0.001")
+    for folder in (small_tasks[0], path):
+        assert not {"px", "py", "team"} & set(spark.read.parquet(folder).columns)
+    kept = spark.conf.get("spark.sql.streaming.minBatchesToRetain")
+    with stream_queries._dealt(spark, 1):
+        assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "2"
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == kept
+
+
 def replay(rows):
     """The jump gate as plainly as can be."""
     out, good = {}, {}
